@@ -5,21 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, language_model
+from . import jaccard_join, language_model, licences, mixing, surrogates
 from .shared import table
 
 
+#: The key of the query; a caller of the operator gives their own.
+PII_KEY = "linkloom"
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_language_model(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 5 <> 1")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text rewritten."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best finding of every document, and how many there are."""
+    found = licences.licence_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("findings").alias("n_findings"), "licence", "dice")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_licence_scan": op8_licence_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
