@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import Scratch, binary_column, mix64, scan_words
@@ -61,8 +62,8 @@ def bands(most: int, num: int, den: int) -> list[int]:
 def allocate(low: int, worth: int, docs: float) -> tuple[int, int]:
     """(segments, how many of them allow one differing element) of least cost for sets of size low, worth being needed.
 
-    A signature costs 1; meeting by chance costs docs in a band times the chance that a segment of that many elements
-    coincides between texts that share some of their shingles."""
+    A signature costs 1, a row met by chance a fiftieth (a bit count in a bucket). Unrelated sets meet in a segment that
+    is empty in both, or for a loose one nearly so; the number of elements in a segment is about Poisson."""
     best = (math.inf, 0, 0)
     for loose in sorted({0, 1, worth // 4, worth // 2}):
         exact = max(0, worth - 2 * loose)
@@ -70,7 +71,8 @@ def allocate(low: int, worth: int, docs: float) -> tuple[int, int]:
         if not m:
             continue
         each = low / m
-        cost = exact * (1 + docs * math.exp(-each) / 50) + loose * (2 + each + docs * math.exp(-1.8 * each) / 50)
+        chance = docs * math.exp(-2 * each) / 50
+        cost = exact * (1 + chance) + loose * (2 + each + chance * (1 + each) ** 2)
         best = min(best, (cost, m, loose))
     return best[1], best[2]
 
@@ -157,7 +159,11 @@ def scan(words: int, num: int, den: int, docs: float):
                 total = np.zeros(n, np.uint64)
                 np.add.at(total, rows, mix64(elements * _A + _C))
                 cls = mix64(total + sizes.astype(np.uint64))
-                owner, sigs = signatures(rows, elements, sizes, num, den, docs)
+                # copies within a slice are one class already: the first of them signs
+                _, once = np.unique(cls, return_index=True)
+                signs = np.zeros(n, bool)
+                signs[once] = True
+                owner, sigs = signatures(rows[signs[rows]], elements[signs[rows]], np.where(signs, sizes, 0), num, den, docs)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cls.view(np.int64)), fixed_binary(sketches(rows, elements, n)), lists], ["doc_id", "n_shingles", "cls", "sketch", "sigs"])
@@ -288,14 +294,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     per_band = docs.count() / 12
     one = scratch.save(texts.mapInArrow(scan(words, num, den, per_band), "doc_id long, n_shingles long, cls long, sketch binary, sigs array<long>"))
     filled = one.where("n_shingles > 0")
-    rows = filled.select("cls", "doc_id", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig")
-    met = scratch.save(rows.select("sig", "cls").join(shared, "sig").distinct())
+    rows = filled.select("cls", F.explode("sigs").alias("sig"))
+    of_sig = Window.partitionBy("sig")
+    met = rows.withColumns({"lo": F.min("cls").over(of_sig), "hi": F.max("cls").over(of_sig)}).where("lo < hi")
+    met = scratch.save(met.select("sig", "cls").distinct())
     many = met.groupBy("sig").agg(F.count("*").alias("rows"))
     classes = scratch.save(
-        filled.select("cls", "doc_id", "n_shingles", "sketch")
+        filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
         .join(met.select("cls").distinct(), "cls", "left_semi")
-        .groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     )
     members = met.join(many, "sig").join(classes.drop("rep"), "cls")
     # sets of classes that met another: from the texts of one document each
