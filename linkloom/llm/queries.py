@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_model, licences, mixing, surrogates
+from . import jaccard_join, language_model, licences, mixing, surrogates, token_counts
 from .shared import table
 
 
@@ -24,6 +24,12 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii_surrogates": op2_pii_surrogates,
+    "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op8_licence_scan": op8_licence_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
