@@ -20,7 +20,7 @@ from .shared import binary_column, slices
 WIDTH, STEP, BLOCK, FILTERS, HIDDEN = 6, 2, 512, 16, 16
 #: Labelled rows that are trained on at most, the smallest by hash of doc_id, and chunks of each, spread over the text.
 MOST_LABELLED, MOST_CHUNKS = 4000, 48
-EPOCHS, BATCH, RATE = 14, 32, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 14, 900, 32, 0.01
 #: Blocks that numpy takes at a time.
 GROUP = 2048
 
@@ -137,9 +137,10 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         n = 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts))) if texts else 0
+        for epoch in range(epochs):
             order = r.permutation(len(texts))
-            rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
+            rate = RATE * (1 - epoch / epochs) + RATE / 20
             for lo in range(0, len(order), BATCH):
                 pick = order[lo : lo + BATCH]
                 offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in pick])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard_join, language_model, licences, mixing, quality, surrogates, token_counts
+from . import chat, decontamination, jaccard_join, language_model, licences, mixing, nearest, quality, surrogates, token_counts
 from .shared import table
 
 
@@ -55,6 +55,10 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("findings").alias("n_findings"), "licence", "dice")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_format": op7_chat_format,
     "op8_licence_scan": op8_licence_scan,
+    "op9_nearest": op9_nearest,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
