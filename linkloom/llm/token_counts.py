@@ -29,7 +29,7 @@ from .shared import binary_column, slices
 #: Characters of a chunk.
 CHUNK = 256
 #: Bytes of text taken at a time.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 4 << 20
 #: States after which a worker's table is started anew, so that its memory stays bounded.
 MOST_STATES = 400_000
 _SPACE = "▁"
