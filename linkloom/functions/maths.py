@@ -99,7 +99,7 @@ def to_screen(x: Column, centre: float, zoom: float, size: int) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit(" s")))
+    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", F.floor(ms / 10 + 0.5) / 100), F.lit(" s")))
 
 
 def unit(v: Column) -> Column:

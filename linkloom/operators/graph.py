@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +21,29 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _folder(spark) -> str:
+    """The folder that the session names for checkpoints; where it names none, a temporary one is set."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linkloom-"))
+    return named or sc.getCheckpointDir()
+
+
+def _remove(spark, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder that the session names for checkpoints (a temporary one where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="linkloom-"))
-    return df.checkpoint()
+    """Lineage cut by a table in the shared checkpoint folder, computed once; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # ------------------------------------------------------------------------------------------ links and filters

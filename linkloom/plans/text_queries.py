@@ -1,0 +1,147 @@
+"""Queries of the text functions, sources and sinks, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from linkloom.functions import text as t
+from linkloom.sources import articles as src
+
+from .fixtures import table
+
+Q, SQL = {}, {}
+#: Documents with markup: the first word of every sentence but the first is a link.
+MARKED = r"marked AS (SELECT doc_id, 'D' || doc_id AS title, regexp_replace(text, '([.!?]\s+)([A-Za-z]+)', '\1[[\2]]', 'g') AS text, lang, source FROM documents)"
+
+
+def query(name, sql=None):
+    def put(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql.replace("MARKED", f"WITH {MARKED}")
+        return f
+
+    return put
+
+
+def marked(s, d):
+    return table(s, d, "documents").select("doc_id", F.concat(F.lit("D"), "doc_id").alias("title"), F.regexp_replace("text", r"([.!?]\s+)([A-Za-z]+)", "$1[[$2]]").alias("text"), "lang", "source")
+
+
+def docs(s, d):
+    return table(s, d, "documents")
+
+
+def pages(s, d):
+    return table(s, d, "pages")
+
+
+SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+# ---- sources
+query("s5_page_parse", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&amp;', '&') AS h1 FROM pages")(
+    lambda s, d: pages(s, d).select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.replace(F.replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&")).alias("h1")))
+
+
+def view_lines(s, d):
+    p = table(s, d, "lineitem").where("l_orderkey % 5 = 0").select("l_partkey", "l_quantity", "l_returnflag")
+    who = F.when(F.col("l_returnflag") == "R", "de").when(F.col("l_returnflag") == "A", "en.wikipedia").otherwise("en")
+    count = F.when(F.col("l_partkey") % 11 == 0, "bad").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    return p.select(F.concat_ws(" ", who, F.concat(F.lit("Part_no_"), "l_partkey"), count, F.lit("0")).alias("value"))
+
+
+query("s6_pageviews_max", "SELECT 'Part no ' || l_partkey AS title, CAST(max(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_orderkey % 5 = 0 AND l_returnflag = 'N' AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "max"))
+query("s7_pageviews_sum", "SELECT 'Part no ' || l_partkey AS title, CAST(sum(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_orderkey % 5 = 0 AND l_returnflag IN ('N', 'A') AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "sum"))
+query("s10_type_labels", "SELECT c_custkey AS id, coalesce(r_name, 'Other') AS label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey <> 3 LEFT JOIN region ON r_regionkey = n_regionkey")(
+    lambda s, d: src.type_labels(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key")), table(s, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("type")), table(s, d, "region").select(F.col("r_regionkey").alias("type"), F.col("r_name").alias("label"))))
+query("s13_metadata_sorted", "SELECT p_partkey AS id, p_size AS views FROM part ORDER BY id")(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("views")).orderBy("id"))
+query("s21_synthetic_graph")(lambda s, d: src.synthetic_links(s, 500, 3))
+
+# ---- sinks
+query("k1_upsert", "SELECT o_custkey AS title, max_by(o_totalprice, o_orderkey) AS views FROM orders GROUP BY 1")(lambda s, d: src.upsert(table(s, d, "orders").select(F.col("o_custkey").alias("title"), F.col("o_totalprice").alias("views"), F.col("o_orderkey").alias("seq")), "title", "seq").drop("seq"))
+query("k2_insert_ignore", "SELECT c_custkey AS title, c_acctbal AS views FROM customer UNION ALL SELECT DISTINCT o_custkey + 100000, 0.0 FROM orders WHERE o_custkey + 100000 NOT IN (SELECT c_custkey FROM customer)")(
+    lambda s, d: src.insert_ignore(table(s, d, "customer").select(F.col("c_custkey").alias("title"), F.col("c_acctbal").alias("views")), table(s, d, "orders").select((F.col("o_custkey") + 100000).alias("title"), F.lit(0.0).alias("views")), "title"))
+query("k3_update_views", "SELECT c_custkey AS title, CASE WHEN v > 0 THEN v ELSE c_acctbal END AS views FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) - 300000 AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey")(
+    lambda s, d: src.update_views(table(s, d, "customer").select(F.col("c_custkey").alias("title"), F.col("c_acctbal").alias("views")), table(s, d, "orders").groupBy(F.col("o_custkey").alias("title")).agg((F.max("o_totalprice") - 300000).alias("views"))))
+query("k5_token_index", r"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_partkey), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS token FROM part) GROUP BY 1")(
+    lambda s, d: table(s, d, "part").select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "p_name", "p_partkey")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+query("k11_weighted_text", "SELECT l_orderkey AS source, l_partkey AS target, printf('%.3f', l_discount + 1.0) AS weight FROM lineitem WHERE l_orderkey % 7 = 0")(
+    lambda s, d: table(s, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.format_string("%.3f", F.col("l_discount") + 1.0).alias("weight")))
+query("k12_metadata_filled", "SELECT range AS id, coalesce(p_size, 0) AS views, CASE WHEN p_partkey IS NULL THEN 6 ELSE 1 END AS category FROM range(300) LEFT JOIN part ON p_partkey = range AND p_partkey % 3 <> 0")(
+    lambda s, d: src.filled_metadata(s, 300, table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("views"), F.lit(1).alias("category"))))
+query("k13_topic_json")(lambda s, d: src.sized_json(table(s, d, "part").select(F.col("p_type").alias("topic"), F.col("p_name").alias("word")), 150_000, 12))
+
+# ---- predicates
+query("f7_incomplete", "SELECT doc_id FROM documents WHERE n_chars > 40 AND (text IS NULL OR trim(text) = '' OR lang = 'de')")(lambda s, d: docs(s, d).where((F.col("n_chars") > 40) & (F.col("text").isNull() | (F.trim("text") == "") | (F.col("lang") == "de"))).select("doc_id"))
+query("f8_repair_set", "SELECT doc_id FROM documents WHERE n_chars > 40 AND lang = 'fr' ORDER BY doc_id LIMIT 50")(lambda s, d: docs(s, d).where("n_chars > 40 and lang = 'fr'").orderBy("doc_id").limit(50).select("doc_id"))
+query("f9_token_prefix", r"SELECT p_partkey AS idx FROM part WHERE len(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 's'))) > 0 ORDER BY idx LIMIT 10")(
+    lambda s, d: table(s, d, "part").where(F.exists(t.tokens(F.col("p_name")), lambda x: x.startswith("s"))).orderBy("p_partkey").limit(10).select(F.col("p_partkey").alias("idx")))
+PARTS = "SELECT p_partkey AS idx, p_name || ' #' || p_partkey AS title FROM part"
+
+
+def titles(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit(" #"), "p_partkey").alias("title"))
+
+
+query("f10_prefix_search", f"SELECT idx, title FROM ({PARTS}) WHERE starts_with(lower(title), 's') ORDER BY lower(title), idx LIMIT 8")(lambda s, d: titles(s, d).where(F.lower("title").startswith("s")).orderBy(F.lower("title"), "idx").limit(8))
+query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHERE title >= 's' AND title < 't' ORDER BY title LIMIT 8) UNION (SELECT * FROM ({PARTS}) WHERE title >= 'S' AND title < 'T' ORDER BY title LIMIT 8)) ORDER BY title LIMIT 8")(
+    lambda s, d: titles(s, d).where("title >= 's' and title < 't'").orderBy("title").limit(8).union(titles(s, d).where("title >= 'S' and title < 'T'").orderBy("title").limit(8)).distinct().orderBy("title").limit(8))
+query("f12_resolve_title", f"SELECT idx FROM ({PARTS}) WHERE lower(title) = (SELECT lower(title) FROM ({PARTS}) WHERE idx = 42) ORDER BY title = (SELECT title FROM ({PARTS}) WHERE idx = 42) DESC, idx LIMIT 1")(lambda s, d: src.resolve_title(titles(s, d), titles(s, d).where("idx = 42").first().title))
+query("f13_meta_titles", "SELECT doc_id FROM documents WHERE NOT (starts_with(text, 'That') OR starts_with(text, 'Ist'))")(lambda s, d: docs(s, d).where(~t.starts_with_any(F.col("text"), ("That", "Ist"))).select("doc_id"))
+CATS = "list_value('Category:All ' || lang, 'Category:' || upper(source), 'Category:Use ' || lang)"
+
+
+def cats(s, d):
+    return docs(s, d).withColumn("cats", F.array(F.concat(F.lit("Category:All "), "lang"), F.concat(F.lit("Category:"), F.upper("source")), F.concat(F.lit("Category:Use "), "lang")))
+
+
+query("f14_clean_categories", f"SELECT doc_id, array_to_string(list_transform(list_filter({CATS}, lambda x: NOT starts_with(x, 'Category:All ') AND NOT starts_with(x, 'Category:Use ')), lambda x: lower(x)), '|') AS cats FROM documents")(lambda s, d: cats(s, d).select("doc_id", F.array_join(t.clean_categories(F.col("cats")), "|").alias("cats")))
+query("f15_clean_titles", rf"SELECT idx, title FROM ({PARTS}) WHERE length(title) <= 16 AND NOT regexp_matches(title, '(?i)\(disambiguation\)|^List of|\b\d{{4}}\b') AND NOT regexp_matches(title, '^\d+$')")(lambda s, d: titles(s, d).where(t.is_clean_title(F.col("title"))))
+query("f16_near_duplicates", r"SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name < b.p_name AND (contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)) OR regexp_replace(lower(a.p_name), 's+$', '') = regexp_replace(lower(b.p_name), 's+$', ''))")(
+    lambda s, d: (lambda p: p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") < F.col("b.p_name"))).where(t.near_duplicate(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).distinct())(table(s, d, "part").select("p_brand", "p_name").distinct()))
+query("f19_sentence_length", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({SENT}) AS x FROM documents) WHERE length(x) > 10 AND length(x) < 500 GROUP BY 1")(
+    lambda s, d: docs(s, d).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("x")).where((F.length("x") > 10) & (F.length("x") < 500)).groupBy("doc_id").agg(F.count("*").alias("n")))
+
+# ---- markup
+query("t1_clean_wikitext", r"""SELECT doc_id, length(regexp_replace(regexp_replace('a<!-- ' || text || ' -->b<ref name="x">c</ref>{{t|{{u}}}}' || source, '(?s)<!--.*?-->', '', 'g'), '<ref[^>/]*>.*?</ref>|\{\{t\|\{\{u\}\}\}\}', '', 'g')) AS n FROM documents""")(
+    lambda s, d: docs(s, d).select("doc_id", F.length(t.clean_wikitext(F.concat(F.lit("a<!-- "), "text", F.lit(' -->b<ref name="x">c</ref>{{t|{{u}}}}'), "source"))).alias("n")))
+query("t2_link_targets", r"MARKED SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)))), '|') AS targets FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.array_join(F.array_sort(t.link_targets(F.col("text"))), "|").alias("targets")))
+query("t4_sentences", f"SELECT doc_id, len({SENT}) AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.sentences(F.col("text"))).alias("n")))
+query("t5_link_contexts", rf"""MARKED, x AS (SELECT title, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS pos FROM marked),
+ y AS (SELECT title, pos, upper(substr(l, 1, 1)) || substr(l, 2) AS target, trim(regexp_replace(regexp_replace(s, '\[\[([^\]]*)\]\]', '\1', 'g'), '\s+', ' ', 'g')) AS shown FROM (SELECT title, pos, s, unnest(regexp_extract_all(s, '\[\[([^\]]+)\]\]', 1)) AS l FROM x))
+ SELECT title, target, min_by(shown, pos) AS context FROM y WHERE length(shown) > 10 AND length(shown) < 500 GROUP BY 1, 2""")(lambda s, d: t.link_contexts(marked(s, d).where("not text rlike '[<>{}|]'").select("title", "text")))
+SQL["t5_link_contexts"] = SQL["t5_link_contexts"].replace("FROM marked),", "FROM marked WHERE NOT regexp_matches(text, '[<>{}|]')),")
+query("t6_anchor_contexts", f"MARKED, x AS (SELECT doc_id, unnest({SENT}) AS s FROM marked) SELECT doc_id, count(*) AS n FROM x WHERE length(s) > 20 AND length(s) < 300 AND contains(s, '[[') GROUP BY 1")(
+    lambda s, d: marked(s, d).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s")).where((F.length("s") > 20) & (F.length("s") < 300) & F.col("s").contains("[[")).groupBy("doc_id").agg(F.count("*").alias("n")))
+query("t7_html_links")(lambda s, d: src.html_links(pages(s, d)))
+query("t8_html_text")(lambda s, d: src.html_text(pages(s, d)))
+query("t9_categories", "SELECT doc_id, 'Category:' || source || '|Category:' || lang AS cats FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.array_join(t.categories_of(F.concat(F.lit("[[Category:"), "source", F.lit("|x]] [[Category: "), "lang", F.lit("]]"))), "|").alias("cats")))
+query("t10_snippet", r"SELECT doc_id, CASE WHEN length(l) > 250 THEN substr(l, 1, 247) || '...' ELSE coalesce(l, '') END AS snippet FROM (SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS l FROM documents)")(lambda s, d: docs(s, d).select("doc_id", t.snippet(F.col("text")).alias("snippet")))
+query("t11_redirects", "SELECT doc_id, (doc_id % 4 = 0) AS redirect FROM documents")(lambda s, d: docs(s, d).select("doc_id", t.is_redirect(F.concat(F.when(F.col("doc_id") % 4 == 0, "\n #Redirect [[").otherwise("x"), F.coalesce("text", F.lit("")))).alias("redirect")))
+query("t12_strip_markup", r"MARKED SELECT doc_id, md5(regexp_replace(text, '\[\[([^\]]*)\]\]', '\1', 'g')) AS h FROM marked WHERE NOT contains(text, '''''') AND NOT contains(text, '|')")(lambda s, d: marked(s, d).where("not contains(text, \"''\") and not contains(text, '|')").select("doc_id", F.md5(t.strip_markup(F.col("text"))).alias("h")))
+query("t13_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS h FROM pages")(lambda s, d: pages(s, d).select("page_id", F.md5(t.escape_html(F.col("html"))).alias("h")))
+query("t14_highlight")(lambda s, d: marked(s, d).select("doc_id", t.highlight(F.col("text"), F.lit("the")).alias("shown")))
+query("t15_topics")(lambda s, d: cats(s, d).select("doc_id", t.topic(F.col("text"), F.col("cats")).alias("topic")))
+_S = [(n, i, w) for n, i, w in t.TOPICS]
+_score = lambda w: " + ".join(f"(length(a) - length(replace(a, '{x}', ''))) / {len(x)}.0 + CASE WHEN contains(b, '{x}') THEN 5 ELSE 0 END" for x in w)
+query("t16_topic_ids", "SELECT doc_id, CASE " + " ".join(f"WHEN s{i} = m AND m > 0 THEN {i}" for _, i, _ in _S) + " ELSE 6 END AS topic FROM (SELECT *, greatest(" + ", ".join(f"s{i}" for _, i, _ in _S) + ") AS m FROM (SELECT doc_id, " + ", ".join(f"{_score(w)} AS s{i}" for _, i, w in _S) + " FROM (SELECT doc_id, lower(substr(text, 1, 60)) AS b, lower(substr(text, 1, 60) || ' ' || text) AS a FROM documents)))")(
+    lambda s, d: docs(s, d).select("doc_id", t.topic_id(t.topic(F.substring("text", 1, 60), F.array("text"))).alias("topic")))
+query("t15b_wikidata_topics", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type || ' ' || p_name), '{x}')" for x in w) + f" THEN '{n}'" for n, _, w in _S) + " END AS topic FROM part")(
+    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), t.wikidata_topic(F.concat_ws(" ", "p_type", "p_name")).alias("topic")))
+GROUPS = (("metal", ("steel", "tin", "copper", "brass", "nickel")), ("big", ("large", "economy")), ("fine", ("polished", "burnished")))
+query("t18_first_group", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type || ' | ' || p_name), '{x}')" for x in w) + f" THEN '{n}'" for n, w in GROUPS) + " ELSE 'none' END AS grp FROM part")(
+    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), t.first_keyword_group(F.array("p_type", "p_name"), GROUPS, "none").alias("grp")))
+query("t19_topic_to_id", "SELECT n_nationkey AS k, CASE n_nationkey % 7 " + " ".join(f"WHEN {i} THEN {i}" for _, i, _ in _S) + " ELSE 6 END AS id FROM nation")(
+    lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), t.topic_id(F.element_at(F.array(*[F.lit(n) for n, _, _ in _S], F.lit("x")), (F.col("n_nationkey") % 7 + 1).cast("int"))).alias("id")))
+query("t21_json_lists", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.json_list(F.when(F.col("doc_id") % 3 == 0, "not json").otherwise(F.to_json(F.array("lang", "source"))))).alias("n")))
+query("t23_duration", "SELECT event_id, CASE WHEN v < 1000 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' ms' ELSE printf('%.2f', floor(v / 10 + 0.5) / 100) || ' s' END AS shown FROM (SELECT event_id, value * 20 AS v FROM events)")(lambda s, d: table(s, d, "events").select("event_id", src.maths.duration_text(F.col("value") * 20).alias("shown")))
+query("t24_last_month", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(date_trunc('month', CAST(o_orderdate AS DATE)) - INTERVAL 15 DAY, '%Y/%m') AS month FROM orders")(lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", t.last_full_month(F.col("day")).alias("month")))
+query("t25_link_url", "SELECT p_partkey AS idx, '/wiki/' || replace(replace(p_name || ' #' || p_partkey, ' ', '%20'), '#', '%23') AS url FROM part")(lambda s, d: titles(s, d).select("idx", t.link_url(F.col("title")).alias("url")))
+query("t20_text_classifier")(lambda s, d: src.train_topic_classifier(docs(s, d).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))))
+query("a23_map_sum", "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")(
+    lambda s, d: table(s, d, "events").select("user_id", F.aggregate(F.map_values(F.from_json("props", "map<string,bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("v")).groupBy("user_id").agg(F.sum("v").alias("total")))
+query("j1_resolve_links", r"""MARKED, raw AS (SELECT DISTINCT title AS source, upper(substr(l, 1, 1)) || substr(l, 2) AS target FROM (SELECT title, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) AS l FROM marked)),
+ n AS (SELECT title, row_number() OVER (ORDER BY title) - 1 AS idx FROM (SELECT source AS title FROM raw UNION SELECT target FROM raw WHERE length(target) > 3))
+ SELECT a.idx AS src, b.idx AS tgt FROM raw JOIN n a ON a.title = source JOIN n b ON b.title = target""")(lambda s, d: src.resolve_marked(marked(s, d)))
+query("o7_collated", "SELECT title FROM (SELECT p_name || ' #' || p_partkey AS title FROM part)")(lambda s, d: titles(s, d).select("title").orderBy(F.collate("title", "UNICODE").cast("string")))
