@@ -1,9 +1,11 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m characters may stand in a document with up to k = floor(rate * m) edits. Split into k + 1 pieces, at
-least one piece stands there unchanged, so an automaton over all pieces finds every place that needs a look; Myers'
-bit-parallel algorithm then gives the edit distance of the item to the best substring of the place. Texts are compared
-in lower case with runs of white space as one space."""
+least one piece stands there unchanged, so an automaton over all pieces finds every place that needs a look. The same
+holds for any division of the pieces in two: one part of p pieces stands there with at most p - 1 edits. So a place is
+looked at in ever larger parts around the piece, from two pieces up to the item, and left at the first that does not
+fit. Myers' bit-parallel algorithm gives the edit distance of a part to the best substring of the place. Texts are
+compared in lower case with runs of white space as one space."""
 
 from __future__ import annotations
 
@@ -64,12 +66,42 @@ class Pattern:
                 score -= 1
             if score <= k and (found is None or score < found[0]):
                 found = (score, j + 1)
+                if not score:
+                    return found
             plus = plus << 1 & full
             up = (minus << 1 & full) | full & ~(vertical | plus)
             down = plus & vertical
         return found
 
 
+def parts_around(text: str, split: list[tuple[int, str]]) -> list[list[tuple[int, int, Pattern]]]:
+    """For each piece, the parts that hold it, from the smallest: (characters before the piece, edits allowed, part)."""
+    out: list[list[tuple[int, int, Pattern]]] = [[] for _ in split]
+
+    def divide(lo: int, hi: int, whole: bool) -> None:
+        if hi - lo > 1:
+            mid = (lo + hi) // 2
+            divide(lo, mid, False)
+            divide(mid, hi, False)
+            if not whole:
+                a, b = split[lo][0], split[hi - 1][0] + len(split[hi - 1][1])
+                part = Pattern(text[a:b])
+                for i in range(lo, hi):
+                    out[i].append((split[i][0] - a, hi - lo - 1, part))
+
+    divide(0, len(split), True)
+    return out
+
+
+def stands(text: str, begin: int, around: list[tuple[int, int, Pattern]]) -> bool:
+    """Whether every part around a piece that begins there fits."""
+    for before, k, part in around:
+        a = begin - before
+        if part.best(text[max(0, a - k) : a + part.m + k], k) is None:
+            return False
+    return True
+
+
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
@@ -82,8 +114,9 @@ class Matcher:
             if not text:
                 continue
             k = budget(len(text), rate)
-            for at, piece in pieces(text, k):
-                places.setdefault(piece, []).append((len(self.items), at))
+            split = pieces(text, k)
+            for (at, piece), around in zip(split, parts_around(text, split), strict=True):
+                places.setdefault(piece, []).append((len(self.items), at, around))
             self.items.append((item_id, text, k, Pattern(text), Pattern(text[::-1])))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -98,8 +131,9 @@ class Matcher:
         seen: dict[int, set[int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             begin = end - length + 1
-            for item, at in where:
-                seen.setdefault(item, set()).add(begin - at)
+            for item, at, around in where:
+                if begin - at not in seen.get(item, ()) and stands(text, begin, around):
+                    seen.setdefault(item, set()).add(begin - at)
         out = []
         for item, diagonals in seen.items():
             item_id, body, k, forward, back = self.items[item]
