@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import Scratch, binary_column, mix64, scan_words
@@ -35,6 +34,10 @@ BLOCK_ROWS = 4096
 #: Documents whose ids may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Signatures of one range, which one task sorts, about; ranges at least, as a power of two; bits of a signature beyond
+#: those that tell all apart (one in 2**SPARE_BITS meets another by chance, and is found out by the filter).
+RANGE_SIGNATURES, LEAST_RANGE_BITS, SPARE_BITS = 1_000_000, 9, 13
+
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -150,33 +153,116 @@ def fixed_binary(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def scan(words: int, num: int, den: int, docs: float):
+def scan_classes(words: int):
+    """doc_id, n_shingles, cls (a hash of the set) and sketch of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
+                n = hi - lo
+                sizes = np.bincount(rows, minlength=n)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), pa.array(sizes, pa.int64()), pa.array(class_hashes(rows, elements, sizes).view(np.int64)), fixed_binary(sketches(rows, elements, n))], ["doc_id", "n_shingles", "cls", "sketch"])
+
+    return run
+
+
+def class_hashes(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(sizes), np.uint64)
+    np.add.at(total, rows, mix64(elements * _A + _C))
+    return mix64(total + sizes.astype(np.uint64))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of ascending numbers, byte by byte of all of them, so that the high bytes compress away."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(len(d), d.itemsize).T).tobytes()
+
+
+def _unplanes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
+
+
+def pack_signatures(sigs: np.ndarray, docs: np.ndarray) -> bytes:
+    """Ascending signatures and the document of each, in about 5 bytes a pair."""
+    ids, at = np.unique(docs, return_inverse=True)
+    kind = np.uint16 if len(ids) < 65536 else np.uint32
+    index = np.ascontiguousarray(at.astype(kind).view(np.uint8).reshape(len(at), -1).T).tobytes()
+    raw = np.array([len(sigs), len(ids), np.dtype(kind).itemsize], "<u4").tobytes() + _planes(sigs) + _planes(ids.view(np.uint64)) + index
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[4:], int(np.frombuffer(blob, "<u4", 1)[0]), codec="zstd", asbytes=True)
+    n, m, size = (int(x) for x in np.frombuffer(raw, "<u4", 3))
+    a, b = 12 + 8 * n, 12 + 8 * n + 8 * m
+    index = np.ascontiguousarray(np.frombuffer(raw[b:], np.uint8).reshape(size, n).T).view(np.uint16 if size == 2 else np.uint32).ravel()
+    return _unplanes(raw[12:a], np.uint64), _unplanes(raw[a:b], np.uint64).view(np.int64)[index]
+
+
+def scan_signatures(words: int, num: int, den: int, docs: float, bits: int, range_bits: int):
+    """Signatures cut to `bits` bits, in packed runs by their highest bits: (range, blob)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            all_sigs, all_ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
                 n = hi - lo
                 sizes = np.bincount(rows, minlength=n)
-                total = np.zeros(n, np.uint64)
-                np.add.at(total, rows, mix64(elements * _A + _C))
-                cls = mix64(total + sizes.astype(np.uint64))
                 # copies within a slice are one class already: the first of them signs
-                _, once = np.unique(cls, return_index=True)
+                _, once = np.unique(class_hashes(rows, elements, sizes), return_index=True)
                 signs = np.zeros(n, bool)
                 signs[once] = True
                 owner, sigs = signatures(rows[signs[rows]], elements[signs[rows]], np.where(signs, sizes, 0), num, den, docs)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sigs.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cls.view(np.int64)), fixed_binary(sketches(rows, elements, n)), lists], ["doc_id", "n_shingles", "cls", "sketch", "sigs"])
+                all_sigs.append(sigs >> np.uint64(64 - bits))
+                all_ids.append(ids[lo:hi][owner])
+            sigs, owners = np.concatenate(all_sigs), np.concatenate(all_ids)
+            order = np.argsort(sigs, kind="stable")
+            sigs, owners = sigs[order], owners[order]
+            cut = np.searchsorted(sigs, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(bits - range_bits))
+            full = np.flatnonzero(np.diff(cut))
+            blobs = [pack_signatures(sigs[cut[r] : cut[r + 1]], owners[cut[r] : cut[r + 1]]) for r in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
 
     return run
 
 
+def shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range: (sig, doc_id) of signatures that two documents have."""
+
+    def met(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack_signatures(x) for x in blobs]
+        sigs, docs = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.lexsort((docs, sigs))
+        sigs, docs = sigs[order], docs[order]
+        one = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])))
+        sigs, docs = sigs[one], docs[one]
+        same = sigs[1:] == sigs[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(docs[keep])], ["sig", "doc_id"])
+
+    now, blobs = None, []
+    for b in batches:
+        for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if r != now and blobs:
+                yield met(blobs)
+                blobs = []
+            now = r
+            blobs.append(blob)
+    if blobs:
+        yield met(blobs)
+
+
 def sets_of(words: int):
+    """(cls, elements) of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
-                ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=hi - lo)))).astype(np.int32) * 8
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(elements))])], ["doc_id", "elements"])
+                sizes = np.bincount(rows, minlength=hi - lo)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * 8
+                yield pa.RecordBatch.from_arrays([pa.array(class_hashes(rows, elements, sizes).view(np.int64)), pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(elements))])], ["cls", "elements"])
 
     return run
 
@@ -283,32 +369,43 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct shingles of so many lower-cased
     words; a text of fewer words is one shingle. Null, empty and blank texts have no set: n_shingles 0, linked with
-    nothing, their own component. component_id is the smallest doc_id reachable by links. A null doc_id stays null and
-    is never the smallest. Repeated doc_ids are rows of one node each by content; exact copies are one class before any
-    comparison. Other columns are ignored. Sets are compared by 48-bit shingle hashes, classes by 64-bit set hashes.
+    nothing, their own component. component_id is the smallest doc_id reachable by links. Rows with a null doc_id have
+    their size and a null component, and link nothing. Repeated doc_ids are rows of one node each by content; exact
+    copies are one class before any comparison. Other columns are ignored. Sets are compared by 48-bit shingle hashes,
+    classes by 64-bit set hashes.
 
-    docs is read three times (its row count, signatures, sets of those that met another)."""
+    docs is read three times: for sets' hashes, signatures, and sets of those that met another. Signatures are shuffled
+    in packed runs of about 5 bytes each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     per_band = docs.count() / 12
-    one = scratch.save(texts.mapInArrow(scan(words, num, den, per_band), "doc_id long, n_shingles long, cls long, sketch binary, sigs array<long>"))
-    filled = one.where("n_shingles > 0")
-    rows = filled.select("cls", F.explode("sigs").alias("sig"))
-    of_sig = Window.partitionBy("sig")
-    met = rows.withColumns({"lo": F.min("cls").over(of_sig), "hi": F.max("cls").over(of_sig)}).where("lo < hi")
-    met = scratch.save(met.select("sig", "cls").distinct())
-    many = met.groupBy("sig").agg(F.count("*").alias("rows"))
-    classes = scratch.save(
-        filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-        .join(met.select("cls").distinct(), "cls", "left_semi")
-    )
-    members = met.join(many, "sig").join(classes.drop("rep"), "cls")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = scratch.save(texts.mapInArrow(scan_classes(words), "doc_id long, n_shingles long, cls long, sketch binary"))
+    filled = one.where("n_shingles > 0 and doc_id is not null")
+    every = scratch.save(filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
+    # exact copies need not sign: one document of each class does, unless the others' ids are too many to broadcast
+    signing = texts.where("doc_id is not null")
+    n_docs, n_classes, volume = filled.count(), *every.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    if n_docs - n_classes <= BROADCAST_IDS:
+        reps = every.select(F.col("rep").alias("doc_id"))
+        others = filled.select("doc_id").join(reps, "doc_id", "left_anti").distinct()
+        signing = signing.join(F.broadcast(others), "doc_id", "left_anti")
+    about = max(1, int(2 * volume * (den - num) / num))
+    range_bits = max(LEAST_RANGE_BITS, (about // RANGE_SIGNATURES).bit_length())
+    bits = min(63, max(range_bits + 1, about.bit_length() + SPARE_BITS))
+    packed = signing.mapInArrow(scan_signatures(words, num, den, n_docs / 12, bits, range_bits), "range int, blob binary")
+    shared = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(shared_signatures, "sig long, doc_id long")
+    met = scratch.save(shared.join(filled.select("doc_id", "cls"), "doc_id").select("sig", "cls").distinct())
+    many = met.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = met.join(many, "sig")
+    classes = scratch.save(every.join(met.select("cls").distinct(), "cls", "left_semi"))
+    members = met.join(classes.drop("rep"), "cls")
     # sets of classes that met another: from the texts of one document each
-    reps = classes.select(F.col("rep").alias("doc_id"), "cls")
-    n_reps = classes.count()
-    reps = F.broadcast(reps) if n_reps <= BROADCAST_IDS else reps
-    sets = scratch.save(texts.join(reps, "doc_id").select("doc_id", "text").mapInArrow(sets_of(words), "doc_id long, elements binary").join(reps, "doc_id").dropDuplicates(["cls"]).select("cls", "elements"))
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = F.broadcast(reps) if classes.count() <= BROADCAST_IDS else reps
+    sets = texts.join(reps, "doc_id", "left_semi").select("text").mapInArrow(sets_of(words), "cls long, elements binary")
+    sets = scratch.save(sets.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
     def blocks(of: DataFrame, cross: bool) -> DataFrame:
         n = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -324,7 +421,6 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     def meet(of: DataFrame, cross: bool) -> DataFrame:
         dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
     tried = scratch.save(verified(meet(members.withColumn("comp", F.col("cls")), False)))
@@ -339,10 +435,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         comps = connected_components(scratch, links.unionByName(more))
     named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comps.join(named, "comp").select(F.col("node").alias("cls"), "component_id")
-    alone = filled.groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    ids = alone.join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = every.select("cls", F.col("rep").alias("first_id")).join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
     return (
         one.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
         .join(ids, "cls", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     )
