@@ -125,9 +125,9 @@ def prefix_sums(rows):
 
 
 query("m17_blend", "SELECT a.idx, round(0.25 * a.x + 0.75 * b.x, 6) AS x FROM nodes a JOIN nodes b ON b.idx = a.idx + 1")(lambda s, d: N(s, d).select("idx", "x").join(N(s, d).select((F.col("idx") - 1).alias("idx"), F.col("x").alias("bx")), "idx").select("idx", F.round(0.25 * F.col("x") + 0.75 * F.col("bx"), 6).alias("x")))
-query("m18_bezier", """SELECT src, tgt, t, round((1 - t) * (1 - t) * x0 + 2 * (1 - t) * t * ((x0 + x1) / 2 - (y1 - y0) * 0.2 * sg) + t * t * x1, 5) AS bx FROM (SELECT src, tgt, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1,
+query("m18_bezier", """SELECT src, tgt, t, round((1 - t) * (1 - t) * x0 + 2 * (1 - t) * t * ((x0 + x1) / 2 - (y1 - y0) * 0.2 * sg) + t * t * x1, 3) AS bx FROM (SELECT src, tgt, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1,
  CASE WHEN (a.x + b.x) / 2 * -(b.y - a.y) + (a.y + b.y) / 2 * (b.x - a.x) >= 0 THEN 1 ELSE -1 END AS sg FROM edges JOIN nodes a ON a.idx = src JOIN nodes b ON b.idx = tgt WHERE src < 20), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(t)""")(
-    lambda s, d: sp.segments(E(s, d).where("src < 20"), N(s, d)).withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))).select("src", "tgt", "t", F.round(m.bezier(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("t"), 0.2)[0], 5).alias("bx")))
+    lambda s, d: sp.segments(E(s, d).where("src < 20"), N(s, d)).withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))).select("src", "tgt", "t", F.round(m.bezier(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("t"), 0.2)[0], 3).alias("bx")))
 query("m19_palette", "SELECT idx, round(idx * 0.6180339887498949::DOUBLE - floor(idx * 0.6180339887498949::DOUBLE), 9) AS hue FROM nodes")(lambda s, d: N(s, d).select("idx", F.round(m.golden_hue(F.col("idx")), 9).alias("hue")))
 query("m20_screen", "SELECT idx, round((x - 10) * 8 + 300, 6) AS sx FROM nodes")(lambda s, d: N(s, d).select("idx", F.round(m.to_screen(F.col("x"), 10.0, 3.0, 600), 6).alias("sx")))
 query("m21_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS n FROM embeddings", False)(
