@@ -31,6 +31,8 @@ SKETCH_BITS = 512
 BAND_RATIO = 1.5
 #: Rows of one segment that are compared in one task; more are dealt out as pairs of blocks of this many.
 BLOCK_ROWS = 4096
+#: The first forest takes one signature in so many.
+FIRST_SHARE = 8
 #: Documents whose ids may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -308,7 +310,21 @@ class _Group:
                 a += [int(cls[i])] * len(hits)
                 b += cls[hits].tolist()
                 queue += hits.tolist()
-        return a, b
+        # one edge between components is enough for now
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        of, keep = dict(zip(cls.tolist(), comp.tolist(), strict=True)), []
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            p, q = find(of[x]), find(of[y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                keep.append(k)
+        return [a[k] for k in keep], [b[k] for k in keep]
 
 
 def segment_pairs(num: int, den: int, all_pairs: bool):
@@ -423,16 +439,24 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp")
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
-    tried = scratch.save(verified(meet(members.withColumn("comp", F.col("cls")), False)))
-    links = tried.where("linked").select("a", "b")
-    comps = connected_components(scratch, links)
-    # what a forest has left: pairs across components that pass the filter and were not verified yet
-    placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = meet(placed.join(split, "sig"), True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(verified(rest).where("linked").select("a", "b"))
-    if not more.isEmpty():
-        comps = connected_components(scratch, links.unionByName(more))
+    # a forest over some of the signatures, so that most documents that belong together are joined by few edges; a
+    # forest over all that still lie in different components; then all pairs of those that still do
+    tried = links = comps = None
+    for of, cross in ((members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST_SHARE)) == 0), False), (members, False), (members, True)):
+        if comps is None:
+            placed = of.withColumn("comp", F.col("cls"))
+        else:
+            placed = of.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+            placed = placed.join(split, "sig")
+        pairs = meet(placed, cross)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        seen = scratch.save(verified(pairs))
+        new = seen.where("linked").select("a", "b")
+        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
+        links = new if links is None else links.unionByName(new)
+        if comps is None or not new.isEmpty():
+            comps = connected_components(scratch, links)
     named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comps.join(named, "comp").select(F.col("node").alias("cls"), "component_id")
     ids = every.select("cls", F.col("rep").alias("first_id")).join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
