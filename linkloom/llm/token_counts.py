@@ -29,9 +29,9 @@ from .shared import binary_column, slices
 #: Characters of a chunk.
 CHUNK = 256
 #: Bytes of text taken at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: States after which a worker's table is started anew, so that its memory stays bounded.
-MOST_STATES = 400_000
+MOST_STATES = 250_000
 _SPACE = "▁"
 
 
@@ -46,6 +46,7 @@ class Transducer:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
                 self.score[model.id_to_piece(i)] = model.get_score(i)
+        self.piece = {p: p for p in self.score}  # one object for all states that hold a piece
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
         chars = sorted({c for p in self.score for c in p})
         #: The class of a character: from 1, in pieces; 0, in none (one token a UTF-8 byte).
@@ -109,9 +110,9 @@ class Transducer:
             return self.own[piece]
         key = (last, piece)
         if key not in self.stable:
-            if len(self.stable) > 500_000:
+            if len(self.stable) > 300_000:
                 self.stable.clear()
-            self.stable[key] = self.tokenize(last + piece) == [last, piece]
+            self.stable[last, self.piece[piece]] = self.tokenize(last + piece) == [last, piece]
         return self.stable[key]
 
     def step(self, state: int, c: int) -> tuple[int, int]:
@@ -125,7 +126,7 @@ class Transducer:
         for back, last, fewer in (*begins, *(() if begins else ((0, "", 0),))):
             piece = suffix[len(suffix) - back - 1 :]
             if self.behind(last, piece):
-                found = (piece, fewer)
+                found = (self.piece[piece], fewer)
         piece, fewer = found
         delta = 1 - fewer
         new = [(back + 1, last, few + delta) for back, last, few in (begins or ((0, "", 0),)) if suffix[len(suffix) - back - 1 :] in self.prefixes]
