@@ -59,6 +59,11 @@ BROADCAST_ROWS = 20_000
 MOST_ATTEMPTS = 50
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
@@ -100,19 +105,23 @@ def _number(stream: Column, at: int, of: int) -> Column:
 
 def _laid_out(surface: Column, stream: Column) -> Column:
     """The k-th letter or digit of the surface replaced by one of its kind, drawn by the k-th digit of the stream."""
-    digit = F.translate(stream, "abcdef", "380527")
-    latin = F.translate(stream, "0123456789abcdef", "ghjkmnpqrstvwxyz")
-    cyrillic = F.translate(stream, "0123456789abcdef", "бвгджзклмнпрстфх")
-    greek = F.translate(stream, "0123456789abcdef", "βγδζηθικλμνπρστφ")
+    drawn = F.struct(
+        F.translate(stream, "abcdef", "380527").alias("digit"), F.translate(stream, "0123456789abcdef", "ghjkmnpqrstvwxyz").alias("latin"),
+        F.translate(stream, "0123456789abcdef", "бвгджзклмнпрстфх").alias("cyrillic"), F.translate(stream, "0123456789abcdef", "βγδζηθικλμνπρστφ").alias("greek"),
+    )
 
-    def put(acc: Column, c: Column) -> Column:
-        at = (acc["k"] % 256 + 1).cast("int")
-        letter = F.when(c.rlike(r"\p{IsCyrillic}"), F.substr(cyrillic, at, F.lit(1))).when(c.rlike(r"\p{IsGreek}"), F.substr(greek, at, F.lit(1))).otherwise(F.substr(latin, at, F.lit(1)))
-        cased = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
-        new = F.when(c.rlike(r"^\p{N}$"), F.substr(digit, at, F.lit(1))).when(c.rlike(r"^\p{L}$"), cased).otherwise(c)
-        return F.struct(F.concat(acc["out"], new).alias("out"), (acc["k"] + F.when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(0)).alias("k"))
+    def lay(d: Column) -> Column:
+        def put(acc: Column, c: Column) -> Column:
+            at = (acc["k"] % 256 + 1).cast("int")
+            of = lambda name: F.substr(d[name], at, F.lit(1))
+            letter = F.when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(c.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+            cased = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
+            new = F.when(c.rlike(r"^\p{N}$"), of("digit")).when(c.rlike(r"^\p{L}$"), cased).otherwise(c)
+            return F.struct(F.concat(acc["out"], new).alias("out"), (acc["k"] + F.when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda acc: acc["out"])
+        return F.aggregate(F.split(surface, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda acc: acc["out"])
+
+    return _let(drawn, lay)
 
 
 def _hex_out(surface: Column, stream: Column) -> Column:
@@ -141,8 +150,10 @@ def _name_out(m: Column, stream: Column) -> Column:
 
 def surrogate(m: Column, attempt: Column, key: str) -> Column:
     """The replacement of a match at an attempt."""
-    kind = _kind(m)
-    stream = _stream(key, kind, _canon(m, kind), attempt.cast("string"))
+    return _let(_kind(m), lambda kind: _let(_stream(key, kind, _canon(m, kind), attempt.cast("string")), lambda stream: _surrogate(m, kind, stream, key)))
+
+
+def _surrogate(m: Column, kind: Column, stream: Column, key: str) -> Column:
     tail = F.substring_index(m, "@", -1)
     domain = _stream(key, F.lit("domain"), F.lower(tail))
     email = F.concat(_laid_out(F.substring_index(m, "@", 1), stream), F.lit("@mail"), F.translate(F.substring(domain, 1, 8), "abcdef", "380527"), F.lit(".example."), F.substring_index(tail, ".", -1))
@@ -163,7 +174,9 @@ def exceptions(found: DataFrame, key: str, scratch: Scratch) -> DataFrame | None
     An entity whose replacement is that of a smaller entity, or is a real entity, goes on to the next attempt."""
     kinds = found.select("m", _kind(F.col("m")).alias("kind"))
     entities = kinds.select("m", "kind", _canon(F.col("m"), F.col("kind")).alias("canon")).groupBy("kind", "canon").agg(F.min("m").alias("m"))
-    now = scratch.save(entities.withColumn("attempt", F.lit(0)))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(parts, "kind", "canon")  # noqa: E731  few bytes but much work a row: not one task's
+    now = scratch.save(spread(entities.withColumn("attempt", F.lit(0))))
     real = now.select("kind", "canon")
     for _ in range(MOST_ATTEMPTS):
         drawn = now.withColumn("to", surrogate(F.col("m"), F.col("attempt"), key)).withColumn("to", _canon(F.col("to"), F.col("kind")))
@@ -174,7 +187,7 @@ def exceptions(found: DataFrame, key: str, scratch: Scratch) -> DataFrame | None
         step = scratch.save(bad)
         if step.isEmpty():
             break
-        now = scratch.save(now.join(step.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "m", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+        now = scratch.save(spread(now.join(step.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "m", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))))
     moved = now.where("attempt > 0").select("kind", "canon", "attempt")
     return None if moved.isEmpty() else moved
 
