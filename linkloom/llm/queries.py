@@ -50,8 +50,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best finding of every document, and how many there are."""
-    found = licences.licence_scan(table(spark, sf_dir, "documents"))
+    """The best finding of every document, and how many there are, in windows of its whole text."""
+    found = licences.licence_windows(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("findings").alias("n_findings"), "licence", "dice")
 
 
