@@ -1,10 +1,11 @@
 """Surrogates for personal data: detected entities receive keyed replacements of the same type.
 
-One regular expression finds e-mail addresses, phone, card and account numbers, IPv4 addresses, IBANs, US social
-security numbers, secrets, and names after a title. An entity's canonical form drops separators and case, so that all
+One regular expression finds e-mail addresses, phone numbers (international with or without separators, and the national
+forms of the US, UK, Germany, France and Spain), card and account numbers, IPv4 addresses, IBANs, US social security
+numbers, secrets, and names after a title. An entity's canonical form drops separators and case, so that all
 ways of writing it are one entity; its replacement is drawn from a keyed hash of type, canonical form and attempt, and
 laid out on the surface form: digits for digits, letters for letters of the same script and case, separators kept.
-Phone numbers keep the country code, IBANs the country, secrets their prefix; addresses get valid octets; e-mail
+Phone numbers keep the country code or the leading 0, IBANs the country, secrets their prefix; addresses get valid octets; e-mail
 addresses keep the top-level domain and get a domain of their own old domain's hash under a name reserved for examples;
 names keep the title, and a given name matches its gender and script.
 
@@ -21,26 +22,37 @@ from .shared import Scratch
 
 _L = r"\p{L}\p{N}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLES_M = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Signor|г-н|Г-н"
-_TITLES_F = r"Mrs\.?|Ms\.?|Frau|Madame|Mme|Señora|Sra\.|Signora|г-жа|Г-жа"
+_TITLES_M = r"Mr\.?|Mister|Sir|Herrn?|Hr\.|Monsieur|M\.|Señor|Sr\.?|Don|D\.|Signor|г-н|Г-н"
+_TITLES_F = r"Mrs\.?|Ms\.?|Miss|Lady|Frau|Fräulein|Madame|Mme\.?|Mademoiselle|Mlle\.?|Señora|Sra\.?|Señorita|Srta\.?|Doña|D\.ª|Dra\.?|Doctora|Profesora|Profa\.?|Signora|г-жа|Г-жа"
+#: Titles of either gender; they may also follow another title.
+_TITLES_N = r"Mx\.?|Dr\.?|Doctor|Doktor|Docteur|Prof\.?|Professor|Professorin|Professeure?|Profesor|Maître|Rev\.?"
+_TITLED = rf"(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})(?: (?:{_TITLES_N}))*"
 _NAME = r"\p{Lu}[\p{L}'’\-]*\p{L}"
 PATTERN = "|".join(
     [
         rf"(?<![{_L}._%+\-])[{_L}._%+\-]++@(?:[{_L}\-]+\.)+\p{{L}}{{2,}}",
         rf"(?<![{_L}])(?:AKIA[0-9A-Z]{{16}}|ghp_[0-9A-Za-z]{{36}}|sk-[0-9A-Za-z]{{20,}}+|[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?![{_L}])",
         rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-        r"(?<![\p{L}\d])\+\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
-        r"(?<![\p{L}\d+])\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)",
+        r"(?<![\p{L}\d])\+\d(?:[ \u00A0\u202F.\-/()]{0,2}\d){6,14}(?!\d)",
+        r"(?<![\p{L}\d+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)",
         r"(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)",
         r"(?<![\p{L}\d])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)",
         r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
         rf"(?<![{_L}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_L}])",
         r"(?<![\p{L}\d])\d(?:[ \-]?\d){12,18}(?!\d)",
-        rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}) {_NAME}(?: {_NAME})?",
+        r"(?<![\p{L}\d])(?<!\d[., \-])\d{3} \d{3} \d{4}(?!\d)",
+        # national: 0 and pairs (France), 0, area and number (Germany, UK), nine digits (Spain)
+        r"(?<![\p{L}\d])(?<!\d[.,/\-])0[1-9](?<sep>[ \u00A0\u202F.\-]?)\d{2}(?:\k<sep>\d{2}){3}(?!\d)",
+        r"(?<![\p{L}\d])(?<!\d[.,/\-])(?=(?:[ /()\-]{0,3}\d){8})(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}(?: ?[/\-] ?| ))(?:\d{5,9}(?:-\d{1,4})?|\d{2,5}(?:[ \-]\d{1,5}){1,4})(?!\d)",
+        r"(?<![\p{L}\d])(?<!\d[.,/\-])0[1-9]\d{8,10}(?!\d)",
+        r"(?<![\p{L}\d])(?<!\d[.,/\- ])(?:[6-9]\d{8}|[6-9]\d{2}(?: \d{3} \d{3}|-\d{3}-\d{3}| \d{2} \d{2} \d{2}|-\d{2}-\d{2}-\d{2})|[89]\d \d{3} \d{2} \d{2})(?![.,]?\d)",
+        rf"(?<!\p{{L}}){_TITLED} {_NAME}(?: {_NAME})?",
     ]
 )
 #: A text without any of these holds no entity.
-QUICK = rf"[0-9@]|sk-|(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}) \p{{Lu}}"
+QUICK = rf"[0-9@]|sk-|AKIA|ghp_|[a-f]{{32}}|[A-F]{{32}}|(?<!\p{{L}}){_TITLED} \p{{Lu}}"
+#: A number's country code.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 #: Given names by script and gender.
 GIVEN = {
@@ -69,20 +81,21 @@ def _kind(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^(AKIA[0-9A-Z]{16}|ghp_.*|sk-.*|[0-9a-f]{32,}|[0-9A-F]{32,})$") & ~m.rlike(r"^\d{1,19}$"), "secret")
-        .when(m.rlike(r"^\+|^\(|^\d{3}[.\-]\d{3}[.\-]\d{4}$"), "phone")
+        .when(m.rlike(r"^\+|^\("), "phone")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(m.rlike(r"^\d"), "account")
+        .when(m.rlike(r"^(?:\D*\d){13}"), "account")
+        .when(m.rlike(r"^\d"), "phone")
         .otherwise("name")
     )
 
 
 def _name_part(m: Column) -> Column:
-    return F.regexp_replace(m, rf"^(?:{_TITLES_M}|{_TITLES_F}) ", "")
+    return F.regexp_replace(m, rf"^{_TITLED} ", "")
 
 
 def _gender(m: Column) -> Column:
-    return F.when(m.rlike(rf"^(?:{_TITLES_F}) "), "f").otherwise("m")
+    return F.when(m.rlike(rf"^(?:{_TITLES_F}) "), "f").when(m.rlike(rf"^(?:{_TITLES_N}) "), "n").otherwise("m")
 
 
 def _canon(m: Column, kind: Column) -> Column:
@@ -137,12 +150,15 @@ def _pick(values: list[str], at: Column) -> Column:
 def _name_out(m: Column, stream: Column) -> Column:
     part = _name_part(m)
     title = F.substr(m, F.lit(1), F.length(m) - F.length(part))
-    two, female, cyrillic = part.contains(" "), _gender(m) == "f", part.rlike(r"\p{IsCyrillic}")
+    gender = _gender(m)
+    two, female, cyrillic = part.contains(" "), gender == "f", part.rlike(r"\p{IsCyrillic}")
 
     def script(name: str, ending: str) -> Column:
         family = F.initcap(F.concat(*[_pick(SYLLABLES[name], _number(stream, 16 + 8 * k, len(SYLLABLES[name]))) for k in range(4)]))
         family = F.concat(family, F.when(female, ending).otherwise("")) if ending else family
-        given = F.when(female, _pick(GIVEN[name, "f"], _number(stream, 0, len(GIVEN[name, "f"])))).otherwise(_pick(GIVEN[name, "m"], _number(stream, 0, len(GIVEN[name, "m"]))))
+        men, women = GIVEN[name, "m"], GIVEN[name, "f"]
+        drawn = lambda values: _pick(values, _number(stream, 0, len(values)))
+        given = F.when(female, drawn(women)).when(gender == "n", drawn(men + women)).otherwise(drawn(men))
         return F.when(two, F.concat(given, F.lit(" "), family)).otherwise(family)
 
     return F.concat(title, F.when(cyrillic, script("cyrillic", "ва")).otherwise(script("latin", "")))
@@ -158,7 +174,7 @@ def _surrogate(m: Column, kind: Column, stream: Column, key: str) -> Column:
     domain = _stream(key, F.lit("domain"), F.lower(tail))
     email = F.concat(_laid_out(F.substring_index(m, "@", 1), stream), F.lit("@mail"), F.translate(F.substring(domain, 1, 8), "abcdef", "380527"), F.lit(".example."), F.substring_index(tail, ".", -1))
     ip = F.concat_ws(".", (_number(stream, 0, 223) + 1).cast("string"), *[_number(stream, 8 * k, 256).cast("string") for k in (1, 2, 3)])
-    prefix = F.when(kind == "phone", F.regexp_extract(m, r"^\+\d{1,3}(?=[ (.\-])", 0)).when(kind == "iban", F.substring(m, 1, 2)).when(kind == "secret", F.regexp_extract(m, "^(AKIA|ghp_|sk-)", 0)).otherwise("")
+    prefix = F.when(kind == "phone", F.regexp_extract(m, rf"{_COUNTRY}|^\(?0", 0)).when(kind == "iban", F.substring(m, 1, 2)).when(kind == "secret", F.regexp_extract(m, "^(AKIA|ghp_|sk-)", 0)).otherwise("")
     rest = F.substr(m, F.length(prefix) + 1, F.length(m))
     shaped = F.concat(prefix, F.when((kind == "secret") & (F.length(prefix) == 0), _hex_out(rest, stream)).otherwise(_laid_out(rest, stream)))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", _name_out(m, stream)).otherwise(shaped)
