@@ -15,9 +15,11 @@ word. Words are compared by 64-bit hashes."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 BITS, PROBES = 14, 9
 #: n-grams for each segment of the filter, about; at least LEAST_SEGMENTS.
 SEGMENT_GRAMS, LEAST_SEGMENTS = 200_000, 2048
-#: The filter is broadcast up to this size; a larger one is replaced by a join with the quantised counts themselves.
-BROADCAST_BYTES = 400 << 20
+#: The filter is broadcast whole up to this size; a larger one in turn, in blocks of segments up to this size, or up to
+#: LEAST_BLOCK where that is more.
+BROADCAST_BYTES, LEAST_BLOCK = 400 << 20, 8 << 20
 #: Most frequent words whose exact counts are broadcast (16 bytes each); counts of all others are joined.
 HEAD_WORDS = 1 << 20
 #: Weight of the pairs in the interpolation.
@@ -192,13 +195,49 @@ def score_scan(shared, total: int, distinct: int):
     return run
 
 
-def gram_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct (word, history) of a text with its number, for the way without a broadcast filter."""
-    for b in batches:
-        for lo, _, rows, h in tokens(b.column("text")):
-            before, pair = pairs_of(rows, h)
-            rid = b.column("rid").to_numpy()[lo + rows]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(x.view(np.int64)) for x in (h, before, pair))], ["rid", "h", "v", "p"])
+def level_scan(shared):
+    """For each text the levels of its words and of its pairs that a block of the filter's segments holds, a byte a
+    token; 0 for n-grams of other segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Filter(*shared.value)
+        for b in batches:
+            for lo, hi, rows, h in tokens(b.column("text")):
+                offs = pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=hi - lo)))).astype(np.int32)).buffers()[1]
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), hi - lo, [None, offs, pa.py_buffer(x.astype(np.uint8).tobytes())])  # noqa: B023, E731
+                words, back = np.unique(h, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([b.column("rid").slice(lo, hi - lo), packed(model.levels(words)[back]), packed(model.levels(pairs_of(rows, h)[1]))], ["rid", "w", "p"])
+
+    return run
+
+
+def combine_levels(blocks: int, total: int, distinct: int):
+    """Scores of texts from the levels of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, n = b.column("parts").flatten(), b.num_rows
+            if n == 0:
+                continue
+
+            def highest(name: str) -> np.ndarray:
+                out = None
+                for k in range(blocks):
+                    x = parts.field(name).take(pa.array(np.arange(n) * blocks + k))  # noqa: B023
+                    at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + n + 1]  # noqa: B023
+                    x = np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]]
+                    out = x if out is None else np.maximum(out, x)
+                return out.astype(np.int64)
+
+            lengths = pc.binary_length(parts.field("w").take(pa.array(np.arange(n) * blocks))).to_numpy()
+            rows, word = np.repeat(np.arange(n), lengths), highest("w")
+            history = np.empty_like(word)
+            history[1:] = word[:-1]
+            history[np.cumsum(lengths) - lengths] = word[lengths[0] - 1]  # the end token
+            pair = np.where((word > 0) & (history > 0), highest("p"), 0)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(np.bincount(rows, log_probability(word, history, pair, total, distinct), minlength=n))], ["rid", "score"])
+
+    return run
 
 
 def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int = BROADCAST_BYTES, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -208,8 +247,9 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     Null and empty texts are one end token. With no training rows N and V are 0: every word has the probability of an
     unknown one. Repeated rows each get their row; repeated ids too. Other columns are ignored. Counts cover all
     training rows. base_score and n_known use exact counts: the most frequent words by broadcast (16 MB at most), all
-    others by a join. score reads the filter; where that is larger than broadcast_bytes it reads the same quantised
-    counts through joins, which differs only by the filter's false positives (about one probe in a hundred)."""
+    others by a join. score reads the filter at every size: where that is larger than broadcast_bytes (and LEAST_BLOCK)
+    its segments are broadcast in blocks, one pass over the texts each, and the levels found are put together by text
+    (2 bytes a token and block before compression), which gives the same scores."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held = ~F.coalesce(F.expr(training), F.lit(False))
@@ -221,7 +261,9 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     built = scratch.save(partial.groupBy("seg").applyInArrow(build_segment, "seg int, bits binary, h array<long>, n array<long>"))
     words = built.select(F.explode(F.arrays_zip("h", "n")).alias("w")).select("w.h", "w.n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    filter_bytes = built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    sizes = built.select("seg", F.octet_length("bits").alias("b")).orderBy("seg").toArrow()
+    sizes = list(zip(sizes.column("seg").to_pylist(), sizes.column("b").to_pylist(), strict=True))
+    filter_bytes = sum(b for _, b in sizes)
     # the head: words above a count that at most head_words reach
     levels = words.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("d")).orderBy(F.desc("b")).collect()
     reach, least = 0, None
@@ -234,13 +276,14 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     head_h, head_n = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy().astype(np.float64)
     order = np.argsort(head_h)
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
-    fits = filter_bytes + 12 * segments <= broadcast_bytes
-    if fits:
-        got = built.select("seg", "bits").toArrow()
-        model = (got.column("seg").to_numpy(), [x.as_py() for x in got.column("bits")], segments)
-        del got
-    else:
-        model = (np.zeros(0, np.int64), [], 1)
+    most = max(broadcast_bytes, LEAST_BLOCK)
+    fits = not sizes or filter_bytes + 12 * segments <= most
+
+    def held_segments(part: DataFrame) -> tuple:
+        got = part.select("seg", "bits").toArrow()
+        return got.column("seg").to_numpy(), [x.as_py() for x in got.column("bits")], segments
+
+    model = held_segments(built) if fits else (np.zeros(0, np.int64), [], 1)
     shared = spark.sparkContext.broadcast((*model, head_h[order], head_n[order]))
     scored = scratch.save(numbered.select("rid", "doc_id", "held_out", "text").mapInArrow(score_scan(shared, total, distinct), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>"))
     tail = words.where(~is_head).select("h", F.col("n").alias("c"))
@@ -252,15 +295,19 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     out = scored.drop("tail").join(fixed, "rid", "left")
     score = F.col("score")
     if not fits:
-        counts = partial.groupBy("h").agg(F.sum("n").alias("n"))
-        q = counts.select("h", (F.floor(F.log2("n")) + 1).alias("q"))
-        of_k = lambda key, name: q.select(F.col("h").alias(key), F.col("q").alias(name))
-        found = numbered.select("rid", "text").mapInArrow(gram_scan, "rid long, h long, v long, p long")
-        found = found.join(of_k("h", "qw"), "h", "left").join(of_k("v", "qv"), "v", "left").join(of_k("p", "qp"), "p", "left").na.fill(0, ["qw", "qv", "qp"])
-        low = lambda c: F.when(F.col(c) > 0, F.pow(F.lit(2.0), F.col(c) - 1)).otherwise(0.0)
-        p = (low("qw") + 0.5) / (total + 0.5 * (distinct + 1))
-        log = F.log10((1 - LAMBDA) * p + LAMBDA * low("qp") / F.greatest(F.when(F.col("qv") > 0, F.pow(F.lit(2.0), F.col("qv")) - 1).otherwise(1.0), low("qp")))
-        out = out.drop("score").join(found.groupBy("rid").agg(F.sum(log).alias("score")), "rid", "left")
+        bounds, filled = [sizes[0][0]], 0
+        for seg, b in sizes:
+            if filled and filled + b > most:
+                bounds, filled = [*bounds, seg], 0
+            filled += b
+        passes = []
+        for lo, hi in zip(bounds, [*bounds[1:], segments], strict=True):
+            block = spark.sparkContext.broadcast(held_segments(built.where((F.col("seg") >= lo) & (F.col("seg") < hi))))
+            passes.append(scratch.save(numbered.select("rid", "text").mapInArrow(level_scan(block), "rid long, w binary, p binary")))
+            block.destroy()
+        levels = reduce(DataFrame.unionByName, passes).groupBy("rid").agg(F.collect_list(F.struct("w", "p")).alias("parts"))
+        found = levels.mapInArrow(combine_levels(len(passes), total, distinct), "rid long, score double")
+        out = out.drop("score").join(found, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), score.alias("score"),
