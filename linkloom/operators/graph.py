@@ -256,12 +256,56 @@ def cheapest_path(links: DataFrame, src: int, dst: int, cost: Column) -> DataFra
     return path_frame(links.sparkSession, walk_back(cheapest_costs(links, src, cost), dst))
 
 
+class SpilledMap:
+    """A map from node to a number or None: in memory up to so many nodes, all of it in a file beyond."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.file, self.n = most, {}, None, 0
+
+    def get(self, v: int, default=None):
+        if self.file is None:
+            return self.held.get(v, default)
+        row = self.file.execute("select x from m where v = ?", (v,)).fetchone()
+        return default if row is None else row[0]
+
+    def __getitem__(self, v: int):
+        return self.get(v)
+
+    def __contains__(self, v: int) -> bool:
+        return self.get(v, self) is not self
+
+    def __len__(self) -> int:
+        return len(self.held) if self.file is None else self.n
+
+    def __setitem__(self, v: int, x) -> None:
+        if self.file is None:
+            self.held[v] = x
+            if len(self.held) > self.most:
+                import sqlite3
+
+                self.file, self.n = sqlite3.connect("", isolation_level=None), len(self.held)  # an unnamed file, gone when closed
+                self.file.execute("pragma journal_mode = off")
+                self.file.execute("create table m (v integer primary key, x)")
+                self.file.execute("begin")
+                self.file.executemany("insert into m values (?, ?)", self.held.items())
+                self.held = {}
+            return
+        self.n += v not in self
+        self.file.execute("insert or replace into m values (?, ?)", (v, x))
+
+
 class DriverSearch:
     """Searches that are sequential by nature (depth first, best first with a heuristic): on the driver, looking up the
-    neighbours of a batch of nodes at a time. Holds what it has visited, never the graph."""
+    neighbours of a batch of nodes at a time. Holds what it has visited, never the graph; beyond max_held nodes in a
+    file, but for the stack or heap. Exhaustive unless the caller gives max_visited: no path is an empty list, a budget
+    that runs out is an error."""
+
+    def __init__(self, links: DataFrame, max_visited: int | None = None, max_held: int = 1_000_000):
+        self.links, self.known, self.max_visited, self.max_held = links.select("src", "tgt").distinct(), {}, max_visited, max_held
 
-    def __init__(self, links: DataFrame, max_visited: int = 100_000):
-        self.links, self.known, self.max_visited = links.select("src", "tgt").distinct(), {}, max_visited
+    def _check(self, visited: int) -> None:
+        if self.max_visited is not None and visited > self.max_visited:
+            raise RuntimeError(f"search ended after {visited} nodes (max_visited {self.max_visited}); whether there is a path is open")
 
     def out(self, v: int, ahead: list[int] = ()) -> list[int]:
         if v not in self.known:
@@ -276,34 +320,40 @@ class DriverSearch:
         return self.known[v]
 
     def depth_first(self, src: int, dst: int) -> list[int]:
-        pred, stack = {src: None}, [src]
-        while stack and len(pred) <= self.max_visited:
+        pred, stack = SpilledMap(self.max_held), [src]
+        pred[src] = None
+        while stack:
             v = stack.pop()
             if v == dst:
                 return self._path(pred, dst)
+            self._check(len(pred))
             for w in self.out(v, stack[-50:]):
                 if w not in pred:
                     pred[w] = v
                     stack.append(w)
+            self.known.pop(v, None)  # a node is opened once
         return []
 
     def best_first(self, src: int, dst: int, step_cost: Callable[[int, int], float], heuristic: Callable[[int], float]) -> list[int]:
         """Nodes leave the heap by cost so far plus heuristic; a node that left is never opened again."""
         import heapq
 
-        cost, pred, heap, closed = {src: 0.0}, {src: None}, [(heuristic(src), src)], set()
-        while heap and len(cost) <= self.max_visited:
+        cost, pred, heap, closed = SpilledMap(self.max_held), SpilledMap(self.max_held), [(heuristic(src), src)], SpilledMap(self.max_held)
+        cost[src], pred[src] = 0.0, None
+        while heap:
             _, v = heapq.heappop(heap)
             if v in closed:
                 continue
-            closed.add(v)
+            closed[v] = 1
             if v == dst:
                 return self._path(pred, dst)
+            self._check(len(cost))
             for w in self.out(v, [x for _, x in heap[:50]]):
                 c = cost[v] + step_cost(v, w)
                 if w not in closed and c < cost.get(w, float("inf")):
                     cost[w], pred[w] = c, v
                     heapq.heappush(heap, (c + heuristic(w), w))
+            self.known.pop(v, None)
         return []
 
     def random_walk(self, src: int, dst: int, seed: int = 0, max_steps: int = 20_000) -> list[int]:
@@ -319,7 +369,7 @@ class DriverSearch:
         return walk if walk[-1] == dst else []
 
     @staticmethod
-    def _path(pred: dict, v: int) -> list[int]:
+    def _path(pred: SpilledMap, v: int) -> list[int]:
         path = []
         while v is not None:
             path.append(v)
