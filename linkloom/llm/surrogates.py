@@ -10,7 +10,8 @@ addresses keep the top-level domain and get a domain of their own old domain's h
 names keep the title, and a given name matches its gender and script.
 
 Distinct entities stay distinct: over the distinct entities of the whole input, replacements that coincide with each
-other or with a real entity are drawn again with the next attempt, until none coincide. Only those few exceptions are
+other or with a real entity are drawn again with the next attempt, until none coincide; after some attempts they grow
+longer, so that layouts with few values (one-letter addresses) suffice. Only those few exceptions are
 carried to the texts, by the hash of the text they stand in. Only DataFrame expressions run on the executors."""
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ SYLLABLES = {
 }
 #: Rows of exceptions that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
-MOST_ATTEMPTS = 50
+#: Attempts from which on replacements grow by a digit or syllable an attempt, for layouts with few values; then those
+#: after which an error is raised (addresses do not grow).
+GROW_FROM, MOST_ATTEMPTS = 8, 200
 
 
 def _let(value: Column, body) -> Column:
@@ -147,7 +150,7 @@ def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
-def _name_out(m: Column, stream: Column) -> Column:
+def _name_out(m: Column, stream: Column, more: Column) -> Column:
     part = _name_part(m)
     title = F.substr(m, F.lit(1), F.length(m) - F.length(part))
     gender = _gender(m)
@@ -155,6 +158,9 @@ def _name_out(m: Column, stream: Column) -> Column:
 
     def script(name: str, ending: str) -> Column:
         family = F.initcap(F.concat(*[_pick(SYLLABLES[name], _number(stream, 16 + 8 * k, len(SYLLABLES[name]))) for k in range(4)]))
+        drawn_at = lambda k: (F.conv(F.substr(stream, 49 + 8 * k, F.lit(8)), 16, 10).cast("long") % len(SYLLABLES[name]) + 1).cast("int")
+        extra = F.transform(F.sequence(F.lit(1), F.least(more, F.lit(24))), lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES[name])), drawn_at(k - 1)))
+        family = F.when(more > 0, F.concat(family, F.array_join(extra, ""))).otherwise(family)
         family = F.concat(family, F.when(female, ending).otherwise("")) if ending else family
         men, women = GIVEN[name, "m"], GIVEN[name, "f"]
         drawn = lambda values: _pick(values, _number(stream, 0, len(values)))
@@ -166,18 +172,20 @@ def _name_out(m: Column, stream: Column) -> Column:
 
 def surrogate(m: Column, attempt: Column, key: str) -> Column:
     """The replacement of a match at an attempt."""
-    return _let(_kind(m), lambda kind: _let(_stream(key, kind, _canon(m, kind), attempt.cast("string")), lambda stream: _surrogate(m, kind, stream, key)))
+    return _let(_kind(m), lambda kind: _let(_stream(key, kind, _canon(m, kind), attempt.cast("string")), lambda stream: _surrogate(m, kind, stream, key, F.greatest(attempt - GROW_FROM + 1, F.lit(0)))))
 
 
-def _surrogate(m: Column, kind: Column, stream: Column, key: str) -> Column:
+def _surrogate(m: Column, kind: Column, stream: Column, key: str, more: Column) -> Column:
+    """more: by how many digits or syllables the replacement is longer than its layout."""
+    digits = F.when(more > 0, F.substr(F.reverse(F.translate(stream, "abcdef", "380527")), F.lit(1), more)).otherwise("")
     tail = F.substring_index(m, "@", -1)
     domain = _stream(key, F.lit("domain"), F.lower(tail))
-    email = F.concat(_laid_out(F.substring_index(m, "@", 1), stream), F.lit("@mail"), F.translate(F.substring(domain, 1, 8), "abcdef", "380527"), F.lit(".example."), F.substring_index(tail, ".", -1))
+    email = F.concat(_laid_out(F.substring_index(m, "@", 1), stream), digits, F.lit("@mail"), F.translate(F.substring(domain, 1, 8), "abcdef", "380527"), F.lit(".example."), F.substring_index(tail, ".", -1))
     ip = F.concat_ws(".", (_number(stream, 0, 223) + 1).cast("string"), *[_number(stream, 8 * k, 256).cast("string") for k in (1, 2, 3)])
     prefix = F.when(kind == "phone", F.regexp_extract(m, rf"{_COUNTRY}|^\(?0", 0)).when(kind == "iban", F.substring(m, 1, 2)).when(kind == "secret", F.regexp_extract(m, "^(AKIA|ghp_|sk-)", 0)).otherwise("")
     rest = F.substr(m, F.length(prefix) + 1, F.length(m))
-    shaped = F.concat(prefix, F.when((kind == "secret") & (F.length(prefix) == 0), _hex_out(rest, stream)).otherwise(_laid_out(rest, stream)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", _name_out(m, stream)).otherwise(shaped)
+    shaped = F.concat(prefix, F.when((kind == "secret") & (F.length(prefix) == 0), _hex_out(rest, stream)).otherwise(_laid_out(rest, stream)), digits)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", _name_out(m, stream, more)).otherwise(shaped)
 
 
 def matches_of(text: Column) -> Column:
@@ -194,7 +202,7 @@ def exceptions(found: DataFrame, key: str, scratch: Scratch) -> DataFrame | None
     spread = lambda df: df.repartition(parts, "kind", "canon")  # noqa: E731  few bytes but much work a row: not one task's
     now = scratch.save(spread(entities.withColumn("attempt", F.lit(0))))
     real = now.select("kind", "canon")
-    for _ in range(MOST_ATTEMPTS):
+    for number in range(MOST_ATTEMPTS):
         drawn = now.withColumn("to", surrogate(F.col("m"), F.col("attempt"), key)).withColumn("to", _canon(F.col("to"), F.col("kind")))
         first = drawn.groupBy("kind", "to").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         twice = first.where("n > 1").drop("n")
@@ -203,6 +211,8 @@ def exceptions(found: DataFrame, key: str, scratch: Scratch) -> DataFrame | None
         step = scratch.save(bad)
         if step.isEmpty():
             break
+        if number + 1 == MOST_ATTEMPTS:
+            raise RuntimeError(f"replacements still coincide after {MOST_ATTEMPTS} attempts, as for {step.first()}")
         now = scratch.save(spread(now.join(step.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "m", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))))
     moved = now.where("attempt > 0").select("kind", "canon", "attempt")
     return None if moved.isEmpty() else moved
