@@ -12,8 +12,9 @@ need them and kept, with their transitions, in a hash table that numpy reads for
 Between two characters that stand beside each other in no piece no merge can reach across: the machine is back in its
 start state there. Texts are cut into chunks; a chunk's state map is the states and tokens of what stands before its
 first such place, which depends on the state it is entered with, and a constant from there on. Constant maps are run
-for all chunks in step. A prefix scan then composes maps: the state that enters a chunk is that of the last constant map
-before it, and chunks without such a place pass a state on in rounds. Token counts add up along the scan."""
+for all chunks in step: the state that enters a chunk is that of the last constant map before it. Chunks without such a
+place have no map and are run one after another, each in the state that the chunk before is left with, so a long text
+without reset places is run in sequence. Token counts add up along the chunks."""
 
 from __future__ import annotations
 
