@@ -19,10 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 join: that of the smallest
-    doc_id. Documents without words are no group."""
-    groups = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi").select(*COLUMNS)
+    doc_id, once. Documents without words are no group."""
+    return jaccard_join.keep_one(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

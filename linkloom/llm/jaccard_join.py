@@ -1,21 +1,27 @@
 """Exact Jaccard self-join of documents on word shingles, by partition of the universe and pigeonhole.
 
-Two sets with Jaccard similarity t or more differ in at most H = floor((1 - t) / t * smaller) elements. Hashing the
-universe into segments, of which some are compared exactly (worth 1) and some up to one differing element (worth 2),
-an allocation worth more than H leaves at least one segment of such a pair within its allowance. A segment is indexed
-by a hash of its subset and, where one element may differ, by the hashes of all its subsets less one element. Sets of
-very different size never meet: the size bands that a set takes part in decide the number of segments.
-
-Each band's allocation has the least modelled cost: signatures written, plus rows expected to share a segment by
-chance. Candidates of a segment pass an exact filter (the parity sketches of two sets differ in no more bits than the
-sets differ in elements), a spanning forest of what passes is verified on the sets themselves, and what then still lies
-in different components is verified pair by pair. Thus a group of thousands of near copies costs a forest, not all its
-pairs, and no link that joins two components is missed."""
+Two sets of sizes a and b with Jaccard similarity t or more differ in at most (a + b) (1 - t) / (1 + t) elements; H is
+that bound for two of the largest size u in a band of sizes. The universe is hashed into segments, of which some are compared exactly
+(worth 1) and some up to one differing element (worth 2). A segment is indexed by a hash of its subset and, where one
+element may differ, by the hashes of all its subsets less one element. The segments that a pair fails on are worth H at
+most, so with a worth of H + 1 + 2 K in all, those that agree are worth 1 + 2 K or more, and each set may leave out
+segments worth K, and a set of size a by (u - a) (1 - t) / (1 + t) more, as its pairs differ in so many fewer: it leaves
+out those with the fewest elements, above all the empty ones, by which unrelated sets would meet. One segment that both
+have signed is left. Every set signs in its own band and in each band above that a similar
+larger set may lie in, so sets of very different size never meet.
+
+Each band's allocation (segments, how many allow one differing element, K) has the least modelled cost: signatures
+written, plus rows expected to share a segment by chance. Candidates of a segment pass an exact filter (the parity
+sketches of two sets, of a length that goes by the set's size, differ in no more bits than the sets differ in elements),
+a spanning forest of what passes is verified on the sets themselves, and what then still lies in different components is
+verified pair by pair. Thus a group of thousands of near copies costs a forest, not all its pairs, and no link that
+joins two components is missed."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +31,27 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import Scratch, binary_column, mix64, scan_words
 
-#: Bits of a parity sketch.
-SKETCH_BITS = 512
+#: Bits of a parity sketch for each element in which a pair may differ, as the next power of two; at least and at most.
+#: Beyond the most, sketches let more pairs through to be verified.
+SKETCH_RATIO, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 4, 64, 8192
 #: Ratio of the bounds of one size band to the next.
 BAND_RATIO = 1.5
 #: Rows of one segment that are compared in one task; more are dealt out as pairs of blocks of this many.
 BLOCK_ROWS = 4096
-#: The first forest takes one signature in so many.
-FIRST_SHARE = 8
+#: The first forest takes about one signature in so many elements of a set.
+FIRST_SHARE = 32
+#: What a row that shares a signature costs, in signatures.
+MEETING = 4.0
 #: Documents whose ids may be broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Classes of more than one document in so many get their component by broadcast.
+HEAVY = 1024
 
 #: Signatures of one range, which one task sorts, about; ranges at least, as a power of two; bits of a signature beyond
 #: those that tell all apart (one in 2**SPARE_BITS meets another by chance, and is found out by the filter).
 RANGE_SIGNATURES, LEAST_RANGE_BITS, SPARE_BITS = 1_000_000, 9, 13
+#: Signatures that a task holds before it sends them on.
+RUN_SIGNATURES = 2_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
@@ -49,37 +62,54 @@ def step(k: int) -> np.uint64:
     return np.uint64(k * int(_A) & _MASK)
 
 
-def allowance(size: int, num: int, den: int) -> int:
-    """Most elements in which a set of this size and one no smaller may differ at similarity num / den."""
-    return (den - num) * size // num
+def allowance(sizes, num: int, den: int):
+    """Most elements in which two sets with so many elements together may differ at similarity num / den."""
+    return (den - num) * sizes // (den + num)
 
 
 def bands(most: int, num: int, den: int) -> list[int]:
-    """Lower bounds of the size bands; the first holds the smallest sets that may differ at all."""
+    """Lower bounds of the size bands, by the larger set of a pair; the first holds the smallest that may differ."""
     out = [1]
-    while allowance(out[0], num, den) < 1:
+    while allowance(2 * out[0] - 1, num, den) < 1:
         out[0] += 1
     while out[-1] <= most:
         out.append(max(out[-1] + 1, int(out[-1] * BAND_RATIO)))
     return out
 
 
-def allocate(low: int, worth: int, docs: float) -> tuple[int, int]:
-    """(segments, how many of them allow one differing element) of least cost for sets of size low, worth being needed.
-
-    A signature costs 1, a row met by chance a fiftieth (a bit count in a bucket). Unrelated sets meet in a segment that
-    is empty in both, or for a loose one nearly so; the number of elements in a segment is about Poisson."""
-    best = (math.inf, 0, 0)
-    for loose in sorted({0, 1, worth // 4, worth // 2}):
-        exact = max(0, worth - 2 * loose)
-        m = exact + loose
-        if not m:
-            continue
-        each = low / m
-        chance = docs * math.exp(-2 * each) / 50
-        cost = exact * (1 + chance) + loose * (2 + each + chance * (1 + each) ** 2)
-        best = min(best, (cost, m, loose))
-    return best[1], best[2]
+def _excess(mean: float, k: int) -> float:
+    """Expected number beyond k of a Poisson variable."""
+    if mean > 100 or k > 200:
+        z = (k - mean) / max(1e-9, math.sqrt(mean))
+        return math.sqrt(mean) * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * 0.5 * math.erfc(z / math.sqrt(2)))
+    total, p = mean - k, math.exp(-mean)
+    for x in range(k):
+        total += (k - x) * p
+        p *= mean / (x + 1)
+    return max(0.0, total)
+
+
+@lru_cache(maxsize=4096)
+def allocate(low: int, high: int, num: int, den: int, docs: float) -> tuple[int, int, int]:
+    """(segments, how many of them allow one differing element, worth that every set leaves out) of least cost for sets
+    of sizes low to high.
+
+    A signature costs 1, a row met by chance MEETING. Unrelated sets meet in a segment that is empty in both, or for a
+    loose one nearly so; the number of elements in a segment is about Poisson, and those left out are the emptiest."""
+    best, need = (math.inf, 0, 0, 0), allowance(2 * high, num, den) + 1
+    sizes = sorted({low, (2 * low + high) // 3, (low + 2 * high) // 3, high})
+    for loose in sorted({0, 1, need // 8, need // 4, need // 2, (need + 1) // 2}):
+        for out in sorted({0, 1, 2, 3, *(need // x for x in (64, 32, 16, 12, 8, 6, 5, 4, 3, 2))}):
+            exact = max(0, need + 2 * out - 2 * loose)
+            m, cost = exact + loose, 0.0
+            for size in sizes:
+                each = size / m
+                empty, near = math.exp(-each), math.exp(-each) * (1 + each)
+                gone = out + allowance(high - size, num, den)
+                left = _excess(exact * empty, gone) * empty + _excess(loose * near, max(0, int(gone - exact * empty) // 2)) * near
+                cost += (max(0, exact - gone) + loose * (1 + each) + MEETING * docs * left) / size
+            best = min(best, (cost, m, loose, out))
+    return best[1:]
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,32 +136,42 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.nd
 
 
 def signatures(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: int, den: int, docs: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every segment, of exact ones and of those that allow one deletion, in both bands of a set."""
+    """(row, signature) of the segments that each set signs, of exact ones and of those that allow one deletion, in its
+    band and in every band above that holds sets similar to it."""
     edges = np.array(bands(int(sizes.max(initial=1)), num, den))
+    while edges[-1] * num <= int(sizes.max(initial=1)) * den:  # larger partners may lie in bands above all sizes here
+        edges = np.append(edges, max(edges[-1] + 1, int(edges[-1] * BAND_RATIO)))
     band = np.searchsorted(edges, sizes, "right") - 1
     out_rows, out_sigs = [], []
     values = mix64(elements + _C)
     place = mix64(elements ^ _B)
-    for k in range(len(edges)):
-        upper = edges[k + 1] - 1 if k + 1 < len(edges) else max(edges[k] + 1, int(edges[k] * BAND_RATIO)) - 1
-        h = allowance(int(upper), num, den)
-        # as a set of this band, or as the smaller of a pair whose larger is in it
-        take = (band == k) | ((band == k - 1) & (band >= 0) & (sizes * den >= num * edges[k]))
-        if h < 1 or not take.any():
+    for k in range(len(edges) - 1):
+        take = (sizes > 0) & (band <= k) & ((band == k) | (sizes * den >= num * edges[k]))
+        if not take.any():
             continue
-        m, loose = allocate(int(edges[k]), h + 1, docs)
+        high = int(edges[k + 1]) - 1
+        m, loose, out = allocate(max(1, -(-int(edges[k]) * num // den)), high, num, den, docs)
         slot = np.cumsum(take) - 1
         mine = take[rows]
         segment = ((place[mine] >> np.uint64(33)) * np.uint64(m) >> np.uint64(31)).astype(np.int64)
         at = slot[rows[mine]] * m + segment
-        total = np.zeros(int(take.sum()) * m, np.uint64)
+        n = int(take.sum())
+        total = np.zeros(n * m, np.uint64)
         np.add.at(total, at, values[mine])
         salt = mix64(np.arange(m, dtype=np.uint64) + step(k * 1_000_003 + 17))
+        signs = np.ones(n * m, bool)
+        spare = out + allowance(high - sizes[take], num, den)
+        if spare.any():
+            worth = (np.arange(m) < loose) + 1
+            filled = np.bincount(at, minlength=n * m).reshape(n, m) - (worth - 1)
+            order = np.argsort(filled, axis=1, kind="stable")
+            gone = np.cumsum(worth[order], axis=1) <= spare[:, None]
+            np.put_along_axis(signs.reshape(n, m), order, ~gone, axis=1)
         owners = np.repeat(np.flatnonzero(take), m)
-        out_rows.append(owners)
-        out_sigs.append(mix64(total + np.tile(salt, len(total) // m)))
+        out_rows.append(owners[signs])
+        out_sigs.append(mix64(total + np.tile(salt, n))[signs])
         if loose:
-            lost = segment < loose
+            lost = (segment < loose) & signs[at]
             out_rows.append(rows[mine][lost])
             out_sigs.append(mix64(total[at[lost]] - values[mine][lost] + salt[segment[lost]]))
     if not out_rows:
@@ -141,29 +181,45 @@ def signatures(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: i
     return r[order], s[order]
 
 
-def sketches(rows: np.ndarray, elements: np.ndarray, n: int) -> np.ndarray:
-    """Parity of the number of elements that hash to each bit; rows of 64-bit words."""
-    bit = (mix64(elements + _A) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    out = np.zeros(n * (SKETCH_BITS // 64), np.uint64)
-    np.bitwise_xor.at(out, rows * (SKETCH_BITS // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
-    return out.reshape(n, -1)
+def sketch_words(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length in 64-bit words, a power of two, of the sketch of a set with so many elements."""
+    want = np.clip(SKETCH_RATIO * allowance(2 * sizes, num, den), LEAST_SKETCH_BITS, MOST_SKETCH_BITS)
+    return (1 << np.ceil(np.log2(want)).astype(np.int64)) // 64
+
 
+def sketches(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> pa.Array:
+    """Parity of the number of elements that hash to each bit. Halves of a sketch, put one upon the other by exclusive
+    or, give the sketch of half its length."""
+    words = sketch_words(sizes, num, den)
+    start = np.concatenate(([0], np.cumsum(words)))
+    bit = (mix64(elements + _A) & (words[rows] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(start[-1], np.uint64)
+    np.bitwise_xor.at(out, start[rows] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((start * 8).astype(np.int32)), pa.py_buffer(out)])
 
-def fixed_binary(x: np.ndarray) -> pa.Array:
-    width = x.shape[1] * x.itemsize
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+def folded(data: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, to: int) -> np.ndarray:
+    """Rows of sketches of different lengths, all brought to `to` words."""
+    out = np.empty((len(at), to), np.uint64)
+    for w in np.unique(length[at]).tolist():
+        some = np.flatnonzero(length[at] == w)
+        x = data[start[at[some], None] + np.arange(w)]
+        out[some] = np.bitwise_xor.reduce(x.reshape(len(some), w // to, to), axis=1)
+    return out
 
 
-def scan_classes(words: int):
-    """doc_id, n_shingles, cls (a hash of the set) and sketch of every row."""
+def scan_classes(words: int, num: int, den: int):
+    """doc_id, same (a hash of the text), n_shingles, cls (a hash of the set) and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
                 n = hi - lo
                 sizes = np.bincount(rows, minlength=n)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), pa.array(sizes, pa.int64()), pa.array(class_hashes(rows, elements, sizes).view(np.int64)), fixed_binary(sketches(rows, elements, n))], ["doc_id", "n_shingles", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, n), b.column("same").slice(lo, n), pa.array(sizes, pa.int64()), pa.array(class_hashes(rows, elements, sizes).view(np.int64)), sketches(rows, elements, sizes, num, den)],
+                    ["doc_id", "same", "n_shingles", "cls", "sketch"],
+                )
 
     return run
 
@@ -205,10 +261,19 @@ def unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def scan_signatures(words: int, num: int, den: int, docs: float, bits: int, range_bits: int):
     """Signatures cut to `bits` bits, in packed runs by their highest bits: (range, blob)."""
 
+    def packed(all_sigs: list, all_ids: list) -> pa.RecordBatch:
+        sigs, owners = np.concatenate(all_sigs), np.concatenate(all_ids)
+        order = np.argsort(sigs, kind="stable")
+        sigs, owners = sigs[order], owners[order]
+        cut = np.searchsorted(sigs, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(bits - range_bits))
+        full = np.flatnonzero(np.diff(cut))
+        blobs = [pack_signatures(sigs[cut[r] : cut[r + 1]], owners[cut[r] : cut[r + 1]]) for r in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_sigs, all_ids, held = [], [], 0
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            all_sigs, all_ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
                 n = hi - lo
                 sizes = np.bincount(rows, minlength=n)
@@ -219,13 +284,12 @@ def scan_signatures(words: int, num: int, den: int, docs: float, bits: int, rang
                 owner, sigs = signatures(rows[signs[rows]], elements[signs[rows]], np.where(signs, sizes, 0), num, den, docs)
                 all_sigs.append(sigs >> np.uint64(64 - bits))
                 all_ids.append(ids[lo:hi][owner])
-            sigs, owners = np.concatenate(all_sigs), np.concatenate(all_ids)
-            order = np.argsort(sigs, kind="stable")
-            sigs, owners = sigs[order], owners[order]
-            cut = np.searchsorted(sigs, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(bits - range_bits))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [pack_signatures(sigs[cut[r] : cut[r + 1]], owners[cut[r] : cut[r + 1]]) for r in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
+                held += len(sigs)
+                if held >= RUN_SIGNATURES:
+                    yield packed(all_sigs, all_ids)
+                    all_sigs, all_ids, held = [], [], 0
+        if held:
+            yield packed(all_sigs, all_ids)
 
     return run
 
@@ -257,111 +321,123 @@ def shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def sets_of(words: int):
-    """(cls, elements) of every text."""
+    """(cls, elements) of every text, 6 bytes an element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
                 sizes = np.bincount(rows, minlength=hi - lo)
-                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * 8
-                yield pa.RecordBatch.from_arrays([pa.array(class_hashes(rows, elements, sizes).view(np.int64)), pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(elements))])], ["cls", "elements"])
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * 6
+                data = np.ascontiguousarray(elements.view(np.uint8).reshape(-1, 8)[:, :6])
+                yield pa.RecordBatch.from_arrays([pa.array(class_hashes(rows, elements, sizes).view(np.int64)), pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(data)])], ["cls", "elements"])
 
     return run
 
 
-class _Group:
-    """Rows of one segment, kept between Arrow batches."""
+def unpacked(x: pa.Buffer) -> np.ndarray:
+    """Elements of a set from 6 bytes each."""
+    out = np.zeros((x.size // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+class _Rows:
+    """Classes of a run of signatures: the exact filter on pairs of them, and the pairs that a group of them gives."""
+
+    def __init__(self, t: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        self.cls, self.n, self.comp = (t.column(c).to_numpy() for c in ("cls", "n_shingles", "comp"))
+        offsets, data = binary_column(t.column("sketch"))
+        self.start, self.length, self.data = offsets[:-1] // 8, np.diff(offsets) // 8, data.view(np.uint64)
+
+    def passes(self, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        a, b = self.n[i], self.n[j]
+        ok = np.maximum(a, b) * self.num <= np.minimum(a, b) * self.den
+        return ok & (self.comp[i] != self.comp[j]) & (bits <= allowance(a + b, self.num, self.den))
 
-    def __init__(self, num: int, den: int, all_pairs: bool):
-        self.num, self.den, self.all_pairs = num, den, all_pairs
+    def near_pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs pass the filter."""
+        short, out = np.minimum(self.length[i], self.length[j]), np.zeros(len(i), bool)
+        for w in np.unique(short).tolist():
+            for at in np.array_split(np.flatnonzero(short == w), max(1, len(i) * w // 2_000_000)):
+                x, y = (folded(self.data, self.start, self.length, k[at], w) for k in (i, j))
+                out[at] = self.passes(i[at], j[at], np.bitwise_count(x ^ y).sum(axis=1))
+        return out
 
-    def pairs(self, cls: np.ndarray, n: np.ndarray, sketch: np.ndarray, comp: np.ndarray) -> tuple[list, list]:
-        """Edges of a spanning forest of the filter's graph over these rows; or, after the first round, all pairs that
-        pass it and lie in different components."""
-        order = np.argsort(cls, kind="stable")
-        keep = order[np.concatenate(([True], cls[order][1:] != cls[order][:-1]))]
-        cls, n, sketch, comp = cls[keep], n[keep], sketch[keep], comp[keep]
+    def group(self, lo: int, hi: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of a spanning forest of the filter's graph over rows lo to hi; or all pairs that pass the filter."""
+        _, once = np.unique(self.cls[lo:hi], return_index=True)
+        at = once + lo
+        width = int(self.length[at].min())
+        sketch = folded(self.data, self.start, self.length, at, width)
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
-            small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
-            most = np.minimum((self.den - self.num) * small // self.num, 1 << 40)
-            ok = large * self.num <= small * self.den
-            ok &= comp[others] != comp[i]
-            ok[ok] = np.bitwise_count(sketch[others[ok]] ^ sketch[i]).sum(axis=1) <= most[ok]
-            return others[ok]
-
-        a, b = [], []
-        if self.all_pairs:
-            for i in range(len(cls) - 1):
-                hits = near(i, np.arange(i + 1, len(cls)))
-                a += [int(cls[i])] * len(hits)
-                b += cls[hits].tolist()
-            return a, b
-        left = np.ones(len(cls), bool)
-        for root in range(len(cls)):
-            if not left[root]:
-                continue
-            left[root] = False
-            queue = [root]
-            while queue:
-                i = queue.pop(0)
-                hits = near(i, np.flatnonzero(left))
-                left[hits] = False
-                a += [int(cls[i])] * len(hits)
-                b += cls[hits].tolist()
-                queue += hits.tolist()
-        # one edge between components is enough for now
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        of, keep = dict(zip(cls.tolist(), comp.tolist(), strict=True)), []
-        for k, (x, y) in enumerate(zip(a, b, strict=True)):
-            p, q = find(of[x]), find(of[y])
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                keep.append(k)
-        return [a[k] for k in keep], [b[k] for k in keep]
+            bits = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
+            return others[self.passes(np.full(len(others), at[i]), at[others], bits)]
+
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if all_pairs:
+            for i in range(len(at) - 1):
+                hits = near(i, np.arange(i + 1, len(at)))
+                a.append(np.full(len(hits), i))
+                b.append(hits)
+        else:
+            left = np.ones(len(at), bool)
+            for root in range(len(at)):
+                if not left[root]:
+                    continue
+                left[root] = False
+                queue = [root]
+                while queue:
+                    i = queue.pop()
+                    hits = near(i, np.flatnonzero(left))
+                    left[hits] = False
+                    a.append(np.full(len(hits), i))
+                    b.append(hits)
+                    queue += hits.tolist()
+        a, b = np.concatenate(a), np.concatenate(b)
+        if not all_pairs:  # one edge between two components is enough for now
+            x, y = self.comp[at[a]], self.comp[at[b]]
+            _, first = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1, return_index=True)
+            a, b = a[first], b[first]
+        return at[a], at[b]
 
 
 def segment_pairs(num: int, den: int, all_pairs: bool):
-    """Over rows sorted by (sig, block): the candidate pairs of each group."""
+    """Over rows sorted by (sig, block): the candidate pairs (a < b) of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = _Group(num, den, all_pairs), None
-        cols = ["sig", "block", "cls", "n_shingles", "sketch", "comp"]
+        cols, held = ["sig", "block", "cls", "n_shingles", "sketch", "comp"], None
+
+        def pairs(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            rows, size = _Rows(t, num, den), np.diff(bounds)
+            two = bounds[:-1][size == 2]
+            two = two[rows.near_pairs(two, two + 1)]
+            i, j = [two], [two + 1]
+            for k in np.flatnonzero(size > 2).tolist():
+                x, y = rows.group(int(bounds[k]), int(bounds[k + 1]), all_pairs)
+                i.append(x)
+                j.append(y)
+            x, y = rows.cls[np.concatenate(i)], rows.cls[np.concatenate(j)]
+            # a pair that met in many segments goes on once
+            both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        def take(t: pa.Table, last: bool):
-            nonlocal held
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).select(cols)
             t = t if held is None else pa.concat_tables([held, t])
-            held = None
             if not len(t):
-                return None
+                continue
             t = t.combine_chunks()
-            sig, block, cls, n, comp = (t.column(c).to_numpy() for c in ("sig", "block", "cls", "n_shingles", "comp"))
-            _, data = binary_column(t.column("sketch"))
-            sketch = data.view(np.uint64).reshape(len(t), -1)
+            sig, block = t.column("sig").to_numpy(), t.column("block").to_numpy()
             cut = np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1])) + 1
-            bounds = [0, *cut.tolist(), len(t)]
-            if not last:
-                held = t.slice(bounds[-2])
-                bounds.pop()
-            a, b = [], []
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                if hi - lo > 1:
-                    x, y = group.pairs(cls[lo:hi], n[lo:hi], sketch[lo:hi], comp[lo:hi])
-                    a += x
-                    b += y
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if (out := take(pa.Table.from_batches([batch]).select(cols), False)) is not None:
-                yield out
-        if held is not None:
-            yield take(held.slice(0, 0), True)
+            # the last group may go on in the next batch
+            bounds = np.concatenate(([0], cut))
+            held = t.slice(int(bounds[-1]))
+            if len(bounds) > 1:
+                yield pairs(t.slice(0, int(bounds[-1])), bounds)
+        if held is not None and len(held) > 1:
+            yield pairs(held.combine_chunks(), np.array([0, len(held)]))
 
     return run
 
@@ -371,7 +447,7 @@ def verify(num: int, den: int):
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = np.sort(np.concatenate((x, y)))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep[i] = common * den >= num * (len(x) + len(y) - common)
@@ -381,7 +457,9 @@ def verify(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """docs: (doc_id long, text). Returns one row per row of docs: doc_id, n_shingles, component_id.
+    """docs: (doc_id long, text). Returns one row per row of docs: doc_id, n_shingles, component_id, and two hashes: same,
+    of the text, and component_key, which tells components apart that have their smallest doc_id in common because it
+    is repeated (null without a set; of rows with a null doc_id that of their set).
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of distinct shingles of so many lower-cased
     words; a text of fewer words is one shingle. Null, empty and blank texts have no set: n_shingles 0, linked with
@@ -390,19 +468,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     copies are one class before any comparison. Other columns are ignored. Sets are compared by 48-bit shingle hashes,
     classes by 64-bit set hashes.
 
-    docs is read three times: for sets' hashes, signatures, and sets of those that met another. Signatures are shuffled
-    in packed runs of about 5 bytes each."""
+    docs is read twice for sets' hashes and signatures, and again for the sets of those whose sketches came near
+    another's. Signatures are shuffled in packed runs of about 5 bytes each; classes of very many copies (HEAVY of them
+    at most) get their component by broadcast, all others by a join."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    per_band = docs.count() / 12
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("same"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = scratch.save(texts.mapInArrow(scan_classes(words), "doc_id long, n_shingles long, cls long, sketch binary"))
+    one = scratch.save(texts.mapInArrow(scan_classes(words, num, den), "doc_id long, same long, n_shingles long, cls long, sketch binary"))
     filled = one.where("n_shingles > 0 and doc_id is not null")
-    every = scratch.save(filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
+    every = scratch.save(filled.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
+    n_classes, n_docs, volume = every.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     # exact copies need not sign: one document of each class does, unless the others' ids are too many to broadcast
-    signing = texts.where("doc_id is not null")
-    n_docs, n_classes, volume = filled.count(), *every.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    signing = texts.drop("same").where("doc_id is not null")
     if n_docs - n_classes <= BROADCAST_IDS:
         reps = every.select(F.col("rep").alias("doc_id"))
         others = filled.select("doc_id").join(reps, "doc_id", "left_anti").distinct()
@@ -412,16 +490,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     bits = min(63, max(range_bits + 1, about.bit_length() + SPARE_BITS))
     packed = signing.mapInArrow(scan_signatures(words, num, den, n_docs / 12, bits, range_bits), "range int, blob binary")
     shared = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(shared_signatures, "sig long, doc_id long")
-    met = scratch.save(shared.join(filled.select("doc_id", "cls"), "doc_id").select("sig", "cls").distinct())
+    met = shared.join(filled.select("doc_id", "cls"), "doc_id").groupBy("sig", "cls").agg(F.lit(1).alias("one"))
+    met = scratch.save(met.select("sig", "cls"))
     many = met.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
-    met = met.join(many, "sig")
-    classes = scratch.save(every.join(met.select("cls").distinct(), "cls", "left_semi"))
+    met = scratch.save(met.join(many, "sig"))
+    classes = scratch.save(every.join(met.select("cls").distinct(), "cls", "left_semi").drop("copies"))
     members = met.join(classes.drop("rep"), "cls")
-    # sets of classes that met another: from the texts of one document each
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = F.broadcast(reps) if classes.count() <= BROADCAST_IDS else reps
-    sets = texts.join(reps, "doc_id", "left_semi").select("text").mapInArrow(sets_of(words), "cls long, elements binary")
-    sets = scratch.save(sets.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
     def blocks(of: DataFrame, cross: bool) -> DataFrame:
         n = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -432,36 +506,86 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         return of.withColumn("block", own)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # sets of the classes that take part: from the texts of one document each
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
+        needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+        sets = texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(sets_of(words), "cls long, elements binary")
+        sets = scratch.save(sets.dropDuplicates(["cls"]))
         left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
-        return left.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify(num, den), "a long, b long, linked boolean")
+        both = left.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+        out = scratch.save(both.mapInArrow(verify(num, den), "a long, b long, linked boolean"))
+        scratch.drop(sets)
+        return out
 
     def meet(of: DataFrame, cross: bool) -> DataFrame:
         dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp")
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
     # a forest over some of the signatures, so that most documents that belong together are joined by few edges; a
-    # forest over all that still lie in different components; then all pairs of those that still do
+    # forest over all that still lie in different components; then all pairs of those that still do, in groups where an
+    # edge of a forest was no link or that were dealt out in blocks (in all others no more pairs pass the filter). Of two
+    # sets the larger one's share is within the smaller one's.
+    share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n_shingles") / FIRST_SHARE)))).cast("long")
     tried = links = comps = None
-    for of, cross in ((members.where(F.pmod(F.xxhash64("sig"), F.lit(FIRST_SHARE)) == 0), False), (members, False), (members, True)):
+    for of, cross in ((members.where(F.pmod(F.xxhash64("sig"), share) == 0), False), (members, False), (members, True)):
         if comps is None:
             placed = of.withColumn("comp", F.col("cls"))
         else:
-            placed = of.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-            placed = placed.join(split, "sig")
+            # signatures of classes that do not all lie in one component
+            where = met.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            split = where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+            if cross:
+                failed = tried.where("not linked").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+                open_groups = met.join(failed, "cls").select("sig").unionByName(met.where(F.col("rows") > BLOCK_ROWS).select("sig")).distinct()
+                split = split.join(open_groups, "sig")
+            placed = where.join(split, "sig").join(classes.drop("rep"), "cls")
         pairs = meet(placed, cross)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        seen = scratch.save(verified(pairs))
+        pairs = scratch.save(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and links is not None:
+            continue
+        seen = verified(pairs)
         new = seen.where("linked").select("a", "b")
-        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
+        tried = seen if tried is None else tried.unionByName(seen)
         links = new if links is None else links.unionByName(new)
         if comps is None or not new.isEmpty():
+            if comps is not None:
+                scratch.drop(comps)
             comps = connected_components(scratch, links)
     named = comps.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = comps.join(named, "comp").select(F.col("node").alias("cls"), "component_id")
-    ids = every.select("cls", F.col("rep").alias("first_id")).join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
-    return (
-        one.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
-        .join(ids, "cls", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = comps.join(named, "comp").select(F.col("node").alias("cls"), "component_id", "comp")
+    ids = every.select("cls", "copies", "rep").join(named, "cls", "left")
+    ids = scratch.save(ids.select("cls", "copies", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("comp", "cls").alias("component_key")))
+    scratch.drop(met, classes)
+    # classes of many copies by broadcast, the others by a join; rows without a set need neither
+    rows, is_heavy = one.drop("sketch"), F.col("copies") > n_docs / HEAVY
+    known, heavy = rows.where("n_shingles > 0"), F.broadcast(ids.where(is_heavy).drop("copies"))
+    placed = known.join(heavy, "cls").unionByName(known.join(heavy.select("cls"), "cls", "left_anti").join(ids.where(~is_heavy).drop("copies"), "cls", "left"))
+    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return placed.withColumn("component_key", F.coalesce("component_key", "cls")).unionByName(alone, allowMissingColumns=True).select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "component_key", "same"
+    )
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs but for those of a group that links join (see jaccard_components): of a group the row of the
+    smallest doc_id stays, of several texts under it that of the smallest hash, of repeated rows any one. Rows with a
+    null doc_id are in a group with texts of the same shingles only, and stay if no other is there. Rows without words
+    are no group and all stay. Columns are those of docs.
+
+    Rows that go are told by broadcast if there are few enough, else by a join."""
+    scratch = Scratch(docs.sparkSession, "groups")
+    groups = scratch.save(jaccard_components(docs, words, num, den).where("n_shingles > 0").groupBy("component_key", "doc_id", "same").agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "same")
+    first = groups.groupBy("component_key").agg(F.min(order).alias("first")).select("component_key", F.col("first.doc_id").alias("first_id"), F.col("first.same").alias("first_same"))
+    told = scratch.save(
+        groups.join(first, "component_key").select("doc_id", "same", "rows", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("same") == F.col("first_same"))).alias("stays"))
+        .where("not stays or rows > 1")
     )
+    few = told.count() <= BROADCAST_IDS
+    hint = F.broadcast if few else lambda x: x
+    mine = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_same_": F.xxhash64("text")})
+    on = lambda t: mine["_id_"].eqNullSafe(t["doc_id"]) & (mine["_same_"] == t["same"])
+    rest = mine.join(hint(told), on(told), "left_anti")
+    once = told.where("stays")
+    repeated = mine.join(hint(once), on(once), "left_semi").dropDuplicates(["_id_", "_same_"])
+    return rest.unionByName(repeated).select(*docs.columns)

@@ -208,7 +208,7 @@ def components(docs, w, num, den):
     return sorted((i, len(sets[k]), first[find(k)] if sets[k] else i) for k, (i, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("w,num,den", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+@pytest.mark.parametrize("w,num,den", [(3, 90, 100), (5, 80, 100), (1, 50, 100), (2, 60, 100)])
 def test_jaccard_against_brute_force(spark, w, num, den):
     r = random.Random(w)
     docs, i = [], 0
@@ -224,12 +224,64 @@ def test_jaccard_against_brute_force(spark, w, num, den):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == components(docs, w, num, den)
 
 
+def test_jaccard_sizes_far_apart(spark):
+    """Sets of 8 and 13 elements link at 0.6, though two bands lie between them."""
+    docs = [(k * 10 + i, " ".join(f"w{k}x{j}" for j in range(n))) for k in range(20) for i, n in enumerate((8, 13, 20, 34))]
+    got = jaccard_join.jaccard_components(frame(spark, docs), 1, 60, 100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == components(docs, 1, 60, 100)
+    assert all(x.component_id == x.doc_id - 1 for x in got if x.doc_id % 10 == 1)
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_every_linked_pair_shares_a_signature(num):
+    r = np.random.default_rng(num)
+    for n in [*range(2, 60), 200, 700, 2500]:
+        for _ in range(20 if n < 60 else 4):
+            base = r.integers(0, 1 << 48, n).astype(np.uint64)
+            common = int(r.integers(int(n * num / 100 * 0.9), n + 1))
+            other = np.concatenate((base[:common], r.integers(0, 1 << 48, int(r.integers(0, max(1, n - common) + 1))).astype(np.uint64)))
+            both = len(np.intersect1d(base, other))
+            linked = both and both * 100 >= num * (len(base) + len(other) - both)
+            if linked and common < n:
+                rows = np.repeat([0, 1], [n, len(other)])
+                owner, sigs = jaccard_join.signatures(rows, np.concatenate((base, other)), np.array([n, len(other)]), num, 100, 1e6)
+                assert len(np.intersect1d(sigs[owner == 0], sigs[owner == 1])), (n, common, len(other))
+                sk = jaccard_join.sketches(rows, np.concatenate((base, other)), np.array([n, len(other)]), num, 100)
+                t = pa.table({"cls": [1, 2], "n_shingles": [n, len(other)], "comp": [1, 2], "sketch": sk})
+                assert jaccard_join._Rows(t, num, 100).near_pairs(np.array([0]), np.array([1])).all()
+
+
+@pytest.mark.parametrize("block,head", [(3, 2), (4096, 1)])
+def test_jaccard_in_blocks_and_without_broadcast(spark, monkeypatch, block, head):
+    """Hot groups dealt out in blocks, ids joined in place of broadcast: the same components."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "RUN_SIGNATURES", 50)
+    monkeypatch.setattr(jaccard_join, "HEAVY", head)
+    r = random.Random(block)
+    base = [f"w{j}" for j in range(60)]
+    docs = [(i, " ".join(x if r.random() > 0.04 else f"y{r.randrange(3)}" for x in base)) for i in range(60)]
+    docs += [(100 + i, "copy of one text " * 3) for i in range(20)] + [(200 + i, "") for i in range(5)]
+    got = jaccard_join.jaccard_components(frame(spark, docs), 2, 80, 100).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == components(docs, 2, 80, 100)
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
     got = jaccard_join.jaccard_components(frame(spark, [(None, "a b c"), (None, None), (7, "a b c"), (7, "a b c"), (7, "x y z"), (2, "x y z")])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 1, -1), (2, 1, 2), (7, 1, 2), (7, 1, 7), (7, 1, 7)]
 
 
+def test_keep_one(spark):
+    long = " ".join(f"w{j}" for j in range(60))
+    rows = [(2, "x y z"), (2, "x y z"), (7, "x y z"), (7, "a b c"), (7, "a b c"), (9, long + " end"), (8, long), (8, long + " fin"), (8, "alone"), (None, "n m"), (None, "n m"), (None, "x y z"), (4, ""), (4, ""), (5, None), (None, None)]
+    out = jaccard_join.keep_one(frame(spark, rows))
+    assert out.columns == frame(spark, rows).columns
+    got = sorted(((i, t) for i, t, *_ in out.collect()), key=str)
+    assert got in [sorted([(2, "x y z"), (7, "a b c"), (8, x), (8, "alone"), (None, "n m"), (4, ""), (4, ""), (5, None), (None, None)], key=str) for x in (long, long + " fin")]
+    assert jaccard_join.keep_one(frame(spark, [])).collect() == []
+
+
 def test_packed_signatures():
     r = np.random.default_rng(2)
     sigs, docs = np.sort(r.integers(0, 1 << 41, 5000).astype(np.uint64)), r.integers(-5, 1 << 50, 5000)
