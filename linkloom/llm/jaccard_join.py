@@ -31,15 +31,13 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import Scratch, binary_column, mix64, scan_words
 
-#: Bits of a parity sketch for each element in which a pair may differ, as the next power of two; at least and at most.
-#: Beyond the most, sketches let more pairs through to be verified.
-SKETCH_RATIO, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 4, 64, 8192
+#: Bits of a parity sketch for each element in which a pair may differ, as the next power of two, for the forests and for
+#: the pairs that are left; at least; at most. Beyond the most, sketches let more pairs through to be verified.
+SKETCH_RATIO, CLOSE_RATIO, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 4, 16, 64, 8192
 #: Ratio of the bounds of one size band to the next.
 BAND_RATIO = 1.5
 #: Rows of one segment that are compared in one task; more are dealt out as pairs of blocks of this many.
 BLOCK_ROWS = 4096
-#: The first forest takes about one signature in so many elements of a set.
-FIRST_SHARE = 32
 #: What a row that shares a signature costs, in signatures.
 MEETING = 4.0
 #: Documents whose ids may be broadcast, 8 bytes each; more are joined by a shuffle.
@@ -181,16 +179,16 @@ def signatures(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: i
     return r[order], s[order]
 
 
-def sketch_words(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+def sketch_words(sizes: np.ndarray, num: int, den: int, ratio: int) -> np.ndarray:
     """Length in 64-bit words, a power of two, of the sketch of a set with so many elements."""
-    want = np.clip(SKETCH_RATIO * allowance(2 * sizes, num, den), LEAST_SKETCH_BITS, MOST_SKETCH_BITS)
+    want = np.clip(ratio * allowance(2 * sizes, num, den), LEAST_SKETCH_BITS, MOST_SKETCH_BITS * max(1, ratio // SKETCH_RATIO))
     return (1 << np.ceil(np.log2(want)).astype(np.int64)) // 64
 
 
-def sketches(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> pa.Array:
+def sketches(rows: np.ndarray, elements: np.ndarray, sizes: np.ndarray, num: int, den: int, ratio: int = SKETCH_RATIO) -> pa.Array:
     """Parity of the number of elements that hash to each bit. Halves of a sketch, put one upon the other by exclusive
     or, give the sketch of half its length."""
-    words = sketch_words(sizes, num, den)
+    words = sketch_words(sizes, num, den, ratio)
     start = np.concatenate(([0], np.cumsum(words)))
     bit = (mix64(elements + _A) & (words[rows] * 64 - 1).astype(np.uint64)).astype(np.int64)
     out = np.zeros(start[-1], np.uint64)
@@ -341,6 +339,18 @@ def unpacked(x: pa.Buffer) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def close_sketches(words: int, num: int, den: int):
+    """(cls, sketch) of every text, with long sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, rows, elements in shingle_sets(b.column("text"), words):
+                sizes = np.bincount(rows, minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(class_hashes(rows, elements, sizes).view(np.int64)), sketches(rows, elements, sizes, num, den, CLOSE_RATIO)], ["cls", "sketch"])
+
+    return run
+
+
 class _Rows:
     """Classes of a run of signatures: the exact filter on pairs of them, and the pairs that a group of them gives."""
 
@@ -505,12 +515,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             return of.withColumn("own", own).withColumn("block", F.explode(pairs)).drop("own")
         return of.withColumn("block", own)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        # sets of the classes that take part: from the texts of one document each
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
+    def texts_of(some: DataFrame) -> DataFrame:
+        """Of each class the text of one document."""
+        needed = some.join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
         needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-        sets = texts.join(needed, "doc_id", "left_semi").select("text").mapInArrow(sets_of(words), "cls long, elements binary")
-        sets = scratch.save(sets.dropDuplicates(["cls"]))
+        return texts.join(needed, "doc_id", "left_semi").select("text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of = texts_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+        sets = scratch.save(of.mapInArrow(sets_of(words), "cls long, elements binary").dropDuplicates(["cls"]))
         left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
         both = left.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
         out = scratch.save(both.mapInArrow(verify(num, den), "a long, b long, linked boolean"))
@@ -525,7 +538,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     # forest over all that still lie in different components; then all pairs of those that still do, in groups where an
     # edge of a forest was no link or that were dealt out in blocks (in all others no more pairs pass the filter). Of two
     # sets the larger one's share is within the smaller one's.
-    share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n_shingles") / FIRST_SHARE)))).cast("long")
+    share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n_shingles") * (2 * (den - num) / (den + num)))))).cast("long")
     tried = links = comps = None
     for of, cross in ((members.where(F.pmod(F.xxhash64("sig"), share) == 0), False), (members, False), (members, True)):
         if comps is None:
@@ -535,10 +548,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             where = met.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             split = where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
             if cross:
-                failed = tried.where("not linked").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+                failed = tried.where("not linked")
+                failed = failed.select(F.col("a").alias("cls")).unionByName(failed.select(F.col("b").alias("cls"))).distinct()
                 open_groups = met.join(failed, "cls").select("sig").unionByName(met.where(F.col("rows") > BLOCK_ROWS).select("sig")).distinct()
-                split = split.join(open_groups, "sig")
-            placed = where.join(split, "sig").join(classes.drop("rep"), "cls")
+                where = where.join(split.join(open_groups, "sig"), "sig").join(classes.select("cls", "n_shingles"), "cls")
+                close = texts_of(where.select("cls").distinct()).mapInArrow(close_sketches(words, num, den), "cls long, sketch binary")
+                placed = where.join(scratch.save(close.dropDuplicates(["cls"])), "cls")
+            else:
+                placed = where.join(split, "sig").join(classes.drop("rep"), "cls")
         pairs = meet(placed, cross)
         pairs = scratch.save(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty() and links is not None:
