@@ -6,8 +6,9 @@ until one is missing. The filter is blocked: an n-gram's bits all lie in one seg
 independent tasks, each as long as its n-grams need, and the filter is their concatenation.
 
 Probabilities are interpolated: with f the count that the probes give, p(w | v) = (1 - lambda) p(w) + lambda f(v w) /
-max(F(v), f(v w)), where F(v) is the upper end of v's level (so that numerators, which are rounded down, do not sum
-above it), and p(w) = (f(w) + 0.5) / (N + 0.5 (V + 1)). A pair is probed only if both its words are known.
+max(F(v), f(v w)), where F(v) is the upper end of v's level and f(v w) the lower end of the pair's (so that they do not
+sum above 1). p(w) is a word's estimated count, the middle of its level, and 0.5, over the sum of these over all known
+words and an unknown one. A pair is probed only if both its words are known.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end token a text, which also stands before the first
 word. Words are compared by 64-bit hashes."""
@@ -34,8 +35,10 @@ BITS, PROBES = 14, 9
 #: n-grams for each segment of the filter, about; at least LEAST_SEGMENTS.
 SEGMENT_GRAMS, LEAST_SEGMENTS = 200_000, 2048
 #: The filter is broadcast whole up to this size; a larger one in turn, in blocks of segments up to this size, or up to
-#: LEAST_BLOCK where that is more.
-BROADCAST_BYTES, LEAST_BLOCK = 400 << 20, 8 << 20
+#: LEAST_BLOCK where that is more. The driver takes in GATHER_BYTES of it at a time.
+BROADCAST_BYTES, LEAST_BLOCK, GATHER_BYTES = 256 << 20, 8 << 20, 32 << 20
+#: n-grams that a task holds before it counts them and sends them on.
+RUN_GRAMS = 4_000_000
 #: Most frequent words whose exact counts are broadcast (16 bytes each); counts of all others are joined.
 HEAD_WORDS = 1 << 20
 #: Weight of the pairs in the interpolation.
@@ -64,16 +67,24 @@ def pairs_of(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def count_grams(segments: int):
     """Partial counts (segment, n-gram, n) of words and pairs; the lowest bit of a pair's hash is 1, of a word's 0."""
 
+    def counted(grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(np.concatenate(grams), return_counts=True)
+        seg = segment_of(h, segments).astype(np.int32)
+        for at in range(0, len(h), 100_000):
+            to = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(seg[to]), pa.array(h[to].view(np.int64)), pa.array(n[to].astype(np.int32))], ["seg", "h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held = [], 0
         for b in batches:
-            grams = [np.zeros(0, np.uint64)]
             for _, _, rows, h in tokens(b.column("text")):
                 grams += [h, pairs_of(rows, h)[1]]
-            h, n = np.unique(np.concatenate(grams), return_counts=True)
-            seg = segment_of(h, segments).astype(np.int32)
-            for at in range(0, len(h), 100_000):
-                to = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(seg[to]), pa.array(h[to].view(np.int64)), pa.array(n[to].astype(np.int32))], ["seg", "h", "n"])
+                held += 2 * len(h)
+                if held >= RUN_GRAMS:
+                    yield from counted(grams)
+                    grams, held = [], 0
+        if held:
+            yield from counted(grams)
 
     return run
 
@@ -114,16 +125,13 @@ def build_segment(key: tuple, t: pa.Table) -> pa.Table:
 
 
 class Filter:
-    """The segments on a worker."""
+    """Segments on a worker: the bytes of each (0: not here), and all their bytes in order, which are not copied."""
 
-    def __init__(self, segs: np.ndarray, blobs: list[bytes], segments: int):
-        self.segments = segments
-        size = np.zeros(segments, np.int64)
-        size[segs] = [len(x) for x in blobs]
+    def __init__(self, size: np.ndarray, data: np.ndarray):
+        self.segments = len(size)
         self.start = (np.cumsum(size) - size).astype(np.uint64)
         self.bits = (size * 8).astype(np.uint64)
-        order = np.argsort(segs)
-        self.data = np.frombuffer(b"".join(blobs[i] for i in order) or b"\0", np.uint8)
+        self.data = data
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is missing: probes of rising level until one fails."""
@@ -144,20 +152,24 @@ class Filter:
         return out
 
 
-def log_probability(word: np.ndarray, history: np.ndarray, pair: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 p(word | history) from levels."""
-    low = lambda q: np.where(q > 0, np.exp2(q - 1.0), 0.0)
-    p = (low(word) + 0.5) / (total + 0.5 * (distinct + 1))
-    f = low(pair)
+def middle(q: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level, 0 for level 0."""
+    return np.where(q > 0, 1.5 * np.exp2(q - 1.0) - 0.5, 0.0)
+
+
+def log_probability(word: np.ndarray, history: np.ndarray, pair: np.ndarray, mass: float) -> np.ndarray:
+    """log10 p(word | history) from levels; mass: the sum over which p(word) is taken."""
+    p = (middle(word) + 0.5) / mass
+    f = np.where(pair > 0, np.exp2(pair - 1.0), 0.0)
     return np.log10((1 - LAMBDA) * p + LAMBDA * f / np.maximum(np.where(history > 0, np.exp2(history) - 1.0, 1.0), f))
 
 
-def score_scan(shared, total: int, distinct: int):
+def score_scan(shared, total: int, distinct: int, mass: float):
     """Scores with the filter, base scores over words of the head; words of the tail are listed with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs, blobs, segments, head_h, head_n = shared.value
-        model = Filter(segs, blobs, segments)
+        size, data, head_h, head_n = shared.value
+        model = Filter(size, data)
         floor, over = np.log10(0.5 / (total + 0.5 * (distinct + 1))), total + 0.5 * (distinct + 1)
         head_log = np.log10((head_n + 0.5) / over)
         for b in batches:
@@ -173,7 +185,7 @@ def score_scan(shared, total: int, distinct: int):
                 pair_level = np.zeros_like(word_level)
                 known = np.flatnonzero((word_level > 0) & (history > 0))  # a pair is in only if both its words are
                 pair_level[known] = model.levels(pair[known])
-                logs = log_probability(word_level, history, pair_level, total, distinct)
+                logs = log_probability(word_level, history, pair_level, mass)
                 at = np.searchsorted(head_h, words) if len(head_h) else np.zeros(len(words), np.int64)
                 at = np.minimum(at, max(len(head_h) - 1, 0))
                 in_head = head_h[at] == words if len(head_h) else np.zeros(len(words), bool)
@@ -211,7 +223,7 @@ def level_scan(shared):
     return run
 
 
-def combine_levels(blocks: int, total: int, distinct: int):
+def combine_levels(blocks: int, mass: float):
     """Scores of texts from the levels of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +247,7 @@ def combine_levels(blocks: int, total: int, distinct: int):
             history[1:] = word[:-1]
             history[np.cumsum(lengths) - lengths] = word[lengths[0] - 1]  # the end token
             pair = np.where((word > 0) & (history > 0), highest("p"), 0)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(np.bincount(rows, log_probability(word, history, pair, total, distinct), minlength=n))], ["rid", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(np.bincount(rows, log_probability(word, history, pair, mass), minlength=n))], ["rid", "score"])
 
     return run
 
@@ -260,10 +272,11 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     partial = train.mapInArrow(count_grams(segments), "seg int, h long, n int")
     built = scratch.save(partial.groupBy("seg").applyInArrow(build_segment, "seg int, bits binary, h array<long>, n array<long>"))
     words = built.select(F.explode(F.arrays_zip("h", "n")).alias("w")).select("w.h", "w.n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sizes = built.select("seg", F.octet_length("bits").alias("b")).orderBy("seg").toArrow()
-    sizes = list(zip(sizes.column("seg").to_pylist(), sizes.column("b").to_pylist(), strict=True))
-    filter_bytes = sum(b for _, b in sizes)
+    level_of = F.floor(F.log2("n")).cast("int") + 1
+    total, distinct, mass = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(1.5 * F.pow(F.lit(2.0), level_of - 1)), F.lit(0.0)) + 0.5).first()
+    size = np.zeros(segments, np.int64)
+    for r in built.select("seg", F.octet_length("bits").alias("b")).collect():
+        size[r.seg] = r.b
     # the head: words above a count that at most head_words reach
     levels = words.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("d")).orderBy(F.desc("b")).collect()
     reach, least = 0, None
@@ -277,15 +290,36 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     order = np.argsort(head_h)
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     most = max(broadcast_bytes, LEAST_BLOCK)
-    fits = not sizes or filter_bytes + 12 * segments <= most
-
-    def held_segments(part: DataFrame) -> tuple:
-        got = part.select("seg", "bits").toArrow()
-        return got.column("seg").to_numpy(), [x.as_py() for x in got.column("bits")], segments
+    fits = int(size.sum()) <= most
+
+    def cuts(lo: int, hi: int, most: int) -> list[tuple[int, int]]:
+        """Ranges of segments of at most so many bytes each, or one segment."""
+        ends, out, at = np.cumsum(size), [], lo
+        while at < hi:
+            to = min(hi, max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + most, "right"))))
+            out.append((at, to))
+            at = to
+        return out
 
-    model = held_segments(built) if fits else (np.zeros(0, np.int64), [], 1)
+    def held_segments(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and bytes of a range of segments, gathered piece by piece into one array."""
+        mine = np.zeros_like(size)
+        mine[lo:hi] = size[lo:hi]
+        start, data = np.cumsum(mine) - mine, np.zeros(max(1, int(mine.sum())), np.uint8)
+        for a, b in cuts(lo, hi, GATHER_BYTES):
+            got = built.where((F.col("seg") >= a) & (F.col("seg") < b)).select("seg", "bits").toArrow()
+            for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits"), strict=True):
+                data[start[seg] : start[seg] + mine[seg]] = np.frombuffer(bits.as_buffer(), np.uint8)
+            del got
+        return mine, data
+
+    if not fits:  # the texts are read once a block: their numbers must stay
+        numbered = scratch.save(numbered)
+    model = held_segments(0, segments) if fits else (np.zeros(1, np.int64), np.zeros(1, np.uint8))
     shared = spark.sparkContext.broadcast((*model, head_h[order], head_n[order]))
-    scored = scratch.save(numbered.select("rid", "doc_id", "held_out", "text").mapInArrow(score_scan(shared, total, distinct), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>"))
+    del model
+    scored = scratch.save(numbered.select("rid", "doc_id", "held_out", "text").mapInArrow(score_scan(shared, total, distinct, mass), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>"))
+    shared.unpersist()
     tail = words.where(~is_head).select("h", F.col("n").alias("c"))
     floor = F.log10(F.lit(0.5))
     fixed = (
@@ -295,18 +329,13 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     out = scored.drop("tail").join(fixed, "rid", "left")
     score = F.col("score")
     if not fits:
-        bounds, filled = [sizes[0][0]], 0
-        for seg, b in sizes:
-            if filled and filled + b > most:
-                bounds, filled = [*bounds, seg], 0
-            filled += b
         passes = []
-        for lo, hi in zip(bounds, [*bounds[1:], segments], strict=True):
-            block = spark.sparkContext.broadcast(held_segments(built.where((F.col("seg") >= lo) & (F.col("seg") < hi))))
+        for lo, hi in cuts(0, segments, most):
+            block = spark.sparkContext.broadcast(held_segments(lo, hi))
             passes.append(scratch.save(numbered.select("rid", "text").mapInArrow(level_scan(block), "rid long, w binary, p binary")))
             block.destroy()
         levels = reduce(DataFrame.unionByName, passes).groupBy("rid").agg(F.collect_list(F.struct("w", "p")).alias("parts"))
-        found = levels.mapInArrow(combine_levels(len(passes), total, distinct), "rid long, score double")
+        found = levels.mapInArrow(combine_levels(len(passes), mass), "rid long, score double")
         out = out.drop("score").join(found, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),

@@ -56,7 +56,8 @@ def test_filter_never_loses_an_entry():
     h = language_model.mix64(np.arange(20000, dtype=np.uint64))
     t = pa.table({"seg": pa.array(np.zeros(len(h), np.int32)), "h": pa.array(h.view(np.int64)), "n": pa.array((np.arange(len(h)) % 50 + 1).astype(np.int32))})
     built = language_model.build_segment((pa.scalar(0),), t)
-    f = language_model.Filter(np.array([0]), [built.column("bits")[0].as_py()], 1)
+    bits = np.frombuffer(built.column("bits")[0].as_py(), np.uint8)
+    f = language_model.Filter(np.array([len(bits)]), bits)
     assert (f.levels(h) >= language_model.level(np.arange(len(h)) % 50 + 1)).all()
     assert (f.levels(language_model.mix64(np.arange(30000, 60000, dtype=np.uint64))) > 0).mean() < 0.01
 
