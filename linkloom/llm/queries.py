@@ -11,8 +11,8 @@ from . import chat, decontamination, jaccard_join, language_model, licences, mix
 from .shared import table
 
 
-#: The key of the query; a caller of the operator gives their own.
-PII_KEY = "linkloom"
+#: Spark setting that holds the secret key of surrogates, and the key of the driver's synthetic tables where it is unset.
+PII_SETTING, PII_KEY = "spark.linkloom.pii.key", "key of synthetic tables only"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text rewritten."""
-    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_SETTING, PII_KEY))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
