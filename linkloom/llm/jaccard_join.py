@@ -49,7 +49,7 @@ HEAVY = 1024
 #: those that tell all apart (one in 2**SPARE_BITS meets another by chance, and is found out by the filter).
 RANGE_SIGNATURES, LEAST_RANGE_BITS, SPARE_BITS = 1_000_000, 9, 13
 #: Signatures that a task holds before it sends them on.
-RUN_SIGNATURES = 2_000_000
+RUN_SIGNATURES = 600_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1

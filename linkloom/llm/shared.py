@@ -4,6 +4,7 @@ columnar word scanner that works on Arrow buffers without a Python loop over row
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Separators of words: space and the controls 0x09 to 0x0D.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that the scanner takes into numpy at a time; one longer document makes a longer slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one is set on one machine (tests); on a cluster
+    that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext.getCheckpointDir()
@@ -64,6 +68,13 @@ class Scratch:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what ran before: plans, broadcasts and shuffle files of earlier jobs stay on the driver and on the
+    executors' disks until the driver's garbage is collected, which may take as long as its heap has room."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---------------------------------------------------------------------------------------------- hashing
 
 
