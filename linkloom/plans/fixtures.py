@@ -63,3 +63,15 @@ DEGREES_SQL = """deg AS (SELECT idx, coalesce(i.n, 0) AS in_degree, coalesce(o.n
 
 def with_graph(sql: str) -> str:
     return f"WITH {GRAPH_SQL}, {DEGREES_SQL}, {sql}" if sql.lstrip().lower().startswith("q_") else f"WITH {GRAPH_SQL}, {DEGREES_SQL} {sql}"
+
+
+def sql_unit(v: str, salt: int) -> str:
+    """maths.unit_hash in SQL."""
+    h = f"(({v} * 1103515245 + {12345 + salt * 97531}) & 2147483647)"
+    h = f"((xor({h}, {h} >> 15) * 1103515245 + 12345) & 2147483647)"
+    return f"((((xor({h}, {h} >> 13) * 69069 + 1) & 2147483647) + 0.5) / 2147483648.0::DOUBLE)"
+
+
+def sql_normal(v: str, salt: int) -> str:
+    """maths.normal_hash in SQL."""
+    return f"(sqrt(-2 * ln({sql_unit(v, salt)})) * cos(2 * pi() * {sql_unit(v, salt + 1)}))"

@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.functions import maths, topics
 from linkloom.functions import text as t
 from linkloom.sources import articles as src
+from linkloom.sources import html
 
-from .fixtures import table
+from .fixtures import sql_unit, table
 
 Q, SQL = {}, {}
-#: Documents with markup: the first word of every sentence but the first is a link.
-MARKED = r"marked AS (SELECT doc_id, 'D' || doc_id AS title, regexp_replace(text, '([.!?]\s+)([A-Za-z]+)', '\1[[\2]]', 'g') AS text, lang, source FROM documents)"
+#: Documents with markup: the first word of every sentence but the first is a link; every third text begins with a link to
+#: a page that is no article and one with an anchor and a fragment.
+MARKED = r"marked AS (SELECT doc_id, 'D' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN '[[Module:M]] [[user:Lower#a|their page]] ' ELSE '' END || regexp_replace(text, '([.!?]\s+)([A-Za-z]+)', '\1[[\2]]', 'g') AS text, lang, source FROM documents)"
+_META = " OR ".join(f"starts_with(x, '{p}')" for p in ("Category:", "File:", "Image:", "Talk:", "Wikipedia:", "Portal:", "Help:", "Template:", "Special:", "MediaWiki:", "Module:"))
+
+
+def sql_targets(text: str, meta: str = _META) -> str:
+    return rf"list_distinct(list_transform(list_filter(list_transform(list_filter(list_transform(regexp_extract_all({text}, '\[\[([^\]]+)\]\]', 1), lambda x: trim(split_part(x, '|', 1))), lambda x: NOT ({meta})), lambda x: trim(split_part(x, '#', 1))), lambda x: x <> ''), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)))"
+
+
+def sql_replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+def sql_cleaned(text: str) -> str:
+    return sql_replaced(text, *[(x, "") for x in (r"(?s)<!--.*?-->", r"(?s)<ref[^>/]*>.*?</ref>", r"<ref[^>]*/>", r"<[^>]+>", r"(?s)\{\|.*?\|\}", *[r"\{\{[^{}]*\}\}"] * 3)])
+
+
+def sql_stripped(text: str) -> str:
+    return sql_replaced(text, ("''{2,}", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", r"\1"), (r"\[\[([^\]]*)\]\]", r"\1"))
 
 
 def query(name, sql=None):
@@ -26,7 +48,8 @@ def query(name, sql=None):
 
 
 def marked(s, d):
-    return table(s, d, "documents").select("doc_id", F.concat(F.lit("D"), "doc_id").alias("title"), F.regexp_replace("text", r"([.!?]\s+)([A-Za-z]+)", "$1[[$2]]").alias("text"), "lang", "source")
+    head = F.when(F.col("doc_id") % 3 == 0, "[[Module:M]] [[user:Lower#a|their page]] ").otherwise("")
+    return table(s, d, "documents").select("doc_id", F.concat(F.lit("D"), "doc_id").alias("title"), F.concat(head, F.regexp_replace("text", r"([.!?]\s+)([A-Za-z]+)", "$1[[$2]]")).alias("text"), "lang", "source")
 
 
 def docs(s, d):
@@ -37,7 +60,16 @@ def pages(s, d):
     return table(s, d, "pages")
 
 
-SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+def sql_sentences(text: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+SENT = sql_sentences("text")
+
+
+def linked_pages(s, d):
+    """Pages with a link at the beginning of every paragraph."""
+    return pages(s, d).withColumn("html", F.regexp_replace("html", r"<p>(\p{L}+)", '<p><a href="/$1_page">$1</a>'))
 
 # ---- sources
 query("s5_page_parse", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&amp;', '&') AS h1 FROM pages")(
@@ -45,18 +77,20 @@ query("s5_page_parse", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</tit
 
 
 def view_lines(s, d):
-    p = table(s, d, "lineitem").where("l_orderkey % 5 = 0").select("l_partkey", "l_quantity", "l_returnflag")
+    p = table(s, d, "lineitem").select("l_partkey", "l_quantity", "l_returnflag")
     who = F.when(F.col("l_returnflag") == "R", "de").when(F.col("l_returnflag") == "A", "en.wikipedia").otherwise("en")
     count = F.when(F.col("l_partkey") % 11 == 0, "bad").otherwise(F.col("l_quantity").cast("long").cast("string"))
     return p.select(F.concat_ws(" ", who, F.concat(F.lit("Part_no_"), "l_partkey"), count, F.lit("0")).alias("value"))
 
 
-query("s6_pageviews_max", "SELECT 'Part no ' || l_partkey AS title, CAST(max(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_orderkey % 5 = 0 AND l_returnflag = 'N' AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "max"))
-query("s7_pageviews_sum", "SELECT 'Part no ' || l_partkey AS title, CAST(sum(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_orderkey % 5 = 0 AND l_returnflag IN ('N', 'A') AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "sum"))
+query("s6_pageviews_max", "SELECT 'Part no ' || l_partkey AS title, CAST(max(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_returnflag = 'N' AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "max"))
+query("s7_pageviews_sum", "SELECT 'Part no ' || l_partkey AS title, CAST(sum(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_returnflag IN ('N', 'A') AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "sum"))
 query("s10_type_labels", "SELECT c_custkey AS id, coalesce(r_name, 'Other') AS label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey <> 3 LEFT JOIN region ON r_regionkey = n_regionkey")(
     lambda s, d: src.type_labels(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key")), table(s, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("type")), table(s, d, "region").select(F.col("r_regionkey").alias("type"), F.col("r_name").alias("label"))))
 query("s13_metadata_sorted", "SELECT p_partkey AS id, p_size AS views FROM part ORDER BY id")(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("views")).orderBy("id"))
-query("s21_synthetic_graph")(lambda s, d: src.synthetic_links(s, 500, 3))
+_DRAWN = sql_unit("(src * 64 + i)", 4)
+query("s21_synthetic_graph", f"WITH n AS (SELECT count(*) AS n FROM part), b AS (SELECT id AS src, 5 + CAST(floor({sql_unit('id', 3)} * 46) AS BIGINT) AS k FROM (SELECT unnest(range(1, n + 1)) AS id FROM n)), r AS (SELECT src, unnest(range(1, k + 1)) AS i FROM b) SELECT src, tgt FROM (SELECT src, CAST(floor({_DRAWN} * {_DRAWN} * {_DRAWN} * n) AS BIGINT) + 1 AS tgt FROM r, n) WHERE src <> tgt")(
+    lambda s, d: src.synthetic_links(s, table(s, d, "part").count(), 3))
 
 # ---- sinks
 query("k1_upsert", "SELECT o_custkey AS title, max_by(o_totalprice, o_orderkey) AS views FROM orders GROUP BY 1")(lambda s, d: src.upsert(table(s, d, "orders").select(F.col("o_custkey").alias("title"), F.col("o_totalprice").alias("views"), F.col("o_orderkey").alias("seq")), "title", "seq").drop("seq"))
@@ -66,11 +100,12 @@ query("k3_update_views", "SELECT c_custkey AS title, CASE WHEN v > 0 THEN v ELSE
     lambda s, d: src.update_views(table(s, d, "customer").select(F.col("c_custkey").alias("title"), F.col("c_acctbal").alias("views")), table(s, d, "orders").groupBy(F.col("o_custkey").alias("title")).agg((F.max("o_totalprice") - 300000).alias("views"))))
 query("k5_token_index", r"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_partkey), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS token FROM part) GROUP BY 1")(
     lambda s, d: table(s, d, "part").select(F.explode(F.array_distinct(t.tokens(F.concat_ws(" ", "p_name", "p_partkey")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
-query("k11_weighted_text", "SELECT l_orderkey AS source, l_partkey AS target, printf('%.3f', l_discount + 1.0) AS weight FROM lineitem WHERE l_orderkey % 7 = 0")(
-    lambda s, d: table(s, d, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.format_string("%.3f", F.col("l_discount") + 1.0).alias("weight")))
-query("k12_metadata_filled", "SELECT range AS id, coalesce(p_size, 0) AS views, CASE WHEN p_partkey IS NULL THEN 6 ELSE 1 END AS category FROM range(300) LEFT JOIN part ON p_partkey = range AND p_partkey % 3 <> 0")(
-    lambda s, d: src.filled_metadata(s, 300, table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("views"), F.lit(1).alias("category"))))
-query("k13_topic_json")(lambda s, d: src.sized_json(table(s, d, "part").select(F.col("p_type").alias("topic"), F.col("p_name").alias("word")), 150_000, 12))
+query("k11_weighted_text", "SELECT l_orderkey AS source, l_partkey AS target, printf('%.3f', l_discount + 1.0) AS weight FROM lineitem")(
+    lambda s, d: src.weighted_lines(table(s, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_discount") + 1.0).alias("weight"))))
+query("k12_metadata_filled", "SELECT id, coalesce(p_size, 0) AS views, CASE WHEN p_partkey IS NULL THEN 6 ELSE 1 END AS category FROM (SELECT unnest(range((SELECT max(p_partkey) + 1 FROM part))) AS id) LEFT JOIN part ON p_partkey = id AND p_partkey % 3 <> 0")(
+    lambda s, d: src.filled_metadata(s, table(s, d, "part").agg(F.max("p_partkey")).first()[0] + 1, table(s, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("views"), F.lit(1).alias("category"))))
+query("k13_topic_json", """WITH w AS (SELECT p_type AS topic, list_sort(list_distinct(list(p_name))) AS words FROM part GROUP BY 1), j AS (SELECT *, '["' || array_to_string(words, '","') || '"]' AS json FROM w), t AS (SELECT sum(strlen(json)) AS b FROM j)
+ SELECT topic, CASE WHEN b > 150000 THEN '["' || array_to_string(words[1:12], '","') || '"]' ELSE json END AS json FROM j, t""")(lambda s, d: src.sized_json(table(s, d, "part").select(F.col("p_type").alias("topic"), F.col("p_name").alias("word")), 150_000, 12))
 
 # ---- predicates
 query("f7_incomplete", "SELECT doc_id FROM documents WHERE n_chars > 40 AND (text IS NULL OR trim(text) = '' OR lang = 'de')")(lambda s, d: docs(s, d).where((F.col("n_chars") > 40) & (F.col("text").isNull() | (F.trim("text") == "") | (F.col("lang") == "de"))).select("doc_id"))
@@ -88,7 +123,9 @@ query("f10_prefix_search", f"SELECT idx, title FROM ({PARTS}) WHERE starts_with(
 query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHERE title >= 's' AND title < 't' ORDER BY title LIMIT 8) UNION (SELECT * FROM ({PARTS}) WHERE title >= 'S' AND title < 'T' ORDER BY title LIMIT 8)) ORDER BY title LIMIT 8")(
     lambda s, d: titles(s, d).where("title >= 's' and title < 't'").orderBy("title").limit(8).union(titles(s, d).where("title >= 'S' and title < 'T'").orderBy("title").limit(8)).distinct().orderBy("title").limit(8))
 query("f12_resolve_title", f"SELECT idx FROM ({PARTS}) WHERE lower(title) = (SELECT lower(title) FROM ({PARTS}) WHERE idx = 42) ORDER BY title = (SELECT title FROM ({PARTS}) WHERE idx = 42) DESC, idx LIMIT 1")(lambda s, d: src.resolve_title(titles(s, d), titles(s, d).where("idx = 42").first().title))
-query("f13_meta_titles", "SELECT doc_id FROM documents WHERE NOT (starts_with(text, 'That') OR starts_with(text, 'Ist'))")(lambda s, d: docs(s, d).where(~t.starts_with_any(F.col("text"), ("That", "Ist"))).select("doc_id"))
+TITLED = "CASE doc_id % 5 WHEN 0 THEN 'MediaWiki:' WHEN 1 THEN 'List of ' WHEN 2 THEN 'user:' WHEN 3 THEN 'Image:' ELSE '' END || source"
+query("f13_meta_titles", f"SELECT doc_id, title, NOT ({_META.replace('(x,', '(title,')}) AS dumped FROM (SELECT doc_id, {TITLED} AS title FROM documents) WHERE NOT regexp_matches(title, '^(Special:|Wikipedia:|Portal:|Help:|File:|Category:|Talk:|Template:|User:|Draft:|MediaWiki:|Module:|Gadget:|Main Page|Deaths in |List of |Lists of )')")(
+    lambda s, d: docs(s, d).select("doc_id", F.expr(TITLED).alias("title")).where(~t.starts_with_any(F.col("title"), t.META_CRAWL)).withColumn("dumped", ~t.starts_with_any(F.col("title"), t.META_DUMP)))
 CATS = "list_value('Category:All ' || lang, 'Category:' || upper(source), 'Category:Use ' || lang)"
 
 
@@ -106,42 +143,83 @@ query("f19_sentence_length", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id,
 # ---- markup
 query("t1_clean_wikitext", r"""SELECT doc_id, length(regexp_replace(regexp_replace('a<!-- ' || text || ' -->b<ref name="x">c</ref>{{t|{{u}}}}' || source, '(?s)<!--.*?-->', '', 'g'), '<ref[^>/]*>.*?</ref>|\{\{t\|\{\{u\}\}\}\}', '', 'g')) AS n FROM documents""")(
     lambda s, d: docs(s, d).select("doc_id", F.length(t.clean_wikitext(F.concat(F.lit("a<!-- "), "text", F.lit(' -->b<ref name="x">c</ref>{{t|{{u}}}}'), "source"))).alias("n")))
-query("t2_link_targets", r"MARKED SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)))), '|') AS targets FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.array_join(F.array_sort(t.link_targets(F.col("text"))), "|").alias("targets")))
+query("t2_link_targets", f"MARKED SELECT doc_id, array_to_string(list_sort({sql_targets('text')}), '|') AS targets FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.array_join(F.array_sort(t.link_targets(F.col("text"))), "|").alias("targets")))
 query("t4_sentences", f"SELECT doc_id, len({SENT}) AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.sentences(F.col("text"))).alias("n")))
-query("t5_link_contexts", rf"""MARKED, x AS (SELECT title, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS pos FROM marked),
- y AS (SELECT title, pos, upper(substr(l, 1, 1)) || substr(l, 2) AS target, trim(regexp_replace(regexp_replace(s, '\[\[([^\]]*)\]\]', '\1', 'g'), '\s+', ' ', 'g')) AS shown FROM (SELECT title, pos, s, unnest(regexp_extract_all(s, '\[\[([^\]]+)\]\]', 1)) AS l FROM x))
- SELECT title, target, min_by(shown, pos) AS context FROM y WHERE length(shown) > 10 AND length(shown) < 500 GROUP BY 1, 2""")(lambda s, d: t.link_contexts(marked(s, d).where("not text rlike '[<>{}|]'").select("title", "text")))
-SQL["t5_link_contexts"] = SQL["t5_link_contexts"].replace("FROM marked),", "FROM marked WHERE NOT regexp_matches(text, '[<>{}|]')),")
-query("t6_anchor_contexts", f"MARKED, x AS (SELECT doc_id, unnest({SENT}) AS s FROM marked) SELECT doc_id, count(*) AS n FROM x WHERE length(s) > 20 AND length(s) < 300 AND contains(s, '[[') GROUP BY 1")(
-    lambda s, d: marked(s, d).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s")).where((F.length("s") > 20) & (F.length("s") < 300) & F.col("s").contains("[[")).groupBy("doc_id").agg(F.count("*").alias("n")))
-query("t7_html_links")(lambda s, d: src.html_links(pages(s, d)))
-query("t8_html_text")(lambda s, d: src.html_text(pages(s, d)))
+query("t5_link_contexts", rf"""MARKED, c AS (SELECT title, {sql_cleaned('text')} AS text FROM marked), x AS (SELECT title, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS pos FROM c),
+ y AS (SELECT title, pos, unnest({sql_targets('s')}) AS target, trim(regexp_replace({sql_stripped('s')}, '\s+', ' ', 'g')) AS shown FROM x)
+ SELECT title, target, min_by(shown, pos) AS context FROM y WHERE length(shown) > 10 AND length(shown) < 500 GROUP BY 1, 2""")(lambda s, d: t.link_contexts(marked(s, d).select("title", "text")))
+_LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
+query("t6_anchor_contexts", rf"""MARKED, c AS (SELECT title, list_filter({sql_sentences(sql_cleaned('substr(text, 1, 3000)'))}, lambda x: length(x) > 20 AND length(x) < 300) AS fit,
+   list_slice(list_filter(regexp_extract_all(text, '{_LINK}'), lambda l: NOT ({_META.replace("(x,", "(substr(l, 3),")}) AND trim(split_part(regexp_extract(l, '{_LINK}', 1), '#', 1)) <> ''), 1, 50) AS links FROM marked),
+ l AS (SELECT title, fit, unnest(links) AS link, generate_subscripts(links, 1) AS pos FROM c),
+ n AS (SELECT title, fit, pos, trim(split_part(regexp_extract(link, '{_LINK}', 1), '#', 1)) AS to_, regexp_extract(link, '{_LINK}', 2) AS anchor FROM l),
+ m AS (SELECT title, fit, pos, upper(substr(to_, 1, 1)) || substr(to_, 2) AS target, anchor FROM n),
+ r AS (SELECT title, target, pos, list_filter(fit, lambda x: contains(x, CASE WHEN anchor <> '' THEN anchor ELSE target END))[1] AS s FROM m)
+ SELECT title, target, max_by(trim(regexp_replace(s, '\s+', ' ', 'g')), pos) AS context FROM r WHERE s IS NOT NULL GROUP BY 1, 2""")(lambda s, d: t.anchor_contexts(marked(s, d).select("title", "text")))
+query("t7_html_links")(lambda s, d: html.html_links(pages(s, d)))
+query("t7b_html_contexts")(lambda s, d: html.html_contexts(linked_pages(s, d)))
+query("t8_html_text")(lambda s, d: html.html_text(pages(s, d)))
+query("t8b_html_full_contexts")(lambda s, d: html.html_full_contexts(linked_pages(s, d)))
 query("t9_categories", "SELECT doc_id, 'Category:' || source || '|Category:' || lang AS cats FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.array_join(t.categories_of(F.concat(F.lit("[[Category:"), "source", F.lit("|x]] [[Category: "), "lang", F.lit("]]"))), "|").alias("cats")))
 query("t10_snippet", r"SELECT doc_id, CASE WHEN length(l) > 250 THEN substr(l, 1, 247) || '...' ELSE coalesce(l, '') END AS snippet FROM (SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS l FROM documents)")(lambda s, d: docs(s, d).select("doc_id", t.snippet(F.col("text")).alias("snippet")))
 query("t11_redirects", "SELECT doc_id, (doc_id % 4 = 0) AS redirect FROM documents")(lambda s, d: docs(s, d).select("doc_id", t.is_redirect(F.concat(F.when(F.col("doc_id") % 4 == 0, "\n #Redirect [[").otherwise("x"), F.coalesce("text", F.lit("")))).alias("redirect")))
-query("t12_strip_markup", r"MARKED SELECT doc_id, md5(regexp_replace(text, '\[\[([^\]]*)\]\]', '\1', 'g')) AS h FROM marked WHERE NOT contains(text, '''''') AND NOT contains(text, '|')")(lambda s, d: marked(s, d).where("not contains(text, \"''\") and not contains(text, '|')").select("doc_id", F.md5(t.strip_markup(F.col("text"))).alias("h")))
+query("t12_strip_markup", f"MARKED SELECT doc_id, md5({sql_stripped('text')}) AS h FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.md5(t.strip_markup(F.col("text"))).alias("h")))
 query("t13_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS h FROM pages")(lambda s, d: pages(s, d).select("page_id", F.md5(t.escape_html(F.col("html"))).alias("h")))
-query("t14_highlight")(lambda s, d: marked(s, d).select("doc_id", t.highlight(F.col("text"), F.lit("the")).alias("shown")))
-query("t15_topics")(lambda s, d: cats(s, d).select("doc_id", t.topic(F.col("text"), F.col("cats")).alias("topic")))
-_S = [(n, i, w) for n, i, w in t.TOPICS]
-_score = lambda w: " + ".join(f"(length(a) - length(replace(a, '{x}', ''))) / {len(x)}.0 + CASE WHEN contains(b, '{x}') THEN 5 ELSE 0 END" for x in w)
-query("t16_topic_ids", "SELECT doc_id, CASE " + " ".join(f"WHEN s{i} = m AND m > 0 THEN {i}" for _, i, _ in _S) + " ELSE 6 END AS topic FROM (SELECT *, greatest(" + ", ".join(f"s{i}" for _, i, _ in _S) + ") AS m FROM (SELECT doc_id, " + ", ".join(f"{_score(w)} AS s{i}" for _, i, w in _S) + " FROM (SELECT doc_id, lower(substr(text, 1, 60)) AS b, lower(substr(text, 1, 60) || ' ' || text) AS a FROM documents)))")(
-    lambda s, d: docs(s, d).select("doc_id", t.topic_id(t.topic(F.substring("text", 1, 60), F.array("text"))).alias("topic")))
-query("t15b_wikidata_topics", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type || ' ' || p_name), '{x}')" for x in w) + f" THEN '{n}'" for n, _, w in _S) + " END AS topic FROM part")(
-    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), t.wikidata_topic(F.concat_ws(" ", "p_type", "p_name")).alias("topic")))
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;')"
+_MARK = r'<mark style="color:#ffcc00">\1</mark>'
+query("t14_highlight", f"MARKED SELECT doc_id, regexp_replace({sql_stripped(_ESCAPED)}, '(the)', '{_MARK}', 'gi') AS shown FROM marked")(lambda s, d: marked(s, d).select("doc_id", t.highlight(F.col("text"), F.lit("the")).alias("shown")))
+# ---- topics
+#: Titles, categories and types of documents: the text's beginning; its language, its source and a word; one of some types.
+_TITLE, _KIND = "substr(text, 1, 60)", "CASE doc_id % 9 WHEN 0 THEN 'Human being' WHEN 1 THEN 'web service' WHEN 2 THEN 'galaxy' WHEN 3 THEN 'civil war' WHEN 4 THEN 'temple' WHEN 5 THEN 'unheard of' END"
+_CAT = "CASE doc_id % 8 WHEN 0 THEN 'Living people' WHEN 1 THEN 'Website founder' WHEN 2 THEN 'Dot-com towns' WHEN 3 THEN 'Video games' WHEN 4 THEN 'River islands' WHEN 5 THEN 'Machine software' ELSE 'Stub' END"
+
+
+def topic_rows(s, d):
+    return docs(s, d).selectExpr("doc_id", f"{_TITLE} AS title", f"array({_CAT}, lang, source) AS cats", f"{_KIND} AS kind")
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql_any(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, {_quoted(w)})" for w in words) + ")"
+
+
+def sql_scores(rows: str, scheme) -> str:
+    """(doc_id, ord): the best topic of rows (doc_id, t, a), by counting each keyword in a join."""
+    words = ", ".join(f"({i}, {_quoted(w)})" for i, (_, ws) in enumerate(scheme) for w in ws)
+    return f"""hits AS (SELECT doc_id, ord, sum((length(a) - length(replace(a, word, ''))) // length(word) + CASE WHEN contains(t, word) THEN 5 ELSE 0 END) AS n
+  FROM {rows} JOIN (VALUES {words}) AS k(ord, word) ON contains(a, word) GROUP BY 1, 2),
+ best AS (SELECT doc_id, arg_max(ord, n * 10 - ord) AS ord FROM hits GROUP BY 1)"""
+
+
+_IN = f"SELECT doc_id, lower({_TITLE}) AS t, lower({_TITLE} || ' ' || {_CAT} || ' ' || lang || ' ' || source) AS a, lower({_KIND}) AS kind FROM documents"
+_BY_TYPE = " ".join(f"WHEN {sql_any('kind', ws)} THEN '{n}'" for n, ws in topics.TYPES)
+_NAMES = " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(topics.FULL))
+query("t15_topics", f"""WITH d AS ({_IN}), {sql_scores("d", topics.FULL)}
+ SELECT doc_id, CASE {_BY_TYPE} WHEN {sql_any("a", topics.FULL[0][1])} AND NOT {sql_any("a", topics.NO_PERSON)} THEN 'Biography & People' WHEN {sql_any("a", topics.WEBSITES)} THEN 'Other & General'
+  ELSE CASE ord {_NAMES} ELSE 'Other & General' END END AS topic FROM d LEFT JOIN best USING (doc_id)""")(
+    lambda s, d: topic_rows(s, d).select("doc_id", topics.classify(F.col("title"), F.col("cats"), F.col("kind")).alias("topic")))
+query("t15b_type_topics", f"SELECT doc_id, CASE {_BY_TYPE} END AS topic FROM ({_IN})")(lambda s, d: topic_rows(s, d).select("doc_id", topics.type_topic(F.col("kind")).alias("topic")))
+query("t16_topic_ids", f"WITH d AS (SELECT doc_id, lower({_TITLE}) AS t, lower({_TITLE} || ' ' || text) AS a FROM documents), {sql_scores('d', topics.FULL)} SELECT doc_id, coalesce(ord, 6) AS topic FROM d LEFT JOIN best USING (doc_id)")(
+    lambda s, d: docs(s, d).select("doc_id", topics.topic_id(F.substring("text", 1, 60), F.array("text")).alias("topic")))
+query("t17_short_topics", f"WITH d AS ({_IN}), {sql_scores('d', topics.SHORT)} SELECT doc_id, coalesce(ord, 6) AS topic FROM d LEFT JOIN best USING (doc_id)")(lambda s, d: topic_rows(s, d).select("doc_id", topics.topic_id(F.col("title"), F.col("cats"), topics.SHORT).alias("topic")))
+query("t18_first_group", f"SELECT doc_id, CASE " + " ".join(f"WHEN {sql_any('c', ws)} THEN {i}" for i, (_, _, ws) in enumerate(topics.GROUPS)) + " END AS grp, CASE " + " ".join(f"WHEN {sql_any('c', ws)} THEN '{','.join(map(str, rgb))},0.9'" for _, rgb, ws in topics.GROUPS) + f" ELSE '0.3,0.3,0.3,0.2' END AS colour FROM (SELECT doc_id, lower({_CAT} || chr(10) || lang || chr(10) || source || chr(10) || text) AS c FROM documents)")(
+    lambda s, d: docs(s, d).selectExpr("doc_id", f"array({_CAT}, lang, source, text) AS cats").select("doc_id", topics.colour_group(F.col("cats")).alias("grp"), F.array_join(topics.group_colour(F.col("cats")).cast("array<string>"), ",").alias("colour")))
 GROUPS = (("metal", ("steel", "tin", "copper", "brass", "nickel")), ("big", ("large", "economy")), ("fine", ("polished", "burnished")))
-query("t18_first_group", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type || ' | ' || p_name), '{x}')" for x in w) + f" THEN '{n}'" for n, w in GROUPS) + " ELSE 'none' END AS grp FROM part")(
-    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), t.first_keyword_group(F.array("p_type", "p_name"), GROUPS, "none").alias("grp")))
-query("t19_topic_to_id", "SELECT n_nationkey AS k, CASE n_nationkey % 7 " + " ".join(f"WHEN {i} THEN {i}" for _, i, _ in _S) + " ELSE 6 END AS id FROM nation")(
-    lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), t.topic_id(F.element_at(F.array(*[F.lit(n) for n, _, _ in _S], F.lit("x")), (F.col("n_nationkey") % 7 + 1).cast("int"))).alias("id")))
+query("t18b_own_groups", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type || ' | ' || p_name), '{x}')" for x in w) + f" THEN '{n}'" for n, w in GROUPS) + " ELSE 'none' END AS grp FROM part")(
+    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), topics.first_keyword_group(F.array("p_type", "p_name"), GROUPS, "none").alias("grp")))
+query("t19_topic_to_id", "SELECT n_nationkey AS k, CASE n_nationkey % 8 WHEN 7 THEN 6 ELSE n_nationkey % 8 END AS id FROM nation")(
+    lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), topics.id_of(F.element_at(F.array(*[F.lit(n) for n, _ in topics.FULL], F.lit("Other & General"), F.lit("x")), (F.col("n_nationkey") % 8 + 1).cast("int"))).alias("id")))
 query("t21_json_lists", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.json_list(F.when(F.col("doc_id") % 3 == 0, "not json").otherwise(F.to_json(F.array("lang", "source"))))).alias("n")))
-query("t23_duration", "SELECT event_id, CASE WHEN v < 1000 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' ms' ELSE printf('%.2f', floor(v / 10 + 0.5) / 100) || ' s' END AS shown FROM (SELECT event_id, value * 20 AS v FROM events)")(lambda s, d: table(s, d, "events").select("event_id", src.maths.duration_text(F.col("value") * 20).alias("shown")))
+query("t23_duration", "SELECT event_id, CASE WHEN v < 1000 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' ms' ELSE printf('%.2f', floor(v / 10 + 0.5) / 100) || ' s' END AS shown FROM (SELECT event_id, value * 20 AS v FROM events)")(lambda s, d: table(s, d, "events").select("event_id", maths.duration_text(F.col("value") * 20).alias("shown")))
 query("t24_last_month", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(date_trunc('month', CAST(o_orderdate AS DATE)) - INTERVAL 15 DAY, '%Y/%m') AS month FROM orders")(lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", t.last_full_month(F.col("day")).alias("month")))
 query("t25_link_url", "SELECT p_partkey AS idx, '/wiki/' || replace(replace(p_name || ' #' || p_partkey, ' ', '%20'), '#', '%23') AS url FROM part")(lambda s, d: titles(s, d).select("idx", t.link_url(F.col("title")).alias("url")))
 query("t20_text_classifier")(lambda s, d: src.train_topic_classifier(docs(s, d).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))))
 query("a23_map_sum", "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")(
     lambda s, d: table(s, d, "events").select("user_id", F.aggregate(F.map_values(F.from_json("props", "map<string,bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("v")).groupBy("user_id").agg(F.sum("v").alias("total")))
-query("j1_resolve_links", r"""MARKED, raw AS (SELECT DISTINCT title AS source, upper(substr(l, 1, 1)) || substr(l, 2) AS target FROM (SELECT title, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) AS l FROM marked)),
+query("j1_resolve_links", rf"""MARKED, raw AS (SELECT title AS source, unnest({sql_targets("text", "false")}) AS target FROM marked),
  n AS (SELECT title, row_number() OVER (ORDER BY title) - 1 AS idx FROM (SELECT source AS title FROM raw UNION SELECT target FROM raw WHERE length(target) > 3))
  SELECT a.idx AS src, b.idx AS tgt FROM raw JOIN n a ON a.title = source JOIN n b ON b.title = target""")(lambda s, d: src.resolve_marked(marked(s, d)))
-query("o7_collated", "SELECT title FROM (SELECT p_name || ' #' || p_partkey AS title FROM part)")(lambda s, d: titles(s, d).select("title").orderBy(F.collate("title", "UNICODE").cast("string")))
+query("o7_collated", "SELECT title, row_number() OVER (ORDER BY title) - 1 AS place FROM (SELECT p_name || ' #' || p_partkey AS title FROM part)")(lambda s, d: src.numbered(titles(s, d).select("title"), F.collate("title", "UNICODE"), "place"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.functions import maths, text  # noqa: F401  (maths is used by queries)
+from linkloom.functions import maths, text
 from linkloom.operators import graph as g
 
 DUMP_SCHEMA = "title string, ns string, revision struct<text: string>"
@@ -91,11 +91,12 @@ def first_that_reads(spark: SparkSession, paths: list[str], fmt: str = "parquet"
     raise FileNotFoundError(", ".join(paths))
 
 
-def synthetic_links(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """Random links: 5 to 50 a node, targets by a power law, no self-links."""
-    base = spark.range(1, n + 1).select(F.col("id").alias("src"), (5 + F.floor(F.rand(seed) * 46)).cast("int").alias("k"))
-    rows = base.select("src", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i")).withColumn("tgt", F.floor(F.pow(F.rand(seed + 1), 3) * n) + 1)
-    return rows.where("src <> tgt").select("src", F.col("tgt").cast("long").alias("tgt"))
+def synthetic_links(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """Random links by hashes of node and place: 5 to 50 a node, targets by a power law, no self-links."""
+    base = spark.range(1, n + 1).select(F.col("id").alias("src"), (5 + F.floor(maths.unit_hash(F.col("id"), seed) * 46)).cast("int").alias("k"))
+    rows = base.select("src", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i"))
+    drawn = maths.unit_hash(F.col("src") * 64 + F.col("i"), seed + 1)
+    return rows.withColumn("tgt", F.floor(drawn * drawn * drawn * n).cast("long") + 1).where("src <> tgt").select("src", "tgt")
 
 
 # ---- sinks
@@ -122,8 +123,13 @@ def filled_metadata(spark: SparkSession, n: int, meta: DataFrame) -> DataFrame:
     return spark.range(n).join(meta, "id", "left").select("id", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("category", F.lit(6)).alias("category"))
 
 
+def weighted_lines(edges: DataFrame) -> DataFrame:
+    """(source, target, weight) with the weight as text of three places."""
+    return edges.select("source", "target", F.format_string("%.3f", F.bround("weight", 3)).alias("weight"))
+
+
 def write_weighted_edges(edges: DataFrame, path: str) -> None:
-    edges.select("source", "target", F.format_string("%.3f", F.bround("weight", 3)).alias("weight")).write.csv(path, header=True, compression="gzip")
+    weighted_lines(edges).write.csv(path, header=True, compression="gzip")
 
 
 def sized_json(words: DataFrame, most_bytes: int, few: int) -> DataFrame:
@@ -138,78 +144,21 @@ def resolve_title(nodes: DataFrame, title: str) -> DataFrame:
     return nodes.where(F.lower("title") == title.lower()).orderBy((F.col("title") != title).cast("int"), "idx").limit(1).select("idx")
 
 
+def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """rows with their place by an order, from 0, as a new column: sorted by ranges, one row a range through the only
+    global window. Rows of equal order come in any order."""
+    parts = g.reliable(rows.withColumn("_order", order).repartitionByRange(16, "_order").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    placed = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_order"))).join(F.broadcast(base), "_part")
+    return placed.select(*rows.columns, (F.col("_base") + F.col("_k") - 1).cast("long").alias(name))
+
+
 def resolve_marked(marked: DataFrame) -> DataFrame:
     """marked: (title, text). Links between known titles as (src, tgt) by dense place among titles."""
     raw = marked.select(F.col("title").alias("source"), F.explode(text.link_targets(F.col("text"), ())).alias("target")).distinct()
     known = raw.select(F.col("source").alias("title")).union(raw.where(F.length("target") > 3).select("target")).distinct()
-    parts = g.reliable(known.repartitionByRange(16, "title").withColumn("p", F.spark_partition_id()))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    nodes = parts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("title"))).join(F.broadcast(base), "p").select("title", (F.col("base") + F.col("k") - 1).cast("long").alias("idx"))
-    return g.resolved(raw, nodes)
-
-
-# ---- HTML
-
-
-def _parse(html: str):
-    from html.parser import HTMLParser
-    from urllib.parse import unquote
-
-    class P(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.depth, self.blocks, self.now, self.links, self.anchor, self.skip = 0, [], [], [], None, 0
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style", "nav", "footer", "table"):
-                self.skip += 1
-            if tag in ("p", "li", "h1"):
-                self.now = []
-            if tag == "a":
-                self.anchor = [dict(attrs).get("href") or "", []]
-
-        def handle_data(self, data):
-            if not self.skip:
-                self.now.append(data)
-            if self.anchor:
-                self.anchor[1].append(data)
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style", "nav", "footer", "table"):
-                self.skip = max(0, self.skip - 1)
-            if tag == "a" and self.anchor:
-                href, words = self.anchor
-                if href.startswith("/") and ":" not in href:
-                    self.links.append((unquote(href.rsplit("/", 1)[-1]).replace("_", " "), "".join(words).strip()))
-                self.anchor = None
-            if tag in ("p", "li", "h1") and "".join(self.now).strip():
-                self.blocks.append(" ".join("".join(self.now).split()))
-
-    p = P()
-    p.feed(html or "")
-    return p
-
-
-def html_links(pages: DataFrame) -> DataFrame:
-    """(page_id, target, anchor) of links within the site, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, k, *x) for i, h in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True) for k, x in enumerate(_parse(h).links)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["page_id", "pos", "target", "anchor"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, pos long, target string, anchor string")
-
-
-def html_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text) of headings, paragraphs and items outside navigation, tables and scripts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(["\n".join(_parse(h).blocks) for h in b.column("html").to_pylist()], pa.string())], ["page_id", "text"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, text string")
+    return g.resolved(raw, numbered(known, F.col("title"), "idx"))
 
 
 def train_topic_classifier(rows: DataFrame, features: int = 4096, rounds: int = 20) -> DataFrame:
@@ -225,7 +174,3 @@ def train_topic_classifier(rows: DataFrame, features: int = 4096, rounds: int =
     model = Pipeline(stages=stages).fit(rows.where("text is not null"))
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
     return back.transform(model.transform(rows.where("text is not null"))).select("id", "label", "predicted")
-
-
-def column_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
