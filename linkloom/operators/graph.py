@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import itertools
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.functions import maths
+
 #: Rows that may be broadcast where the size is counted first.
 BROADCAST_ROWS = 100_000
 
@@ -22,10 +28,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    """The folder that the session names for checkpoints; where it names none, a temporary one is set."""
+    """The folder that the session names for checkpoints; where it names none, a temporary one is set on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linkloom-"))
     return named or sc.getCheckpointDir()
 
@@ -38,12 +46,19 @@ def _remove(spark, path: str) -> None:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Lineage cut by a table in the shared checkpoint folder, computed once; it goes when the driver ends."""
+    """Lineage cut by a table in the shared checkpoint folder, computed once; it goes when dropped or when the driver ends."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkloom_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """A table of an earlier round, which nothing reads any more."""
+    _remove(table.sparkSession, table._linkloom_path)
 
 
 # ------------------------------------------------------------------------------------------ links and filters
@@ -233,14 +248,14 @@ def bidirectional_path(links: DataFrame, src: int, dst: int, max_depth: int | No
     return path_frame(spark, [])
 
 
-def cheapest_costs(links: DataFrame, src: int, cost: Column, max_rounds: int = 1000) -> DataFrame:
+def cheapest_costs(links: DataFrame, src: int, cost: Column, max_rounds: int | None = None) -> DataFrame:
     """links: with whatever cost reads. Least cost from src to every node: relaxations of those that improved, until
-    none does. Rows (idx, cost, pred)."""
+    none does; an error if max_rounds do not suffice. Rows (idx, cost, pred)."""
     spark = links.sparkSession
     arcs = links.select("src", "tgt", cost.alias("_c"))
     best = reliable(spark.range(1).select(F.lit(src).cast("long").alias("idx"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred")))
-    active = best
-    for _ in range(max_rounds):
+    active, before = best, None
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         step = active.select(F.col("idx").alias("src"), "cost").join(arcs, "src").groupBy(F.col("tgt").alias("idx")).agg(F.min(F.struct((F.col("cost") + F.col("_c")).alias("cost"), F.col("src").alias("pred"))).alias("s"))
         step = step.select("idx", F.col("s.cost").alias("new"), F.col("s.pred").alias("new_pred"))
         joined = reliable(best.join(step, "idx", "full").select("idx", "cost", "pred", "new", "new_pred", (F.col("cost").isNull() | (F.col("new") < F.col("cost") - 1e-12)).alias("better")))
@@ -249,7 +264,10 @@ def cheapest_costs(links: DataFrame, src: int, cost: Column, max_rounds: int = 1
             return best
         pick = lambda a, b, name: F.when(F.col("better"), F.col(a)).otherwise(F.col(b)).alias(name)
         best = joined.select("idx", pick("new", "cost", "cost"), pick("new_pred", "pred", "pred"))
-    return best
+        if before is not None:
+            drop(before)
+        before = joined
+    raise RuntimeError(f"costs still fall after {max_rounds} rounds")
 
 
 def cheapest_path(links: DataFrame, src: int, dst: int, cost: Column) -> DataFrame:
@@ -296,12 +314,20 @@ class SpilledMap:
 
 class DriverSearch:
     """Searches that are sequential by nature (depth first, best first with a heuristic): on the driver, looking up the
-    neighbours of a batch of nodes at a time. Holds what it has visited, never the graph; beyond max_held nodes in a
-    file, but for the stack or heap. Exhaustive unless the caller gives max_visited: no path is an empty list, a budget
-    that runs out is an error."""
+    neighbours of a batch of nodes at a time in links sorted by their source. Holds what it has visited, never the graph
+    nor its nodes; beyond max_held nodes in a file, but for the stack or heap. Exhaustive unless the caller gives
+    max_visited: no path is an empty list, a budget that runs out is an error.
+
+    at: the columns of links that give the place (x, y) of their target, for a heuristic by distance."""
 
-    def __init__(self, links: DataFrame, max_visited: int | None = None, max_held: int = 1_000_000):
-        self.links, self.known, self.max_visited, self.max_held = links.select("src", "tgt").distinct(), {}, max_visited, max_held
+    def __init__(self, links: DataFrame, max_visited: int | None = None, max_held: int = 1_000_000, at: tuple[str, str] | None = None, lookahead: int = 2000):
+        wide = links.select("src", "tgt", *(at or ())).distinct()
+        self.links, self.at, self.lookahead = reliable(wide.repartitionByRange("src").sortWithinPartitions("src")), at, lookahead
+        self.known, self.max_visited, self.max_held, self.x, self.y = {}, max_visited, max_held, SpilledMap(max_held), SpilledMap(max_held)
+
+    def distance_to(self, x: float, y: float) -> Callable[[int], float]:
+        """Straight distance of a node that was seen; 0 for one that was not."""
+        return lambda v: math.hypot(self.x[v] - x, self.y[v] - y) if v in self.x else 0.0
 
     def _check(self, visited: int) -> None:
         if self.max_visited is not None and visited > self.max_visited:
@@ -309,12 +335,14 @@ class DriverSearch:
 
     def out(self, v: int, ahead: list[int] = ()) -> list[int]:
         if v not in self.known:
-            ask = [v, *[a for a in ahead if a not in self.known][:200]]
+            ask = [v, *[a for a in ahead if a not in self.known][: self.lookahead]]
             got = self.links.where(F.col("src").isin(ask)).collect()
             for a in ask:
                 self.known[a] = []
             for r in got:
                 self.known[r.src].append(r.tgt)
+                if self.at:
+                    self.x[r.tgt], self.y[r.tgt] = r[self.at[0]], r[self.at[1]]
             for a in ask:
                 self.known[a].sort()
         return self.known[v]
@@ -327,7 +355,7 @@ class DriverSearch:
             if v == dst:
                 return self._path(pred, dst)
             self._check(len(pred))
-            for w in self.out(v, stack[-50:]):
+            for w in self.out(v, stack[: -self.lookahead - 1 : -1]):
                 if w not in pred:
                     pred[w] = v
                     stack.append(w)
@@ -348,7 +376,7 @@ class DriverSearch:
             if v == dst:
                 return self._path(pred, dst)
             self._check(len(cost))
-            for w in self.out(v, [x for _, x in heap[:50]]):
+            for w in self.out(v, [x for _, x in heap[: self.lookahead]]):
                 c = cost[v] + step_cost(v, w)
                 if w not in closed and c < cost.get(w, float("inf")):
                     cost[w], pred[w] = c, v
@@ -395,19 +423,23 @@ def random_walks(links: DataFrame, starts: DataFrame, steps: int, seed: int = 0)
 # ------------------------------------------------------------------------------------------ cores, labels, communities
 
 
-def core_numbers(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """idx, core: of the undirected graph, by taking each node's h-index of its neighbours' values until none changes."""
+def core_numbers(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """idx, core: of the undirected graph, by taking each node's h-index of its neighbours' values until none changes; an
+    error if max_rounds do not suffice. The h-index comes from counts of neighbours by value, so a node of very many
+    links is no large group."""
     arcs = reliable(symmetric(links).where("src <> tgt"))
     core = reliable(arcs.groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("core")))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("core")))
-    for _ in range(max_rounds):
-        seen = arcs.join(core.withColumnRenamed("idx", "tgt"), "tgt").withColumn("r", rank)
-        new = seen.groupBy(F.col("src").alias("idx")).agg(F.max(F.least("core", F.col("r").cast("long"))).alias("new"))
+    reach = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("value")))
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
+        own = core.select(F.col("idx").alias("src"), F.col("core").alias("own"))
+        seen = arcs.join(core.withColumnRenamed("idx", "tgt"), "tgt").join(own, "src").groupBy("src", F.least("core", "own").alias("value")).agg(F.count("*").alias("n"))
+        new = seen.withColumn("reach", reach).groupBy(F.col("src").alias("idx")).agg(F.max(F.least("value", "reach")).alias("new"))
         step = reliable(core.join(new, "idx").select("idx", F.least("core", "new").alias("core"), (F.col("new") < F.col("core")).alias("moved")))
-        core = step.select("idx", "core")
+        drop(core)
+        core = step
         if step.where("moved").isEmpty():
-            return core
-    return core
+            return step.select("idx", "core")
+    raise RuntimeError(f"core numbers still fall after {max_rounds} rounds")
 
 
 def backbone(cores: DataFrame, q: float = 0.9, least: int = 3) -> DataFrame:
@@ -450,7 +482,7 @@ def louvain(links: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> Data
     placed = reliable(nodes.select("idx", F.col("idx").alias("node")))
     for _ in range(max_levels):
         k = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-        state = reliable(k.select("node", "k", F.col("node").alias("com")))
+        state = held = reliable(k.select("node", "k", F.col("node").alias("com")))
         moved_any = False
         for r in range(max_rounds):
             tot = state.groupBy("com").agg(F.sum("k").alias("tot"))
@@ -463,7 +495,8 @@ def louvain(links: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> Data
             turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
             new = reliable(state.join(best, "node").select("node", "k", F.when(turn, F.col("to")).otherwise(F.col("com")).alias("com"), (turn & (F.col("to") != F.col("com"))).alias("moved")))
             moved = not new.where("moved").isEmpty()
-            state = new.drop("moved")
+            drop(held)
+            state, held = new.drop("moved"), new
             moved_any |= moved
             if not moved and r % 2:
                 break
@@ -480,21 +513,63 @@ def louvain(links: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> Data
 
 
 def embed(links: DataFrame, dims: int = 128, weights: tuple[float, ...] = (1.0, 1.0, 0.8, 0.6), seed: int = 0) -> DataFrame:
-    """Random-projection embedding: hashed signs R diffused along P = D^-1 (A + I), sum of w_k P^k R, scaled to length 1.
-    Rows (idx, vector)."""
+    """Random-projection embedding: hashed normal numbers R diffused along P = D^-1 (A + I), sum of w_k P^k R, less the
+    mean over all nodes, scaled to length 1. Rows (idx, vector). Means over links are partial sums of vectors, one row a
+    link."""
     both = symmetric(links).where("src <> tgt")
     own = both.select(F.col("src").alias("idx")).distinct()
     arcs = reliable(both.unionByName(own.select(F.col("idx").alias("src"), F.col("idx").alias("tgt"))))
-    sign = lambda j: F.when(F.pmod(F.xxhash64("idx", j, F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    now = reliable(own.select("idx", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), sign).alias("v")))
+    drawn = lambda j: maths.normal_hash(F.col("idx") * dims + j, 11 + 2 * seed)
+    now = reliable(own.select("idx", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), drawn).alias("v")))
     total = now.select("idx", F.transform("v", lambda x: x * weights[0]).alias("vector"))
     for w in weights[1:]:
-        flat = arcs.join(now.withColumnRenamed("idx", "tgt"), "tgt").select(F.col("src").alias("idx"), F.posexplode("v").alias("j", "x"))
-        means = flat.groupBy("idx", "j").agg(F.avg("x").alias("x"))
-        now = reliable(means.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("s")).select("idx", F.transform("s", lambda s: s["x"]).alias("v")))
+        flat = arcs.join(now.select(F.col("idx").alias("tgt"), array_to_vector("v").alias("v")), "tgt")
+        now = reliable(flat.groupBy(F.col("src").alias("idx")).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("v")))
         total = reliable(total.join(now, "idx").select("idx", F.zip_with("vector", "v", lambda a, b: a + b * w).alias("vector")))
+    mean = total.agg(vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("mean"))  # one row
+    centred = total.crossJoin(F.broadcast(mean)).select("idx", F.zip_with("vector", "mean", lambda a, b: a - b).alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return total.select("idx", F.transform("vector", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("vector"))
+    return centred.select("idx", F.transform("vector", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("vector"))
+
+
+def project(vectors: DataFrame, spread: float = 100.0) -> DataFrame:
+    """vectors: (idx, vector). Places (idx, x, y) on the two main axes, scaled to a standard deviation of `spread`. A
+    linear stand-in for a neighbour-preserving projection; force_layout over the nearest neighbours may follow it."""
+    from pyspark.ml.feature import PCA
+
+    rows = vectors.select("idx", array_to_vector("vector").alias("vector"))
+    out = PCA(k=2, inputCol="vector", outputCol="place").fit(rows).transform(rows).select("idx", vector_to_array("place").alias("p")).select("idx", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    size = out.agg(F.greatest(F.stddev_pop("x"), F.lit(1e-12)).alias("sx"), F.greatest(F.stddev_pop("y"), F.lit(1e-12)).alias("sy"))  # one row
+    return out.crossJoin(F.broadcast(size)).select("idx", (F.col("x") / F.col("sx") * spread).alias("x"), (F.col("y") / F.col("sy") * spread).alias("y"))
+
+
+# ------------------------------------------------------------------------------------------ property graphs
+
+
+def merge_nodes(nodes: DataFrame, new: DataFrame, key: str = "idx") -> DataFrame:
+    """nodes with those of new added; of a node in both, attributes that new has (not null) take the place of the old."""
+    rest = [c for c in nodes.columns if c != key]
+    more = [c for c in new.columns if c != key and c not in rest]
+    fresh = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c != key])
+    pick = lambda c: F.coalesce(f"_new_{c}", c) if c in new.columns else F.col(c)
+    return nodes.join(fresh, key, "full").select(key, *[pick(c).alias(c) for c in rest], *[F.col(f"_new_{c}").alias(c) for c in more])
+
+
+def load_graph(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes once each, and the links, once each, of which both ends are among them."""
+    nodes = nodes.dropDuplicates(["idx"])
+    ends = nodes.select("idx")
+    kept = links.join(ends.withColumnRenamed("idx", "src"), "src", "left_semi").join(ends.withColumnRenamed("idx", "tgt"), "tgt", "left_semi")
+    return nodes, kept.dropDuplicates(["src", "tgt"])
+
+
+def add_to_graph(nodes: DataFrame, links: DataFrame, new_nodes: DataFrame, new_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with nodes merged and links added; ends of new links that are no nodes yet become nodes without
+    attributes, links that are there already stay as they are."""
+    merged = merge_nodes(nodes, new_nodes)
+    ends = new_links.select(F.col("src").alias("idx")).union(new_links.select("tgt")).distinct().join(merged.select("idx"), "idx", "left_anti")
+    fresh = new_links.dropDuplicates(["src", "tgt"]).join(links.select("src", "tgt"), ["src", "tgt"], "left_anti")
+    return merged.unionByName(ends, allowMissingColumns=True), links.unionByName(fresh, allowMissingColumns=True)
 
 
 def force_layout(nodes: DataFrame, links: DataFrame, iterations: int = 20, length: float = 30.0, repulsion: float = 400.0, gravity: float = 0.02, pinned: DataFrame | None = None) -> DataFrame:
@@ -526,5 +601,6 @@ def force_layout(nodes: DataFrame, links: DataFrame, iterations: int = 20, lengt
         step = pos.join(spring, "idx", "left").join(push, "idx", "left")
         vx, vy = (z("sx") + z("px") - gravity * F.col("x")) * alpha, (z("sy") + z("py") - gravity * F.col("y")) * alpha
         slow = F.least(F.lit(1.0), 50.0 / F.greatest(F.hypot(vx, vy), F.lit(1e-9)))
-        pos = reliable(step.select("idx", F.when(F.col("fixed"), F.col("x")).otherwise(F.col("x") + vx * slow).alias("x"), F.when(F.col("fixed"), F.col("y")).otherwise(F.col("y") + vy * slow).alias("y"), "d", "fixed"))
+        last, pos = pos, reliable(step.select("idx", F.when(F.col("fixed"), F.col("x")).otherwise(F.col("x") + vx * slow).alias("x"), F.when(F.col("fixed"), F.col("y")).otherwise(F.col("y") + vy * slow).alias("y"), "d", "fixed"))
+        drop(last)
     return pos.select("idx", "x", "y")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.functions import maths
+
 
 def clamped_cell(v: Column, bound: Column | float, cells: int) -> Column:
     return F.least(F.greatest(F.floor((v + bound) / (2 * bound) * cells), F.lit(0)), F.lit(cells - 1)).cast("long")
@@ -90,25 +96,46 @@ def cell_budget(cells: DataFrame, budget: int, hidden: tuple[int, ...] = ()) ->
 def cell_budget_exact(cells: DataFrame, budget: int, hidden: tuple[int, ...] = ()) -> DataFrame:
     """The accumulating form: populated cells in order of row and column; each adds budget / cells to what is saved up
     (at most 1.5 times that, or 5), gives as many nodes as it has up to the whole part, and the total stops at budget.
-    The recurrence runs over one array of cells (as many as the grid has at most), not over nodes."""
+    The recurrence runs in one task over cells (as many as the grid has at most), not over nodes."""
     size = cells.groupBy("cy", "cx").agg(F.count("*").alias("n"))
-    ordered = size.agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "n"))).alias("c"))
-    step = F.lit(float(budget)) / F.size("c")
-    cap = F.greatest(1.5 * step, F.lit(5.0))
-    start = F.struct(F.lit(0.0).alias("acc"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<cy:long,cx:long,take:long>>").alias("out"))
-
-    def put(s: Column, c: Column) -> Column:
-        acc = F.least(s["acc"] + step, cap)
-        take = F.least(c["n"], F.floor(acc), F.lit(budget) - s["used"]).cast("long")
-        row = F.struct(c["cy"].cast("long").alias("cy"), c["cx"].cast("long").alias("cx"), take.alias("take"))
-        return F.struct((acc - take).alias("acc"), (s["used"] + take).alias("used"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    shares = ordered.select(F.explode(F.aggregate("c", start, put)["out"]).alias("s")).select("s.cy", "s.cx", "s.take")
+    size = size.withColumn("m", F.count("*").over(Window.partitionBy())).sortWithinPartitions("cy", "cx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        saved, used = 0.0, 0
+        for b in batches:
+            takes = []
+            for n, m in zip(b.column("n").to_pylist(), b.column("m").to_pylist(), strict=True):
+                step = budget / m
+                saved = min(saved + step, max(1.5 * step, 5.0))
+                take = min(n, int(saved), budget - used)
+                saved, used = saved - take, used + take
+                takes.append(take)
+            yield pa.RecordBatch.from_arrays([b.column("cy"), b.column("cx"), pa.array(takes, pa.int64())], ["cy", "cx", "take"])
+
+    shares = size.select(F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"), "n", "m").mapInArrow(run, "cy long, cx long, take long")
     rank = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("idx"))
     out = cells.withColumn("rank", rank).join(shares, ["cy", "cx"]).where(F.col("rank") <= F.col("take")).select(*cells.columns)
     return out.where(~F.col("category").isin(*hidden)) if hidden else out
 
 
+def view_cells(cells: DataFrame, box, bound: float, n: int, margin: float = 1.4) -> DataFrame:
+    """Populated cells that a view, widened by a margin about its centre, covers."""
+    x0, y0, x1, y1 = box
+    wide = lambda lo, hi: ((lo + hi) / 2 - (hi - lo) / 2 * margin, (lo + hi) / 2 + (hi - lo) / 2 * margin)
+    cell = lambda v: min(max(math.floor((v + bound) / (2 * bound) * n), 0), n - 1)
+    (xa, xb), (ya, yb) = wide(x0, x1), wide(y0, y1)
+    return cells.where(F.col("cx").between(cell(xa), cell(xb)) & F.col("cy").between(cell(ya), cell(yb))).select("cx", "cy").distinct()
+
+
+def over(top: DataFrame, bottom: DataFrame) -> DataFrame:
+    """Rasters (px, py, r, g, b, a) of values 0 to 1 laid one over the other; pixels of either."""
+    names = ("r", "g", "b", "a")
+    both = top.select("px", "py", *[F.col(c).alias(f"t{c}") for c in names]).join(bottom.select("px", "py", *[F.col(c).alias(f"b{c}") for c in names]), ["px", "py"], "full").na.fill(0.0)
+    alpha = F.col("ta") + F.col("ba") * (1 - F.col("ta"))
+    mixed = lambda c: F.when(alpha > 0, (F.col(f"t{c}") * F.col("ta") + F.col(f"b{c}") * F.col("ba") * (1 - F.col("ta"))) / alpha).otherwise(0.0)
+    return both.select("px", "py", *[mixed(c).alias(c) for c in "rgb"], alpha.alias("a"))
+
+
 def raster_points(nodes: DataFrame, bound: float, size: int) -> DataFrame:
     """px, py, count."""
     return grid_cells(nodes, size, bound).groupBy(F.col("cx").alias("px"), F.col("cy").alias("py")).agg(F.count("*").alias("count"))
@@ -148,3 +175,10 @@ def equalised(raster: DataFrame, floor: float = 0.15, gamma: float = 0.8) -> Dat
     out = raster.withColumn("_own", own).join(F.broadcast(value), "count")
     share = (F.col("_below") + F.col("_own")) / F.greatest(F.col("_total") - 1, F.lit(1))
     return out.select("px", "py", "count", (floor + (1 - floor) * F.pow(share, gamma)).alias("intensity"))
+
+
+def orphan_ring(nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Nodes (idx, x, y) that are not placed, on a ring just outside all but the outermost of those that are: (idx, r, a)."""
+    edge = nodes.join(placed, "idx", "left_semi").agg(F.percentile(F.hypot("x", "y"), 0.97).alias("e"))  # one row
+    out = nodes.join(placed, "idx", "left_anti").crossJoin(F.broadcast(edge))
+    return out.select("idx", (F.col("e") * (1 + 0.15 * maths.unit_hash(F.col("idx"), 6))).alias("r"), (2 * math.pi * maths.unit_hash(F.col("idx"), 7)).alias("a"))

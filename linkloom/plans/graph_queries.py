@@ -9,7 +9,7 @@ from linkloom.functions import maths
 from linkloom.operators import graph as g
 from linkloom.operators import spatial
 
-from .fixtures import DEGREES_SQL, EDGES_SQL, GRAPH_SQL, edges, links, nodes, pairs, table
+from .fixtures import DEGREES_SQL, GRAPH_SQL, edges, links, nodes, pairs, sql_unit, table
 
 Q, SQL = {}, {}
 HEAD = f"WITH RECURSIVE {GRAPH_SQL}, {DEGREES_SQL}"
@@ -51,8 +51,8 @@ query("f2_rowid_lookup", "SELECT idx, title, views FROM nodes WHERE idx = 17")(l
 query("f3_in_list", "SELECT idx, title, category FROM nodes WHERE idx IN (SELECT tgt FROM edges WHERE src = 7)")(
     lambda s, d: N(s, d).join(E(s, d).where("src = 7").select(F.col("tgt").alias("idx")), "idx", "left_semi").select("idx", "title", "category"))
 query("f4_context_present", "SELECT src, tgt, context FROM links WHERE context IS NOT NULL AND context <> ''")(lambda s, d: links(s, d).where("context is not null and context <> ''").select("src", "tgt", "context"))
-query("f5_range_mask", f"WITH {EDGES_SQL} SELECT src, tgt, count(*) AS n FROM pairs WHERE src <> tgt AND src < 150 AND tgt < 150 GROUP BY 1, 2", False)(
-    lambda s, d: pairs(s, d).where("src <> tgt and src < 150 and tgt < 150").groupBy("src", "tgt").agg(F.count("*").alias("n")))
+query("f5_range_mask", "SELECT src, tgt, count(*) AS n FROM pairs WHERE src <> tgt AND src < (SELECT count(*) FROM part) AND tgt < (SELECT count(*) FROM part) GROUP BY 1, 2")(
+    lambda s, d: (lambda n: pairs(s, d).where((F.col("src") != F.col("tgt")) & (F.col("src") < n) & (F.col("tgt") < n)).groupBy("src", "tgt").agg(F.count("*").alias("n")))(N(s, d).count()))
 query("f6_viewport", "SELECT n.idx, n.title, n.views FROM nodes n JOIN deg USING (idx) WHERE x BETWEEN -100 AND 100 AND y BETWEEN -80 AND 80 AND views >= 10 AND in_degree >= 2 AND lower(title) LIKE '%a%'")(
     lambda s, d: spatial.viewport(D(s, d), (-80, -60, 80, 60), 20.0, 10, 2, None, "A").select("idx", "title", "views"))
 query("f18_drop_nan", "SELECT idx, x FROM nodes WHERE idx % 5 <> 0")(lambda s, d: N(s, d).select("idx", F.when(F.col("idx") % 5 == 0, float("nan")).otherwise(F.col("x")).alias("x")).where(~F.isnan("x")))
@@ -177,8 +177,8 @@ query("o6_union_limit", "SELECT * FROM (SELECT 'out' AS kind, tgt AS nbr FROM ed
 query("o9_union_minus_seen", "SELECT idx FROM nodes WHERE category = 1 AND idx NOT IN (SELECT tgt FROM edges WHERE src = 7) UNION SELECT tgt FROM edges WHERE src = 7")(
     lambda s, d: N(s, d).where("category = 1").select("idx").join(E(s, d).where("src = 7").select(F.col("tgt").alias("idx")), "idx", "left_anti").union(E(s, d).where("src = 7").select("tgt")).distinct())
 query("o10_symmetrised", "SELECT src, tgt FROM edges UNION SELECT tgt, src FROM edges")(lambda s, d: g.symmetric(E(s, d)))
-query("o11_hash_sample")(lambda s, d: E(s, d).where(F.pmod(F.xxhash64("src", "tgt"), F.lit(1000)) < 30))
-query("o12_random_nodes")(lambda s, d: N(s, d).orderBy(F.rand(42)).limit(10))
+query("o11_hash_sample", f"SELECT src, tgt, cnt FROM edges WHERE {sql_unit('(src * 1000003 + tgt)', 42)} < 0.03")(lambda s, d: E(s, d).where(maths.unit_hash(F.col("src") * 1000003 + F.col("tgt"), 42) < 0.03).select("src", "tgt", "cnt"))
+query("o12_random_nodes", f"SELECT idx, title FROM nodes ORDER BY {sql_unit('idx', 43)}, idx LIMIT 10")(lambda s, d: N(s, d).select("idx", "title").orderBy(maths.unit_hash(F.col("idx"), 43), "idx").limit(10))
 query("o13_first_seen", "SELECT tgt, min_by(src, first_order * 1000000 + src) AS src FROM edges GROUP BY 1")(lambda s, d: E(s, d).groupBy("tgt").agg(F.min_by("src", F.struct("first_order", "src")).alias("src")))
 query("o16_consecutive", "SELECT conv_id, turn, next FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL", False)(
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next")).where("next is not null"))
@@ -223,35 +223,41 @@ query("g8c_weighted_path")(lambda s, d: g.cheapest_path(weighted(s, d), 1, 150,
 query("g4_depth_first")(lambda s, d: g.path_frame(s, g.DriverSearch(E(s, d)).depth_first(1, 150)))
 
 
-def xy(s, d):
-    import math
+def best_first(s, d, step: float):
+    """From node 1 to node 150 by straight distance, looked up beside the neighbours."""
+    places = N(s, d).select(F.col("idx").alias("tgt"), "x", "y")
+    search, goal = g.DriverSearch(E(s, d).join(places, "tgt"), at=("x", "y")), N(s, d).where("idx = 150").select("x", "y").first()
+    return g.path_frame(s, search.best_first(1, 150, lambda a, b: step, search.distance_to(goal.x, goal.y)))
 
-    at = {}
 
-    def where(v):
-        if v not in at:
-            r = N(s, d).where(F.col("idx") == v).select("x", "y").first()
-            at[v] = (r.x, r.y)
-        return at[v]
-
-    goal = where(150)
-    for r in N(s, d).select("idx", "x", "y").toLocalIterator():
-        at[r.idx] = (r.x, r.y)
-    return lambda v: math.dist(where(v), goal)
-
-
-query("g8a_astar")(lambda s, d: g.path_frame(s, g.DriverSearch(E(s, d)).best_first(1, 150, lambda a, b: 1.0, xy(s, d))))
-query("g8b_greedy")(lambda s, d: g.path_frame(s, g.DriverSearch(E(s, d)).best_first(1, 150, lambda a, b: 0.0, xy(s, d))))
+query("g8a_astar")(lambda s, d: best_first(s, d, 1.0))
+query("g8b_greedy")(lambda s, d: best_first(s, d, 0.0))
 query("g9_random_walks")(lambda s, d: g.random_walks(E(s, d), ids(s, 1, 2, 3, 4), 10, 7))
-query("g10_louvain")(lambda s, d: g.louvain(und(s, d), 3, 6))
+query("g10_louvain")(lambda s, d: g.louvain(und(s, d)))
 query("g11_core_numbers")(lambda s, d: g.core_numbers(E(s, d)))
 query("g11b_backbone")(lambda s, d: g.backbone(g.core_numbers(E(s, d))))
-LABELS = """+ sym AS (SELECT src, tgt FROM edges UNION SELECT tgt, src FROM edges), h0 AS (SELECT idx, idx AS gateway, 0 AS hop FROM nodes WHERE idx IN (3, 50, 90)),
- h1 AS (SELECT * FROM h0 UNION ALL SELECT tgt, min(gateway), 1 FROM h0 JOIN sym ON src = idx WHERE tgt NOT IN (SELECT idx FROM h0) GROUP BY 1),
- h2 AS (SELECT * FROM h1 UNION ALL SELECT tgt, min(gateway), 2 FROM h1 JOIN sym ON src = idx WHERE hop = 1 AND tgt NOT IN (SELECT idx FROM h1) GROUP BY 1) """
-query("g12_label_hops", LABELS + "SELECT idx, gateway, CAST(hop AS BIGINT) AS hop FROM h2")(lambda s, d: g.propagate_labels(E(s, d), ids(s, 3, 50, 90), 2))
-query("g13_inherit_category", LABELS + "SELECT h2.idx, n.category FROM h2 JOIN nodes n ON n.idx = h2.gateway")(
-    lambda s, d: g.propagate_labels(E(s, d), ids(s, 3, 50, 90), 2).join(N(s, d).select(F.col("idx").alias("gateway"), "category"), "gateway").select("idx", "category"))
-query("g14_force_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d), 3))
-query("g15_pinned_layout", "SELECT idx, x, y FROM nodes WHERE idx <= 20")(lambda s, d: g.force_layout(N(s, d), E(s, d), 2, pinned=N(s, d).where("idx <= 20")).where("idx <= 20"))
-query("g18_embedding")(lambda s, d: g.embed(E(s, d), 16))
+LABELS = "+ sym AS (SELECT src, tgt FROM edges UNION SELECT tgt, src FROM edges), h0 AS (SELECT idx, idx AS gateway, 0 AS hop FROM nodes WHERE idx IN (3, 50, 90))" + "".join(
+    f", h{k} AS (SELECT * FROM h{k - 1} UNION ALL SELECT tgt, min(gateway), {k} FROM h{k - 1} JOIN sym ON src = idx WHERE hop = {k - 1} AND tgt NOT IN (SELECT idx FROM h{k - 1}) GROUP BY 1)" for k in range(1, 11)
+) + " "
+query("g12_label_hops", LABELS + "SELECT idx, gateway, CAST(hop AS BIGINT) AS hop FROM h10")(lambda s, d: g.propagate_labels(E(s, d), ids(s, 3, 50, 90)))
+query("g13_inherit_category", LABELS + "SELECT h10.idx, n.category FROM h10 JOIN nodes n ON n.idx = h10.gateway")(
+    lambda s, d: g.propagate_labels(E(s, d), ids(s, 3, 50, 90)).join(N(s, d).select(F.col("idx").alias("gateway"), "category"), "gateway").select("idx", "category"))
+query("g14_force_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d)))
+query("g15_pinned_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d), 2, pinned=N(s, d).where("idx <= 20")))
+query("g18_embedding")(lambda s, d: g.embed(E(s, d)))
+query("g19_projection")(lambda s, d: g.project(g.embed(E(s, d), 32)))
+
+
+def new_graph(s, d):
+    """Every third node's neighbour by number with other views, and links from each to nodes half of which are none."""
+    n = table(s, d, "part").count()
+    nodes = N(s, d).where("idx % 3 = 0").select((F.col("idx") + 1).alias("idx"), F.when(F.col("idx") % 2 == 0, F.col("views") + 1).alias("views"), F.lit("x").alias("note"))
+    links = N(s, d).select(F.col("idx").alias("src"), (F.col("idx") * 2 - F.col("idx") % 2).alias("tgt"))
+    return n, nodes, links
+
+
+_NEW = "new AS (SELECT idx + 1 AS idx, CASE WHEN idx % 2 = 0 THEN views + 1 END AS views, 'x' AS note FROM nodes WHERE idx % 3 = 0), fresh AS (SELECT idx AS src, idx * 2 - idx % 2 AS tgt FROM nodes)"
+query("g2_loaded_links", f"+ {_NEW} SELECT src, tgt FROM fresh WHERE tgt IN (SELECT idx FROM nodes)")(lambda s, d: g.load_graph(N(s, d), new_graph(s, d)[2])[1].select("src", "tgt"))
+query("g2_merged_nodes", f"+ {_NEW} SELECT idx, coalesce(new.views, nodes.views) AS views, note FROM (SELECT idx FROM nodes UNION SELECT idx FROM new UNION SELECT src FROM fresh UNION SELECT tgt FROM fresh) LEFT JOIN nodes USING (idx) LEFT JOIN new USING (idx)")(
+    lambda s, d: g.add_to_graph(N(s, d).select("idx", "views"), E(s, d).select("src", "tgt"), *new_graph(s, d)[1:])[0].select("idx", "views", "note"))
+query("g2_merged_links", f"+ {_NEW} SELECT src, tgt FROM edges UNION SELECT src, tgt FROM fresh")(lambda s, d: g.add_to_graph(N(s, d).select("idx", "views"), E(s, d).select("src", "tgt"), *new_graph(s, d)[1:])[1].select("src", "tgt"))

@@ -11,7 +11,7 @@ from linkloom.operators import graph as g
 from linkloom.operators import spatial as sp
 from linkloom.streaming import events as ev
 
-from .fixtures import table
+from .fixtures import sql_normal, sql_unit, table
 from .graph_queries import HEAD, D, E, N, ids
 
 Q, SQL = {}, {}
@@ -50,9 +50,12 @@ def v2(s, d):
     return k.select("cell", "n", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).cast("long").alias("start"))
 
 
-query("v3_view_cells", f"+{G64} SELECT DISTINCT cx, cy FROM c WHERE cx BETWEEN 20 AND 40 AND cy BETWEEN 25 AND 45")(lambda s, d: C(s, d).where("cx between 20 and 40 and cy between 25 and 45").select("cx", "cy").distinct())
+query("v3_view_cells", f"+{G64} SELECT DISTINCT cx, cy FROM c WHERE cx BETWEEN 20 AND 43 AND cy BETWEEN 23 AND 44")(lambda s, d: sp.view_cells(C(s, d).select("cx", "cy"), (-60.0, -40.0, 60.0, 74.0), 240.0, 64))
 query("v4_cell_budget", f"+{G64} SELECT idx FROM (SELECT idx, category, row_number() OVER (PARTITION BY cx, cy ORDER BY idx) AS r FROM c) WHERE r <= greatest(1, floor(150.0 / (SELECT count(*) FROM (SELECT DISTINCT cx, cy FROM c)))) AND category NOT IN (2)")(lambda s, d: sp.cell_budget(C(s, d), 150, (2,)).select("idx"))
-query("v4b_exact_budget")(lambda s, d: sp.cell_budget_exact(C(s, d, 16), 90, (2,)).select("idx"))
+query("v4b_exact_budget", f"""+{cells_sql('c', 16, 240.0)}, sz AS (SELECT cy, cx, n, count(*) OVER () AS m, row_number() OVER (ORDER BY cy, cx) AS k FROM (SELECT cy, cx, count(*) AS n FROM c GROUP BY 1, 2)),
+ r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS saved, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS take, CAST(NULL AS BIGINT) AS cy, CAST(NULL AS BIGINT) AS cx UNION ALL
+  SELECT k, now - t, used + t, t, cy, cx FROM (SELECT *, CAST(least(n, floor(now), 90 - used) AS BIGINT) AS t FROM (SELECT sz.k, sz.n, r.used, sz.cy, sz.cx, least(r.saved + 90.0::DOUBLE / sz.m, greatest(1.5 * 90.0::DOUBLE / sz.m, 5)) AS now FROM r JOIN sz ON sz.k = r.k + 1)))
+ SELECT idx FROM (SELECT idx, category, cx, cy, row_number() OVER (PARTITION BY cx, cy ORDER BY idx) AS rank FROM c) c JOIN r USING (cx, cy) WHERE rank <= take AND category NOT IN (2)""")(lambda s, d: sp.cell_budget_exact(C(s, d, 16), 90, (2,)).select("idx"))
 query("v5_must_include", f"+{G64} SELECT idx FROM c WHERE cx < 30 UNION SELECT idx FROM nodes WHERE idx IN (1, 2, 150)")(lambda s, d: C(s, d).where("cx < 30").select("idx").union(N(s, d).join(ids(s, 1, 2, 150), "idx", "left_semi").select("idx")).distinct())
 query("v6_hairlines", f"+{G64}, st AS (SELECT v AS idx, max_by(w, degree * 10000000 + w) AS nbr FROM (SELECT src AS v, tgt AS w FROM edges UNION SELECT tgt, src FROM edges) JOIN deg ON deg.idx = w GROUP BY 1) SELECT st.idx, st.nbr FROM st JOIN c ON c.idx = st.idx WHERE cx < 30")(
     lambda s, d: g.strongest_neighbour(D(s, d), E(s, d)).join(C(s, d).where("cx < 30").select("idx"), "idx", "left_semi"))
@@ -79,15 +82,26 @@ query("a10_representatives", f"+{G25} SELECT cx, cy, max_by(idx, degree * 100000
 query("a11_links_per_cell", f"+{G25} SELECT cx, cy, count(DISTINCT src * 100000000 + tgt) AS n FROM (SELECT src, tgt, cx, cy FROM edges JOIN c ON c.idx = src UNION ALL SELECT src, tgt, cx, cy FROM edges JOIN c ON c.idx = tgt) GROUP BY 1, 2")(
     lambda s, d: (lambda e, c: e.join(c, e.src == c.idx).select("src", "tgt", "cx", "cy").union(e.join(c, e.tgt == c.idx).select("src", "tgt", "cx", "cy")).distinct().groupBy("cx", "cy").agg(F.count("*").alias("n")))(E(s, d), C(s, d, 25).select("idx", "cx", "cy")))
 query("a15_density", f"+{G25} SELECT cx AS px, cy AS py, count(*) AS count FROM c GROUP BY 1, 2")(lambda s, d: sp.raster_points(D(s, d), 240.0, 25))
-query("a16_line_raster")(lambda s, d: sp.raster_lines(sp.segments(E(s, d), N(s, d)), 240.0, 100))
+query("a16_line_raster", """+ g AS (SELECT src, tgt, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM edges JOIN nodes a ON a.idx = src JOIN nodes b ON b.idx = tgt),
+ n AS (SELECT *, CAST(greatest(ceil(greatest(abs((x1 - x0) * (100 / 480.0::DOUBLE)), abs((y1 - y0) * (100 / 480.0::DOUBLE)))), 1) AS BIGINT) AS n FROM g), p AS (SELECT *, unnest(range(n + 1)) AS t FROM n),
+ q AS (SELECT DISTINCT src, tgt, least(greatest(CAST(floor((x0 + (x1 - x0) * t / n + 240.0::DOUBLE) / 480.0::DOUBLE * 100) AS BIGINT), 0), 99) AS px, least(greatest(CAST(floor((y0 + (y1 - y0) * t / n + 240.0::DOUBLE) / 480.0::DOUBLE * 100) AS BIGINT), 0), 99) AS py FROM p)
+ SELECT px, py, count(*) AS count FROM q GROUP BY 1, 2""")(lambda s, d: sp.raster_lines(sp.segments(E(s, d), N(s, d)), 240.0, 100))
+query("v15_over", f"""+{G25}, k AS (SELECT cx AS px, cy AS py, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT px, py, (n % 5) / 5.0::DOUBLE AS v, 0.5::DOUBLE AS a FROM k WHERE px % 3 <> 0), b AS (SELECT px, py, (n % 7) / 7.0::DOUBLE AS v, 0.8::DOUBLE AS a FROM k WHERE py % 3 <> 0),
+ m AS (SELECT coalesce(t.px, b.px) AS px, coalesce(t.py, b.py) AS py, coalesce(t.v, 0) AS tv, coalesce(t.a, 0) AS ta, coalesce(b.v, 0) AS bv, coalesce(b.a, 0) AS ba FROM t FULL JOIN b ON t.px = b.px AND t.py = b.py)
+ SELECT px, py, round((tv * ta + bv * ba * (1 - ta)) / (ta + ba * (1 - ta)), 9) AS r, round((1 - tv) * CASE WHEN ta > 0 THEN ta ELSE 0 END / (ta + ba * (1 - ta)) + (1 - bv) * ba * (1 - ta) / (ta + ba * (1 - ta)), 9) AS g, round(ta + ba * (1 - ta), 9) AS a FROM m""")(
+    lambda s, d: (lambda k: sp.over(*[k.where(keep).select("px", "py", (F.col("count") % n / float(n)).alias("r"), (1 - F.col("count") % n / float(n)).alias("g"), F.lit(0.25).alias("b"), F.lit(a).alias("a")) for keep, n, a in (("px % 3 <> 0", 5, 0.5), ("py % 3 <> 0", 7, 0.8))]))(sp.raster_points(D(s, d), 240.0, 25)).select("px", "py", *[F.round(c, 9).alias(c) for c in "rga"]))
 query("a17_winner", f"+{G25}, k AS (SELECT cx AS px, cy AS py, category, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT px, py, max_by(category, n * 100 - category) AS category, max(n) AS n FROM k GROUP BY 1, 2")(lambda s, d: sp.winner_take_all(D(s, d), 240.0, 25))
 query("a18_dilated", f"+{G25}, k AS (SELECT cx AS px, cy AS py, count(*) AS count FROM c GROUP BY 1, 2) SELECT px + i AS px, py + j AS py, max(count) AS count FROM k, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) GROUP BY 1, 2")(lambda s, d: sp.dilated(sp.raster_points(D(s, d), 240.0, 25)))
 query("a19_equalised", f"+{G25}, k AS (SELECT cx AS px, cy AS py, count(*) AS count FROM c GROUP BY 1, 2) SELECT px, py, count, round(0.15 + 0.85 * pow((row_number() OVER (ORDER BY count, px, py) - 1) / greatest(count(*) OVER () - 1, 1), 0.8), 9) AS intensity FROM k")(
     lambda s, d: sp.equalised(sp.raster_points(D(s, d), 240.0, 25)).withColumn("intensity", F.round("intensity", 9)))
 query("m7_geometry", "SELECT idx, round(sqrt(x * x + y * y), 6) AS r, round(atan2(y, x), 6) AS a FROM nodes")(lambda s, d: N(s, d).select("idx", *[F.round(c, 6).alias(n) for c, n in zip(m.polar(F.col("x"), F.col("y")), "ra", strict=True)]))
-query("m8_spiral", "SELECT idx, x, y FROM nodes")(lambda s, d: N(s, d).select("idx", "x", "y"))
-query("m9_galactic_layout")(lambda s, d: N(s, d).select("idx", (F.cos(F.col("category") * 0.8975979) * 850 + m.spiral(F.col("idx") % 500, 0.39)[0] + m.hash_jitter(F.col("idx"))[1] * 4).alias("x"), (F.sin(F.col("category") * 0.8975979) * 850 + m.spiral(F.col("idx") % 500, 0.39)[1] + m.hash_jitter(F.col("idx"))[0] * 4).alias("y")))
-query("m10_organic_layout")(lambda s, d: N(s, d).select("idx", (F.pow(F.rand(5), 0.45) * 900 * F.cos(F.col("category") * 1.0472) + F.randn(6) * 30).alias("x"), (F.pow(F.rand(7), 0.45) * 900 * F.sin(F.col("category") * 1.0472) + F.randn(8) * 30).alias("y")))
+query("m8_spiral", "SELECT idx, round(5 * sqrt(idx) * cos(idx * 2.399963229728653::DOUBLE), 6) AS x, round(0.618 * sqrt(idx) * sin(idx * 2.399963229728653::DOUBLE), 6) AS y FROM nodes")(lambda s, d: N(s, d).select("idx", F.round(m.spiral(F.col("idx"))[0], 6).alias("x"), F.round(m.spiral(F.col("idx"), 0.618)[1], 6).alias("y")))
+_GAL = "850 * {f}(2 * pi() * (idx % 7) / 7) + 220 * {f}(2 * pi() * ((idx // 7) % 12) / 12) + (r + jr * {f}(ja)) * {f}(2 * pi() * 0.618033988749895::DOUBLE * k)"
+query("m9_galactic_layout", f"+ h AS (SELECT idx, idx // 7 // 12 AS k, 0.39::DOUBLE * sqrt(idx // 7 // 12) AS r, {sql_unit('idx', 1)} AS a, {sql_unit('idx', 2)} * 2 * pi() AS ja FROM nodes), j AS (SELECT *, a * (1.8::DOUBLE + 0.12::DOUBLE * r) AS jr FROM h) SELECT idx, round({_GAL.format(f='cos')}, 5) AS x, round({_GAL.format(f='sin')}, 5) AS y FROM j")(
+    lambda s, d: N(s, d).select("idx", *[F.round(c, 5).alias(n) for c, n in zip(m.galactic(F.col("idx")), "xy", strict=True)]))
+_NEB = f"""+ h AS (SELECT idx, (CASE idx % 7 {' '.join(f"WHEN {i} THEN {v}" for i, v in enumerate(m.DIRECTIONS))} END)::DOUBLE * pi() / 180 + ((idx // 7) % 3 - 1) * 0.18::DOUBLE + {sql_normal('idx', 3)} * (0.08::DOUBLE + 0.05::DOUBLE * (idx / (SELECT count(*) FROM nodes))) AS a,
+ 1.05::DOUBLE * pow(idx::DOUBLE, 0.45::DOUBLE) * (0.7::DOUBLE + 0.6::DOUBLE * {sql_unit('idx', 5)}) AS r FROM nodes) SELECT idx, round(r * cos(a) * cos(pi() / 12) - r * sin(a) * sin(pi() / 12), 5) AS x, round(350 + (r * cos(a) * sin(pi() / 12) + r * sin(a) * cos(pi() / 12)), 5) AS y FROM h"""
+query("m10_nebula_layout", _NEB)(lambda s, d: (lambda n: n.select("idx", *[F.round(c, 5).alias(k) for c, k in zip(m.nebula(F.col("idx"), n.count()), "xy", strict=True)]))(N(s, d)))
 query("m11_hash_jitter", "SELECT idx, round((h % 100000) / 100000.0, 9) AS a, round((h // 100000) / 21475.0, 9) AS r FROM (SELECT idx, (idx * 1103515245 + 12345) & 2147483647 AS h FROM nodes)")(lambda s, d: N(s, d).select("idx", *[F.round(c, 9).alias(n) for c, n in zip(m.hash_jitter(F.col("idx")), "ar", strict=True)]))
 
 
@@ -124,14 +138,16 @@ def prefix_sums(rows):
     return rows.join(F.broadcast(base), "r").select("idx", "n", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).cast("long").alias("start"))
 
 
-query("m17_blend", "SELECT a.idx, round(0.25 * a.x + 0.75 * b.x, 6) AS x FROM nodes a JOIN nodes b ON b.idx = a.idx + 1")(lambda s, d: N(s, d).select("idx", "x").join(N(s, d).select((F.col("idx") - 1).alias("idx"), F.col("x").alias("bx")), "idx").select("idx", F.round(0.25 * F.col("x") + 0.75 * F.col("bx"), 6).alias("x")))
-query("m18_bezier", """SELECT src, tgt, t, round((1 - t) * (1 - t) * x0 + 2 * (1 - t) * t * ((x0 + x1) / 2 - (y1 - y0) * 0.2 * sg) + t * t * x1, 3) AS bx FROM (SELECT src, tgt, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1,
- CASE WHEN (a.x + b.x) / 2 * -(b.y - a.y) + (a.y + b.y) / 2 * (b.x - a.x) >= 0 THEN 1 ELSE -1 END AS sg FROM edges JOIN nodes a ON a.idx = src JOIN nodes b ON b.idx = tgt WHERE src < 20), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(t)""")(
-    lambda s, d: sp.segments(E(s, d).where("src < 20"), N(s, d)).withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))).select("src", "tgt", "t", F.round(m.bezier(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("t"), 0.2)[0], 3).alias("bx")))
-query("m19_palette", "SELECT idx, round(idx * 0.6180339887498949::DOUBLE - floor(idx * 0.6180339887498949::DOUBLE), 9) AS hue FROM nodes")(lambda s, d: N(s, d).select("idx", F.round(m.golden_hue(F.col("idx")), 9).alias("hue")))
+query("m17_blend", "SELECT a.idx, round(0.25 * 0.4::DOUBLE * a.x + 0.75 * 0.4::DOUBLE * b.x + 0.25 * 0.6::DOUBLE * a.y + 0.75 * 0.6::DOUBLE * b.y, 6) AS x FROM nodes a JOIN nodes b ON b.idx = a.idx + 1")(
+    lambda s, d: N(s, d).select("idx", "x", "y").join(N(s, d).select((F.col("idx") - 1).alias("idx"), F.col("x").alias("bx"), F.col("y").alias("by")), "idx").select("idx", F.round(m.blended(tuple(map(F.col, ("x", "bx", "y", "by"))), 0.75, 0.6), 6).alias("x")))
+query("m18_bezier", """SELECT src, tgt, t, round((1 - t) * (1 - t) * x0 + 2 * (1 - t) * t * ((x0 + x1) / 2 - (y1 - y0) * 0.2 * sg) + t * t * x1, 9) AS bx FROM (SELECT src, tgt, a.x AS x0, b.x AS x1, a.y AS y0, b.y AS y1,
+ CASE WHEN (a.x + b.x) / 2 * -(b.y - a.y) + (a.y + b.y) / 2 * (b.x - a.x) >= 0 THEN 1 ELSE -1 END AS sg FROM edges JOIN nodes a ON a.idx = src JOIN nodes b ON b.idx = tgt), (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(t)""")(
+    lambda s, d: sp.segments(E(s, d), N(s, d)).withColumn("t", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))).select("src", "tgt", "t", F.round(m.bezier(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("t"), 0.2)[0], 9).alias("bx")))
+query("m19_palette", "SELECT idx, round(idx * 0.6180339887498949::DOUBLE - floor(idx * 0.6180339887498949::DOUBLE), 9) AS hue, printf('#%02x%02x%02x', CAST(floor((idx % 256) * 0.5) AS BIGINT), CAST(floor((idx * 3 % 256) * 0.5) AS BIGINT), CAST(floor((idx * 7 % 256) * 0.5) AS BIGINT)) AS dim FROM nodes")(
+    lambda s, d: N(s, d).select("idx", F.round(m.golden_hue(F.col("idx")), 9).alias("hue"), m.dimmed(F.format_string("#%02x%02x%02x", F.col("idx") % 256, F.col("idx") * 3 % 256, F.col("idx") * 7 % 256), 0.5).alias("dim")))
 query("m20_screen", "SELECT idx, round((x - 10) * 8 + 300, 6) AS sx FROM nodes")(lambda s, d: N(s, d).select("idx", F.round(m.to_screen(F.col("x"), 10.0, 3.0, 600), 6).alias("sx")))
-query("m21_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS n FROM embeddings", False)(
-    lambda s, d: table(s, d, "embeddings").select("vec_id", m.unit(F.col("embedding").cast("array<double>")).alias("u")).select("vec_id", F.round(m.dot(F.col("u"), F.col("u")), 6).alias("n")))
+query("m21_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS moment FROM embeddings", False)(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", m.unit(F.col("embedding").cast("array<double>")).alias("u")).select("vec_id", F.round(F.aggregate(F.transform("u", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("moment")))
 query("m22_rgba", "SELECT idx, (idx % 256) | ((idx * 3 % 256) << 8) | ((idx * 7 % 256) << 16) | (CAST(255 AS BIGINT) << 24) AS c FROM nodes")(lambda s, d: N(s, d).select("idx", m.rgba(F.col("idx") % 256, F.col("idx") * 3 % 256, F.col("idx") * 7 % 256, F.lit(255)).alias("c")))
 
 
@@ -169,8 +185,9 @@ def g16(s, d):
     return n.join(N(s, d).select(F.col("idx").alias("gw"), "x"), "gw").select("idx", F.round(F.col("x") + 6 + m.hash_jitter(F.col("idx"))[0] * 39, 6).alias("x"))
 
 
-query("g17_orphan_ring")(lambda s, d: N(s, d).join(E(s, d).where("cnt > 1").select(F.col("tgt").alias("idx")), "idx", "left_anti").select("idx", (300 * (1 + 0.15 * F.rand(3))).alias("r"), (F.rand(4) * 6.283185307179586).alias("a")))
-query("g23_ring_pull")(lambda s, d: N(s, d).select("idx", F.when(F.hypot("x", "y") > 0.94 * 240, 0.62 * 240 - F.log(F.greatest(F.rand(9), F.lit(1e-9))) * 12).otherwise(F.hypot("x", "y")).alias("r")))
+query("g17_orphan_ring", f"+ o AS (SELECT idx FROM nodes WHERE idx NOT IN (SELECT tgt FROM edges WHERE cnt > 1)), e AS (SELECT quantile_cont(sqrt(x * x + y * y), 0.97) AS e FROM nodes WHERE idx IN (SELECT tgt FROM edges WHERE cnt > 1)) SELECT idx, round(e * (1 + 0.15::DOUBLE * {sql_unit('idx', 6)}), 5) AS r, round(2 * pi() * {sql_unit('idx', 7)}, 7) AS a FROM o, e")(
+    lambda s, d: sp.orphan_ring(N(s, d).select("idx", "x", "y"), E(s, d).where("cnt > 1").select(F.col("tgt").alias("idx")).distinct()).select("idx", F.round("r", 5).alias("r"), F.round("a", 7).alias("a")))
+query("g23_ring_pull", f"SELECT idx, round(CASE WHEN r > 0.94::DOUBLE * 240 THEN 0.62::DOUBLE * 240 - ln({sql_unit('idx', 9)}) * 12 ELSE r END, 6) AS r FROM (SELECT idx, sqrt(x * x + y * y) AS r FROM nodes)")(lambda s, d: N(s, d).select("idx", F.round(m.ring_pull(F.hypot("x", "y"), F.col("idx"), 240.0), 6).alias("r")))
 query("r1_crawl_step", "SELECT DISTINCT tgt AS idx FROM edges WHERE src IN (SELECT idx FROM nodes WHERE views > 0 ORDER BY views DESC, idx LIMIT 20) AND tgt NOT IN (SELECT idx FROM nodes ORDER BY views DESC, idx LIMIT 40)")(
     lambda s, d: ev.crawl_step(N(s, d).where("views > 0").orderBy(F.desc("views"), "idx").limit(20).select("idx"), E(s, d), N(s, d).orderBy(F.desc("views"), "idx").limit(40).select("idx")))
 query("r4_evictions", """SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND (b.event_type = a.event_type OR b.value > a.value)) AS evicted FROM events a""", False)(lambda s, d: ev.evictions(table(s, d, "events")))
