@@ -10,11 +10,13 @@ state carries how many tokens more the new prefix has (a number below 0 where pi
 need them and kept, with their transitions, in a hash table that numpy reads for many texts at once.
 
 Between two characters that stand beside each other in no piece no merge can reach across: the machine is back in its
-start state there. Texts are cut into chunks; a chunk's state map is the states and tokens of what stands before its
-first such place, which depends on the state it is entered with, and a constant from there on. Constant maps are run
-for all chunks in step: the state that enters a chunk is that of the last constant map before it. Chunks without such a
-place have no map and are run one after another, each in the state that the chunk before is left with, so a long text
-without reset places is run in sequence. Token counts add up along the chunks."""
+start state there. Texts are cut into chunks; a chunk's state map takes the state it is entered with to the state it is
+left with and the tokens between. From a chunk's first reset place on the map is constant, and these parts are run for
+all chunks in step. What stands before it, or a whole chunk without such a place, is mapped for the states that it may
+be entered with: those that the map before it gives, and one that is guessed from the end of the text before it, so that
+all chunks start at once; chunks of the same text share their map. The maps of a text's chunks are then composed by a
+parallel prefix scan (pointers that double their reach each round), which gives the state that enters each chunk.
+Token counts add up along the chunks."""
 
 from __future__ import annotations
 
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, slices
+from .shared import binary_column, bounded, mix64, powers, slices
 
-#: Characters of a chunk.
-CHUNK = 256
+#: Characters of a chunk, and those before it from which its first state is guessed.
+CHUNK, GUESS = 256, 64
 #: Bytes of text taken at a time.
 BATCH_BYTES = 2 << 20
 #: States after which a worker's table is started anew, so that its memory stays bounded.
@@ -50,6 +52,9 @@ class Transducer:
         self.piece = {p: p for p in self.score}  # one object for all states that hold a piece
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
         chars = sorted({c for p in self.score for c in p})
+        if missing := [c for c in chars if c not in self.score]:
+            raise ValueError(f"a model in which each character of a piece is a piece is needed; {missing[:5]} are none")
+        self.bits = (len(chars) + 1).bit_length()
         #: The class of a character: from 1, in pieces; 0, in none (one token a UTF-8 byte).
         self.cls = np.zeros(0x110000, np.int32)
         self.cls[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -143,7 +148,7 @@ class Transducer:
 
     def advance(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and tokens more for many machines at once."""
-        key = state.astype(np.int64) << 13 | c
+        key = state.astype(np.int64) << self.bits | c
         while True:
             mask = np.uint64(len(self.keys) - 1)
             at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) & mask).astype(np.int64)
@@ -157,7 +162,7 @@ class Transducer:
             if not len(missing):
                 return self.to[at], self.delta[at]
             for k in np.unique(key[missing]).tolist():
-                self._put(k, *self.step(k >> 13, k & 8191))
+                self._put(k, *self.step(k >> self.bits, k & (1 << self.bits) - 1))
 
     def run(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Machines over text[start:end] in step, entered with a state; (state, tokens) of each at its end."""
@@ -175,6 +180,55 @@ class Transducer:
         state[order], tokens[order] = s, t
         return state, tokens
 
+    def scan(self, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, entered: np.ndarray, entry: np.ndarray, hard: np.ndarray) -> np.ndarray:
+        """Tokens of parts without a reset place. A part is entered with a known state, or else in the state that the
+        part just before it is left with."""
+        n = len(lo)
+        length = hi - lo
+        at = np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        sums = np.add.reduceat(mix64(text[at].astype(np.uint64)) * powers(int(length.max()))[at - np.repeat(lo, length)], np.cumsum(length) - length)
+        _, one, same = np.unique(mix64(sums + length.astype(np.uint64)), return_index=True, return_inverse=True)
+        later = np.flatnonzero(~entered)
+        guess, _ = self.run(text, np.maximum(lo[later] - GUESS, lo[later - 1]), lo[later], np.zeros(len(later), np.int32), hard)
+        # maps, as (part's text, state at its beginning) -> (state at its end, tokens), until they are closed
+        pair = lambda q, s: q.astype(np.int64) << 32 | s
+        follow = np.unique(pair(same[later - 1], same[later]))
+        asked = np.unique(np.concatenate((pair(same[entered], entry[entered]), pair(same[later], guess))))
+        keys, ends, costs = (np.zeros(0, np.int64) for _ in range(3))
+        while len(asked):
+            part = one[asked >> 32]
+            s, t = self.run(text, lo[part], hi[part], asked & 0xFFFFFFFF, hard)
+            keys, ends, costs = np.concatenate((keys, asked)), np.concatenate((ends, s)), np.concatenate((costs, t))
+            order = np.argsort(keys)
+            keys, ends, costs = keys[order], ends[order], costs[order]
+            # of parts that stand beside each other: the states that the first may be left with enter the second
+            known = np.searchsorted(asked, follow >> 32 << 32), np.searchsorted(asked, (follow >> 32) + 1 << 32)
+            many = known[1] - known[0]
+            which = np.repeat(known[0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            new = np.unique(pair(np.repeat(follow & 0xFFFFFFFF, many), s[which]))
+            asked = new[~np.isin(new, keys, assume_unique=True)]
+        # a node for each part and state it may be entered with; a pointer to the node of the part behind it
+        begin = np.searchsorted(keys, same.astype(np.int64) << 32)
+        many = np.searchsorted(keys, same.astype(np.int64) + 1 << 32) - begin
+        base = np.concatenate(([0], np.cumsum(many)))
+        owner = np.repeat(np.arange(n), many)
+        row = np.arange(base[-1]) - base[owner] + begin[owner]
+        node = lambda k, s: base[k] + np.searchsorted(keys, pair(same[k], s)) - begin[k]
+        behind = np.full(n, -1)
+        behind[later - 1] = later
+        to = np.full(base[-1] + 1, base[-1])
+        goes = np.flatnonzero(behind[owner] >= 0)
+        to[goes] = node(behind[owner[goes]], ends[row[goes]])
+        reached = np.zeros(base[-1] + 1, bool)
+        reached[node(np.flatnonzero(entered), entry[entered])] = True
+        while (to < base[-1]).any():
+            reached[to[reached]] = True
+            to = to[to]
+        hit = np.flatnonzero(reached[:-1])
+        out = np.zeros(n, np.int64)
+        out[owner[hit]] = costs[row[hit]]
+        return out
+
     def count(self, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Tokens of each text; chars: code points of all texts, first: where each begins, and the end. No text is
         empty, and each begins with the space that the model puts before a text."""
@@ -206,15 +260,12 @@ class Transducer:
         go = lambda a, b, s: self.run(small, skip[a], skip[b], s, small_hard)
         state, tokens = np.zeros(len(lo), np.int32), np.zeros(len(lo), np.int64)
         state[constant], tokens[constant] = go(split[constant], hi[constant], np.zeros(int(constant.sum()), np.int32))
-        # the scan: maps before a chunk's constant part, entered with the state that the chunk before is left with
-        ready, head = constant.copy(), np.flatnonzero(split > lo)
-        while len(head):
-            now = head[ready[head - 1] | (nth[head] == 0)]
-            s, t = go(lo[now], split[now], np.where(nth[now] > 0, state[now - 1], 0))
-            tokens[now] += t
-            state[now] = np.where(constant[now], state[now], s)
-            ready[now] = True
-            head = head[~np.isin(head, now, assume_unique=True)]
+        head = np.flatnonzero(split > lo)
+        if len(head):
+            before = np.where(nth[head] > 0, head - 1, -1)
+            entered = (before < 0) | constant[before]  # the state at the head's beginning is known
+            entry = np.where(before >= 0, state[before], 0)
+            tokens[head] += self.scan(small, skip[lo[head]], skip[split[head]], entered, entry, small_hard)
         out = np.bincount(owner, tokens, minlength=len(lengths))
         return (out + np.add.reduceat(other, first[:-1])).astype(np.int64)
 
@@ -269,4 +320,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     special tokens are text. Null and empty texts have 0 bytes and tokens. Texts of any length are cut into chunks, and
     a batch takes a bounded number of bytes, or one text. Repeated rows get a row each; other columns are ignored."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count_scan(path, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count_scan(path, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
