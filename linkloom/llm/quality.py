@@ -3,8 +3,8 @@
 Filters of WIDTH bytes slide over the text in steps of two; a filter is a table of learned weights for each byte at each
 place, so its response is a sum of table look-ups. Responses are max-pooled over overlapping chunks that cover the whole
 text (blocks of BLOCK bytes, each chunk two neighbouring blocks), rectified, and a text's greatest and mean chunk
-responses go through one hidden layer into a probability. Training runs on the driver over a bounded sample of labelled
-rows; gradients reach the tables at the places where the maxima stand."""
+responses go through one hidden layer into a probability. Training runs on the driver over the whole texts of a bounded
+sample of labelled rows; gradients reach the tables at the places where the maxima stand."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, slices
+from .shared import binary_column, bounded, slices
 
 WIDTH, STEP, BLOCK, FILTERS, HIDDEN = 6, 2, 512, 16, 16
-#: Labelled rows that are trained on at most, the smallest by hash of doc_id, and chunks of each, spread over the text.
-MOST_LABELLED, MOST_CHUNKS = 4000, 48
+#: Labelled rows that are trained on at most, and bytes of their whole texts: by hash of doc_id, those that still fit.
+MOST_LABELLED, MOST_BYTES = 4000, 24 << 20
 EPOCHS, LEAST_STEPS, BATCH, RATE = 14, 900, 32, 0.01
 #: Blocks that numpy takes at a time.
 GROUP = 2048
@@ -154,26 +154,23 @@ class Network:
         return self
 
 
-def cut_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most MOST_CHUNKS chunks of two blocks, spread evenly over each text, for training."""
-    for batch in batches:
-        offsets, data = binary_column(batch.column("text"))
-        out = []
-        for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-            if b - a > MOST_CHUNKS * 2 * BLOCK:
-                places = a + np.linspace(0, b - a - 2 * BLOCK, MOST_CHUNKS).astype(np.int64)
-                out.append(b"".join(data[p : p + 2 * BLOCK].tobytes() for p in places))
-            else:
-                out.append(data[a:b].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.binary()), batch.column("y").cast(pa.float64())], ["doc_id", "text", "y"])
-
-
 def learn(docs: DataFrame, labels: DataFrame, label: str, held_out: Column) -> Network:
-    """A network trained on labelled rows that are not held out: of rows with a label 0 or 1, at most MOST_LABELLED."""
-    known = labels.where(F.col(label).isin(0, 1) & ~F.coalesce(held_out, F.lit(True))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = sorted(texts.mapInArrow(cut_scan, "doc_id long, text binary, y double").collect(), key=lambda r: (r.doc_id, bytes(r.text)))
+    """A network trained on labelled rows that are not held out: of rows with a label 0 or 1, at most MOST_LABELLED, and
+    of these in order as many whole texts as make MOST_BYTES; of a doc_id with several texts one is taken."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & ~F.coalesce(held_out, F.lit(True))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    picked = known.orderBy(*order).limit(MOST_LABELLED)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "same", F.octet_length("text").alias("n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("same", "n")).alias("t"))
+    chosen, left = [], MOST_BYTES
+    for r in sizes.orderBy(*order).collect():  # at most MOST_LABELLED
+        if r.t.n <= left:
+            chosen.append((r.doc_id, r.t.same, r.y))
+            left -= r.t.n
+    mine = spark.createDataFrame(chosen, "doc_id long, same long, y double")
+    rows = texts.join(F.broadcast(mine), ["doc_id", "same"]).dropDuplicates(["doc_id"]).select("doc_id", F.encode("text", "utf-8").alias("text"), "y").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return Network().train([bytes(r.text) for r in rows], np.array([r.y for r in rows]))
 
 
@@ -206,11 +203,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: str, label: str
     net = learn(docs, labels, label, F.expr(held_out))
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score_scan(shared, threshold, False), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: str, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """The rows of docs with a score of threshold or more, with all their columns."""
     net = learn(docs, labels, label, F.expr(held_out))
-    return docs.mapInArrow(score_scan(docs.sparkSession.sparkContext.broadcast(net.p), threshold, True), docs.schema)
+    return bounded(docs).mapInArrow(score_scan(docs.sparkSession.sparkContext.broadcast(net.p), threshold, True), docs.schema)
