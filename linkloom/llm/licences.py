@@ -1,14 +1,11 @@
-"""Licence scans: lines of a text against licence templates by the Dice coefficient over word bigrams.
+"""Licence scans: windows of words of a text against licence templates by the Dice coefficient over word bigrams.
 
 Text and templates are normalised alike: lower case, everything but letters, digits, dots within numbers and hyphens
-within words is white space. A line's bigrams may reach the coefficient t with a template of b bigrams only if their
-number lies between t / (2 - t) * b and (2 - t) / t * b, so a line that is too short or too long for every template is
-left before its bigrams are built, and a line meets only the templates that its length allows. The templates are a
-fixed list (or a bounded table given by the caller), held as literals in the plan. Only DataFrame expressions run on
-the executors.
-
-`licence_scan` compares single lines with notices; `licence_windows` compares windows of words of the whole text, across
-line ends and inside lines, with notices and whole licence texts."""
+within words is white space, line ends too, so that wrapped and decorated notices are found. A window's distinct bigrams
+may reach the coefficient t with a template of b bigrams only if their number lies between t / (2 - t) * b and
+(2 - t) / t * b, and only if t / (2 - t) * b of the template's stand there; a template is tried only on texts and places
+that allow it. The templates, notices and whole licence texts, are a fixed list (or a bounded table given by the caller),
+held as literals in the plan. Only DataFrame expressions run on the executors."""
 
 from __future__ import annotations
 
@@ -75,56 +72,6 @@ def plain(line: str) -> list[str]:
     return re.sub(r"(?<!\w)[.\-]+|[.\-]+(?!\w)", " ", keep).split()
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words; fewer than two words: none."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-
-
-def licence_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """docs: (doc_id, text). Returns one row per row of docs: doc_id, n_lines, findings (array of licence, dice, line
-    number from 0), licence and dice (of the best finding; null without one; ties to the earlier line, then template).
-
-    Null and empty texts have no line that could be found. A template with fewer than two words is never found.
-    Repeated rows get a row each; other columns are ignored. A text's lines are worked on within its row: nothing is
-    shuffled, and very long texts cost in proportion to their length."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; {MOST_TEMPLATES} are allowed as literals")
-    known = []
-    for k, (name, line) in enumerate(templates):
-        w = plain(line)
-        pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
-        if pairs:
-            known.append((k, name, len(w), pairs))
-    small, large = least / (2 - least), (2 - least) / least
-    low = min((small * len(p) for *_, p in known), default=1) + 1
-    high = max((large * n for _, _, n, _ in known), default=0)
-    shape = "struct<k:int,licence:string,n:int,pairs:array<string>>"
-    held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("licence"), F.lit(len(p)).alias("n"), F.array(*map(F.lit, p)).alias("pairs")) for k, name, _, p in known]) if known else F.array().cast(f"array<{shape}>")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    # first the lines whose length any template allows, by characters and words, with no regular expression: a
-    # template's bigrams take at least 3 characters each, and its words repeat at most as often as its length allows
-    longest = max((large * (len(line) + 40) for _, line in templates), default=0) * 2
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    few = F.filter(numbered, lambda x: F.length(x["line"]).between(int(3 * (low - 1)), int(longest)))
-    words = F.transform(few, lambda x: F.struct(x["at"].alias("at"), F.filter(F.split(F.regexp_replace(F.lower(x["line"]), _OTHER, " "), " "), lambda w: w != "").alias("w")))
-    fit = F.filter(words, lambda x: F.size(x["w"]).between(int(low), int(2 * high) + 1))
-    pairs = F.transform(fit, lambda x: F.struct(x["at"].alias("at"), bigrams(x["w"]).alias("p")))
-
-    def scored(x: Column) -> Column:
-        n = F.size(x["p"])
-        allowed = F.filter(held, lambda t: (t["n"] >= n * small - 1e-9) & (t["n"] <= n * large + 1e-9) & F.arrays_overlap(t["pairs"], x["p"]))
-        return F.transform(allowed, lambda t: F.struct((2.0 * F.size(F.array_intersect(t["pairs"], x["p"])) / (t["n"] + n)).alias("dice"), (-x["at"]).alias("back"), (-t["k"]).alias("k"), t["licence"].alias("licence")))
-
-    found = F.filter(F.flatten(F.transform(pairs, scored)), lambda x: x["dice"] >= least - 1e-12)
-    out = docs.select("doc_id", F.size(lines).alias("n_lines"), found.alias("f"))
-    return out.select(
-        "doc_id", "n_lines",
-        F.transform("f", lambda x: F.struct(x["licence"].alias("licence"), x["dice"].alias("dice"), (-x["back"]).alias("line"))).alias("findings"),
-        F.array_max("f")["licence"].alias("licence"), F.array_max("f")["dice"].alias("dice"),
-    )
-
-
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -151,7 +98,12 @@ def _apart(found: Column) -> Column:
 
 
 def licence_windows(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + TEXTS, least: float = LEAST) -> DataFrame:
-    """docs: (doc_id, text). Returns the columns of `licence_scan`, from windows of words of the whole text.
+    """docs: (doc_id, text). Returns one row per row of docs: doc_id, n_lines, findings (array of licence, dice, line
+    number from 0), licence and dice (of the best finding; null without one; ties to the earlier line, then template),
+    from windows of words of the whole text.
+
+    Null and empty texts hold no finding. A template with fewer than two words is never found. Repeated rows get a row
+    each; other columns are ignored; a long text is worked on within its row.
 
     A window begins and ends with a pair of the template and is at most (2 - t) / t times as long as it. For each pair
     it may begin with, the window of the highest coefficient (then the shortest) counts if it reaches t. Of a template's

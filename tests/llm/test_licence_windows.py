@@ -1,5 +1,6 @@
 """Licences in their usual forms: hard-wrapped, in one paragraph, inside a line, in comments."""
 
+import random
 import textwrap
 
 from linkloom.llm import licences
@@ -40,3 +41,25 @@ def test_licences_in_usual_forms(spark):
     assert [f.licence for f in two.findings] == ["MIT", "CC-BY-4.0", "MIT"]
     assert licences.licence_windows(frame(spark, [])).collect() == []
     assert [r.licence for r in licences.licence_windows(frame(spark, rows[:1]), ()).collect()] == [None]
+
+
+def test_notices_against_brute_force(spark):
+    """Notices with words lost, repeated, wrapped and decorated, among other words: a finding where any window reaches the bound."""
+    r = random.Random(3)
+    noise = "a page about the use of cats in public and of dogs under no roof with free food".split()
+
+    def disturbed(line):
+        w = [x for x in line.split() for _ in range(r.choice((1, 1, 1, 1, 1, 1, 1, 2))) if r.random() > 0.1]
+        w = r.choices(noise, k=r.randint(0, 12)) + w + r.choices(noise, k=r.randint(0, 12))
+        marks = r.choice(("", " * ", "# ", "-" * 900 + " ", "\u2014 "))
+        return marks + (r.choice((" ", "  ", "\n" + marks, "... ", "!! "))).join(w) + r.choice(("", " " + "-" * 900, "\n" * 30, " " + ". " * 400))
+
+    texts = [disturbed(line) for _, line in licences.TEMPLATES for _ in range(3)] + ["\n".join([licences.TEMPLATES[0][1]] * 40), " ".join([licences.TEMPLATES[1][1]] * 40)]
+    out = {x.doc_id: x for x in licences.licence_windows(frame(spark, list(enumerate(texts))), licences.TEMPLATES).collect()}
+    for i, t in enumerate(texts):
+        best = {(name, line): best_window(t, line) for name, line in licences.TEMPLATES}
+        if max(best.values()) < licences.LEAST - 1e-9:
+            assert out[i].dice is None, (i, t[:200])
+        else:  # of overlapping windows the one with most of its template's pairs stays
+            assert any(name == out[i].licence and abs(d - out[i].dice) < 1e-9 for (name, _), d in best.items()), (i, t[:200])
+    assert len(out[len(texts) - 1].findings) == len(out[len(texts) - 2].findings) == 40
