@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Scratch, binary_column, mix64
+from .shared import Scratch, binary_column, bounded, mix64
 
 #: Neighbours in the graph, random partitions it starts from, vectors of a group that are compared at once.
 DEGREE, TREES, GROUP = 32, 6, 256
@@ -30,8 +30,11 @@ DEGREE, TREES, GROUP = 32, 6, 256
 SENT, GIVEN, ROUNDS, STILL = 16, 12, 6, 0.01
 #: Vectors that a search keeps, looks up in a round, and neighbours in the other direction that a vector has at most.
 KEPT, LOOKED_UP, BACKWARD, MOST_HOPS = 320, 80, 32, 12
-#: Queries searched at a time; their vectors are broadcast (256 bytes each at 64 components).
-QUERY_BLOCK = 50_000
+#: Bytes of queries that are searched at a time: their ids and vectors in double precision are broadcast.
+QUERY_BYTES = 32 << 20
+#: Rows of one group that one task takes; larger groups are dealt out in blocks of about as many, of which GROUP are
+#: compared at once in any case. Counts of such groups that are broadcast; more are joined.
+HOT_ROWS, BROADCAST_GROUPS = 4096, 50_000
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -162,12 +165,22 @@ def sent(turn: int) -> Callable:
     return run
 
 
-def lengthen(longest: float) -> Callable:
+def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, parts: int, turn: int) -> DataFrame:
+    """rows dealt to tasks by keys and, for groups that sizes (keys, n) counts as large, by block; sorted at random
+    within each."""
+    hot = sizes.where(F.col("n") > HOT_ROWS).select(*keys, F.ceil(F.col("n") / HOT_ROWS).alias("blocks"))
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else hot
+    draw = F.xxhash64("v", F.lit(turn))
+    dealt = rows.join(hot, keys, "left").withColumn("block", F.pmod(draw, F.coalesce("blocks", F.lit(1)))).drop("blocks")
+    return dealt.repartition(parts, *keys, "block").sortWithinPartitions(*keys, "block", draw)
+
+
+def lengthen(longest: float, kind: str) -> Callable:
     """Vectors in half precision, with the component that makes them equally long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("vec"), np.float32).astype(np.float64)
+            x = matrix(b.column("vec"), kind).astype(np.float64)
             more = np.sqrt(np.maximum(0, longest**2 - (x * x).sum(axis=1)))
             out = (np.concatenate((x, more[:, None]), axis=1) / longest).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("v"), rows_of(out)], ["v", "vec"])
@@ -194,15 +207,16 @@ def planes(trees: int, bits: int) -> Callable:
     return run
 
 
-def build_graph(nodes: DataFrame, n: int, longest: float, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """nodes: (v long, vec binary of float32). Returns (v, ids, scores): the neighbour lists."""
+def build_graph(nodes: DataFrame, n: int, longest: float, kind: str, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """nodes: (v long, vec binary of numbers of a kind). Returns (v, ids, scores): the neighbour lists."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state_type = "v long, vec binary, ids array<long>, scores array<float>, fresh array<boolean>"
     met_type = "v long, ids array<long>, scores array<float>"
-    half = scratch.save(nodes.mapInArrow(lengthen(longest), "v long, vec binary"))
+    half = scratch.save(nodes.mapInArrow(lengthen(longest, kind), "v long, vec binary"))
     bits = max(0, round(math.log2(max(1, n / (GROUP * 0.75)))))
     dealt = half.mapInArrow(planes(TREES, bits), "tree int, side long, v long, vec binary, fresh boolean")
-    found = dealt.repartition(parts, "tree", "side").sortWithinPartitions("tree", "side", F.xxhash64("v")).mapInArrow(meet(["tree", "side"], DEGREE), met_type)
+    sizes = dealt.groupBy("tree", "side").agg(F.count("*").alias("n"))
+    found = in_blocks(dealt, ["tree", "side"], sizes, parts, -1).mapInArrow(meet(["tree", "side", "block"], DEGREE), met_type)
     none = lambda kind: F.array().cast(kind)
     state = half.select("v", "vec", none("array<long>").alias("ids"), none("array<float>").alias("scores"), none("array<boolean>").alias("fresh"))
 
@@ -213,7 +227,8 @@ def build_graph(nodes: DataFrame, n: int, longest: float, scratch: Scratch, roun
     now = merged(state, found)
     for turn in range(rounds):
         messages = now.mapInArrow(send(turn), "u long, v long, vec binary, fresh boolean")
-        found = messages.repartition(parts, "u").sortWithinPartitions("u", F.xxhash64("v", F.lit(turn))).mapInArrow(meet(["u"], GIVEN), met_type)
+        sizes = now.select(F.explode("ids").alias("u")).groupBy("u").agg(F.count("*").alias("n"))
+        found = in_blocks(messages, ["u"], sizes, parts, turn).mapInArrow(meet(["u", "block"], GIVEN), met_type)
         new = merged(now.drop("changed").mapInArrow(sent(turn), state_type), found)
         scratch.drop(now)
         now = new
@@ -231,7 +246,7 @@ def both_ways(graph: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(edges.select("v", "w").unionByName(back).groupBy("v").agg(F.collect_set("w").alias("ids")))
 
 
-def score_pairs(shared) -> Callable:
+def score_pairs(shared, kind: str) -> Callable:
     """(q, w, vec) to (q, w, score), by the broadcast queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +254,7 @@ def score_pairs(shared) -> Callable:
         for b in batches:
             if len(b):
                 q = x[np.searchsorted(ids, b.column("q").to_numpy())]
-                s = np.einsum("ij,ij->i", q, matrix(b.column("vec"), np.float32).astype(np.float64))
+                s = np.einsum("ij,ij->i", q, matrix(b.column("vec"), kind).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([b.column("q"), b.column("w"), pa.array(s)], ["q", "w", "s"])
 
     return run
@@ -269,21 +284,22 @@ def keep_found(kept: int) -> Callable:
     return run
 
 
-def search_graph(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def search_graph(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
     """queries: (q, vec), q being a node of the graph; graph: (v, ids); nodes: (v, vec). Returns (q, w, s)."""
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = queries.toArrow()
     ids = got.column("q").to_numpy()
     order = np.argsort(ids)
-    shared = spark.sparkContext.broadcast((ids[order], matrix(got.column("vec"), np.float32)[order].astype(np.float64)))
+    shared = spark.sparkContext.broadcast((ids[order], matrix(got.column("vec"), kind)[order].astype(np.float64)))
+    del got
     vectors = nodes.withColumnRenamed("v", "w")
     entry = vectors.orderBy(F.xxhash64("w")).limit(4).select("w")  # others than the query's own place
     asked = queries.select("q", F.col("q").alias("w")).unionByName(queries.select("q", F.explode(F.array(*[F.lit(r.w).cast("long") for r in entry.collect()])).alias("w")))
     type_ = "q long, w long, s double, done boolean, turn boolean"
     state = None
     for _ in range(MOST_HOPS + 1):
-        scored = asked.join(vectors, "w").select("q", "w", "vec").mapInArrow(score_pairs(shared), "q long, w long, s double").withColumn("done", F.lit(False))
+        scored = asked.join(vectors, "w").select("q", "w", "vec").mapInArrow(score_pairs(shared, kind), "q long, w long, s double").withColumn("done", F.lit(False))
         rows = scored if state is None else scored.unionByName(state.select("q", "w", "s", "done"))
         new = scratch.save(rows.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(keep_found(KEPT), type_))
         if state is not None:
@@ -304,11 +320,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20) -> DataFr
     components take no part. Equal vectors are one node of the graph, whatever their number; of its rows the k + 1
     smallest ids are kept, more of which no result can hold. Of repeated ids the first by content counts. With fewer
     candidates than k all are returned if found (a table of up to DEGREE vectors always finds all). No rows: no rows.
-    Queries are taken in blocks of QUERY_BLOCK."""
+    Vectors of doubles are kept so, all others as floats. Queries are taken in blocks of QUERY_BYTES."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
     x = F.col("x")
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("x")).where("vec_id is not null and x is not null")
+    double = vectors.schema["embedding"].dataType.elementType.simpleString() in ("double", "bigint", "int") or "decimal" in vectors.schema["embedding"].dataType.simpleString()
+    kind = "float64" if double else "float32"
+    clean = bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("x")).where("vec_id is not null and x is not null")
     fine = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(x, lambda c: c != 0)
     clean = clean.where(fine).groupBy("vec_id").agg(F.min("x").alias("x"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -320,19 +338,19 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20) -> DataFr
     some = clean.groupBy("x", bucket.alias("b")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     classes = some.groupBy("x").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("members"))
     packed = classes.select(F.element_at("members", 1).alias("v"), "members", "x")
-    nodes = scratch.save(packed.mapInArrow(pack, "v long, members array<long>, vec binary, length double"))
+    nodes = scratch.save(packed.mapInArrow(pack(kind), "v long, members array<long>, vec binary, length double"))
     n, longest = nodes.agg(F.count("*"), F.max("length")).first()
     # every query row and its node
     of = clean.where(is_query).select(F.col("vec_id").alias("query_id"), "x").join(packed.select("v", "x"), "x").select("query_id", F.col("v").alias("q"))
     of = scratch.save(of)
-    graph = both_ways(build_graph(nodes.select("v", "vec"), n, longest, scratch), scratch)
+    graph = both_ways(build_graph(nodes.select("v", "vec"), n, longest, kind, scratch), scratch)
     asked = of.select("q").distinct()
     m = asked.count()
-    blocks = max(1, -(-m // QUERY_BLOCK))
+    blocks = max(1, -(-m * 8 * (sizes.d + 1) // QUERY_BYTES))
     found = None
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).join(nodes.select(F.col("v").alias("q"), "vec"), "q")
-        got = search_graph(part, graph, nodes.select("v", "vec"), scratch)
+        got = search_graph(part, graph, nodes.select("v", "vec"), kind, scratch)
         found = got if found is None else found.unionByName(got)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "w"))).where(F.col("r") <= k + 1)
     rows = best.join(nodes.select(F.col("v").alias("w"), "members"), "w").select("q", "s", F.explode("members").alias("vec_id"))
@@ -342,7 +360,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20) -> DataFr
     return own.select("query_id", rank.alias("rank"), "vec_id", F.col("s").alias("score")).where(F.col("rank") <= k)
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = b.column("x").flatten().to_numpy().astype(np.float32).reshape(len(b), -1) if len(b) else np.zeros((0, 1), np.float32)
-        yield pa.RecordBatch.from_arrays([b.column("v"), b.column("members"), rows_of(x), pa.array(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)))], ["v", "members", "vec", "length"])
+def pack(kind: str) -> Callable:
+    """Vectors as rows of bytes, with their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().astype(kind).reshape(len(b), -1) if len(b) else np.zeros((0, 1), kind)
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("members"), rows_of(x), pa.array(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)))], ["v", "members", "vec", "length"])
+
+    return run

@@ -52,7 +52,10 @@ def test_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("hot", [4096, 300])
+def test_nearest(spark, monkeypatch, hot):
+    """Recall on a small table with copies and a dense cluster; large groups whole, and dealt out in blocks."""
+    monkeypatch.setattr(nearest, "HOT_ROWS", hot)
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(size=(600, 16)), np.repeat(r.normal(size=(1, 16)), 80, 0), r.normal(size=(1, 16)) + 0.05 * r.normal(size=(200, 16))]).astype("f4")
     rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] + [1.0] * 15, 0), (1060, [None] + [1.0] * 15, 0), (1080, [1.0], 0), (None, [1.0] * 16, 0)]
@@ -74,6 +77,37 @@ def test_nearest(spark):
     assert [(t.query_id, t.vec_id) for t in two] == [(0, 1)]
 
 
+def test_nearest_in_doubles_and_blocks(spark, monkeypatch):
+    """Scores of vectors of doubles are exact, in few queries at a time; extra columns clash with names used inside."""
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 2000)
+    x = np.random.default_rng(4).normal(size=(120, 6)) * (1 + 1e-12)
+    rows = [(i, v.tolist(), "n", 1.0, i, i) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, q double, w long, ids long")
+    out = nearest.nearest_neighbours(df, "vec_id % 20 = 0", 3).collect()
+    for q in range(0, 120, 20):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(120), -s)) if i != q][:3]
+        got = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q)
+        assert [v for _, v, _ in got] == best and all(abs(c - s[v]) < 1e-14 * 100 for _, v, c in got)
+
+
+def test_recall_on_the_larger_table(spark):
+    """At least 0.9 of the true nearest of 200 queries over a whole table."""
+    df = spark.read.parquet(f"{DATA[: -len('sf0.001')]}sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows.embedding).astype("f8"), rows.vec_id.to_numpy()
+    got = defaultdict(set)
+    for r in nearest.nearest_neighbours(df, "vec_id % 20 = 0", 20).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = n = 0
+    for q in sorted(got)[:200]:
+        at = np.flatnonzero(ids == q)[0]
+        s = x @ x[at]
+        s[at] = -np.inf
+        hit, n = hit + len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist())), n + 20
+    assert len(got) == sum(i % 20 == 0 for i in ids) and hit >= 0.9 * n
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
