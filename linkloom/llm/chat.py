@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_BYTES, binary_column, slices
+from .shared import SLICE_BYTES, binary_column, bounded, slices
 
 OPEN, CLOSE, END = b"[INST]", b"[/INST]", b"</s>"
 TRAINED = b"assistant"
@@ -105,7 +105,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     more is held, however long the conversation is."""
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
-    dealt = turns.select(*cols).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = bounded(turns).select(*cols).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(format_scan, FORMATTED)
 
 
@@ -152,4 +152,4 @@ def digest_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What format_conversations returned, read back from its bytes: conv_id, n_turns, turns_sha256 (over role, \\n,
     text, \\n of each turn), loss_chars, loss_sha256 (of all trained text), formatted_chars."""
-    return formatted.mapInArrow(digest_scan, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return bounded(formatted).mapInArrow(digest_scan, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

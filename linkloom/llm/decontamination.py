@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 #: Edits allowed for a character of an item.
 ERROR_RATE = 0.1
 #: Items go to the workers in blocks of at most so many bytes of text.
@@ -202,7 +204,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> D
     documents. Nothing is shuffled; a very common passage costs its verification in each document. An item longer
     than 60,000 characters is still exact, at a cost that grows with the square of its length."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks_of(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
         part = texts.mapInArrow(match_scan(spark.sparkContext.broadcast(block), uuid.uuid4().hex, rate), FOUND)
@@ -225,5 +227,5 @@ def keep_scan(items, key: str, rate: float):
 def remove_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; one pass a block of items, and no shuffle."""
     for block in blocks_of(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        docs = docs.mapInArrow(keep_scan(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, rate), docs.schema)
+        docs = bounded(docs).mapInArrow(keep_scan(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, rate), docs.schema)
     return docs

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, binary_column, mix64, scan_words
+from .shared import Scratch, binary_column, bounded, mix64, scan_words
 
 #: Bits of a parity sketch for each element in which a pair may differ, as the next power of two, for the forests and for
 #: the pairs that are left; at least; at most. Beyond the most, sketches let more pairs through to be verified.
@@ -483,7 +483,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     at most) get their component by broadcast, all others by a join."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("same"))
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("same"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = scratch.save(texts.mapInArrow(scan_classes(words, num, den), "doc_id long, same long, n_shingles long, cls long, sketch binary"))
     filled = one.where("n_shingles > 0 and doc_id is not null")

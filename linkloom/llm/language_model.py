@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix64, scan_words
+from .shared import Scratch, bounded, mix64, scan_words
 
 END = mix64(np.array([0x454E44], np.uint64))[0]
 _EVEN = ~np.uint64(1)
@@ -265,7 +265,7 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held = ~F.coalesce(F.expr(training), F.lit(False))
-    texts = docs.select("doc_id", "text", held.alias("held_out"))
+    texts = bounded(docs).select("doc_id", "text", held.alias("held_out"))
     train = texts.where("not held_out").select("text")
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(LEAST_SEGMENTS, size // 3 // SEGMENT_GRAMS)

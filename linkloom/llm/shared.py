@@ -19,6 +19,17 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SLICE_BYTES = 1 << 20
 
 
+#: Bytes of a batch that goes to Python, however long its texts.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after a session setting: batches for Python hold ARROW_BYTES or a row in place of 64 MB, of which a task would
+    need several times as much beside its heap."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -284,7 +284,9 @@ def with_matches(docs: DataFrame, names: str, matches: str) -> DataFrame:
     """docs with two columns more: names that are looked for without a title, and all matches (m, kind, g) of text."""
     text = F.col("text")
     first = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    called = F.when(F.exists(F.col(matches), lambda m: m.rlike(rf"^{_TITLED} ")), _untitled(F.col(matches)))
+    # of the names after a title those that stand elsewhere in the text too
+    times = lambda c, word: F.length(c) - F.length(F.replace(c, word, F.lit("")))
+    called = F.when(F.exists(F.col(matches), lambda m: m.rlike(rf"^{_TITLED} ")), F.filter(_untitled(F.col(matches)), lambda n: times(text, n["as"]) > times(F.array_join(matches, "\n"), n["as"])))
     all_of = F.when(F.size(names) > 0, F.regexp_extract_all(text, _pattern(F.col(names)), F.lit(0))).otherwise(F.col(matches))
 
     def known(m: Column) -> Column:
@@ -311,12 +313,13 @@ def exceptions(found: DataFrame, key: str, scratch: Scratch) -> DataFrame | None
     # mailboxes are told apart within their domain
     to = _let(to, lambda x: F.when(F.col("kind") == "email", F.concat(F.lower(x), F.lit("@"), F.lower(F.substring_index("surface", "@", -1)))).otherwise(_canon(x, F.col("kind"))))
     for number in range(MOST_ATTEMPTS):
-        drew = now.withColumn("to", to)
+        drew = scratch.save(now.withColumn("to", to))
         first = drew.groupBy("kind", "to").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         twice = first.where("n > 1").drop("n")
         taken = first.select("kind", "to").join(real, ["kind", "to"], "left_semi").withColumn("first", F.lit(None).cast("string"))
         bad = drew.join(twice.unionByName(taken), ["kind", "to"]).where("first is null or canon <> first").select("kind", "canon").distinct()
         step = scratch.save(bad)
+        scratch.drop(drew)
         if step.isEmpty():
             break
         if number + 1 == MOST_ATTEMPTS:
@@ -356,4 +359,4 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     between = F.when(F.size(names) > 0, F.split(F.col("text"), _pattern(F.col(names)), F.lit(-1))).otherwise(F.split(F.col("text"), PATTERN, -1))
     joined = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size(matches) > 0, joined).otherwise(F.col("text"))
-    return out.withColumns({"text": text, "n_entities": F.greatest(F.size(matches), F.lit(0))}).select(*cols, "n_entities")
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in cols], F.greatest(F.size(matches), F.lit(0)).alias("n_entities"))

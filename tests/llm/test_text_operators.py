@@ -107,6 +107,21 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(frame(spark, []), path).collect() == []
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab" * 5000 + "c", "".join(random.Random(4).choices("aeinrst", k=20_000)), "日本" * 9000, "the" * 900 + " " + "the" * 900, " " * 3000, "éa" * 700])
+def test_token_counts_without_reset_places(text, monkeypatch):
+    """Chunks that no reset place parts: the scan gives the library's counts, and in few rounds."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, sp = token_counts.machine(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rounds, real = [], m.run
+    monkeypatch.setattr(m, "run", lambda *a: rounds.append(1) or real(*a))
+    data = np.frombuffer(text.encode(), np.uint8)
+    chars, first, _ = token_counts.with_spaces(np.array([0, len(data)]), data)
+    assert m.count(chars, first)[0] == len(sp.encode(text)) and len(rounds) < 20
+
+
 # ---- decontamination
 def edit_distance(p, t):
     prev = [0] * (len(t) + 1)
@@ -142,6 +157,30 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.find_leaks(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_quality_on_rows_held_out(spark):
+    """The score parts good from bad texts that were not learned from: their order (AUC) and the answers at 0.7."""
+    table = lambda n: spark.read.parquet(f"{DATA[: -len('sf0.001')]}sf0.01/{n}.parquet")
+    out = quality.score_quality(table("documents"), table("labels"), "crc32(cast(doc_id as string)) % 4 = 2")
+    rows = out.where("held_out").join(table("labels").where("quality in (0, 1)"), "doc_id").select("score", "predicted", "quality").collect()
+    score, y = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
+    rank = score.argsort().argsort() + 1
+    n1 = int(y.sum())
+    auc = (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+    assert len(rows) > 80 and auc > 0.95 and all(r.predicted == (r.score >= 0.7) for r in rows)
+    assert ((score >= 0.7) == (y == 1)).mean() > 0.9
+
+
+def test_quality_learns_whole_texts_within_bytes(spark, monkeypatch):
+    """Repeated rows and labels, several texts under one id, long and null texts; texts that do not fit are passed over."""
+    seen = []
+    monkeypatch.setattr(quality.Network, "train", lambda self, texts, y: seen.append(sorted(zip(map(len, texts), y.tolist()))) or self)
+    docs = [(1, "g" * 300_000), (1, "g" * 300_000), (2, "b"), (3, None), (4, "x" * 2_000_000), (5, "q"), (5, "qq"), (None, "n")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (5, None), (6, 1), (None, 1), (2, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "MOST_BYTES", 1_000_000)
+    out = quality.score_quality(frame(spark, docs), labels, "false").collect()
+    assert seen == [[(0, 0.0), (1, 0.0), (300_000, 1.0)]] and len(out) == len(docs) and all(0 <= r.score <= 1 for r in out)
+
+
 # ---- surrogates
 def test_surrogates(spark):
     rows = [
@@ -174,17 +213,9 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
 # ---- licences
 def test_licences(spark):
     rows = [(1, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "RELEASED!! UNDER!! THE!! MIT!! LICENSE.!!"), (3, None), (4, ""), (5, "licensed to nobody at all\n" * 2000), (6, "Licensed under CC BY-NC 4.0."), (6, "Licensed under CC BY-NC 4.0.")]
-    got = [(r.doc_id, r.licence) for r in licences.licence_scan(frame(spark, rows)).collect()]
+    got = [(r.doc_id, r.licence) for r in licences.licence_windows(frame(spark, rows), licences.TEMPLATES).collect()]
     assert sorted(got, key=str) == sorted([(1, "Apache-2.0"), (2, "MIT"), (3, None), (4, None), (5, None), (6, "CC-BY-NC-4.0"), (6, "CC-BY-NC-4.0")], key=str)
-    r = random.Random(3)
-    texts = [" ".join(w for w in line.split() if r.random() > 0.12) for _, line in licences.TEMPLATES for _ in range(4)]
-    out = {r.doc_id: r for r in licences.licence_scan(frame(spark, list(enumerate(texts)))).collect()}
-    for i, t in enumerate(texts):
-        pairs = lambda x: set(zip(w := licences.plain(x), w[1:]))
-        dice = [2 * len(pairs(t) & pairs(line)) / max(1, len(pairs(t)) + len(pairs(line))) for _, line in licences.TEMPLATES]
-        best = max(dice)
-        assert (out[i].dice or 0) == pytest.approx(best if best >= licences.LEAST - 1e-9 else 0)
-    assert licences.licence_scan(frame(spark, [])).collect() == []
+    assert licences.licence_windows(frame(spark, [])).collect() == []
 
 
 # ---- Jaccard join
