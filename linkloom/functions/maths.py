@@ -174,4 +174,5 @@ def dot(a: Column, b: Column) -> Column:
 
 def views_text(n: Column) -> Column:
     """Counts shown short: with M from a million on, with K from a thousand on."""
-    return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("K"))).otherwise(n.cast("string"))
+    tenths = lambda by: F.format_string("%.1f", F.floor(n / (by / 10) + 0.5) / 10)
+    return F.when(n >= 1_000_000, F.concat(tenths(1_000_000), F.lit("M"))).when(n >= 1000, F.concat(tenths(1000), F.lit("K"))).otherwise(n.cast("string"))

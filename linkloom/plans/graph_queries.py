@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import maths
 from linkloom.operators import graph as g
-from linkloom.operators import spatial
+from linkloom.operators import layout, search, spatial
 
 from .fixtures import DEGREES_SQL, GRAPH_SQL, edges, links, nodes, pairs, sql_unit, table
 
@@ -170,8 +170,7 @@ def o1(s, d):
 query("o2_frontier", "SELECT idx, views FROM nodes WHERE idx % 3 = 1 ORDER BY views DESC, idx LIMIT 20")(lambda s, d: N(s, d).where("idx % 3 = 1").select("idx", "views").orderBy(F.desc("views"), "idx").limit(20))
 query("o3_top_views", "SELECT idx, views FROM nodes ORDER BY views DESC, idx LIMIT 100")(lambda s, d: N(s, d).select("idx", "views").orderBy(F.desc("views"), "idx").limit(100))
 query("o4_top_neighbours", "SELECT idx, nbr, degree, rank FROM (SELECT v AS idx, w AS nbr, degree, row_number() OVER (PARTITION BY v ORDER BY degree DESC, w) AS rank FROM (SELECT src AS v, tgt AS w FROM edges UNION SELECT tgt, src FROM edges) JOIN deg ON deg.idx = w) WHERE rank <= 10")(lambda s, d: g.top_neighbours(D(s, d), E(s, d), 10))
-query("o5_connections", "(SELECT 'out' AS kind, tgt AS nbr FROM edges WHERE src = 7 ORDER BY tgt LIMIT 20) UNION ALL (SELECT 'in', src FROM edges WHERE tgt = 7 ORDER BY src LIMIT 20)")(
-    lambda s, d: E(s, d).where("src = 7").orderBy("tgt").limit(20).select(F.lit("out").alias("kind"), F.col("tgt").alias("nbr")).unionAll(E(s, d).where("tgt = 7").orderBy("src").limit(20).select(F.lit("in"), "src")))
+query("o5_connections", "(SELECT 'out' AS kind, tgt AS nbr FROM edges WHERE src = 7 ORDER BY tgt LIMIT 20) UNION ALL (SELECT 'in', src FROM edges WHERE tgt = 7 ORDER BY src LIMIT 20)")(lambda s, d: search.connections(E(s, d), 7))
 query("o6_union_limit", "SELECT * FROM (SELECT 'out' AS kind, tgt AS nbr FROM edges WHERE src = 7 UNION ALL SELECT 'in', src FROM edges WHERE tgt = 7) ORDER BY kind DESC, nbr LIMIT 15")(
     lambda s, d: g.neighbours(E(s, d), ids(s, 7)).select("kind", "nbr").orderBy(F.desc("kind"), "nbr").limit(15))
 query("o9_union_minus_seen", "SELECT idx FROM nodes WHERE category = 1 AND idx NOT IN (SELECT tgt FROM edges WHERE src = 7) UNION SELECT tgt FROM edges WHERE src = 7")(
@@ -197,8 +196,8 @@ def m4(s, d):
 
 
 query("m5_hop_cost", "SELECT idx, round(1 + 0.5 * ln(1 + degree), 9) AS cost FROM deg")(lambda s, d: D(s, d).select("idx", F.round(maths.hop_cost(F.col("degree")), 9).alias("cost")))
-query("m6_radius", "SELECT d.idx, round(0.35 + 0.19 * ln(1 + degree), 9) AS by_degree, round(2 * ln(1 + views) + 1, 9) AS by_views FROM deg d JOIN nodes n ON n.idx = d.idx")(
-    lambda s, d: D(s, d).select("idx", F.round(maths.radius_by_degree(F.col("degree")), 9).alias("by_degree"), F.round(maths.radius_by_views(F.col("views")), 9).alias("by_views")))
+query("m6_radius", "SELECT d.idx, round(0.35 + 0.19 * ln(1 + degree), 9) AS by_degree, round(2 * ln(1 + views) + 1, 9) AS by_views, round(0.4 * ln(1 + views) + 1.2, 9) AS small, round(least(greatest(pow(views, 0.25), 2), 5), 9) AS by_power FROM deg d JOIN nodes n ON n.idx = d.idx")(
+    lambda s, d: D(s, d).select("idx", F.round(maths.radius_by_degree(F.col("degree")), 9).alias("by_degree"), F.round(maths.radius_by_views(F.col("views")), 9).alias("by_views"), F.round(maths.radius_by_views(F.col("views"), 0.4, 1.2), 9).alias("small"), F.round(maths.radius_by_power(F.col("views")), 9).alias("by_power")))
 
 # ---- graph algorithms
 query("g1_neighbours", "SELECT src AS idx, tgt AS nbr, 'out' AS kind FROM edges WHERE src IN (7, 8) UNION ALL SELECT tgt, src, 'in' FROM edges WHERE tgt IN (7, 8) AND src <> tgt")(lambda s, d: g.neighbours(E(s, d), ids(s, 7, 8)))
@@ -220,18 +219,8 @@ def weighted(s, d):
 query("g8_weighted_cost", """+ c AS (SELECT CAST(1 AS BIGINT) AS idx, CAST(0 AS DOUBLE) AS cost, 0 AS n UNION SELECT e.tgt, round(min(c.cost + 1 + 0.5 * ln(1 + degree)), 9), c.n + 1 FROM c JOIN edges e ON e.src = c.idx JOIN deg ON deg.idx = e.tgt WHERE c.n < 5 GROUP BY 1, 3)
  SELECT idx, round(min(cost), 6) AS cost FROM c GROUP BY 1""")(lambda s, d: g.cheapest_costs(weighted(s, d), 1, maths.hop_cost(F.col("degree"))).select("idx", F.round("cost", 6).alias("cost")))
 query("g8c_weighted_path")(lambda s, d: g.cheapest_path(weighted(s, d), 1, 150, maths.hop_cost(F.col("degree"))))
-query("g4_depth_first")(lambda s, d: g.path_frame(s, g.DriverSearch(E(s, d)).depth_first(1, 150)))
-
-
-def best_first(s, d, step: float):
-    """From node 1 to node 150 by straight distance, looked up beside the neighbours."""
-    places = N(s, d).select(F.col("idx").alias("tgt"), "x", "y")
-    search, goal = g.DriverSearch(E(s, d).join(places, "tgt"), at=("x", "y")), N(s, d).where("idx = 150").select("x", "y").first()
-    return g.path_frame(s, search.best_first(1, 150, lambda a, b: step, search.distance_to(goal.x, goal.y)))
-
-
-query("g8a_astar")(lambda s, d: best_first(s, d, 1.0))
-query("g8b_greedy")(lambda s, d: best_first(s, d, 0.0))
+for _name, _method in (("g4_depth_first", "dfs"), ("g8a_astar", "astar"), ("g8b_greedy", "greedy"), ("g9b_random_walk", "walk")):
+    query(_name)(lambda s, d, method=_method: search.shortest_path(E(s, d), 1, 150, method, N(s, d)))
 query("g9_random_walks")(lambda s, d: g.random_walks(E(s, d), ids(s, 1, 2, 3, 4), 10, 7))
 query("g10_louvain")(lambda s, d: g.louvain(und(s, d)))
 query("g11_core_numbers")(lambda s, d: g.core_numbers(E(s, d)))
@@ -245,6 +234,7 @@ query("g13_inherit_category", LABELS + "SELECT h10.idx, n.category FROM h10 JOIN
 query("g14_force_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d)))
 query("g15_pinned_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d), 2, pinned=N(s, d).where("idx <= 20")))
 query("g18_embedding")(lambda s, d: g.embed(E(s, d)))
+query("g20_simulation")(lambda s, d: layout.simulate(N(s, d), E(s, d), 10))
 query("g19_projection")(lambda s, d: g.project(g.embed(E(s, d), 32)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import maths, topics
 from linkloom.functions import text as t
+from linkloom.operators import search
 from linkloom.sources import articles as src
 from linkloom.sources import html
 
@@ -108,10 +109,18 @@ query("k13_topic_json", """WITH w AS (SELECT p_type AS topic, list_sort(list_dis
  SELECT topic, CASE WHEN b > 150000 THEN '["' || array_to_string(words[1:12], '","') || '"]' ELSE json END AS json FROM j, t""")(lambda s, d: src.sized_json(table(s, d, "part").select(F.col("p_type").alias("topic"), F.col("p_name").alias("word")), 150_000, 12))
 
 # ---- predicates
-query("f7_incomplete", "SELECT doc_id FROM documents WHERE n_chars > 40 AND (text IS NULL OR trim(text) = '' OR lang = 'de')")(lambda s, d: docs(s, d).where((F.col("n_chars") > 40) & (F.col("text").isNull() | (F.trim("text") == "") | (F.col("lang") == "de"))).select("doc_id"))
-query("f8_repair_set", "SELECT doc_id FROM documents WHERE n_chars > 40 AND lang = 'fr' ORDER BY doc_id LIMIT 50")(lambda s, d: docs(s, d).where("n_chars > 40 and lang = 'fr'").orderBy("doc_id").limit(50).select("doc_id"))
+#: Documents as crawled articles: all but every seventh crawled, some without snippet, categories or contexts.
+ARTICLES = "SELECT doc_id AS id, doc_id % 7 <> 0 AS crawled, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS snippet, CASE doc_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN NULL ELSE '[\"x\"]' END AS categories, CASE WHEN doc_id % 4 <> 0 THEN '{}' END AS link_contexts FROM documents"
+
+
+def crawled(s, d):
+    return docs(s, d).selectExpr(*[x + " AS " + n for x, n in (("doc_id", "id"), ("doc_id % 7 <> 0", "crawled"), ("CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 40) END", "snippet"), ("CASE doc_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN NULL ELSE '[\"x\"]' END", "categories"), ("CASE WHEN doc_id % 4 <> 0 THEN '{}' END", "link_contexts"))])
+
+
+query("f7_incomplete", f"SELECT id FROM ({ARTICLES}) WHERE crawled AND (snippet IS NULL OR trim(snippet) = '' OR categories IS NULL OR categories IN ('', '[]'))")(lambda s, d: search.incomplete_articles(crawled(s, d)).select("id"))
+query("f8_repair_set", f"SELECT id FROM ({ARTICLES}) WHERE crawled AND link_contexts IS NULL ORDER BY id LIMIT 50")(lambda s, d: search.repair_set(crawled(s, d), 50).select("id"))
 query("f9_token_prefix", r"SELECT p_partkey AS idx FROM part WHERE len(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 's'))) > 0 ORDER BY idx LIMIT 10")(
-    lambda s, d: table(s, d, "part").where(F.exists(t.tokens(F.col("p_name")), lambda x: x.startswith("s"))).orderBy("p_partkey").limit(10).select(F.col("p_partkey").alias("idx")))
+    lambda s, d: search.token_search(table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("title")), "s").select("idx"))
 PARTS = "SELECT p_partkey AS idx, p_name || ' #' || p_partkey AS title FROM part"
 
 
@@ -119,9 +128,8 @@ def titles(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.concat("p_name", F.lit(" #"), "p_partkey").alias("title"))
 
 
-query("f10_prefix_search", f"SELECT idx, title FROM ({PARTS}) WHERE starts_with(lower(title), 's') ORDER BY lower(title), idx LIMIT 8")(lambda s, d: titles(s, d).where(F.lower("title").startswith("s")).orderBy(F.lower("title"), "idx").limit(8))
-query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHERE title >= 's' AND title < 't' ORDER BY title LIMIT 8) UNION (SELECT * FROM ({PARTS}) WHERE title >= 'S' AND title < 'T' ORDER BY title LIMIT 8)) ORDER BY title LIMIT 8")(
-    lambda s, d: titles(s, d).where("title >= 's' and title < 't'").orderBy("title").limit(8).union(titles(s, d).where("title >= 'S' and title < 'T'").orderBy("title").limit(8)).distinct().orderBy("title").limit(8))
+query("f10_prefix_search", f"SELECT idx, title FROM ({PARTS}) WHERE starts_with(lower(title), 's') ORDER BY lower(title), idx LIMIT 8")(lambda s, d: search.prefix_search(titles(s, d), "s"))
+query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHERE title >= 's' AND title < 't' ORDER BY title LIMIT 8) UNION (SELECT * FROM ({PARTS}) WHERE title >= 'S' AND title < 'T' ORDER BY title LIMIT 8)) ORDER BY title LIMIT 8")(lambda s, d: search.cased_prefix_search(titles(s, d), "s"))
 query("f12_resolve_title", f"SELECT idx FROM ({PARTS}) WHERE lower(title) = (SELECT lower(title) FROM ({PARTS}) WHERE idx = 42) ORDER BY title = (SELECT title FROM ({PARTS}) WHERE idx = 42) DESC, idx LIMIT 1")(lambda s, d: src.resolve_title(titles(s, d), titles(s, d).where("idx = 42").first().title))
 TITLED = "CASE doc_id % 5 WHEN 0 THEN 'MediaWiki:' WHEN 1 THEN 'List of ' WHEN 2 THEN 'user:' WHEN 3 THEN 'Image:' ELSE '' END || source"
 query("f13_meta_titles", f"SELECT doc_id, title, NOT ({_META.replace('(x,', '(title,')}) AS dumped FROM (SELECT doc_id, {TITLED} AS title FROM documents) WHERE NOT regexp_matches(title, '^(Special:|Wikipedia:|Portal:|Help:|File:|Category:|Talk:|Template:|User:|Draft:|MediaWiki:|Module:|Gadget:|Main Page|Deaths in |List of |Lists of )')")(
@@ -213,6 +221,8 @@ query("t18b_own_groups", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + "
 query("t19_topic_to_id", "SELECT n_nationkey AS k, CASE n_nationkey % 8 WHEN 7 THEN 6 ELSE n_nationkey % 8 END AS id FROM nation")(
     lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), topics.id_of(F.element_at(F.array(*[F.lit(n) for n, _ in topics.FULL], F.lit("Other & General"), F.lit("x")), (F.col("n_nationkey") % 8 + 1).cast("int"))).alias("id")))
 query("t21_json_lists", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.json_list(F.when(F.col("doc_id") % 3 == 0, "not json").otherwise(F.to_json(F.array("lang", "source"))))).alias("n")))
+query("t23b_views", "SELECT o_orderkey AS k, CASE WHEN v >= 1000000 THEN printf('%.1f', floor(v / 100000.0 + 0.5) / 10) || 'M' WHEN v >= 1000 THEN printf('%.1f', floor(v / 100.0 + 0.5) / 10) || 'K' ELSE v::VARCHAR END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 50) AS v FROM orders)")(
+    lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), maths.views_text(F.floor("o_totalprice") * (F.col("o_orderkey") % 50)).alias("shown")))
 query("t23_duration", "SELECT event_id, CASE WHEN v < 1000 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' ms' ELSE printf('%.2f', floor(v / 10 + 0.5) / 100) || ' s' END AS shown FROM (SELECT event_id, value * 20 AS v FROM events)")(lambda s, d: table(s, d, "events").select("event_id", maths.duration_text(F.col("value") * 20).alias("shown")))
 query("t24_last_month", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(date_trunc('month', CAST(o_orderdate AS DATE)) - INTERVAL 15 DAY, '%Y/%m') AS month FROM orders")(lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", t.last_full_month(F.col("day")).alias("month")))
 query("t25_link_url", "SELECT p_partkey AS idx, '/wiki/' || replace(replace(p_name || ' #' || p_partkey, ' ', '%20'), '#', '%23') AS url FROM part")(lambda s, d: titles(s, d).select("idx", t.link_url(F.col("title")).alias("url")))

@@ -58,6 +58,32 @@ def read_titles(data: bytes) -> list[str]:
     return [body[a:b].decode() for a, b in zip(o, o[1:], strict=False)]
 
 
+def indexed_titles(rows: list[tuple[int, str | None]]) -> list[str]:
+    """Titles in order of their ids, which must be 0, 1, 2, ... without a gap; null titles are empty."""
+    out = []
+    for i, title in sorted(rows, key=lambda r: r[0]):
+        if i != len(out):
+            raise ValueError(f"gap or repeat: id {len(out)} expected, {i} found")
+        out.append(title or "")
+    return out
+
+
+def write_compact_titles(titles: list[str]) -> bytes:
+    """Magic, N, one byte of length a title, UTF-8 bytes."""
+    raw = [t.encode() for t in titles]
+    if long := [r for r in raw if len(r) > 255]:
+        raise ValueError(f"a title of {len(long[0])} bytes; 255 fit")
+    return b"WGT2" + np.uint32(len(raw)).tobytes() + bytes(map(len, raw)) + b"".join(raw)
+
+
+def read_compact_titles(data: bytes) -> list[str]:
+    if data[:4] != b"WGT2":
+        raise ValueError("not a file of compact titles")
+    n = int(np.frombuffer(data, "<u4", 1, 4)[0])
+    ends = np.cumsum(np.frombuffer(data, "u1", n, 8).astype(np.int64)) + 8 + n
+    return [data[a:b].decode() for a, b in zip([8 + n, *ends[:-1].tolist()], ends.tolist(), strict=False)] if n else []
+
+
 def write_links(src: np.ndarray, tgt: np.ndarray) -> bytes:
     """u64 count, sources, targets."""
     return np.uint64(len(src)).tobytes() + np.asarray(src, "<u4").tobytes() + np.asarray(tgt, "<u4").tobytes()
@@ -68,6 +94,9 @@ def read_links(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u4", n, 8), np.frombuffer(data, "<u4", n, 8 + 4 * n)
 
 
+#: The magics of the compact formats are WGV2, WGT2 and WGE2.
+
+
 def write_compact(x: np.ndarray, y: np.ndarray, degree: np.ndarray, category: np.ndarray) -> bytes:
     """Magic, N, palette length, low end and scale padded to 24 bytes; palette, 16-bit x, y, palette index, 8-bit kind."""
     lo, hi = float(min(x.min(), y.min())), float(max(x.max(), y.max()))

@@ -82,3 +82,27 @@ def upsert_sink(path: str, key: str, seq: str) -> Callable[[DataFrame, int], Non
         upsert(rows.withColumn("_s", F.col(seq)), key, "_s").drop("_s").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return put
+
+
+def progress_log(spark: SparkSession, write: Callable[[dict], None]):
+    """A listener that hands on a line of figures for each batch of every stream, and for its start and end; returns it,
+    for spark.streams.removeListener."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Log(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            write({"event": "started", "id": str(event.id), "name": event.name})
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            write({"event": "batch", "id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": p.batchDuration})
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            write({"event": "ended", "id": str(event.id), "error": event.exception})
+
+    log = Log()
+    spark.streams.addListener(log)
+    return log
