@@ -118,3 +118,27 @@ def test_pipeline(spark):
         empty = stage(spark, empty, DATA)
         assert empty.count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and out.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_stages_against_plain_versions(spark):
+    """On a whole small table each stage's rows are those of a plain version of it, worked out from its input."""
+    from .test_text_operators import components
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    repeated = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    rows = {(r.doc_id, r.text) for r in repeated.collect()}
+    groups = components(sorted(rows, key=str), 5, 80, 100)
+    want = sorted([i for i, n, c in groups if n and i == c])
+    empty = repeated.where("trim(coalesce(text, '')) = ''").count()
+    kept = corpus_pipeline.near_duplicate_stage(spark, repeated, DATA).collect()
+    assert len(kept) == len(want) + empty and sorted({r.doc_id for r in kept}) == sorted(set(want) | {r.doc_id for r in kept if not (r.text or "").strip()})
+    # decontamination: no item stands unchanged in what is kept, and what goes holds words of an item
+    items = [" ".join((r.text or "").lower().split()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    plain = lambda t: " ".join((t or "").lower().split())
+    left = {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, DATA).select("doc_id").collect()}
+    for r in docs.collect():
+        if any(i and i in plain(r.text) for i in items):
+            assert r.doc_id not in left
+    # PII: one row each, texts without digits, @ or titles unchanged
+    out = {r.doc_id: r.text for r in corpus_pipeline.pii_stage(spark, docs, DATA).collect()}
+    assert len(out) == docs.count() and all(out[r.doc_id] == r.text for r in docs.collect() if r.text and not any(c.isdigit() or c == "@" for c in r.text) and not any(x in r.text for x in (". ", "Mr", "Frau", "Herr", "Dr", "Prof")))
