@@ -73,8 +73,13 @@ def linked_pages(s, d):
     return pages(s, d).withColumn("html", F.regexp_replace("html", r"<p>(\p{L}+)", '<p><a href="/$1_page">$1</a>'))
 
 # ---- sources
-query("s5_page_parse", r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&amp;', '&') AS h1 FROM pages")(
-    lambda s, d: pages(s, d).select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.replace(F.replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&")).alias("h1")))
+def _plain(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+query("s5_page_parse", "SELECT page_id, " + ", ".join(_plain(f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)") + f" AS {name}" for tag, name in (("title", "title"), ("h1", "h1"))) + " FROM pages")(lambda s, d: src.page_head(pages(s, d)))
 
 
 def view_lines(s, d):
@@ -168,9 +173,11 @@ query("t7_html_links")(lambda s, d: html.html_links(pages(s, d)))
 query("t7b_html_contexts")(lambda s, d: html.html_contexts(linked_pages(s, d)))
 query("t8_html_text")(lambda s, d: html.html_text(pages(s, d)))
 query("t8b_html_full_contexts")(lambda s, d: html.html_full_contexts(linked_pages(s, d)))
-query("t9_categories", "SELECT doc_id, 'Category:' || source || '|Category:' || lang AS cats FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.array_join(t.categories_of(F.concat(F.lit("[[Category:"), "source", F.lit("|x]] [[Category: "), "lang", F.lit("]]"))), "|").alias("cats")))
+query("t9_categories", r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(x, '\[\[Category:([^\]]+)\]\]', 1), lambda l: 'Category:' || trim(split_part(l, '|', 1))), '|') AS cats FROM (SELECT doc_id, regexp_replace(text, '([,;])\s+([A-Za-z]+)', '\1 [[Category: \2|x]] [[\2]]', 'g') AS x FROM documents)")(
+    lambda s, d: docs(s, d).select("doc_id", F.array_join(t.categories_of(F.regexp_replace("text", r"([,;])\s+([A-Za-z]+)", "$1 [[Category: $2|x]] [[$2]]")), "|").alias("cats")))
 query("t10_snippet", r"SELECT doc_id, CASE WHEN length(l) > 250 THEN substr(l, 1, 247) || '...' ELSE coalesce(l, '') END AS snippet FROM (SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS l FROM documents)")(lambda s, d: docs(s, d).select("doc_id", t.snippet(F.col("text")).alias("snippet")))
-query("t11_redirects", "SELECT doc_id, (doc_id % 4 = 0) AS redirect FROM documents")(lambda s, d: docs(s, d).select("doc_id", t.is_redirect(F.concat(F.when(F.col("doc_id") % 4 == 0, "\n #Redirect [[").otherwise("x"), F.coalesce("text", F.lit("")))).alias("redirect")))
+_REDIRECT = "CASE doc_id % 6 WHEN 0 THEN chr(10) || ' #Redirect [[' WHEN 1 THEN '#REDIRECT' WHEN 2 THEN '# redirect' WHEN 3 THEN 'x #redirect' ELSE '' END || coalesce(text, '')"
+query("t11_redirects", f"SELECT doc_id, regexp_matches({_REDIRECT}, '(?i)^\\s*#redirect') AS redirect FROM documents")(lambda s, d: docs(s, d).select("doc_id", t.is_redirect(F.expr(_REDIRECT)).alias("redirect")))
 query("t12_strip_markup", f"MARKED SELECT doc_id, md5({sql_stripped('text')}) AS h FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.md5(t.strip_markup(F.col("text"))).alias("h")))
 query("t13_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS h FROM pages")(lambda s, d: pages(s, d).select("page_id", F.md5(t.escape_html(F.col("html"))).alias("h")))
 _ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;')"

@@ -28,6 +28,12 @@ def parsed_articles(pages: DataFrame) -> DataFrame:
     return pages.select("title", text.snippet(clean).alias("snippet"), text.categories_of(F.col("text")).alias("categories"), text.link_targets(F.col("text")).alias("links"))
 
 
+def page_head(pages: DataFrame) -> DataFrame:
+    """pages: (page_id, html). Title and heading as they stand there, without character references; empty if missing."""
+    inner = lambda tag: text.unescape_xml(F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return pages.select("page_id", inner("title").alias("title"), inner("h1").alias("h1"))
+
+
 def not_yet(pages: DataFrame, stored: DataFrame, key: str = "title") -> DataFrame:
     """What a resumed run still has to read."""
     return pages.join(stored.select(key), key, "left_anti")
@@ -47,8 +53,9 @@ def read_pageviews(spark: SparkSession, path: str, how: str = "max") -> DataFram
 
 
 def read_weighted_edges(spark: SparkSession, path: str) -> DataFrame:
-    """A (compressed) CSV of source, target, weight; compressed files are one task each, so rows are dealt out after."""
-    return spark.read.csv(path, header=True, schema="source int, target int, weight float").repartition("source")
+    """A (compressed) CSV of source, target, weight; compressed files are one task each, so rows are dealt out after, by
+    both ends, so that a hub's links are not one task's."""
+    return spark.read.csv(path, header=True, schema="source int, target int, weight float").repartition("source", "target")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

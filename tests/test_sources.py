@@ -79,3 +79,22 @@ def test_crawl(spark):
     fetch = lambda batch: spark.createDataFrame([(r.title, web[r.title]) for r in batch.collect()], "title string, links array<string>")
     rounds = events.crawl(spark, fetch, spark.createDataFrame([("a",)], "title string"), lambda got: seen.extend(r.title for r in got.collect()), 10, 2)
     assert sorted(seen) == ["a", "b", "c", "d"] and rounds < 10
+
+
+def test_resumed_and_fetched(spark, tmp_path):
+    pages = spark.createDataFrame([("a",), ("b",), ("c",)], "title string")
+    assert sorted(r.title for r in articles.not_yet(pages, pages.where("title = 'b'")).collect()) == ["a", "c"]
+    asked = {}
+
+    def fetch(url):  # busy twice, then there
+        asked[url] = asked.get(url, 0) + 1
+        return (429, None) if asked[url] < 3 else (200 if url != "gone" else 404, f"body of {url}")
+
+    got = {r.url: (r.status, r.body) for r in articles.fetched(spark.createDataFrame([("x",), ("gone",)], "url string").coalesce(1), fetch, wait=lambda s: None).collect()}
+    assert got == {"x": (200, "body of x"), "gone": (404, "body of gone")}
+    (tmp_path / "m.csv").write_text("id,views,category_id\n2,5,1\n0,7,6\n")
+    assert [tuple(r) for r in articles.read_metadata(spark, str(tmp_path / "m.csv")).collect()] == [(0, 7, 6), (2, 5, 1)]
+    spark.range(3).write.parquet(str(tmp_path / "there"))
+    assert articles.first_that_reads(spark, [str(tmp_path / "missing"), str(tmp_path / "there")]).count() == 3
+    with pytest.raises(FileNotFoundError):
+        articles.first_that_reads(spark, [str(tmp_path / "missing")])
