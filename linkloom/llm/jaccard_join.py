@@ -20,6 +20,7 @@ joins two components is missed."""
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -600,9 +601,11 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     )
     few = told.count() <= BROADCAST_IDS
     hint = F.broadcast if few else lambda x: x
-    mine = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_same_": F.xxhash64("text")})
-    on = lambda t: mine["_id_"].eqNullSafe(t["doc_id"]) & (mine["_same_"] == t["same"])
+    own = uuid.uuid4().hex  # names that no column of docs has
+    id_, same = f"id_{own}", f"same_{own}"
+    mine = docs.withColumns({id_: F.col("doc_id").cast("long"), same: F.xxhash64("text")})
+    on = lambda t: mine[id_].eqNullSafe(t["doc_id"]) & (mine[same] == t["same"])
     rest = mine.join(hint(told), on(told), "left_anti")
     once = told.where("stays")
-    repeated = mine.join(hint(once), on(once), "left_semi").dropDuplicates(["_id_", "_same_"])
+    repeated = mine.join(hint(once), on(once), "left_semi").dropDuplicates([id_, same])
     return rest.unionByName(repeated).select(*docs.columns)
