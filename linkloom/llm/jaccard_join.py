@@ -501,12 +501,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     bits = min(63, max(range_bits + 1, about.bit_length() + SPARE_BITS))
     packed = signing.mapInArrow(scan_signatures(words, num, den, n_docs / 12, bits, range_bits), "range int, blob binary")
     shared = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(shared_signatures, "sig long, doc_id long")
-    met = shared.join(filled.select("doc_id", "cls"), "doc_id").groupBy("sig", "cls").agg(F.lit(1).alias("one"))
-    met = scratch.save(met.select("sig", "cls"))
+    met = scratch.save(shared.join(filled.select("doc_id", "cls", F.col("n_shingles").cast("int").alias("n")), "doc_id").groupBy("sig", "cls").agg(F.min("n").alias("n")))
     many = met.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
     met = scratch.save(met.join(many, "sig"))
     classes = scratch.save(every.join(met.select("cls").distinct(), "cls", "left_semi").drop("copies"))
-    members = met.join(classes.drop("rep"), "cls")
 
     def blocks(of: DataFrame, cross: bool) -> DataFrame:
         n = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -535,29 +533,36 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp")
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
-    # a forest over some of the signatures, so that most documents that belong together are joined by few edges; a
-    # forest over all that still lie in different components; then all pairs of those that still do, in groups where an
-    # edge of a forest was no link or that were dealt out in blocks (in all others no more pairs pass the filter). Of two
-    # sets the larger one's share is within the smaller one's.
-    share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n_shingles") * (2 * (den - num) / (den + num)))))).cast("long")
+    def some_of(much: int) -> DataFrame:
+        """For each class about so many of its signatures; of two classes those of the larger one are among the smaller
+        one's."""
+        share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n") * (2 * (den - num) / (den + num) / much))))).cast("long")
+        return met.where(F.pmod(F.xxhash64("sig"), share) == 0)
+
+    # forests over some of the signatures, so that most documents that belong together are joined by few edges; a forest
+    # over all that still lie in different components; then all pairs of those that still do, in groups where an edge of
+    # a forest was no link or that were dealt out in blocks (in all others no more pairs pass the filter)
     tried = links = comps = None
-    for of, cross in ((members.where(F.pmod(F.xxhash64("sig"), share) == 0), False), (members, False), (members, True)):
+    for of, cross in ((some_of(1), False), (some_of(8), False), (met, False), (met, True)):
         if comps is None:
             placed = of.withColumn("comp", F.col("cls"))
         else:
             # signatures of classes that do not all lie in one component
-            where = met.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            where = of.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             split = where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
             if cross:
                 failed = tried.where("not linked")
                 failed = failed.select(F.col("a").alias("cls")).unionByName(failed.select(F.col("b").alias("cls"))).distinct()
                 open_groups = met.join(failed, "cls").select("sig").unionByName(met.where(F.col("rows") > BLOCK_ROWS).select("sig")).distinct()
-                where = where.join(split.join(open_groups, "sig"), "sig").join(classes.select("cls", "n_shingles"), "cls")
-                close = texts_of(where.select("cls").distinct()).mapInArrow(close_sketches(words, num, den), "cls long, sketch binary")
-                placed = where.join(scratch.save(close.dropDuplicates(["cls"])), "cls")
-            else:
-                placed = where.join(split, "sig").join(classes.drop("rep"), "cls")
-        pairs = meet(placed, cross)
+                split = split.join(open_groups, "sig")
+            placed = where.join(split, "sig")
+        if cross:
+            placed = scratch.save(placed)
+            close = texts_of(placed.select("cls").distinct()).mapInArrow(close_sketches(words, num, den), "cls long, sketch binary")
+            placed = placed.join(scratch.save(close.dropDuplicates(["cls"])), "cls")
+        else:
+            placed = placed.join(classes.select("cls", "sketch"), "cls")
+        pairs = meet(placed.withColumnRenamed("n", "n_shingles"), cross)
         pairs = scratch.save(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty() and links is not None:
             continue
