@@ -340,7 +340,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     scratch = Scratch(spark, "surrogates")
     own = uuid.uuid4().hex
     names, matches, th, mine, changes, entity = (f"{x}_{own}" for x in ("names", "matches", "th", "mine", "changes", "entity"))
-    found = with_matches(docs.select("text"), names, matches).select(F.xxhash64("text").alias("th"), F.explode(matches).alias("m"))
+    # outer: for an inner one the planner would put the search for matches into a filter of its own as well
+    found = with_matches(docs.select("text"), names, matches).select(F.xxhash64("text").alias("th"), F.explode_outer(matches).alias("m")).where("m is not null")
     found = scratch.save(found.groupBy("th", "m").agg(F.count("*").alias("n")).select("th", F.explode(_entities(F.col("m"))).alias(entity)).select("th", f"{entity}.*").distinct())
     moved = exceptions(found.drop("th"), key, scratch)
     cols = [c for c in docs.columns if c != "n_entities"]
