@@ -114,6 +114,12 @@ def ring_pull(r: Column, v: Column, most: Column | float, decay: float = 12.0) -
     return F.when(r > 0.94 * most, 0.62 * most - F.log(unit_hash(v, 9)) * decay).otherwise(r)
 
 
+def quantiser(lo: Column, hi: Column, pad: float = 1e-4) -> tuple[Column, Column]:
+    """(low end, scale) of 16-bit numbers over a range that is padded on both sides."""
+    wide = hi - lo
+    return lo - pad * wide, 65535.0 / (wide + 2 * pad * wide)
+
+
 def quantised(v: Column, lo: Column, scale: Column) -> Column:
     """To 0..65535, halves to even."""
     return F.least(F.greatest(F.bround((v - lo) * scale), F.lit(0)), F.lit(65535)).cast("long")

@@ -37,6 +37,20 @@ def seed_layout(nodes: DataFrame, kind: str = "spiral") -> DataFrame:
     return nodes.select("idx", x.alias("x"), y.alias("y"))
 
 
+def start_positions(nodes: DataFrame, placed: DataFrame, gateways: DataFrame) -> DataFrame:
+    """Where a layout begins: nodes (idx) that are placed (idx, x, y) stay; one with a gateway (idx, gateway) that is
+    placed begins 6 to 45 from it, by a hash; all others on a thin ring 2.2 times as far out as the placed ones' root
+    mean square. Rows (idx, x, y)."""
+    wide = placed.agg((2.2 * F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")))).alias("wide"))  # one row
+    at = placed.select("idx", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = gateways.select("idx", F.col("gateway")).join(placed.select(F.col("idx").alias("gateway"), F.col("x").alias("gx"), F.col("y").alias("gy")), "gateway").select("idx", "gx", "gy")
+    rows = nodes.select("idx").join(at, "idx", "left").join(near, "idx", "left").crossJoin(F.broadcast(wide))
+    v, turn = F.col("idx"), 6.283185307179586
+    off, ring = 6 + 39 * maths.unit_hash(v, 61), F.col("wide") * (1 + 0.15 * maths.unit_hash(v, 63))
+    place = lambda f, p, gate: F.when(F.col(p).isNotNull(), F.col(p)).when(F.col(gate).isNotNull(), F.col(gate) + off * f(turn * maths.unit_hash(v, 62))).otherwise(ring * f(turn * maths.unit_hash(v, 64)))
+    return rows.select("idx", place(F.cos, "px", "gx").alias("x"), place(F.sin, "py", "gy").alias("y"))
+
+
 def spring_force(dx: Column, dy: Column, length: float, strength: Column, alpha: float) -> tuple[Column, Column]:
     """Along a link, in proportion to what it is longer than its rest length."""
     r = F.greatest(F.hypot(dx, dy), F.lit(1e-6))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import maths as m
 from linkloom.functions import text as t
 from linkloom.operators import graph as g
+from linkloom.operators import layout
 from linkloom.operators import spatial as sp
 from linkloom.streaming import events as ev
 
@@ -112,13 +113,14 @@ def m12(s, d):
     return k.select("category", F.round(40 * F.sqrt(F.col("r") + 2) * F.cos(F.col("r") * 2.399963229728653), 6).alias("x"), F.round(40 * F.sqrt(F.col("r") + 2) * F.sin(F.col("r") * 2.399963229728653), 6).alias("y"))
 
 
-LIMITS = "lim AS (SELECT least(min(x), min(y)) AS lo, 65535.0 / (greatest(max(x), max(y)) - least(min(x), min(y))) AS scale FROM nodes)"
+LIMITS = "lim AS (SELECT lo - 0.0001::DOUBLE * (hi - lo) AS lo, 65535.0::DOUBLE / (hi - lo + 2 * 0.0001::DOUBLE * (hi - lo)) AS scale FROM (SELECT least(min(x), min(y)) AS lo, greatest(max(x), max(y)) AS hi FROM nodes))"
 
 
 def limits(s, d):
     n = N(s, d)
-    lo, hi = F.least(F.min("x"), F.min("y")), F.greatest(F.max("x"), F.max("y"))
-    return n.crossJoin(F.broadcast(n.agg(lo.alias("lo"), (65535.0 / (hi - lo)).alias("scale"))))
+    ends = n.agg(F.least(F.min("x"), F.min("y")).alias("a"), F.greatest(F.max("x"), F.max("y")).alias("b"))  # one row
+    lo, scale = m.quantiser(F.col("a"), F.col("b"))
+    return n.crossJoin(F.broadcast(ends.select(lo.alias("lo"), scale.alias("scale"))))
 
 
 query("m13_quantised", f"+{LIMITS} SELECT idx, CAST(least(greatest(round_even((x - lo) * scale, 0), 0), 65535) AS BIGINT) AS qx FROM nodes, lim")(lambda s, d: limits(s, d).select("idx", m.quantised(F.col("x"), F.col("lo"), F.col("scale")).alias("qx")))
@@ -179,10 +181,16 @@ def g24(s, d):
     return ranked.where("(r > 2 and r <= 60) or n < 20").orderBy("r").limit(18).select("idx")
 
 
-@query("g16_start_positions", "SELECT n.idx, round(b.x + 6 + (h % 100000) / 100000.0 * 39, 6) AS x FROM (SELECT idx, idx - idx % 10 AS gw, (idx * 1103515245 + 12345) & 2147483647 AS h FROM nodes) n JOIN nodes b ON b.idx = n.gw")
+_PLACED = "CASE WHEN n.idx % 10 = 0 THEN n.{v} WHEN b.x IS NOT NULL THEN b.{v} + (6 + 39 * {u61}) * {f}(6.283185307179586::DOUBLE * {u62}) ELSE wide * (1 + 0.15::DOUBLE * {u63}) * {f}(6.283185307179586::DOUBLE * {u64}) END"
+_START = {v: _PLACED.format(v=v, f=f, **{f"u{k}": sql_unit("n.idx", k) for k in (61, 62, 63, 64)}) for v, f in (("x", "cos"), ("y", "sin"))}
+
+
+@query("g16_start_positions", f"+ w AS (SELECT 2.2::DOUBLE * sqrt(avg(x * x + y * y)) AS wide FROM nodes WHERE idx % 10 = 0) SELECT n.idx, round({_START['x']}, 5) AS x, round({_START['y']}, 5) AS y FROM nodes n CROSS JOIN w LEFT JOIN nodes b ON b.idx = n.idx - n.idx % 10 AND n.idx % 10 < 7")
 def g16(s, d):
-    n = N(s, d).select("idx", (F.col("idx") - F.col("idx") % 10).alias("gw"))
-    return n.join(N(s, d).select(F.col("idx").alias("gw"), "x"), "gw").select("idx", F.round(F.col("x") + 6 + m.hash_jitter(F.col("idx"))[0] * 39, 6).alias("x"))
+    """Every tenth node is placed; the six behind it have it as their gateway, the last three none."""
+    n = N(s, d).select("idx", "x", "y")
+    gateways = n.where("idx % 10 between 1 and 6").select("idx", (F.col("idx") - F.col("idx") % 10).alias("gateway"))
+    return layout.start_positions(n, n.where("idx % 10 = 0"), gateways).select("idx", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 query("g17_orphan_ring", f"+ o AS (SELECT idx FROM nodes WHERE idx NOT IN (SELECT tgt FROM edges WHERE cnt > 1)), e AS (SELECT quantile_cont(sqrt(x * x + y * y), 0.97) AS e FROM nodes WHERE idx IN (SELECT tgt FROM edges WHERE cnt > 1)) SELECT idx, round(e * (1 + 0.15::DOUBLE * {sql_unit('idx', 6)}), 5) AS r, round(2 * pi() * {sql_unit('idx', 7)}, 7) AS a FROM o, e")(
@@ -191,6 +199,10 @@ query("g23_ring_pull", f"SELECT idx, round(CASE WHEN r > 0.94::DOUBLE * 240 THEN
 query("r1_crawl_step", "SELECT DISTINCT tgt AS idx FROM edges WHERE src IN (SELECT idx FROM nodes WHERE views > 0 ORDER BY views DESC, idx LIMIT 20) AND tgt NOT IN (SELECT idx FROM nodes ORDER BY views DESC, idx LIMIT 40)")(
     lambda s, d: ev.crawl_step(N(s, d).where("views > 0").orderBy(F.desc("views"), "idx").limit(20).select("idx"), E(s, d), N(s, d).orderBy(F.desc("views"), "idx").limit(40).select("idx")))
 query("r4_evictions", """SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND (b.event_type = a.event_type OR b.value > a.value)) AS evicted FROM events a""", False)(lambda s, d: ev.evictions(table(s, d, "events")))
+_GONE = "EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR AND (b.event_type = a.event_type OR b.value > a.value))"
+query("a24b_latency_by_priority", f"SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS evicted, round(sum(value) FILTER (NOT gone), 4) AS total, max(value) FILTER (NOT gone) AS most, round(median(value) FILTER (NOT gone), 6) AS mid FROM (SELECT *, {_GONE} AS gone FROM events a) GROUP BY 1", False)(
+    lambda s, d: ev.latency_stats(table(s, d, "events"))[0].withColumns({"total": F.round("total", 4), "mid": F.round("mid", 6)}))
+query("a24c_request_log", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", False)(lambda s, d: ev.latency_stats(table(s, d, "events"))[1].select("event_id", "value"))
 query("r8_event_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", False)(lambda s, d: ev.daily_counts(table(s, d, "events")))
 query("t22_title_forms", "SELECT idx, length(title) AS n, lower(title) AS low, regexp_matches(title, '[0-9]') AS digits FROM nodes")(lambda s, d: N(s, d).select("idx", F.length("title").alias("n"), F.lower("title").alias("low"), F.col("title").rlike("[0-9]").alias("digits")))
 query("t3_capitalised", "SELECT idx, upper(substr(title, 1, 1)) || substr(title, 2) AS t FROM nodes")(lambda s, d: N(s, d).select("idx", t.capitalised(F.col("title")).alias("t")))
