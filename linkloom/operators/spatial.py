@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import maths
+from linkloom.operators.graph import small
 
 
 def clamped_cell(v: Column, bound: Column | float, cells: int) -> Column:
@@ -172,7 +173,7 @@ def equalised(raster: DataFrame, floor: float = 0.15, gamma: float = 0.8) -> Dat
     below = Window.orderBy("count").rowsBetween(Window.unboundedPreceding, -1)
     value = value.select("count", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     own = F.row_number().over(Window.partitionBy("count").orderBy("px", "py")) - 1
-    out = raster.withColumn("_own", own).join(F.broadcast(value), "count")
+    out = raster.withColumn("_own", own).join(small(value), "count")
     share = (F.col("_below") + F.col("_own")) / F.greatest(F.col("_total") - 1, F.lit(1))
     return out.select("px", "py", "count", (floor + (1 - floor) * F.pow(share, gamma)).alias("intensity"))
 

@@ -137,7 +137,7 @@ def prefix_sums(rows):
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("r").agg(F.sum("n").alias("t")).select("r", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("r").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(base), "r").select("idx", "n", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).cast("long").alias("start"))
+    return rows.join(g.small(base), "r").select("idx", "n", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).cast("long").alias("start"))
 
 
 query("m17_blend", "SELECT a.idx, round(0.25 * 0.4::DOUBLE * a.x + 0.75 * 0.4::DOUBLE * b.x + 0.25 * 0.6::DOUBLE * a.y + 0.75 * 0.6::DOUBLE * b.y, 6) AS x FROM nodes a JOIN nodes b ON b.idx = a.idx + 1")(
