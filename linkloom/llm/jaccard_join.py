@@ -352,6 +352,10 @@ def close_sketches(words: int, num: int, den: int):
     return run
 
 
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a.view(np.uint64)) * _A + b.view(np.uint64))
+
+
 class _Rows:
     """Classes of a run of signatures: the exact filter on pairs of them, and the pairs that a group of them gives."""
 
@@ -360,11 +364,21 @@ class _Rows:
         self.cls, self.n, self.comp = (t.column(c).to_numpy() for c in ("cls", "n_shingles", "comp"))
         offsets, data = binary_column(t.column("sketch"))
         self.start, self.length, self.data = offsets[:-1] // 8, np.diff(offsets) // 8, data.view(np.uint64)
+        self.again = None
+        if "again" in t.column_names:  # classes that each was compared with before
+            again = t.column("again").combine_chunks() if isinstance(t.column("again"), pa.ChunkedArray) else t.column("again")
+            count = again.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.again = np.unique(pair_hashes(np.repeat(self.cls, count), again.flatten().to_numpy()))
 
     def passes(self, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
         a, b = self.n[i], self.n[j]
         ok = np.maximum(a, b) * self.num <= np.minimum(a, b) * self.den
-        return ok & (self.comp[i] != self.comp[j]) & (bits <= allowance(a + b, self.num, self.den))
+        ok &= (self.comp[i] != self.comp[j]) & (bits <= allowance(a + b, self.num, self.den))
+        if self.again is not None and len(self.again):
+            at = np.flatnonzero(ok)
+            pair = pair_hashes(self.cls[i[at]], self.cls[j[at]])
+            ok[at] = self.again[np.minimum(np.searchsorted(self.again, pair), len(self.again) - 1)] != pair
+        return ok
 
     def near_pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs pass the filter."""
@@ -418,7 +432,7 @@ def segment_pairs(num: int, den: int, all_pairs: bool):
     """Over rows sorted by (sig, block): the candidate pairs (a < b) of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, held = ["sig", "block", "cls", "n_shingles", "sketch", "comp"], None
+        cols, held = ["sig", "block", "cls", "n_shingles", "sketch", "comp", *(["again"] if all_pairs else [])], None
 
         def pairs(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
             rows, size = _Rows(t, num, den), np.diff(bounds)
@@ -530,7 +544,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         return out
 
     def meet(of: DataFrame, cross: bool) -> DataFrame:
-        dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp")
+        dealt = blocks(of, cross).select("sig", "block", "cls", "n_shingles", "sketch", "comp", *(["again"] if cross else []))
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
     def some_of(much: int) -> DataFrame:
@@ -540,10 +554,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         return met.where(F.pmod(F.xxhash64("sig"), share) == 0)
 
     # forests over some of the signatures, so that most documents that belong together are joined by few edges; a forest
-    # over all that still lie in different components; then all pairs of those that still do, in groups where an edge of
-    # a forest was no link or that were dealt out in blocks (in all others no more pairs pass the filter)
+    # over all that still lie in different components; then all pairs of those that still do and were not compared yet,
+    # over some signatures first, in groups where an edge of a forest was no link or that were dealt out in blocks (in
+    # all others no more pairs pass the filter)
     tried = links = comps = None
-    for of, cross in ((some_of(1), False), (some_of(8), False), (met, False), (met, True)):
+    for of, cross in ((some_of(1), False), (some_of(8), False), (met, False), (some_of(1), True), (met, True)):
         if comps is None:
             placed = of.withColumn("comp", F.col("cls"))
         else:
@@ -559,7 +574,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         if cross:
             placed = scratch.save(placed)
             close = texts_of(placed.select("cls").distinct()).mapInArrow(close_sketches(words, num, den), "cls long, sketch binary")
-            placed = placed.join(scratch.save(close.dropDuplicates(["cls"])), "cls")
+            before = tried.select(F.col("a").alias("cls"), "b").unionByName(tried.select(F.col("b").alias("cls"), F.col("a").alias("b"))).groupBy("cls").agg(F.collect_set("b").alias("again"))
+            placed = placed.join(scratch.save(close.dropDuplicates(["cls"]).join(before, "cls", "left")), "cls")
         else:
             placed = placed.join(classes.select("cls", "sketch"), "cls")
         pairs = meet(placed.withColumnRenamed("n", "n_shingles"), cross)
