@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, binary_column, bounded, mix64, scan_words
+from .shared import Scratch, binary_column, bounded, mix64, release, scan_words
 
 #: Bits of a parity sketch for each element in which a pair may differ, as the next power of two, for the forests and for
 #: the pairs that are left; at least; at most. Beyond the most, sketches let more pairs through to be verified.
@@ -50,7 +50,7 @@ HEAVY = 1024
 #: those that tell all apart (one in 2**SPARE_BITS meets another by chance, and is found out by the filter).
 RANGE_SIGNATURES, LEAST_RANGE_BITS, SPARE_BITS = 1_000_000, 9, 13
 #: Signatures that a task holds before it sends them on.
-RUN_SIGNATURES = 600_000
+RUN_SIGNATURES = 400_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
@@ -559,6 +559,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     # all others no more pairs pass the filter)
     tried = links = comps = None
     for of, cross in ((some_of(1), False), (some_of(8), False), (met, False), (some_of(1), True), (met, True)):
+        release(spark)
         if comps is None:
             placed = of.withColumn("comp", F.col("cls"))
         else:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Separators of words: space and the controls 0x09 to 0x0D.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that the scanner takes into numpy at a time; one longer document makes a longer slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Bytes of a batch that goes to Python, however long its texts.
