@@ -548,17 +548,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         return dealt.repartition(parts, "sig", "block").sortWithinPartitions("sig", "block").mapInArrow(segment_pairs(num, den, cross), "a long, b long").distinct()
 
     def some_of(much: int) -> DataFrame:
-        """For each class about so many of its signatures; of two classes those of the larger one are among the smaller
-        one's."""
+        """For each class some signatures, two to four for each of `much`; of two classes those of the larger one are
+        among the smaller one's."""
         share = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1), F.col("n") * (2 * (den - num) / (den + num) / much))))).cast("long")
         return met.where(F.pmod(F.xxhash64("sig"), share) == 0)
 
-    # forests over some of the signatures, so that most documents that belong together are joined by few edges; a forest
+    # a forest over some of the signatures, so that most documents that belong together are joined by few edges; a forest
     # over all that still lie in different components; then all pairs of those that still do and were not compared yet,
     # over some signatures first, in groups where an edge of a forest was no link or that were dealt out in blocks (in
     # all others no more pairs pass the filter)
     tried = links = comps = None
-    for of, cross in ((some_of(1), False), (some_of(8), False), (met, False), (some_of(1), True), (met, True)):
+    for of, cross in ((some_of(1), False), (met, False), (some_of(1), True), (met, True)):
         release(spark)
         if comps is None:
             placed = of.withColumn("comp", F.col("cls"))
