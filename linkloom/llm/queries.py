@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, filter_audit, hard_negatives, jaccard_join, language_model, licences, mixing, nearest, quality, surrogates, token_counts
+from . import chat, cover_tree, decontamination, filter_audit, hard_negatives, jaccard_join, language_model, licences, mixing, nearest, quality, surrogates, token_counts
 from .shared import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.threshold_components(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_nearest": op9_nearest,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_cover_tree": op11_cover_tree,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -101,6 +106,12 @@ ORACLE_SQL: dict[str, str] = {
  l AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(m.b, c.c), c.c, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.a = c.c""",
+    "op11_cover_tree": r"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+ c AS (SELECT t.vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(m.b, t.vec_id), t.vec_id) AS component_id FROM embeddings t LEFT JOIN m ON m.a = t.vec_id LEFT JOIN n ON n.a = t.vec_id)
+ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c""",
     "op12_filter_audit": r"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  j AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
  d AS (SELECT w.doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
