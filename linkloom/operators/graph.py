@@ -45,12 +45,18 @@ def _remove(spark, path: str) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new place in the shared checkpoint folder, which goes when the driver ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Lineage cut by a table in the shared checkpoint folder, computed once; it goes when dropped or when the driver ends."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "graph")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._linkloom_path = path
     return out

@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import maths, topics
 from linkloom.functions import text as t
+from linkloom.operators import graph as g
 from linkloom.operators import search
 from linkloom.sources import articles as src
-from linkloom.sources import html
+from linkloom.sources import html, store
 
 from .fixtures import sql_unit, table
 
@@ -100,6 +101,20 @@ query("s21_synthetic_graph", f"WITH n AS (SELECT count(*) AS n FROM part), b AS
 
 # ---- sinks
 query("k1_upsert", "SELECT o_custkey AS title, max_by(o_totalprice, o_orderkey) AS views FROM orders GROUP BY 1")(lambda s, d: src.upsert(table(s, d, "orders").select(F.col("o_custkey").alias("title"), F.col("o_totalprice").alias("views"), F.col("o_orderkey").alias("seq")), "title", "seq").drop("seq"))
+
+
+def merged_events(s, d):
+    """The last event of each user, upserted in four batches out of order, one of them twice, with a compaction between."""
+    out = store.MergedTable(s, g.scratch_path(s, "store"), "user_id", "event_id")
+    events = table(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    for batch, k in enumerate((2, 0, 0, 3, 1)):
+        out.upsert(events.where(F.col("event_id") % 4 == k), "events", batch - (batch > 1))
+        if batch == 2:
+            out.compact()
+    return out.read()
+
+
+query("k1b_merge_on_read", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")(merged_events)
 query("k2_insert_ignore", "SELECT c_custkey AS title, c_acctbal AS views FROM customer UNION ALL SELECT DISTINCT o_custkey + 100000, 0.0 FROM orders WHERE o_custkey + 100000 NOT IN (SELECT c_custkey FROM customer)")(
     lambda s, d: src.insert_ignore(table(s, d, "customer").select(F.col("c_custkey").alias("title"), F.col("c_acctbal").alias("views")), table(s, d, "orders").select((F.col("o_custkey") + 100000).alias("title"), F.lit(0.0).alias("views")), "title"))
 query("k3_update_views", "SELECT c_custkey AS title, CASE WHEN v > 0 THEN v ELSE c_acctbal END AS views FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) - 300000 AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey")(

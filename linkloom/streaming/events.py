@@ -34,16 +34,26 @@ def crawl(spark: SparkSession, fetch: Callable[[DataFrame], DataFrame], seeds: D
     return rounds
 
 
+#: Microseconds of a unit of time.
+UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def micros_of(span: str) -> int:
+    """Microseconds of a span such as '90 seconds' or '1 hour'."""
+    n, unit = span.split()
+    return int(n) * UNITS[unit.rstrip("s")]
+
+
 def evictions(requests: DataFrame, within: str = "1 hour") -> DataFrame:
-    """requests: (event_id, ts, user_id, event_type, value). A request is evicted if in the time after it its user makes
-    another of the same type, or one of higher value. Windows over a user's time line, no self-join."""
+    """requests: (event_id, ts, user_id, event_type, value). A request is evicted if in the time `within` after it its user
+    makes another of the same type, or one of higher value. Windows over a user's time line, no self-join."""
     from pyspark.sql.window import Window
 
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = 3_600_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = micros_of(within)
     later = Window.partitionBy("user_id").orderBy("_t").rangeBetween(1, span)
     same = Window.partitionBy("user_id", "event_type").orderBy("_t").rangeBetween(1, span)
-    out = requests.withColumn("_t", seconds)
+    out = requests.withColumn("_t", micros)
     return out.select("event_id", ((F.count("event_id").over(same) > 0) | F.coalesce(F.max("value").over(later) > F.col("value"), F.lit(False))).alias("evicted"))
 
 
@@ -79,16 +89,16 @@ def first_of_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_sink(path: str, key: str, seq: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a version of the table for each batch, its rows the latest of each key; a batch that is run
-    again writes the same version again."""
-    from linkloom.sources.articles import upsert
+def upsert_sink(path: str, key: str, seq: str, stream: str = "events", compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch becomes a delta of a merge-on-read table (sources.store), its rows the last of each
+    key; a batch that is run again changes nothing. From time to time the deltas are merged into the base."""
+    from linkloom.sources.store import MergedTable
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        old = f"{path}/v{batch_id - 1}"
-        spark = batch.sparkSession
-        rows = batch if batch_id == 0 else spark.read.parquet(old).unionByName(batch)
-        upsert(rows.withColumn("_s", F.col(seq)), key, "_s").drop("_s").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        table = MergedTable(batch.sparkSession, path, key, seq)
+        if len(table.upsert(batch, stream, batch_id)["deltas"]) >= compact_every:
+            table.compact()
+            table.vacuum()
 
     return put
 

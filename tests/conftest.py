@@ -18,3 +18,24 @@ def spark():
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
+
+
+def files_read(df) -> int:
+    """Runs a plan and tells how many files its scans read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    seen, todo = 0, [plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+            continue
+        metrics = p.metrics()
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            seen += metrics.apply("numFiles").value()
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return seen

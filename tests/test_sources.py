@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as t
-from linkloom.sources import articles, codecs
+from linkloom.sources import articles, codecs, store
 from linkloom.streaming import events
 
 from .conftest import DATA
@@ -65,14 +65,19 @@ def test_streams(spark, tmp_path):
     stream = events.read_events(spark, str(tmp_path / "in"), 1)
     q = stream.writeStream.foreachBatch(events.upsert_sink(str(tmp_path / "out"), "user_id", "event_id")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = sorted(int(p.name[1:]) for p in (tmp_path / "out").iterdir())[-1]
-    got = {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / f"out/v{last}")).collect()}
+    got = {r.user_id: r.event_id for r in store.MergedTable(spark, str(tmp_path / "out"), "user_id", "event_id").read().collect()}
     assert got == {r.user_id: r.e for r in src.groupBy("user_id").agg(F.max("event_id").alias("e")).collect()}
     q = events.windowed(events.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from w").first()[0] == src.count()
 
 
+def test_evictions_within_any_span(spark):
+    df = spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS ts, 1L AS user_id, 'a' AS event_type, 1.0D AS value FROM range(4)")
+    of = lambda span: [r.evicted for r in events.evictions(df, span).orderBy("event_id").collect()]
+    assert of("30 seconds") == [False] * 4 and of("60 seconds") == of("1 hour") == [True, True, True, False]
+
+
 def test_crawl(spark):
     web = {"a": ["b", "c"], "b": ["c", "d"], "c": [], "d": ["a"]}
     seen = []
