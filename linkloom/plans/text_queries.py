@@ -10,7 +10,7 @@ from linkloom.functions import text as t
 from linkloom.operators import graph as g
 from linkloom.operators import search
 from linkloom.sources import articles as src
-from linkloom.sources import html, store
+from linkloom.sources import html, store, title_index
 
 from .fixtures import sql_unit, table
 
@@ -150,6 +150,23 @@ def titles(s, d):
 
 query("f10_prefix_search", f"SELECT idx, title FROM ({PARTS}) WHERE starts_with(lower(title), 's') ORDER BY lower(title), idx LIMIT 8")(lambda s, d: search.prefix_search(titles(s, d), "s"))
 query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHERE title >= 's' AND title < 't' ORDER BY title LIMIT 8) UNION (SELECT * FROM ({PARTS}) WHERE title >= 'S' AND title < 'T' ORDER BY title LIMIT 8)) ORDER BY title LIMIT 8")(lambda s, d: search.cased_prefix_search(titles(s, d), "s"))
+#: Titles of which some have capitals and diacritics.
+ACCENTED = "SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'e', 'é'), 'o', 'ö') ELSE p_name END || ' #' || p_partkey AS title FROM part"
+
+
+def title_indexed(s, d):
+    """A stored index over ACCENTED."""
+    path, name = g.scratch_path(s, "titles"), F.col("p_name")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper(name)).when(F.col("p_partkey") % 3 == 1, F.replace(F.replace(name, F.lit("e"), F.lit("é")), F.lit("o"), F.lit("ö"))).otherwise(name)
+    title_index.build(table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(name, F.lit(" #"), "p_partkey").alias("title")), path)
+    return path
+
+
+query("f9b_indexed_words", rf"SELECT idx FROM ({ACCENTED}) WHERE len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, 'ste'))) > 0 AND len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, '1'))) > 0")(
+    lambda s, d: title_index.word_search(s, title_indexed(s, d), "Sté 1", None))
+query("f10b_indexed_prefix", f"SELECT idx, title FROM ({ACCENTED}) WHERE starts_with(lower(strip_accents(title)), 'co') ORDER BY lower(strip_accents(title)), idx LIMIT 8")(lambda s, d: title_index.prefix_search(s, title_indexed(s, d), "Cö"))
+query("f11b_indexed_top", f"SELECT word, count(*) AS n FROM (SELECT DISTINCT idx, unnest(list_filter(string_split_regex(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM ({ACCENTED})) GROUP BY 1")(
+    lambda s, d: title_index.stored(s, title_indexed(s, d), "words").groupBy("word").agg(F.count("*").alias("n")))
 query("f12_resolve_title", f"SELECT idx FROM ({PARTS}) WHERE lower(title) = (SELECT lower(title) FROM ({PARTS}) WHERE idx = 42) ORDER BY title = (SELECT title FROM ({PARTS}) WHERE idx = 42) DESC, idx LIMIT 1")(lambda s, d: src.resolve_title(titles(s, d), titles(s, d).where("idx = 42").first().title))
 TITLED = "CASE doc_id % 5 WHEN 0 THEN 'MediaWiki:' WHEN 1 THEN 'List of ' WHEN 2 THEN 'user:' WHEN 3 THEN 'Image:' ELSE '' END || source"
 query("f13_meta_titles", f"SELECT doc_id, title, NOT ({_META.replace('(x,', '(title,')}) AS dumped FROM (SELECT doc_id, {TITLED} AS title FROM documents) WHERE NOT regexp_matches(title, '^(Special:|Wikipedia:|Portal:|Help:|File:|Category:|Talk:|Template:|User:|Draft:|MediaWiki:|Module:|Gadget:|Main Page|Deaths in |List of |Lists of )')")(
