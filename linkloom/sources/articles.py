@@ -18,8 +18,11 @@ ARTICLES = "title string, snippet string, views bigint, categories array<string>
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Articles of an XML dump (plain, gzip or bzip2): title and text of main-namespace pages that are no redirects."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(DUMP_SCHEMA).load(path)
-    body = F.col("revision.text")
+    return main_articles(spark.read.format("xml").option("rowTag", "page").schema(DUMP_SCHEMA).load(path), F.col("revision.text"))
+
+
+def main_articles(pages: DataFrame, body: Column) -> DataFrame:
+    """pages: (title, ns, ...). Title and text of main-namespace pages that are no redirects."""
     return pages.where((F.col("ns") == "0") & (F.col("title") != "") & (body != "") & ~text.is_redirect(body)).select("title", body.alias("text"))
 
 
