@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import maths
 from linkloom.operators import graph as g
 from linkloom.operators import layout, search, spatial
+from linkloom.sources import asset_sink
 
 from .fixtures import DEGREES_SQL, GRAPH_SQL, edges, links, nodes, pairs, sql_unit, table
 
@@ -119,6 +120,17 @@ query("a4_subset_degree", "SELECT src AS idx, count(*) AS n FROM edges WHERE tgt
 query("a5_adjacency", "SELECT src AS idx, string_agg(CAST(tgt AS VARCHAR), ',' ORDER BY tgt) AS nbrs FROM edges GROUP BY 1")(lambda s, d: g.adjacency(E(s, d)).select("idx", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs")))
 query("a5b_csr_stats", "SELECT max(n) AS max_degree, round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM nodes), 9) AS avg_degree FROM (SELECT count(*) AS n FROM edges GROUP BY src)")(
     lambda s, d: g.offsets(N(s, d), E(s, d)).agg(F.max("size").alias("max_degree"), F.round(F.sum("size") / F.count("*"), 9).alias("avg_degree")))
+
+
+def stored_graph(s, d):
+    """The graph's binary files, written by the sink and its adjacency read again."""
+    path = g.scratch_path(s, "assets")
+    asset_sink.write_graph(N(s, d), E(s, d), path)
+    return asset_sink.read_adjacency_rows(s, f"{path}/adjacency.bin", 1000)
+
+
+query("k7b_stored_adjacency", "SELECT idx, coalesce(string_agg(CAST(tgt AS VARCHAR), ',' ORDER BY tgt), '') AS nbrs FROM nodes LEFT JOIN edges ON src = idx GROUP BY 1")(
+    lambda s, d: stored_graph(s, d).select("idx", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs")))
 query("o15_offsets", "SELECT idx, coalesce(n, 0) AS size, CAST(sum(coalesce(n, 0)) OVER (ORDER BY idx) - coalesce(n, 0) AS BIGINT) AS start FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) ON src = idx")(lambda s, d: g.offsets(N(s, d), E(s, d)))
 query("a6_top_sources", "SELECT src AS idx, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, idx LIMIT 25")(lambda s, d: E(s, d).groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "idx").limit(25))
 query("a7_global_stats", "SELECT count(*) AS n, max(views) AS max_views, (SELECT count(*) FROM edges) AS links FROM nodes")(

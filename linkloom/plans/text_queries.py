@@ -10,7 +10,7 @@ from linkloom.functions import text as t
 from linkloom.operators import graph as g
 from linkloom.operators import search
 from linkloom.sources import articles as src
-from linkloom.sources import html, store, title_index
+from linkloom.sources import asset_sink, html, multistream, store, title_index
 
 from .fixtures import sql_unit, table
 
@@ -90,6 +90,25 @@ def view_lines(s, d):
     return p.select(F.concat_ws(" ", who, F.concat(F.lit("Part_no_"), "l_partkey"), count, F.lit("0")).alias("value"))
 
 
+#: Characters that XML forbids are left out, ends of lines are as its readers give them.
+_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+def packed_dump(s, d):
+    """Documents as a dump of many bzip2 streams of 50 pages each in one file; every tenth is in another namespace."""
+    path = g.scratch_path(s, "dump")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _XML, ""), r"\r\n?", "\n")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    page = F.concat(F.lit("<page><title>D"), "doc_id", F.lit("</title><ns>"), F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0), F.lit("</ns><revision><text>"), text, F.lit("</text></revision></page>\n"))
+    rows = src.numbered(docs(s, d).select("doc_id", page.alias("page")), F.col("doc_id"), "place")
+    streams = rows.groupBy(F.floor(F.col("place") / 50).alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "page"))), lambda x: x["page"]), "").alias("text"))
+    asset_sink.write_asset(multistream.compressed(streams), "blobs", path)
+    return multistream.read_dump(s, path, 256 << 10)
+
+
+query("s2b_multistream", r"""SELECT title, n, md5(text) AS hash FROM (SELECT 'D' || doc_id AS title, text, length(text) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\r\n?', chr(10), 'g') AS text FROM documents) WHERE doc_id % 10 <> 0) WHERE text <> ''""")(
+    lambda s, d: packed_dump(s, d).select("title", F.length("text").cast("long").alias("n"), F.md5("text").alias("hash")))
 query("s6_pageviews_max", "SELECT 'Part no ' || l_partkey AS title, CAST(max(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_returnflag = 'N' AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "max"))
 query("s7_pageviews_sum", "SELECT 'Part no ' || l_partkey AS title, CAST(sum(l_quantity) AS BIGINT) AS views FROM lineitem WHERE l_returnflag IN ('N', 'A') AND l_partkey % 11 <> 0 GROUP BY 1")(lambda s, d: src.pageviews(view_lines(s, d), "sum"))
 query("s10_type_labels", "SELECT c_custkey AS id, coalesce(r_name, 'Other') AS label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey <> 3 LEFT JOIN region ON r_regionkey = n_regionkey")(

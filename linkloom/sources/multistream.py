@@ -200,6 +200,16 @@ def read_streams(streams: DataFrame, path: str) -> DataFrame:
     return streams.select("offset").distinct().mapInArrow(run, SCHEMA)
 
 
+def compressed(streams: DataFrame) -> DataFrame:
+    """streams: (idx, text). (idx, data): each text as one bzip2 stream, for a sink that puts them one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("idx"), pa.array([bz2.compress((x or "").encode()) for x in b.column("text").to_pylist()], pa.binary())], ["idx", "data"])
+
+    return streams.select(F.col("idx").cast("long").alias("idx"), "text").mapInArrow(run, "idx long, data binary")
+
+
 def write_dump(rows: list[tuple[str, str, str]], path: str, pages_a_stream: int = 100) -> list[tuple[int, int, str]]:
     """A small dump of (title, ns, text), for fixtures; returns its index."""
     from xml.sax.saxutils import escape
