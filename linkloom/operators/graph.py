@@ -450,7 +450,9 @@ def core_numbers(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 def backbone(cores: DataFrame, q: float = 0.9, least: int = 3) -> DataFrame:
     """Nodes whose core number reaches the quantile, at least `least`."""
-    k = cores.agg(F.greatest(F.lit(least), F.floor(F.percentile("core", q))).alias("k"))
+    from linkloom.operators.quantiles import quantiles
+
+    k = quantiles(cores, {"k": ("core", q)}).select(F.greatest(F.lit(least), F.floor("k")).alias("k"))
     return cores.join(F.broadcast(k), F.col("core") >= F.col("k")).select("idx", "core")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import maths
 from linkloom.operators.graph import small
+from linkloom.operators.quantiles import quantiles
 
 
 def clamped_cell(v: Column, bound: Column | float, cells: int) -> Column:
@@ -147,10 +148,12 @@ def raster_lines(segs: DataFrame, bound: float, size: int) -> DataFrame:
     k = size / (2 * bound)
     dx, dy = (F.col("x1") - F.col("x0")) * k, (F.col("y1") - F.col("y0")) * k
     n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy))), F.lit(1)).cast("long")
-    at = segs.withColumn("_n", n).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))))
-    x = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_t") / F.col("_n")
-    y = F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("_t") / F.col("_n")
-    return at.select("src", "tgt", clamped_cell(x, F.lit(bound), size).alias("px"), clamped_cell(y, F.lit(bound), size).alias("py")).distinct().groupBy("px", "py").agg(F.count("*").alias("count"))
+    x = lambda t: F.col("x0") + (F.col("x1") - F.col("x0")) * t / n
+    y = lambda t: F.col("y0") + (F.col("y1") - F.col("y0")) * t / n
+    # a segment's samples are told apart in its own row: only counts of pixels are shuffled
+    own = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda t: F.struct(clamped_cell(x(t), F.lit(bound), size).alias("px"), clamped_cell(y(t), F.lit(bound), size).alias("py")))
+    pixels = segs.select(F.explode(F.array_distinct(own)).alias("at"))
+    return pixels.groupBy("at.px", "at.py").agg(F.count("*").alias("count"))
 
 
 def dilated(raster: DataFrame, k: int = 3) -> DataFrame:
@@ -180,6 +183,7 @@ def equalised(raster: DataFrame, floor: float = 0.15, gamma: float = 0.8) -> Dat
 
 def orphan_ring(nodes: DataFrame, placed: DataFrame) -> DataFrame:
     """Nodes (idx, x, y) that are not placed, on a ring just outside all but the outermost of those that are: (idx, r, a)."""
-    edge = nodes.join(placed, "idx", "left_semi").agg(F.percentile(F.hypot("x", "y"), 0.97).alias("e"))  # one row
+    edge = nodes.join(placed, "idx", "left_semi").select(F.hypot("x", "y").alias("r"))
+    edge = quantiles(edge, {"e": ("r", 0.97)})  # one row
     out = nodes.join(placed, "idx", "left_anti").crossJoin(F.broadcast(edge))
     return out.select("idx", (F.col("e") * (1 + 0.15 * maths.unit_hash(F.col("idx"), 6))).alias("r"), (2 * math.pi * maths.unit_hash(F.col("idx"), 7)).alias("a"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import maths as m
 from linkloom.functions import text as t
 from linkloom.operators import graph as g
-from linkloom.operators import layout
+from linkloom.operators import layout, quantiles
 from linkloom.operators import spatial as sp
 from linkloom.streaming import events as ev
 
@@ -58,8 +58,8 @@ query("v4b_exact_budget", f"""+{cells_sql('c', 16, 240.0)}, sz AS (SELECT cy, cx
   SELECT k, now - t, used + t, t, cy, cx FROM (SELECT *, CAST(least(n, floor(now), 90 - used) AS BIGINT) AS t FROM (SELECT sz.k, sz.n, r.used, sz.cy, sz.cx, least(r.saved + 90.0::DOUBLE / sz.m, greatest(1.5 * 90.0::DOUBLE / sz.m, 5)) AS now FROM r JOIN sz ON sz.k = r.k + 1)))
  SELECT idx FROM (SELECT idx, category, cx, cy, row_number() OVER (PARTITION BY cx, cy ORDER BY idx) AS rank FROM c) c JOIN r USING (cx, cy) WHERE rank <= take AND category NOT IN (2)""")(lambda s, d: sp.cell_budget_exact(C(s, d, 16), 90, (2,)).select("idx"))
 query("v5_must_include", f"+{G64} SELECT idx FROM c WHERE cx < 30 UNION SELECT idx FROM nodes WHERE idx IN (1, 2, 150)")(lambda s, d: C(s, d).where("cx < 30").select("idx").union(N(s, d).join(ids(s, 1, 2, 150), "idx", "left_semi").select("idx")).distinct())
-query("v6_hairlines", f"+{G64}, st AS (SELECT v AS idx, max_by(w, degree * 10000000 + w) AS nbr FROM (SELECT src AS v, tgt AS w FROM edges UNION SELECT tgt, src FROM edges) JOIN deg ON deg.idx = w GROUP BY 1) SELECT st.idx, st.nbr FROM st JOIN c ON c.idx = st.idx WHERE cx < 30")(
-    lambda s, d: g.strongest_neighbour(D(s, d), E(s, d)).join(C(s, d).where("cx < 30").select("idx"), "idx", "left_semi"))
+query("v6_hairlines", f"+{G64}, st AS (SELECT v AS idx, max_by(w, degree * 10000000 + w) AS nbr FROM (SELECT src AS v, tgt AS w FROM edges UNION SELECT tgt, src FROM edges) JOIN deg ON deg.idx = w GROUP BY 1) SELECT st.idx, st.nbr FROM st JOIN c ON c.idx = st.idx")(
+    lambda s, d: g.strongest_neighbour(D(s, d), E(s, d)).join(C(s, d).select("idx"), "idx", "left_semi"))
 query("v7_visible_links", "+v AS (SELECT idx FROM nodes WHERE x BETWEEN -30 AND 30 AND y BETWEEN -30 AND 30 ORDER BY idx LIMIT 80) SELECT DISTINCT least(src, tgt) AS lo, greatest(src, tgt) AS hi FROM edges WHERE src IN (SELECT idx FROM v) OR tgt IN (SELECT idx FROM v)")(
     lambda s, d: g.incident(E(s, d), N(s, d).where(sp.in_box((-30, -30, 30, 30))).orderBy("idx").limit(80).select("idx")))
 query("v8_wide_grid", f"+{cells_sql('c', 500, 2000.0)} SELECT idx, cx, cy FROM c")(lambda s, d: C(s, d, 500, 2000.0).select("idx", "cx", "cy"))
@@ -72,7 +72,7 @@ query("v12_bundles", f"+{G64}, o AS (SELECT idx, max_by(idx, degree * 10000000 -
 
 @query("v13_view_tiers", "+q AS (SELECT quantile_cont(views, 0.95) AS a, quantile_cont(views, 0.995) AS b FROM nodes) SELECT idx, CASE WHEN views >= b THEN 'supernova' WHEN views >= a THEN 'stars' ELSE 'dust' END AS tier FROM nodes, q")
 def v13(s, d):
-    q = N(s, d).agg(F.percentile("views", 0.95).alias("a"), F.percentile("views", 0.995).alias("b"))
+    q = quantiles.quantiles(N(s, d).select("views"), {"a": ("views", 0.95), "b": ("views", 0.995)})
     return N(s, d).crossJoin(F.broadcast(q)).select("idx", F.when(F.col("views") >= F.col("b"), "supernova").when(F.col("views") >= F.col("a"), "stars").otherwise("dust").alias("tier"))
 
 

@@ -157,7 +157,7 @@ def resolve_title(nodes: DataFrame, title: str) -> DataFrame:
 def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
     """rows with their place by an order, from 0, as a new column: sorted by ranges, one row a range through the only
     global window. Rows of equal order come in any order."""
-    parts = g.reliable(rows.withColumn("_order", order).repartitionByRange(16, "_order").withColumn("_part", F.spark_partition_id()))
+    parts = g.reliable(rows.withColumn("_order", order).repartitionByRange("_order").withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     placed = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_order"))).join(F.broadcast(base), "_part")

@@ -60,9 +60,12 @@ def evictions(requests: DataFrame, within: str = "1 hour") -> DataFrame:
 def latency_stats(requests: DataFrame, log: int = 500) -> tuple[DataFrame, DataFrame]:
     """requests: (event_id, ts, user_id, event_type, value), the type being the priority and value the time taken. By
     priority: how many, how many evicted, and total, greatest and median time of the others; and the last `log` of all."""
+    from linkloom.operators.quantiles import with_quantile
+
     gone = evictions(requests)
     kept = F.when(~F.col("evicted"), F.col("value"))
-    by = requests.join(gone, "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("evicted").alias("evicted"), F.sum(kept).alias("total"), F.max(kept).alias("most"), F.median(kept).alias("mid"))
+    by = requests.join(gone, "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("evicted").alias("evicted"), F.sum(kept).alias("total"), F.max(kept).alias("most"))
+    by = with_quantile(by, requests.join(gone, "event_id").select("event_type", kept.alias("kept")), ["event_type"], "kept", 0.5, "mid")
     return by, requests.orderBy(F.desc("ts"), F.desc("event_id")).limit(log)
 
 
