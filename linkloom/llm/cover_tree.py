@@ -31,7 +31,7 @@ UNIT_BYTES, MOST_UNIT, LEAST_UNIT = 1 << 20, 8192, 256
 #: Sampled vectors of a node for each block that it would fill; in all at least and at most; those that a centre must
 #: cover to stand.
 SAMPLE_RATIO, LEAST_SAMPLE, MOST_SAMPLE, LEAST_COVERED = 8, 256, 2048, 2
-#: Rows of a block's node that is not divided further, and the radius of one that need not be.
+#: Rows of a block's node that is not divided further if its radius is within e, and the radius of one that need not be.
 LEAF_ROWS, TINY = 16, 1e-6
 #: Distances from products in double precision are right to this.
 SLACK = 1e-6
@@ -94,7 +94,7 @@ class Tree:
             setattr(self, c, fields[c])
 
     @classmethod
-    def grow(cls, u: np.ndarray) -> tuple[Tree, np.ndarray]:
+    def grow(cls, u: np.ndarray, eps: float) -> tuple[Tree, np.ndarray]:
         """The tree, and the rows in its order."""
         n, order = len(u), np.arange(len(u))
         start, end, child, children = [0], [n], [0], [0]
@@ -102,7 +102,7 @@ class Tree:
         at = 0
         while at < len(start):
             a, b = start[at], end[at]
-            if b - a > LEAF_ROWS and radius[at] > TINY:
+            if b - a > 1 and radius[at] > (TINY if b - a > LEAF_ROWS else eps):
                 r = 2.0 ** math.ceil(math.log2(radius[at])) / 2
                 rows = order[a:b]
                 centres, owner, best = net(u[rows], r)
@@ -202,6 +202,29 @@ class Meeting:
     def leaves(self, i: np.ndarray, j: np.ndarray) -> None:
         """Rows of nodes i against rows of nodes j."""
         p, q = self.t
+        n, m = p.end[i] - p.start[i], q.end[j] - q.start[j]
+        few = n * m <= LEAF_ROWS**2
+        upto = np.cumsum(n[few] * m[few])
+        step = max(1, PRODUCTS // (8 * p.u.shape[1]))
+        lo = 0
+        while lo < len(upto):  # pairs of small nodes, row by row
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, "right")))
+            a, b = i[few][lo:hi], j[few][lo:hi]
+            width = q.end[b] - q.start[b]
+            count = (p.end[a] - p.start[a]) * width
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            width = np.repeat(width, count)
+            x, y = np.repeat(p.start[a], count) + k // width, np.repeat(q.start[b], count) + k % width
+            hit = np.einsum("ij,ij->i", p.u[x], q.u[y]) >= self.cosine
+            if self.alone:
+                hit |= x == y
+            x, y = x[hit], y[hit]
+            np.add.at(self.links[0], x, self.w[1][y])
+            if not self.alone:
+                np.add.at(self.links[1], y, self.w[0][x])
+            self.join(x, y)
+            lo = hi
+        i, j = i[~few], j[~few]
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         cut = bounds([i])
@@ -259,7 +282,7 @@ def unblob(data: pa.Buffer, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def pack(kind: str):
+def pack(kind: str, eps: float):
     """Rows sorted by (node, block) to one row for each: its classes, copies and vectors in the order of its tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +291,7 @@ def pack(kind: str):
             for a, b in zip(cut, cut[1:], strict=False):
                 one = t.slice(int(a), int(b - a)).combine_chunks()
                 x = matrix(one.column("vec"), kind)
-                tree, order = Tree.grow(unit_vectors(x))
+                tree, order = Tree.grow(unit_vectors(x), eps)
                 data = blob(one.column("cls").to_numpy()[order], one.column("copies").to_numpy()[order], x[order].ravel(), *[getattr(tree, c) for c in Tree.FIELDS])
                 yield pa.RecordBatch.from_arrays([one.column("node").combine_chunks()[:1], one.column("block").combine_chunks()[:1], pa.array([data], pa.binary())], ["node", "block", "data"])
 
@@ -421,7 +444,7 @@ class Levels:
         parts = int(self.placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         leaves = self.nodes.where("leaf").select("node", F.ceil(F.col("rows") / F.col("unit")).cast("int").alias("blocks"))
         dealt = self.placed.join(leaves, "node").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        return bounded(dealt).select("node", "block", "cls", "copies", "vec").repartition(parts, "node", "block").sortWithinPartitions("node", "block", "cls").mapInArrow(pack(self.kind), "node long, block int, data binary")
+        return bounded(dealt).select("node", "block", "cls", "copies", "vec").repartition(parts, "node", "block").sortWithinPartitions("node", "block", "cls").mapInArrow(pack(self.kind, self.eps), "node long, block int, data binary")
 
     def traverse(self) -> tuple[DataFrame, DataFrame]:
         """(a, b) of leaves that may have pairs, and of nodes that are linked throughout; a node may meet itself."""
@@ -471,10 +494,11 @@ def threshold_components(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     levels = Levels(classes.drop("rep"), kind, reach(cosine), scratch)
     pairs, linked = levels.traverse()
     linked = scratch.save(linked)
-    packed = scratch.save(levels.packed())
+    packed, parts = scratch.save(levels.packed()), int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = lambda x: packed.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}"), F.col("data").alias({"a": "x", "b": "y"}[x]))
     jobs = pairs.join(block("a"), "a").join(block("b"), "b").where("a <> b or block_a <= block_b")
-    jobs = jobs.select("x", F.when((F.col("a") != F.col("b")) | (F.col("block_a") != F.col("block_b")), F.col("y")).alias("y"))
+    # meetings are work, not bytes: they are dealt out by their number
+    jobs = jobs.repartition(parts, F.xxhash64("a", "block_a", "b", "block_b")).select("x", F.when((F.col("a") != F.col("b")) | (F.col("block_a") != F.col("block_b")), F.col("y")).alias("y"))
     found = scratch.save(bounded(jobs).mapInArrow(meetings(cosine, kind), "a long, b long, links long"))
     # nodes that are linked throughout: every vector below gets the other's weight and an edge to its node's centre
     of = levels.nodes.select("node", "weight", "centre_cls")
