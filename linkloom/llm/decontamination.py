@@ -21,8 +21,8 @@ from .shared import bounded
 
 #: Edits allowed for a character of an item.
 ERROR_RATE = 0.1
-#: Items go to the workers in blocks of at most so many bytes of text.
-BLOCK_BYTES = 8 << 20
+#: Items go to the workers in blocks of at most so many bytes of text; an automaton takes about 200 times as much memory.
+BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 FOUND = "doc_id long, item_id long, distance int, start int, end int"
 

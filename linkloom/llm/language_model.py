@@ -125,18 +125,21 @@ def build_segment(key: tuple, t: pa.Table) -> pa.Table:
 
 
 class Filter:
-    """Segments on a worker: the bytes of each (0: not here), and all their bytes in order, which are not copied."""
+    """Consecutive segments on a worker, from `first` on: the bytes of each, and all their bytes in order, which are not
+    copied; of `segments` in all."""
 
-    def __init__(self, size: np.ndarray, data: np.ndarray):
-        self.segments = len(size)
+    def __init__(self, size: np.ndarray, data: np.ndarray, first: int = 0, segments: int | None = None):
+        self.first, self.segments = first, len(size) if segments is None else segments
         self.start = (np.cumsum(size) - size).astype(np.uint64)
         self.bits = (size * 8).astype(np.uint64)
         self.data = data
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 if it is missing: probes of rising level until one fails."""
-        seg = segment_of(h, self.segments).astype(np.int64)
-        bits, start = self.bits[seg], self.start[seg]
+        seg = segment_of(h, self.segments).astype(np.int64) - self.first
+        here = (seg >= 0) & (seg < len(self.bits))
+        seg = np.where(here, seg, 0)
+        bits, start = np.where(here, self.bits[seg], np.uint64(0)), self.start[seg]
         out = np.zeros(len(h), np.int64)
         live = np.flatnonzero(bits)
         q = 0
@@ -168,8 +171,8 @@ def score_scan(shared, total: int, distinct: int, mass: float):
     """Scores with the filter, base scores over words of the head; words of the tail are listed with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, data, head_h, head_n = shared.value
-        model = Filter(size, data)
+        *held, head_h, head_n = shared.value
+        model = Filter(*held)
         floor, over = np.log10(0.5 / (total + 0.5 * (distinct + 1))), total + 0.5 * (distinct + 1)
         head_log = np.log10((head_n + 0.5) / over)
         for b in batches:
@@ -274,9 +277,7 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     words = built.select(F.explode(F.arrays_zip("h", "n")).alias("w")).select("w.h", "w.n")
     level_of = F.floor(F.log2("n")).cast("int") + 1
     total, distinct, mass = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(1.5 * F.pow(F.lit(2.0), level_of - 1)), F.lit(0.0)) + 0.5).first()
-    size = np.zeros(segments, np.int64)
-    for r in built.select("seg", F.octet_length("bits").alias("b")).collect():
-        size[r.seg] = r.b
+    filter_bytes = built.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     # the head: words above a count that at most head_words reach
     levels = words.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("d")).orderBy(F.desc("b")).collect()
     reach, least = 0, None
@@ -290,32 +291,29 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     order = np.argsort(head_h)
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     most = max(broadcast_bytes, LEAST_BLOCK)
-    fits = int(size.sum()) <= most
-
-    def cuts(lo: int, hi: int, most: int) -> list[tuple[int, int]]:
-        """Ranges of segments of at most so many bytes each, or one segment."""
-        ends, out, at = np.cumsum(size), [], lo
-        while at < hi:
-            to = min(hi, max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + most, "right"))))
-            out.append((at, to))
-            at = to
-        return out
-
-    def held_segments(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and bytes of a range of segments, gathered piece by piece into one array."""
-        mine = np.zeros_like(size)
-        mine[lo:hi] = size[lo:hi]
-        start, data = np.cumsum(mine) - mine, np.zeros(max(1, int(mine.sum())), np.uint8)
-        for a, b in cuts(lo, hi, GATHER_BYTES):
-            got = built.where((F.col("seg") >= a) & (F.col("seg") < b)).select("seg", "bits").toArrow()
+    fits = filter_bytes <= most
+    # segments are about equal, as n-grams are dealt out by hash: so many make a block
+    per = segments if fits else max(1, segments * most // filter_bytes)
+
+    def held_segments(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Sizes and bytes of a range of segments, gathered piece by piece into one array; where it begins, of how many."""
+        of = lambda a, b: built.where((F.col("seg") >= a) & (F.col("seg") < b))
+        size, sizes = np.zeros(hi - lo, np.int64), of(lo, hi).select("seg", F.octet_length("bits").alias("b")).toArrow()
+        size[sizes.column("seg").to_numpy() - lo] = sizes.column("b").to_numpy()
+        ends = np.cumsum(size)
+        start, data, a = ends - size, np.zeros(max(1, int(size.sum())), np.uint8), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, start[a] + GATHER_BYTES, "right")))
+            got = of(lo + a, lo + b).select("seg", "bits").toArrow()
             for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits"), strict=True):
-                data[start[seg] : start[seg] + mine[seg]] = np.frombuffer(bits.as_buffer(), np.uint8)
+                data[start[seg - lo] : start[seg - lo] + size[seg - lo]] = np.frombuffer(bits.as_buffer(), np.uint8)
             del got
-        return mine, data
+            a = b
+        return size, data, lo, segments
 
     if not fits:  # the texts are read once a block: their numbers must stay
         numbered = scratch.save(numbered)
-    model = held_segments(0, segments) if fits else (np.zeros(1, np.int64), np.zeros(1, np.uint8))
+    model = held_segments(0, segments) if fits else (np.zeros(1, np.int64), np.zeros(1, np.uint8), 0, segments)
     shared = spark.sparkContext.broadcast((*model, head_h[order], head_n[order]))
     del model
     scored = scratch.save(numbered.select("rid", "doc_id", "held_out", "text").mapInArrow(score_scan(shared, total, distinct, mass), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>"))
@@ -330,8 +328,8 @@ def score_language_model(docs: DataFrame, training: str, broadcast_bytes: int =
     score = F.col("score")
     if not fits:
         passes = []
-        for lo, hi in cuts(0, segments, most):
-            block = spark.sparkContext.broadcast(held_segments(lo, hi))
+        for lo in range(0, segments, per):
+            block = spark.sparkContext.broadcast(held_segments(lo, min(segments, lo + per)))
             passes.append(scratch.save(numbered.select("rid", "text").mapInArrow(level_scan(block), "rid long, w binary, p binary")))
             block.destroy()
         levels = reduce(DataFrame.unionByName, passes).groupBy("rid").agg(F.collect_list(F.struct("w", "p")).alias("parts"))

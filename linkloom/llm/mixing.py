@@ -6,7 +6,9 @@ r = exp(lambda[source]). Newton's step on the dual needs the gradient and Hessia
 iteration takes them from a table of partial sums by source and salt, aggregated once, so a source with a third of all
 rows is summed by all tasks. Rates are then rounded into copies: everyone takes the whole part, and a document takes
 one copy more if its hash lies under its source's threshold, which two histograms of hashes set so that the words taken
-stay just under the target; ever shorter documents above it fill the rest by further thresholds, found alike. Only DataFrame expressions run on the executors."""
+stay just under the target; ever shorter documents above it fill the rest by further thresholds, found alike. What then is left goes to the one
+document with room whose size is nearest to it, if that comes nearer to the target. Only DataFrame expressions run on the
+executors."""
 
 from __future__ import annotations
 
@@ -75,6 +77,8 @@ def balance(sums: DataFrame, scratch: Scratch) -> DataFrame:
         state._linkloom_path = new._linkloom_path
         if off is None or off < TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"constraints are still off by {off} after {MOST_STEPS} steps")
     empty = sums.groupBy("source").agg((F.max("target") <= 0).alias("none"), F.sum("size").alias("size"))
     return (
         empty.join(state.select(F.col("source").alias("s"), "tilt"), F.col("source").eqNullSafe(F.col("s")))
@@ -99,10 +103,11 @@ def threshold(docs: DataFrame, targets: DataFrame) -> DataFrame:
     inside = docs.join(first.select(F.col("source").alias("s"), "coarse"), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("u") / BINS) == F.col("coarse")))
     fine = inside.groupBy("source", F.col("u").alias("bin")).agg(F.sum("size").alias("size"))
     last = crossing(fine, first).select("source", F.col("bin").alias("cut"), (F.col("need") - F.col("under")).alias("left"))
-    # a need that all together do not pass takes all
-    got = targets.select("source", F.col("need").alias("all_need")).join(last.select(F.col("source").alias("s"), "cut", "left"), F.col("source").eqNullSafe(F.col("s")), "left")
+    # a need that all together do not pass takes all, and what they lack is left
+    total = coarse.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("total"))
+    got = targets.select("source", F.col("need").alias("all_need")).join(total, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(last.select(F.col("source").alias("s"), "cut", "left"), F.col("source").eqNullSafe(F.col("s")), "left")
     everyone = F.when(F.col("all_need") > 0, F.lit(BINS * BINS)).otherwise(F.lit(0))
-    return got.select("source", F.coalesce("cut", everyone).alias("cut"), F.coalesce("left", F.lit(0.0)).alias("left"))
+    return got.select("source", F.coalesce("cut", everyone).alias("cut"), F.coalesce("left", F.greatest(F.col("all_need") - F.coalesce("total", F.lit(0)), F.lit(0.0))).alias("left"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,9 +115,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     keep, one row per row of docs.
 
     Null text has size 0; such documents, having no words, get copies by the same rule and take 0 words. Null is a
-    source of its own, last in order. Repeated rows hash alike and are taken alike. No rows: no rows. taken = copies *
+    source of its own, last in order. Repeated rows hash alike and are taken alike. No rows: no rows. A column in keep that is
+    named like a result is an error. taken = copies *
     size, and copies is at most `most`. Hashes depend on doc_id and source alone, so reruns agree. The tables of
     sources are as long as there are sources; rows that carry them to the documents are joined, not collected."""
+    if clash := {"doc_id", "size", "source_size", "target", "taken", "rate", "copies"} & {c.lower() for c in keep}:
+        raise ValueError(f"results have columns of these names already: {', '.join(sorted(clash))}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     hashed = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "source"), F.lit(BINS * BINS))
@@ -137,10 +145,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         cuts = scratch.save(fills.join(held, same).select("source", F.greatest("cut", "was").alias("cut"), "left"))
         plan = plan.join(cuts.select(F.col("source").alias("s"), F.col("cut").alias(f"c{k}")), same).drop("s")
         more = more | ((F.col("u") > F.col(f"c{k - 1}")) & (F.col("u") < F.col(f"c{k}")) & F.col("size").between(1, filler))
+    plan = plan.join(cuts.select(F.col("source").alias("s"), F.col("left")), same).drop("s")
     plan = scratch.save(plan.withColumnRenamed("source", "s"))
     copies = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(most))
-    base = sized if not keep else docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), hashed.alias("u"), *keep)
+    # one more document of each source, if that is nearer: repeated rows, which hash alike, count together
+    room = sized.join(plan, same).where((copies < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")))
+    nearest = room.groupBy("source", "left").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "u", "size")).alias("at"))
+    last = nearest.select(F.col("source").alias("s"), "left", F.col("at.u").alias("last_u"), F.col("at.size").alias("last_size"))
+    of_last = (F.col("u") == F.col("last_u")) & (F.col("size") == F.col("last_size"))
+    together = sized.join(last, same & of_last).groupBy("source", "left", "last_u", "last_size").agg(F.sum("size").alias("all"))
+    together = together.where(F.abs(F.col("all") - F.col("left")) < F.col("left")).select(F.col("source").alias("last_s"), "last_u", "last_size")
+    plan = scratch.save(plan.join(together, F.col("s").eqNullSafe(F.col("last_s")), "left").drop("last_s", "left"))
+    more = more | F.coalesce(of_last, F.lit(False))
+    copies = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(most))
+    base = sized if not keep else docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), hashed.alias("u"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     return (
         base.join(plan, same).withColumn("copies", copies.cast("int"))
-        .select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies", *keep)
+        .select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
     )
