@@ -150,14 +150,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     copies = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(most))
     # one more document of each source, if that is nearer: repeated rows, which hash alike, count together
     room = sized.join(plan, same).where((copies < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")))
-    nearest = room.groupBy("source", "left").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "u", "size")).alias("at"))
+    nearest = room.groupBy("source", "left").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), copies.alias("copies"), "u", "size")).alias("at"))
     last = nearest.select(F.col("source").alias("s"), "left", F.col("at.u").alias("last_u"), F.col("at.size").alias("last_size"))
     of_last = (F.col("u") == F.col("last_u")) & (F.col("size") == F.col("last_size"))
     together = sized.join(last, same & of_last).groupBy("source", "left", "last_u", "last_size").agg(F.sum("size").alias("all"))
     together = together.where(F.abs(F.col("all") - F.col("left")) < F.col("left")).select(F.col("source").alias("last_s"), "last_u", "last_size")
     plan = scratch.save(plan.join(together, F.col("s").eqNullSafe(F.col("last_s")), "left").drop("last_s", "left"))
-    more = more | F.coalesce(of_last, F.lit(False))
-    copies = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(most))
+    copies = F.least(copies + F.when(of_last, 1).otherwise(0), F.lit(most))
     base = sized if not keep else docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), hashed.alias("u"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     return (
         base.join(plan, same).withColumn("copies", copies.cast("int"))
