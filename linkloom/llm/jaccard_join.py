@@ -39,6 +39,8 @@ SKETCH_RATIO, CLOSE_RATIO, LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 4, 16, 64, 8192
 BAND_RATIO = 1.5
 #: Rows of one segment that are compared in one task; more are dealt out as pairs of blocks of this many.
 BLOCK_ROWS = 4096
+#: Classes that were compared with more than so many others have these pairs taken out after the comparison, not before.
+MOST_AGAIN = 1024
 #: What a row that shares a signature costs, in signatures.
 MEETING = 4.0
 #: Documents whose ids may be broadcast, 8 bytes each; more are joined by a shuffle.
@@ -394,6 +396,8 @@ class _Rows:
         _, once = np.unique(self.cls[lo:hi], return_index=True)
         at = once + lo
         width = int(self.length[at].min())
+        if all_pairs:  # rows of one component stand together and are passed over
+            at = at[np.argsort(self.comp[at], kind="stable")]
         sketch = folded(self.data, self.start, self.length, at, width)
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
@@ -402,10 +406,12 @@ class _Rows:
 
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if all_pairs:
+            ends = np.searchsorted(self.comp[at], self.comp[at], "right")
             for i in range(len(at) - 1):
-                hits = near(i, np.arange(i + 1, len(at)))
-                a.append(np.full(len(hits), i))
-                b.append(hits)
+                if ends[i] < len(at):
+                    hits = near(i, np.arange(ends[i], len(at)))
+                    a.append(np.full(len(hits), i))
+                    b.append(hits)
         else:
             left = np.ones(len(at), bool)
             for root in range(len(at)):
@@ -521,12 +527,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     classes = scratch.save(every.join(met.select("cls").distinct(), "cls", "left_semi").drop("copies"))
 
     def blocks(of: DataFrame, cross: bool) -> DataFrame:
-        n = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-        own = F.pmod(F.xxhash64("cls"), n).cast("int")
-        if cross:  # block i meets block j for all i <= j
-            pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(F.col("own"), j) * n + F.greatest(F.col("own"), j))
-            return of.withColumn("own", own).withColumn("block", F.explode(pairs)).drop("own")
-        return of.withColumn("block", own)
+        count = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+        drawn = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(n, F.lit(1))).cast("int")
+        if not cross:
+            return of.withColumn("block", drawn(count(F.col("rows"))))
+        # rows of a signature's largest component come first: those of two of its blocks need not meet; of all other
+        # blocks i meets j for i <= j
+        sizes = of.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+        sizes = sizes.select("sig", F.col("top.comp").alias("top"), count(F.col("top.n")).alias("first"), count(F.col("all") - F.col("top.n")).alias("more"))
+        of = of.join(sizes, "sig")
+        own = F.when(F.col("comp") == F.col("top"), drawn(F.col("first"))).otherwise(F.col("first") + drawn(F.col("more")))
+        n = F.col("first") + F.col("more")
+        others = F.when(F.col("own") < F.col("first"), F.sequence(F.col("first"), n - 1)).otherwise(F.sequence(F.lit(0), n - 1))
+        pairs = F.transform(others, lambda j: F.least(F.col("own"), j) * n + F.greatest(F.col("own"), j))
+        return of.where("more > 0").withColumn("own", own).withColumn("block", F.explode(pairs)).drop("own", "top", "first", "more")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """Of each class the text of one document."""
@@ -575,7 +589,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         if cross:
             placed = scratch.save(placed)
             close = texts_of(placed.select("cls").distinct()).mapInArrow(close_sketches(words, num, den), "cls long, sketch binary")
-            before = tried.select(F.col("a").alias("cls"), "b").unionByName(tried.select(F.col("b").alias("cls"), F.col("a").alias("b"))).groupBy("cls").agg(F.collect_set("b").alias("again"))
+            before = tried.select(F.col("a").alias("cls"), "b").unionByName(tried.select(F.col("b").alias("cls"), F.col("a").alias("b")))
+            few = before.groupBy("cls").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_AGAIN).select("cls")
+            before = before.join(few, "cls").groupBy("cls").agg(F.collect_set("b").alias("again"))
             placed = placed.join(scratch.save(close.dropDuplicates(["cls"]).join(before, "cls", "left")), "cls")
         else:
             placed = placed.join(classes.select("cls", "sketch"), "cls")
