@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions import keywords
+
 #: Topics in order, their place being their id, and the keywords of the full scheme.
 FULL = (
     ("Biography & People", (
@@ -81,21 +84,20 @@ def has_any(c: Column, words) -> Column:
 
 
 def _best(title: Column, joined: Column, scheme) -> Column:
-    """Place of the topic of the highest score, the first of equal ones; 6 where all are 0. A keyword counts once for
-    each time it stands in the text, five times more if it stands in the title."""
-    def score(words) -> Column:
-        hits = lambda w: F.when(F.contains(joined, w), (F.length(joined) - F.length(F.replace(joined, w, F.lit("")))) / F.length(w) + F.when(F.contains(title, w), 5).otherwise(0)).otherwise(0.0)
-        return F.aggregate(_words(words), F.lit(0.0), lambda n, w: n + hits(w))
+    """Place of the best topic (see keywords.best_topics), by one pass of an automaton over batches of texts."""
+    fixed = tuple((name, tuple(words)) for name, words in scheme)
+
+    def run(titles: pa.Array, texts: pa.Array) -> pa.Array:
+        return keywords.best_topics(titles, texts, fixed)
 
-    scores = F.array(*[F.struct(score(words).alias("n"), F.lit(-i).alias("i")) for i, (_, words) in enumerate(scheme)])
-    return F.get(F.transform(F.array(F.array_max(scores)), lambda b: F.when(b["n"] > 0, -b["i"]).otherwise(len(scheme))), F.lit(0))
+    return F.arrow_udf(run, "int")(title, joined)
 
 
 def topic_id(title: Column, cats: Column, scheme=FULL) -> Column:
     """0 to 5 by keyword scores over title and categories, 6 for all else; null titles and categories are empty."""
     title = F.lower(F.coalesce(title, F.lit("")))
     joined = F.concat(title, F.lit(" "), F.lower(F.concat_ws(" ", F.coalesce(cats, F.array().cast("array<string>")))))
-    return F.get(F.transform(F.array(F.struct(title.alias("t"), joined.alias("a"))), lambda x: _best(x["t"], x["a"], scheme)), F.lit(0))
+    return _best(title, joined, scheme)
 
 
 def topic_name(i: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from linkloom.functions import maths as m
 from linkloom.functions import text as t
 from linkloom.operators import graph as g
-from linkloom.operators import layout, quantiles
+from linkloom.operators import layout, pyramid, quantiles
 from linkloom.operators import spatial as sp
 from linkloom.streaming import events as ev
 
@@ -70,6 +70,23 @@ query("v11_segment_culling", "SELECT src, tgt FROM edges JOIN nodes a ON a.idx =
 query("v12_bundles", f"+{G64}, o AS (SELECT idx, max_by(idx, degree * 10000000 - idx) OVER (PARTITION BY cx // 4, cy // 4) AS rep FROM c) SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, count(*) AS links FROM edges JOIN o a ON a.idx = src JOIN o b ON b.idx = tgt WHERE a.rep <> b.rep GROUP BY 1, 2")(lambda s, d: sp.bundled(E(s, d), C(s, d), 4))
 
 
+def stored_pyramid(s, d):
+    """All tiers of a grid of 100 by 100 cells, written once."""
+    path = g.scratch_path(s, "pyramid")
+    pyramid.build(C(s, d, 100), E(s, d), path)
+    return path
+
+
+G100 = cells_sql("c", 100, 240.0)
+query("v1c_pyramid_cells", f"+{G100} SELECT tier, cx // tier AS cx, cy // tier AS cy, max_by(idx, degree * 10000000 - idx) AS idx, count(*) AS n FROM c, (VALUES (1), (2), (4), (10), (25)) t(tier) GROUP BY 1, 2, 3")(
+    lambda s, d: s.read.schema(pyramid.CELLS).parquet(f"{stored_pyramid(s, d)}/cells").select("tier", "cx", "cy", "idx", "n"))
+query("v4c_pyramid_view", f"+{G100} SELECT bx AS cx, by_ AS cy, max_by(idx, degree * 10000000 - idx) AS idx, count(*) AS n FROM (SELECT cx // 4 AS bx, cy // 4 AS by_, idx, degree FROM c) WHERE bx BETWEEN 8 AND 15 AND by_ BETWEEN 9 AND 14 GROUP BY 1, 2")(
+    lambda s, d: pyramid.cells_at(s, stored_pyramid(s, d), 4, (8, 9, 15, 14)).select("cx", "cy", "idx", "n"))
+for _tier in pyramid.TIERS:
+    query(f"v12_pyramid_bundles_{_tier}", f"+{G100}, o AS (SELECT idx, max_by(idx, degree * 10000000 - idx) OVER (PARTITION BY cx // {_tier}, cy // {_tier}) AS rep FROM c) SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, count(*) AS links FROM edges JOIN o a ON a.idx = src JOIN o b ON b.idx = tgt WHERE a.rep <> b.rep GROUP BY 1, 2")(
+        lambda s, d, tier=_tier: pyramid.bundles_at(s, stored_pyramid(s, d), tier))
+
+
 @query("v13_view_tiers", "+q AS (SELECT quantile_cont(views, 0.95) AS a, quantile_cont(views, 0.995) AS b FROM nodes) SELECT idx, CASE WHEN views >= b THEN 'supernova' WHEN views >= a THEN 'stars' ELSE 'dust' END AS tier FROM nodes, q")
 def v13(s, d):
     q = quantiles.quantiles(N(s, d).select("views"), {"a": ("views", 0.95), "b": ("views", 0.995)})
