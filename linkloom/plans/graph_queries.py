@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from linkloom.functions import maths
 from linkloom.operators import graph as g
-from linkloom.operators import layout, quantiles, search, spatial
+from linkloom.operators import layout, projection, quantiles, search, spatial
 from linkloom.sources import asset_sink
 
 from .fixtures import DEGREES_SQL, GRAPH_SQL, edges, links, nodes, pairs, sql_unit, table
@@ -247,6 +247,7 @@ query("g14_force_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d)))
 query("g15_pinned_layout")(lambda s, d: g.force_layout(N(s, d), E(s, d), 2, pinned=N(s, d).where("idx <= 20")))
 query("g18_embedding")(lambda s, d: g.embed(E(s, d)))
 query("g20_simulation")(lambda s, d: layout.simulate(N(s, d), E(s, d), 10))
+query("g19b_neighbour_map")(lambda s, d: projection.neighbour_map(table(s, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("vec"))).select(F.col("v").alias("vec_id"), "x", "y"))
 query("g19_projection")(lambda s, d: g.project(g.embed(E(s, d), 32)))
 
 

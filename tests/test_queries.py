@@ -10,7 +10,7 @@ from linkloom.plans import registry
 
 from .conftest import DATA
 
-SLOW = {"g20_simulation", "g19_projection", "g10_louvain", "g11_core_numbers", "g11b_backbone", "g8c_weighted_path", "g18_embedding", "t20_text_classifier", "g14_force_layout", "g15_pinned_layout"}
+SLOW = {"g19b_neighbour_map", "g20_simulation", "g19_projection", "g10_louvain", "g11_core_numbers", "g11b_backbone", "g8c_weighted_path", "g18_embedding", "t20_text_classifier", "g14_force_layout", "g15_pinned_layout"}
 
 
 @pytest.fixture(scope="module")
