@@ -141,8 +141,8 @@ def limits(s, d):
 
 
 query("m13_quantised", f"+{LIMITS} SELECT idx, CAST(least(greatest(round_even((x - lo) * scale, 0), 0), 65535) AS BIGINT) AS qx FROM nodes, lim")(lambda s, d: limits(s, d).select("idx", m.quantised(F.col("x"), F.col("lo"), F.col("scale")).alias("qx")))
-query("m14_round_trip", f"+{LIMITS} SELECT max(abs(round_even((x - lo) * scale, 0) / scale + lo - x)) <= 0.5000001 / max(scale) AS close FROM nodes, lim")(
-    lambda s, d: limits(s, d).agg((F.max(F.abs(m.dequantised(m.quantised(F.col("x"), F.col("lo"), F.col("scale")), F.col("lo"), F.col("scale")) - F.col("x"))) <= 0.5000001 / F.max("scale")).alias("close")))
+query("m14_round_trip", f"+{LIMITS} SELECT idx, round(round_even((x - lo) * scale, 0) / scale + lo, 6) AS restored, abs(round_even((x - lo) * scale, 0) / scale + lo - x) <= 0.5000001 / scale AS close FROM nodes, lim")(
+    lambda s, d: limits(s, d).withColumn("r", m.dequantised(m.quantised(F.col("x"), F.col("lo"), F.col("scale")), F.col("lo"), F.col("scale"))).select("idx", F.round("r", 6).alias("restored"), (F.abs(F.col("r") - F.col("x")) <= 0.5000001 / F.col("scale")).alias("close")))
 query("m15_packed_bits", "SELECT idx // 8 AS byte, CAST(sum(CASE WHEN category = 1 THEN 1 << (7 - idx % 8) ELSE 0 END) AS BIGINT) AS value FROM nodes GROUP BY 1")(
     lambda s, d: N(s, d).groupBy(F.floor(F.col("idx") / 8).alias("byte")).agg(F.sum(F.when(F.col("category") == 1, F.expr("shiftleft(1, cast(7 - idx % 8 as int))")).otherwise(0)).alias("value")))
 query("m16_title_offsets", "SELECT idx, strlen(title) AS n, CAST(sum(strlen(title)) OVER (ORDER BY idx) - strlen(title) AS BIGINT) AS start FROM nodes")(

@@ -173,11 +173,16 @@ query("f11_two_prefixes", f"SELECT idx, title FROM ((SELECT * FROM ({PARTS}) WHE
 ACCENTED = "SELECT p_partkey AS idx, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'e', 'é'), 'o', 'ö') ELSE p_name END || ' #' || p_partkey AS title FROM part"
 
 
+def accented(s, d):
+    name = F.col("p_name")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.upper(name)).when(F.col("p_partkey") % 3 == 1, F.replace(F.replace(name, F.lit("e"), F.lit("é")), F.lit("o"), F.lit("ö"))).otherwise(name)
+    return table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(name, F.lit(" #"), "p_partkey").alias("title"))
+
+
 def title_indexed(s, d):
     """A stored index over ACCENTED."""
-    path, name = g.scratch_path(s, "titles"), F.col("p_name")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.upper(name)).when(F.col("p_partkey") % 3 == 1, F.replace(F.replace(name, F.lit("e"), F.lit("é")), F.lit("o"), F.lit("ö"))).otherwise(name)
-    title_index.build(table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(name, F.lit(" #"), "p_partkey").alias("title")), path)
+    path = g.scratch_path(s, "titles")
+    title_index.build(accented(s, d), path)
     return path
 
 
@@ -205,8 +210,11 @@ query("f19_sentence_length", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id,
     lambda s, d: docs(s, d).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("x")).where((F.length("x") > 10) & (F.length("x") < 500)).groupBy("doc_id").agg(F.count("*").alias("n")))
 
 # ---- markup
-query("t1_clean_wikitext", r"""SELECT doc_id, length(regexp_replace(regexp_replace('a<!-- ' || text || ' -->b<ref name="x">c</ref>{{t|{{u}}}}' || source, '(?s)<!--.*?-->', '', 'g'), '<ref[^>/]*>.*?</ref>|\{\{t\|\{\{u\}\}\}\}', '', 'g')) AS n FROM documents""")(
-    lambda s, d: docs(s, d).select("doc_id", F.length(t.clean_wikitext(F.concat(F.lit("a<!-- "), "text", F.lit(' -->b<ref name="x">c</ref>{{t|{{u}}}}'), "source"))).alias("n")))
+#: Markup put after every sentence of a text.
+_MARKUP = '<ref name="x">a [[note]]</ref> {{t|a{{u|{{v}}}}}}<!-- a\nremark -->{| class="c"\n| cell |}<br/>'
+WRAPPED = "regexp_replace(text, '([.!?]) ', '\\1" + _MARKUP.replace("\n", "' || chr(10) || '") + " ', 'g')"
+query("t1_clean_wikitext", f"SELECT doc_id, length({sql_cleaned(WRAPPED)}) AS n, md5({sql_cleaned(WRAPPED)}) AS hash FROM documents")(
+    lambda s, d: docs(s, d).select("doc_id", t.clean_wikitext(F.regexp_replace("text", r"([.!?]) ", "$1" + _MARKUP + " ")).alias("c")).select("doc_id", F.length("c").alias("n"), F.md5("c").alias("hash")))
 query("t2_link_targets", f"MARKED SELECT doc_id, array_to_string(list_sort({sql_targets('text')}), '|') AS targets FROM marked")(lambda s, d: marked(s, d).select("doc_id", F.array_join(F.array_sort(t.link_targets(F.col("text"))), "|").alias("targets")))
 query("t4_sentences", f"SELECT doc_id, len({SENT}) AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.sentences(F.col("text"))).alias("n")))
 query("t5_link_contexts", rf"""MARKED, c AS (SELECT title, {sql_cleaned('text')} AS text FROM marked), x AS (SELECT title, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS pos FROM c),
@@ -278,7 +286,8 @@ query("t18b_own_groups", "SELECT p_partkey AS idx, CASE " + " ".join("WHEN " + "
     lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("idx"), topics.first_keyword_group(F.array("p_type", "p_name"), GROUPS, "none").alias("grp")))
 query("t19_topic_to_id", "SELECT n_nationkey AS k, CASE n_nationkey % 8 WHEN 7 THEN 6 ELSE n_nationkey % 8 END AS id FROM nation")(
     lambda s, d: table(s, d, "nation").select(F.col("n_nationkey").alias("k"), topics.id_of(F.element_at(F.array(*[F.lit(n) for n, _ in topics.FULL], F.lit("Other & General"), F.lit("x")), (F.col("n_nationkey") % 8 + 1).cast("int"))).alias("id")))
-query("t21_json_lists", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(t.json_list(F.when(F.col("doc_id") % 3 == 0, "not json").otherwise(F.to_json(F.array("lang", "source"))))).alias("n")))
+query("t21_json_lists", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE len(w) END AS n, CASE WHEN doc_id % 3 = 0 THEN '' ELSE array_to_string(w, '|') END AS words FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS w FROM documents)")(
+    lambda s, d: docs(s, d).select("doc_id", t.json_list(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("no json "), "text")).otherwise(F.to_json(F.slice(F.split("text", " "), 1, 20)))).alias("w")).select("doc_id", F.size("w").alias("n"), F.array_join("w", "|").alias("words")))
 query("t23b_views", "SELECT o_orderkey AS k, CASE WHEN v >= 1000000 THEN printf('%.1f', floor(v / 100000.0 + 0.5) / 10) || 'M' WHEN v >= 1000 THEN printf('%.1f', floor(v / 100.0 + 0.5) / 10) || 'K' ELSE v::VARCHAR END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 50) AS v FROM orders)")(
     lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), maths.views_text(F.floor("o_totalprice") * (F.col("o_orderkey") % 50)).alias("shown")))
 query("t23_duration", "SELECT event_id, CASE WHEN v < 1000 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || ' ms' ELSE printf('%.2f', floor(v / 10 + 0.5) / 100) || ' s' END AS shown FROM (SELECT event_id, value * 20 AS v FROM events)")(lambda s, d: table(s, d, "events").select("event_id", maths.duration_text(F.col("value") * 20).alias("shown")))
@@ -290,4 +299,4 @@ query("a23_map_sum", "SELECT user_id, CAST(sum(CAST(json_extract(props, '$.k') A
 query("j1_resolve_links", rf"""MARKED, raw AS (SELECT title AS source, unnest({sql_targets("text", "false")}) AS target FROM marked),
  n AS (SELECT title, row_number() OVER (ORDER BY title) - 1 AS idx FROM (SELECT source AS title FROM raw UNION SELECT target FROM raw WHERE length(target) > 3))
  SELECT a.idx AS src, b.idx AS tgt FROM raw JOIN n a ON a.title = source JOIN n b ON b.title = target""")(lambda s, d: src.resolve_marked(marked(s, d)))
-query("o7_collated", "SELECT title, row_number() OVER (ORDER BY title) - 1 AS place FROM (SELECT p_name || ' #' || p_partkey AS title FROM part)")(lambda s, d: src.numbered(titles(s, d).select("title"), F.collate("title", "UNICODE"), "place"))
+query("o7_collated", f"SELECT title, row_number() OVER (ORDER BY lower(strip_accents(title))) - 1 AS place FROM ({ACCENTED})")(lambda s, d: src.numbered(accented(s, d).select("title"), F.collate("title", "UNICODE"), "place"))
