@@ -186,8 +186,8 @@ def title_indexed(s, d):
     return path
 
 
-query("f9b_indexed_words", rf"SELECT idx FROM ({ACCENTED}) WHERE len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, 'ste'))) > 0 AND len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, '1'))) > 0")(
-    lambda s, d: title_index.word_search(s, title_indexed(s, d), "Sté 1", None))
+query("f9b_indexed_words", rf"SELECT idx FROM ({ACCENTED}) WHERE len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, 'col'))) > 0 AND len(list_filter(string_split_regex(lower(strip_accents(title)), '[^\p{{L}}\p{{N}}]+'), lambda x: starts_with(x, '1'))) > 0")(
+    lambda s, d: title_index.word_search(s, title_indexed(s, d), "Cöl 1", None))
 query("f10b_indexed_prefix", f"SELECT idx, title FROM ({ACCENTED}) WHERE starts_with(lower(strip_accents(title)), 'co') ORDER BY lower(strip_accents(title)), idx LIMIT 8")(lambda s, d: title_index.prefix_search(s, title_indexed(s, d), "Cö"))
 query("f11b_indexed_top", f"SELECT word, count(*) AS n FROM (SELECT DISTINCT idx, unnest(list_filter(string_split_regex(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM ({ACCENTED})) GROUP BY 1")(
     lambda s, d: title_index.stored(s, title_indexed(s, d), "words").groupBy("word").agg(F.count("*").alias("n")))
