@@ -531,16 +531,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         drawn = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(n, F.lit(1))).cast("int")
         if not cross:
             return of.withColumn("block", drawn(count(F.col("rows"))))
-        # rows of a signature's largest component come first: those of two of its blocks need not meet; of all other
-        # blocks i meets j for i <= j
+        # few rows are one block; of many, rows of a signature's largest component come first: those of two of its blocks
+        # need not meet; of all other blocks i meets j for i <= j
         sizes = of.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-        sizes = sizes.select("sig", F.col("top.comp").alias("top"), count(F.col("top.n")).alias("first"), count(F.col("all") - F.col("top.n")).alias("more"))
+        sizes = sizes.select("sig", "all", F.col("top.comp").alias("top"), count(F.col("top.n")).alias("first"), count(F.col("all") - F.col("top.n")).alias("more"))
         of = of.join(sizes, "sig")
         own = F.when(F.col("comp") == F.col("top"), drawn(F.col("first"))).otherwise(F.col("first") + drawn(F.col("more")))
+        own = F.when(F.col("all") <= BLOCK_ROWS, 0).otherwise(own)
         n = F.col("first") + F.col("more")
         others = F.when(F.col("own") < F.col("first"), F.sequence(F.col("first"), n - 1)).otherwise(F.sequence(F.lit(0), n - 1))
-        pairs = F.transform(others, lambda j: F.least(F.col("own"), j) * n + F.greatest(F.col("own"), j))
-        return of.where("more > 0").withColumn("own", own).withColumn("block", F.explode(pairs)).drop("own", "top", "first", "more")
+        pairs = F.when(F.col("all") <= BLOCK_ROWS, F.array(F.lit(0))).otherwise(F.transform(others, lambda j: F.least(F.col("own"), j) * n + F.greatest(F.col("own"), j)))
+        return of.where("more > 0").withColumn("own", own).withColumn("block", F.explode(pairs)).drop("own", "all", "top", "first", "more")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """Of each class the text of one document."""

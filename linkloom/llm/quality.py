@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, bounded, slices
+from .shared import binary_column, bounded, release, slices
 
 WIDTH, STEP, BLOCK, FILTERS, HIDDEN = 6, 2, 512, 16, 16
 #: Labelled rows that are trained on at most, and bytes of their whole texts: by hash of doc_id, those that still fit.
@@ -171,7 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, held_out: Column) -> N
     mine = spark.createDataFrame(chosen, "doc_id long, same long, y double")
     rows = texts.join(F.broadcast(mine), ["doc_id", "same"]).dropDuplicates(["doc_id"]).select("doc_id", F.encode("text", "utf-8").alias("text"), "y").collect()
     rows.sort(key=lambda r: r.doc_id)
-    return Network().train([bytes(r.text) for r in rows], np.array([r.y for r in rows]))
+    trained = Network().train([bytes(r.text) for r in rows], np.array([r.y for r in rows]))
+    del rows
+    release(spark)
+    return trained
 
 
 def score_scan(shared, threshold: float, keep_only: bool):

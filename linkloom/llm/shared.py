@@ -4,6 +4,7 @@ columnar word scanner that works on Arrow buffers without a Python loop over row
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,8 +82,12 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Lets go of what ran before: plans, broadcasts and shuffle files of earlier jobs stay on the driver and on the
-    executors' disks until the driver's garbage is collected, which may take as long as its heap has room."""
+    executors' disks until the driver's garbage is collected, which may take as long as its heap has room. What numpy and
+    Arrow have freed on the driver goes back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 
