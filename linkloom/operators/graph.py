@@ -7,6 +7,7 @@ import itertools
 import math
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -482,13 +483,14 @@ def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def louvain(links: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> DataFrame:
     """Communities of an undirected graph, (src, tgt, w) with each pair once: rounds in which the nodes of one parity
-    move to the neighbouring community of greatest gain, then contraction, until nothing moves. Rows (idx, label)."""
+    move to the neighbouring community of greatest gain, then contraction, until nothing moves. Rows (idx, label). A
+    warning tells if nodes still moved when the rounds of a level, or the levels, were used up."""
     arcs = links.select("src", "tgt", F.col("w").cast("double").alias("w"))
     both = reliable(arcs.unionByName(arcs.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "w")).groupBy("src", "tgt").agg(F.sum("w").alias("w")))
     two_m = both.agg(F.sum("w")).first()[0]
     nodes = both.select(F.col("src").alias("idx")).distinct()
     placed = reliable(nodes.select("idx", F.col("idx").alias("node")))
-    for _ in range(max_levels):
+    for level in range(max_levels):
         k = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
         state = held = reliable(k.select("node", "k", F.col("node").alias("com")))
         moved_any = False
@@ -508,11 +510,15 @@ def louvain(links: DataFrame, max_levels: int = 5, max_rounds: int = 12) -> Data
             moved_any |= moved
             if not moved and r % 2:
                 break
+        else:
+            warnings.warn(f"nodes still move after {max_rounds} rounds of level {level}", stacklevel=2)
         if not moved_any:
             break
         com = state.select("node", "com")
         placed = reliable(placed.join(com, "node").select("idx", F.col("com").alias("node")))
         both = reliable(both.join(com.toDF("src", "a"), "src").join(com.toDF("tgt", "b"), "tgt").groupBy(F.col("a").alias("src"), F.col("b").alias("tgt")).agg(F.sum("w").alias("w")))
+    else:
+        warnings.warn(f"communities still merge after {max_levels} levels", stacklevel=2)
     label = placed.groupBy("node").agg(F.min("idx").alias("label"))
     return placed.join(label, "node").select("idx", "label")
 

@@ -205,7 +205,7 @@ def cats(s, d):
 query("f14_clean_categories", f"SELECT doc_id, array_to_string(list_transform(list_filter({CATS}, lambda x: NOT starts_with(x, 'Category:All ') AND NOT starts_with(x, 'Category:Use ')), lambda x: lower(x)), '|') AS cats FROM documents")(lambda s, d: cats(s, d).select("doc_id", F.array_join(t.clean_categories(F.col("cats")), "|").alias("cats")))
 query("f15_clean_titles", rf"SELECT idx, title FROM ({PARTS}) WHERE length(title) <= 16 AND NOT regexp_matches(title, '(?i)\(disambiguation\)|^List of|\b\d{{4}}\b') AND NOT regexp_matches(title, '^\d+$')")(lambda s, d: titles(s, d).where(t.is_clean_title(F.col("title"))))
 query("f16_near_duplicates", r"SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name < b.p_name AND (contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)) OR regexp_replace(lower(a.p_name), 's+$', '') = regexp_replace(lower(b.p_name), 's+$', ''))")(
-    lambda s, d: (lambda p: p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") < F.col("b.p_name"))).where(t.near_duplicate(F.col("a.p_name"), F.col("b.p_name"))).select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).distinct())(table(s, d, "part").select("p_brand", "p_name").distinct()))
+    lambda s, d: t.near_duplicate_pairs(table(s, d, "part"), "p_name", ["p_brand"]))
 query("f19_sentence_length", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({SENT}) AS x FROM documents) WHERE length(x) > 10 AND length(x) < 500 GROUP BY 1")(
     lambda s, d: docs(s, d).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("x")).where((F.length("x") > 10) & (F.length("x") < 500)).groupBy("doc_id").agg(F.count("*").alias("n")))
 

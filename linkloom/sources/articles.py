@@ -171,16 +171,18 @@ def resolve_marked(marked: DataFrame) -> DataFrame:
     return g.resolved(raw, numbered(known, F.col("title"), "idx"))
 
 
-def train_topic_classifier(rows: DataFrame, features: int = 4096, rounds: int = 20) -> DataFrame:
-    """rows: (id, text, label). Words and word pairs hashed into counts, logistic regression; (id, label, predicted)."""
+def train_topic_classifier(rows: DataFrame, features: int = 4096, rounds: int = 20, learn: str = "true") -> DataFrame:
+    """rows: (id, text, label). Words and word pairs hashed into counts, logistic regression over the rows for which learn
+    (SQL) is true; (id, label, predicted, probability) of all, the probability being that of what is predicted."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.feature import HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer, Tokenizer
 
     stages = [
         StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), Tokenizer(inputCol="text", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), HashingTF(numFeatures=features, inputCol="grams", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=rounds, regParam=0.01),
     ]
-    model = Pipeline(stages=stages).fit(rows.where("text is not null"))
+    model = Pipeline(stages=stages).fit(rows.where("text is not null").where(learn))
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
-    return back.transform(model.transform(rows.where("text is not null"))).select("id", "label", "predicted")
+    return back.transform(model.transform(rows.where("text is not null"))).select("id", "label", "predicted", F.array_max(vector_to_array("probability")).alias("probability"))

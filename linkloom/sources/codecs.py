@@ -33,6 +33,8 @@ def write_adjacency(sizes: np.ndarray, neighbours: np.ndarray) -> bytes:
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     if offsets[-1] != len(neighbours):
         raise ValueError("offsets do not end at the number of links")
+    if max(len(sizes), offsets[-1]) > 0xFFFFFFFF:
+        raise ValueError("too many nodes or links for offsets of 32 bits")
     return np.array([len(sizes), len(neighbours)], "<u4").tobytes() + offsets.astype("<u4").tobytes() + np.asarray(neighbours, "<u4").tobytes()
 
 
@@ -99,8 +101,10 @@ def read_links(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def write_compact(x: np.ndarray, y: np.ndarray, degree: np.ndarray, category: np.ndarray) -> bytes:
     """Magic, N, palette length, low end and scale padded to 24 bytes; palette, 16-bit x, y, palette index, 8-bit kind."""
-    lo, hi = float(min(x.min(), y.min())), float(max(x.max(), y.max()))
-    pad = 1e-4 * (hi - lo)
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("a coordinate is no number")
+    lo, hi = (float(min(x.min(), y.min())), float(max(x.max(), y.max()))) if len(x) else (0.0, 0.0)
+    pad = 1e-4 * (hi - lo) or 1e-4  # all nodes in one place: a range of its own
     lo, scale = lo - pad, 65535 / (hi - lo + 2 * pad)
     palette, index = np.unique(degree.astype("<f4"), return_inverse=True)
     if len(palette) > 65536:

@@ -29,9 +29,9 @@ def decompressed(chunks: Iterable[bytes]) -> Iterator[str]:
                 unpack = bz2.BZ2Decompressor()
 
 
-def split_pages(chunks: Iterable[str], most: int = 64 << 20, keep: int = 8 << 20) -> Iterator[str]:
-    """The inside of each <page> element of a stream of text. Text without an end tag is held up to `most` characters,
-    then all but the last `keep` of it is let go."""
+def split_pages(chunks: Iterable[str], most: int = 64 << 20) -> Iterator[str]:
+    """The inside of each <page> element of a stream of text. A page of more than `most` characters, or one that is not
+    ended within them, is an error; text between pages is let go."""
     held = ""
     for chunk in chunks:
         held += chunk
@@ -40,8 +40,10 @@ def split_pages(chunks: Iterable[str], most: int = 64 << 20, keep: int = 8 << 20
             yield m[1]
             end = m.end()
         held = held[end:]
+        begin = held.find("<page>")
+        held = held[begin:] if begin >= 0 else held[-5:]
         if len(held) > most:
-            held = held[-keep:]
+            raise ValueError(f"a page of more than {most} characters, or one without an end")
 
 
 def top_titles(reply: dict) -> list[tuple[str, int]]:

@@ -89,7 +89,6 @@ def test_connectors(spark):
     raw = b"".join(bz2.compress(part) for part in (dump.encode()[:12], dump.encode()[12:]))
     chunks = [raw[i : i + 7] for i in range(0, len(raw), 7)]
     assert list(connectors.split_pages(connectors.decompressed(chunks))) == ["a é", "b\nc"]
-    assert list(connectors.split_pages(["<page>" + "x" * 50, "y" * 60, "<page>z</page>"], most=100, keep=10)) == ["z"]
     reply = {"items": [{"articles": [{"article": "Big_cat", "views": 5}, {"article": "Special:Search", "views": 9}, {"article": "Main_Page", "views": 9}, {"article": "_", "views": 1}]}]}
     assert connectors.top_titles(reply) == [("Big cat", 5)] and connectors.top_titles({}) == []
 
@@ -156,3 +155,32 @@ def test_progress_log(spark, tmp_path):
         time.sleep(0.2)
     spark.streams.removeListener(log)
     assert {x["event"] for x in lines} == {"started", "batch", "ended"} and sum(x.get("rows", 0) for x in lines) == 5
+
+
+def test_assets_that_do_not_fit(spark):
+    import numpy as np
+
+    zero = np.zeros(3)
+    same = codecs.read_compact(codecs.write_compact(zero + 5, zero + 5, zero, zero))
+    assert np.abs(same["x"] - 5).max() < 1e-3
+    with pytest.raises(ValueError, match="no number"):
+        codecs.write_compact(np.array([0.0, np.nan]), zero[:2], zero[:2], zero[:2])
+    with pytest.raises(ValueError, match="without an end"):
+        list(connectors.split_pages(["<page>" + "x" * 50, "y" * 60], most=100))
+    assert list(connectors.split_pages(["x" * 500 + "<pa", "ge>a</page>" + "z" * 500, "<page>b</page>"], most=100)) == ["a", "b"]
+
+
+def test_near_duplicate_pairs(spark):
+    from linkloom.functions import text as t
+
+    names = ["Rose", "roses", "Prose", "a", "Rosess", "garden of Roses", "rose garden", "rosa", "", "ss", "Ros"]
+    df = spark.createDataFrame([(n, "x") for n in names] + [("rose", "y"), (None, "x"), ("Rose", "x")], "n string, g string")
+    low = lambda a: a.lower()
+    want = {(a, b) for a in names for b in names if a < b and (low(a) in low(b) or low(b) in low(a) or low(a).rstrip("s") == low(b).rstrip("s"))}
+    assert {tuple(r) for r in t.near_duplicate_pairs(df, "n", ["g"]).collect()} == want
+
+
+def test_classifier_on_rows_that_it_did_not_learn_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text", "lang AS label").where("length(text) > 200")
+    out = src.train_topic_classifier(docs, rounds=8, learn="id % 3 <> 0").where("id % 3 = 0").collect()
+    assert sum(r.label == r.predicted for r in out) > 0.9 * len(out) and all(0.25 <= r.probability <= 1 for r in out)
