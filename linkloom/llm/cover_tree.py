@@ -521,6 +521,7 @@ def threshold_components(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     each = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = each.join(each.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").join(totals, "cls").select("cls", (F.col("links") - 1).alias("n_links"), "component_id")
     named = scratch.save(named)
+    scratch.keep(named)
     alone = F.col("cls").isNull()
     return ids.join(named, "cls", "left").select(
         "vec_id", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),

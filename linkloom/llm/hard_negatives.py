@@ -213,4 +213,6 @@ def hard_negatives(rows: DataFrame, anchors: str = "vec_id % 50 = 0", label: str
     p = "positive_score"
     windows = best.where(F.col(p) >= 0).select("anchor", "slot", F.expr(f"({low} * {p} + 99) div 100").alias("lo"), F.expr(f"{high} * {p} div 100").alias("hi"))
     found = s.first(windows, negatives, False)
-    return found.join(best, ["anchor", "slot"]).select(F.col("anchor").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    out = scratch.save(found.join(best, ["anchor", "slot"]).select(F.col("anchor").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
+    scratch.keep(out)
+    return out

@@ -58,12 +58,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.there: set[str] = set()
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        self.there.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._linkloom_path = path
         return out
@@ -71,6 +73,13 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._delete(t._linkloom_path)
+            self.there.discard(t._linkloom_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all but these: what the result still reads."""
+        for path in self.there - {t._linkloom_path for t in tables}:
+            self._delete(path)
+            self.there.discard(path)
 
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
