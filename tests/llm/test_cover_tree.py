@@ -40,7 +40,7 @@ def near_copies(draw, n, dim, spread):
     return [centre + spread * draw.normal(size=dim) / np.sqrt(dim) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "unit", "cosine"), [(1, 24, 0.95), (2, 60, 0.95), (3, 24, 0.8), (4, 24, 0.995)])
+@pytest.mark.parametrize(("seed", "unit", "cosine"), [(1, 24, 0.95), (3, 24, 0.8), (4, 60, 0.995)])
 def test_against_all_pairs(spark, monkeypatch, seed, unit, cosine):
     monkeypatch.setattr(cover_tree, "MOST_UNIT", unit)
     monkeypatch.setattr(cover_tree, "LEAST_UNIT", unit)
