@@ -1,5 +1,6 @@
 """What showed only on larger tables: each failed, or gave other rows, before it was mended."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from linkloom.functions import maths
@@ -14,3 +15,11 @@ def test_hash_of_large_numbers(spark):
     a = (v * 1103515245 + 12345) & m
     row = spark.range(1).select(maths.unit_hash(F.lit(v), 42).alias("u"), *maths.hash_jitter(F.lit(v))).first()
     assert tuple(row) == ((h + 0.5) / 2147483648.0, a % 100000 / 100000.0, a // 100000 / 21475.0)
+
+
+def test_spiral_of_large_numbers(spark):
+    con = duckdb.connect()
+    at = "round(5.0 * sqrt(p) * cos(p * 2.399963229728653), 4), round(5.0 * sqrt(p) * sin(p * 2.399963229728653), 4)"
+    want = con.sql(f"select {at} from (select unnest(range(1190000, 1200000)) p) order by p").fetchall()
+    x, y = maths.spiral(F.col("id"), exact=True)
+    assert [tuple(r) for r in spark.range(1190000, 1200000, 1, 1).select(F.round(x, 4), F.round(y, 4)).collect()] == want
