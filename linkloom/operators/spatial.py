@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import maths
-from linkloom.operators.graph import small
+from linkloom.operators.graph import by_shuffle, small
 from linkloom.operators.quantiles import quantiles
 
 
@@ -65,6 +65,14 @@ def bundled(links: DataFrame, cells: DataFrame, coarse: int) -> DataFrame:
     return e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("links"))
 
 
+def links_per_cell(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """links: each pair once; cells: (idx, cx, cy). Links with an end in a cell, once where both are: (cx, cy, n). A link
+    is told once or twice in its own row, so only counts of cells are shuffled after the joins."""
+    at = cells.select("idx", F.struct("cx", "cy").alias("c"))
+    both = links.select("src", "tgt").join(by_shuffle(at.toDF("src", "a")), "src", "left").join(by_shuffle(at.toDF("tgt", "b")), "tgt", "left")
+    return both.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("c")).where("c is not null").groupBy("c.cx", "c.cy").agg(F.count("*").alias("n"))
+
+
 def near_points(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """points: (pid, px, py). The nearest node strictly within the radius, ties to the smaller idx: cells of the radius'
     size and the eight around."""
@@ -72,7 +80,7 @@ def near_points(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame
     asked = points.select("pid", "px", "py", around.alias("o")).select("pid", "px", "py", (F.floor(F.col("px") / radius) + F.col("o.i")).alias("cx"), (F.floor(F.col("py") / radius) + F.col("o.j")).alias("cy"))
     own = nodes.select("idx", "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    hits = asked.join(own, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < radius * radius)
+    hits = asked.join(by_shuffle(own), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < radius * radius)
     return hits.groupBy("pid").agg(F.min_by("idx", F.struct("d2", "idx")).alias("idx"))
 
 
@@ -82,7 +90,7 @@ def near_pairs(nodes: DataFrame, radius: float) -> DataFrame:
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     sent = own.select(F.col("idx").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", around.alias("o")).select("a", "ax", "ay", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     d2 = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
-    return sent.join(own, ["cx", "cy"]).where(F.col("idx") > F.col("a")).withColumn("d2", d2).where(F.col("d2") < radius * radius).select("a", F.col("idx").alias("b"), "d2")
+    return sent.join(by_shuffle(own), ["cx", "cy"]).where(F.col("idx") > F.col("a")).withColumn("d2", d2).where(F.col("d2") < radius * radius).select("a", F.col("idx").alias("b"), "d2")
 
 
 def cell_budget(cells: DataFrame, budget: int, hidden: tuple[int, ...] = ()) -> DataFrame:

@@ -4,6 +4,11 @@ import duckdb
 from pyspark.sql import functions as F
 
 from linkloom.functions import maths
+from linkloom.operators import graph as g
+from linkloom.operators import spatial
+from linkloom.plans import fixtures
+
+from .conftest import DATA
 
 
 def test_hash_of_large_numbers(spark):
@@ -23,3 +28,42 @@ def test_spiral_of_large_numbers(spark):
     want = con.sql(f"select {at} from (select unnest(range(1190000, 1200000)) p) order by p").fetchall()
     x, y = maths.spiral(F.col("id"), exact=True)
     assert [tuple(r) for r in spark.range(1190000, 1200000, 1, 1).select(F.round(x, 4), F.round(y, 4)).collect()] == want
+
+
+def placed(spark, tmp_path):
+    """Nodes in a file that is small beside the rows it holds."""
+    x, y = maths.spiral(F.col("id"))
+    spark.range(5000).select(F.col("id").alias("idx"), x.alias("x"), y.alias("y")).write.parquet(f"{tmp_path}/nodes")
+    return spark.read.parquet(f"{tmp_path}/nodes")
+
+
+def test_near_nodes_are_not_broadcast(spark, tmp_path):
+    n = placed(spark, tmp_path)
+    points = n.select(F.col("idx").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
+    for df in (spatial.near_pairs(n, 10.0), spatial.near_points(n, points, 10.0)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_costs_over_few_links(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)] + [(0, 3, 9.0)], "src long, tgt long, c double")
+    got = {r.idx: r.cost for r in g.cheapest_costs(chain, 0, F.col("c"), max_links=2).collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: 2.0, 3: 9.0, 4: 10.0}
+    third = {r.idx: r.cost for r in g.cheapest_costs(chain, 0, F.col("c") / 3, max_links=2, places=3).collect()}
+    assert third[2] == 0.666 and third[4] == 3.333
+
+
+def test_links_of_cells(spark):
+    links = spark.createDataFrame([(0, 1), (0, 2), (2, 1), (2, 9)], "src long, tgt long")
+    cells = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 5, 1)], "idx long, cx long, cy long")
+    df = spatial.links_per_cell(links, cells)
+    assert {(r.cx, r.cy): r.n for r in df.collect()} == {(0, 0): 3, (5, 1): 3}
+
+
+def test_partitions_follow_the_tables(spark, monkeypatch):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(fixtures, "ROWS_A_PARTITION", 100)
+    try:
+        fixtures.roomy(spark, DATA)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
