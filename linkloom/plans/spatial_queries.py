@@ -98,7 +98,7 @@ query("v14_canvas_range", "SELECT round(min(x) - 0.01 * (max(x) - min(x)), 6) AS
 query("v16_offscreen", "SELECT idx, (x * 4 + 400 < 0 OR x * 4 + 400 > 800) AS hidden FROM nodes")(lambda s, d: N(s, d).select("idx", (~m.to_screen(F.col("x"), 0.0, 2.0, 800).between(0, 800)).alias("hidden")))
 query("a10_representatives", f"+{G25} SELECT cx, cy, max_by(idx, degree * 10000000 - idx) AS idx, count(*) AS n FROM c GROUP BY 1, 2")(lambda s, d: sp.representatives(C(s, d, 25)))
 query("a11_links_per_cell", f"+{G25} SELECT cx, cy, count(DISTINCT src * 100000000 + tgt) AS n FROM (SELECT src, tgt, cx, cy FROM edges JOIN c ON c.idx = src UNION ALL SELECT src, tgt, cx, cy FROM edges JOIN c ON c.idx = tgt) GROUP BY 1, 2")(
-    lambda s, d: (lambda e, c: e.join(c, e.src == c.idx).select("src", "tgt", "cx", "cy").union(e.join(c, e.tgt == c.idx).select("src", "tgt", "cx", "cy")).distinct().groupBy("cx", "cy").agg(F.count("*").alias("n")))(E(s, d), C(s, d, 25).select("idx", "cx", "cy")))
+    lambda s, d: sp.links_per_cell(E(s, d), C(s, d, 25)))
 query("a15_density", f"+{G25} SELECT cx AS px, cy AS py, count(*) AS count FROM c GROUP BY 1, 2")(lambda s, d: sp.raster_points(D(s, d), 240.0, 25))
 query("a16_line_raster", """+ g AS (SELECT src, tgt, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM edges JOIN nodes a ON a.idx = src JOIN nodes b ON b.idx = tgt),
  n AS (SELECT *, CAST(greatest(ceil(greatest(abs((x1 - x0) * (100 / 480.0::DOUBLE)), abs((y1 - y0) * (100 / 480.0::DOUBLE)))), 1) AS BIGINT) AS n FROM g), p AS (SELECT *, unnest(range(n + 1)) AS t FROM n),
