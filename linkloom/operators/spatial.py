@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,17 +152,61 @@ def raster_points(nodes: DataFrame, bound: float, size: int) -> DataFrame:
     return grid_cells(nodes, size, bound).groupBy(F.col("cx").alias("px"), F.col("cy").alias("py")).agg(F.count("*").alias("count"))
 
 
+#: Samples of segments that are held at a time.
+SAMPLES_AT_ONCE = 1 << 19
+
+
+def _crossed(x0, y0, x1, y1, bound: float, size: int) -> Iterator[np.ndarray]:
+    """The pixels (py * size + px) of each segment's samples, each once a segment, some segments at a time.
+
+    Samples off the grid count for the pixel at its edge. Both coordinates are monotone along a segment, so a pixel's
+    samples stand together, and where both are off the grid the pixel does not change: only the samples with one on it
+    are taken, two more on either side, and the two ends."""
+    n = np.maximum(np.ceil(np.maximum(np.abs((x1 - x0) * (size / (2 * bound))), np.abs((y1 - y0) * (size / (2 * bound))))), 1)
+
+    def on_grid(a, b):
+        d = b - a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.sort(np.stack([(-bound - a) / d * n, (bound - a) / d * n]), axis=0)
+        lo, hi = np.maximum(np.floor(t[0]) - 2, 0), np.minimum(np.ceil(t[1]) + 2, n)
+        flat = d == 0
+        return np.where(flat, np.where(np.abs(a) <= bound, 0, n + 1), lo), np.where(flat, np.where(np.abs(a) <= bound, n, 0), hi)
+
+    (xa, xb), (ya, yb) = on_grid(x0, x1), on_grid(y0, y1)
+    first = xa <= ya
+    a, b, c, d = np.where(first, xa, ya), np.where(first, xb, yb), np.where(first, ya, xa), np.where(first, yb, xb)
+    begin = np.stack([np.zeros_like(n), a, np.maximum(c, np.where(a <= b, b + 1, c)), n], axis=1)
+    count = np.maximum(np.stack([np.zeros_like(n), b, d, n], axis=1) - begin + 1, 0).astype(np.int64)
+    upto = np.cumsum(count.sum(axis=1))
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SAMPLES_AT_ONCE, "right")))
+        k, g = count[at:to].ravel(), begin[at:to].ravel()
+        row = np.repeat(np.arange(at, to), count[at:to].sum(axis=1))
+        t = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(g, k)
+        cell = lambda v0, v1: np.clip(np.floor((v0[row] + (v1[row] - v0[row]) * t / n[row] + bound) / (2 * bound) * size), 0, size - 1).astype(np.int64)  # noqa: E731,B023
+        pixel = cell(y0, y1) * size + cell(x0, x1)
+        new = np.ones(len(row), bool)
+        new[1:] = (pixel[1:] != pixel[:-1]) | (row[1:] != row[:-1])
+        yield pixel[new]
+        at = to
+
+
 def raster_lines(segs: DataFrame, bound: float, size: int) -> DataFrame:
-    """Pixels that segments cross, one sample a pixel of the longer side; px, py, count."""
-    k = size / (2 * bound)
-    dx, dy = (F.col("x1") - F.col("x0")) * k, (F.col("y1") - F.col("y0")) * k
-    n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy))), F.lit(1)).cast("long")
-    x = lambda t: F.col("x0") + (F.col("x1") - F.col("x0")) * t / n
-    y = lambda t: F.col("y0") + (F.col("y1") - F.col("y0")) * t / n
-    # a segment's samples are told apart in its own row: only counts of pixels are shuffled
-    own = F.transform(F.sequence(F.lit(0).cast("long"), n), lambda t: F.struct(clamped_cell(x(t), F.lit(bound), size).alias("px"), clamped_cell(y(t), F.lit(bound), size).alias("py")))
-    pixels = segs.select(F.explode(F.array_distinct(own)).alias("at"))
-    return pixels.groupBy("at.px", "at.py").agg(F.count("*").alias("count"))
+    """Pixels that segments cross, one sample a pixel of the longer side; px, py, count. Each task counts pixels of its
+    segments, so only counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [b.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]
+            got = [np.unique(p, return_counts=True) for p in _crossed(*ends, float(bound), size)]
+            if got:
+                pixel, where = np.unique(np.concatenate([p for p, _ in got]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([c for _, c in got])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pixel % size), pa.array(pixel // size), pa.array(n)], ["px", "py", "n"])
+
+    known = segs.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).dropna()
+    return known.mapInArrow(run, "px long, py long, n long").groupBy("px", "py").agg(F.sum("n").alias("count"))
 
 
 def dilated(raster: DataFrame, k: int = 3) -> DataFrame:

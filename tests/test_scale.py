@@ -1,6 +1,10 @@
 """What showed only on larger tables: each failed, or gave other rows, before it was mended."""
 
+import math
+from collections import Counter
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from linkloom.functions import maths
@@ -67,3 +71,19 @@ def test_partitions_follow_the_tables(spark, monkeypatch):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 60
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_long_segments_take_few_samples():
+    """Against all samples, on segments far longer than the grid; a sample off it counts at the edge."""
+    r = np.random.default_rng(5)
+    x0, y0, x1, y1 = (np.concatenate([r.uniform(-w, w, 300) for w in (10, 300, 9000)]) for _ in range(4))
+    x1[::7], y1[::11] = x0[::7], y0[::11]
+    want = Counter()
+    for a, b, c, d in zip(x0, y0, x1, y1):
+        n = max(math.ceil(max(abs((c - a) * (100 / 480.0)), abs((d - b) * (100 / 480.0)))), 1)
+        cell = lambda v: min(max(math.floor((v + 240.0) / 480.0 * 100), 0), 99)
+        want.update({cell(b + (d - b) * t / n) * 100 + cell(a + (c - a) * t / n) for t in range(n + 1)})
+    got = Counter()
+    for p in spatial._crossed(x0, y0, x1, y1, 240.0, 100):
+        got.update(p.tolist())
+    assert got == want
