@@ -87,3 +87,21 @@ def test_long_segments_take_few_samples():
     for p in spatial._crossed(x0, y0, x1, y1, 240.0, 100):
         got.update(p.tolist())
     assert got == want
+
+
+def test_driver_search_asks_once(spark, monkeypatch):
+    """A walk and a descent of hundreds of steps, each of which asked Spark for the next node's links; same routes."""
+    n = 300
+    e = spark.createDataFrame([(i, j) for i in range(n) for j in (i + 1, max(0, i - 1))], "src long, tgt long").where("tgt < 300")
+    asked = []
+    monkeypatch.setattr(g, "HELD_LINKS", 0)
+    slow = g.DriverSearch(e.where("src < 12"), lookahead=1)
+    want = slow.depth_first(0, 9), slow.random_walk(0, 6, 3)
+    monkeypatch.setattr(g, "HELD_LINKS", 2_000_000)
+    few = g.DriverSearch(e.where("src < 12"))
+    assert (few.depth_first(0, 9), few.random_walk(0, 6, 3)) == want
+    s = g.DriverSearch(e)
+    real = type(s.links).collect
+    monkeypatch.setattr(type(s.links), "collect", lambda df: asked.append(1) or real(df))
+    assert s.depth_first(0, n - 1) == list(range(n)) and s.random_walk(0, 20, 1)[-1] == 20
+    assert not asked
