@@ -55,3 +55,15 @@ def test_too_large(spark):
     df = spark.createDataFrame([(0, [1e12], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(ValueError, match="64 bits"):
         hard_negatives.hard_negatives(df)
+
+
+def test_rows_stay_where_they_are(spark, monkeypatch):
+    """Every pass dealt all rows and all anchors out again, in rows of 8 MB that a task sorted; now only counts go."""
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 2 * 8 * 3)
+    plans, real = [], hard_negatives.Selection.meet
+    monkeypatch.setattr(hard_negatives.Selection, "meet", lambda self, *a: plans.append(real(self, *a)) or plans[-1])
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = hard_negatives.hard_negatives(df, "vec_id % 10 = 0")
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, lambda a: a % 10 == 0, 5, 3)
+    assert len(plans) > 10 and not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
