@@ -23,3 +23,14 @@ def test_html(spark):
     assert dict(rows(html.html_full_contexts(pages, least_words=5)))["Far"] == "A help page and a far one."
     text = {r.page_id: r.text for r in html.html_text(pages).collect()}
     assert text == {1: "Cats\nThe cat sat on the mat. It was a very happy cat indeed.\nShort cat. A help page and a far one.", 2: "", 3: "", 4: "open x"}
+
+
+def test_few_pages_at_a_time(spark):
+    """A batch of 10,000 pages was parsed as one, and its rows held together."""
+    from pyspark.sql import functions as F
+
+    from linkloom.sources import html
+
+    df = html.html_text(spark.range(0, 1000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<p>a b</p>").alias("html")))
+    assert df.where("text = 'a b'").count() == 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
