@@ -77,3 +77,48 @@ def test_embedding_moves_no_links(spark, few, monkeypatch):
         assert got[i] == pytest.approx((total[i] - mean) / np.linalg.norm(total[i] - mean), abs=1e-9)
     shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
     assert len(shown) == 9 and all(p.count("Exchange hashpartitioning") == p.count("Exchange hashpartitioning(_i") == 2 for p in shown)
+
+
+def plain_louvain(pairs, parity, levels, rounds):
+    both, placed = {}, {}
+    for a, b, w in pairs:
+        for x, y in ((a, b), (b, a)):
+            both[x, y] = both.get((x, y), 0.0) + w
+            placed[x] = x
+    two_m = sum(both.values())
+    for _ in range(levels):
+        k = {}
+        for (a, _), w in both.items():
+            k[a] = k.get(a, 0.0) + w
+        com = {v: v for v in k}
+        for r in range(rounds):
+            tot, new = {}, dict(com)
+            for v, c in com.items():
+                tot[c] = tot.get(c, 0.0) + k[v]
+            for v in [v for v in k if parity[v] == r % 2]:
+                kin = {com[v]: 0.0}
+                for (a, b), w in both.items():
+                    if a == v != b:
+                        kin[com[b]] = kin.get(com[b], 0.0) + w
+                new[v] = max(kin, key=lambda c: (round(kin[c] - (tot[c] - k[v] * (c == com[v])) * k[v] / two_m, 9), c == com[v], -c))  # noqa: B023
+            com = new
+        placed, merged = {v: com[c] for v, c in placed.items()}, {}
+        for (a, b), w in both.items():
+            merged[com[a], com[b]] = merged.get((com[a], com[b]), 0.0) + w
+        both = merged
+    return {v: min(u for u in placed if placed[u] == placed[v]) for v in placed}
+
+
+def test_communities_move_no_links(spark, few, monkeypatch):
+    plans, real = [], blocks.Blocks.summed
+    monkeypatch.setattr(blocks.Blocks, "summed", lambda self, *a: plans.append(real(self, *a)) or plans[-1])
+    r = random.Random(5)
+    pairs = [(r.randrange(30), r.randrange(30), float(r.randrange(1, 4))) for _ in range(70)] + [(1, 2, 2.0), (2, 1, 1.0), (1, 2, 1.0), (4, 4, 3.0), (90, 91, 1.0), (1 << 61, 95, 1.0), (-5, 1 << 61, 1.0)]
+    links = spark.createDataFrame(pairs, "src long, tgt long, w double")
+    ids = links.select(F.explode(F.array("src", "tgt")).alias("v")).distinct()
+    parity = {p.v: p.p for p in ids.select("v", F.pmod(F.xxhash64("v"), F.lit(2)).alias("p")).collect()}
+    with pytest.warns(UserWarning, match="communities still merge"):
+        got = {p.idx: p.label for p in g.louvain(links, 2, 3).collect()}
+    assert got == plain_louvain(pairs, parity, 2, 3)
+    shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(shown) == 8 and all(p.count("Exchange hashpartitioning") == p.count("Exchange hashpartitioning(_i") == 2 for p in shown)
