@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import maths
-from linkloom.operators.graph import drop, reliable, symmetric
+from linkloom.operators.graph import by_shuffle, drop, reliable
 
 #: Springs and gravities of the grid of layouts.
 SPRINGS, GRAVITIES = (0.05, 0.15, 0.30), (0.01, 0.05, 0.15)
@@ -70,40 +71,23 @@ def simulate(
     reach: float = 20.0, per_cell: int = 100, damping: float = 0.6, most_speed: float = 50.0,
 ) -> DataFrame:
     """nodes: (idx, x, y, views). Velocities gather springs (shared by degree), charges and collisions of nodes within
-    reach, are damped and limited, and gravity draws to the centre; the whole is centred again. Near nodes meet in a join
-    on cells, of each of which at most per_cell nodes, by a hash that changes each time, act on others: so a crowded cell
-    costs in proportion to its nodes. Rows (idx, x, y)."""
-    arcs = reliable(symmetric(links).where("src <> tgt"))
-    degree = arcs.groupBy(F.col("src").alias("idx")).agg(F.count("*").alias("d"))
+    reach, are damped and limited, and gravity draws to the centre; the whole is centred again. Springs are added up in blocks
+    of nodes (see blocks). Near nodes meet in tiles of cells, of each of which at most per_cell nodes, by a hash that
+    changes each time, act on others: so a crowded cell costs in proportion to its nodes. Rows (idx, x, y)."""
+    from linkloom.operators import blocks as b
+
     top = nodes.agg(F.greatest(F.max("views"), F.lit(1)).alias("top"))  # one row
     size = maths.radius_by_power(F.col("views") / F.col("top") * 1000) * collision / 20 / 2
-    now = reliable(nodes.crossJoin(F.broadcast(top)).join(degree, "idx", "left").select("idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), size.alias("r"), F.coalesce("d", F.lit(0)).alias("d")))
-    side = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    graph = b.Blocks(links, nodes.select("idx"))
+    rows = nodes.crossJoin(F.broadcast(top)).select(graph.block(F.col("idx")).alias("block"), "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), size.alias("r"))
+    start = b.packed(rows, {"idx": np.int64} | {c: np.float64 for c in ("x", "y", "vx", "vy", "r")})
+    state = reliable(start.join(by_shuffle(graph.degrees()), "block").select("*", F.col("x").alias("ax"), F.col("y").alias("ay")))
     for turn in range(iterations):
         alpha = 1 - 0.95 * turn / max(1, iterations)
-        at = now.select("idx", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "d")
-        ends = arcs.join(at.toDF("src", "ax", "ay", "ad"), "src").join(at.toDF("tgt", "bx", "by", "bd"), "tgt")
-        fx, fy = spring_force(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), length, spring / F.least("ad", "bd") * F.col("bd") / (F.col("ad") + F.col("bd")), alpha)
-        pulls = ends.select(F.col("src").alias("idx"), fx.alias("fx"), fy.alias("fy")).groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        cells = now.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
-        rank = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(F.xxhash64("idx", F.lit(turn))))
-        acting = cells.withColumn("k", rank).where(F.col("k") <= per_cell).select(F.col("idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("vx").alias("ovx"), F.col("vy").alias("ovy"), F.col("r").alias("o_r"), "cx", "cy")
-        meets = cells.withColumn("o", side).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).join(acting, ["cx", "cy"]).where("idx <> other")
-        nudge = lambda salt: 1e-6 * (maths.unit_hash(F.col("idx") * 31 + F.col("other"), salt) - 0.5)
-        dx, dy = F.col("ox") - F.col("x") + nudge(51), F.col("oy") - F.col("y") + nudge(52)
-        gx, gy = charge_force(dx, dy, charge, alpha)
-        ax, ay = F.col("x") + F.col("vx") - F.col("ox") - F.col("ovx") + nudge(53), F.col("y") + F.col("vy") - F.col("oy") - F.col("ovy") + nudge(54)
-        apart, least = F.hypot(ax, ay), F.col("r") + F.col("o_r")
-        share = F.when(apart < least, (least - apart) / apart * F.col("o_r") * F.col("o_r") / (F.col("r") * F.col("r") + F.col("o_r") * F.col("o_r"))).otherwise(0.0)
-        pushes = meets.where(F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) < reach).select("idx", (gx + ax * share).alias("fx"), (gy + ay * share).alias("fy")).groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        force = pulls.unionByName(pushes).groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        vx, vy = ((F.col(v) + F.coalesce(f, F.lit(0.0))) * damping for v, f in (("vx", "fx"), ("vy", "fy")))
-        moved = now.join(force, "idx", "left").withColumns({"vx": vx, "vy": vy})
-        slow = F.least(F.lit(1.0), most_speed / F.greatest(F.hypot("vx", "vy"), F.lit(1e-9)))
-        moved = moved.withColumns({"vx": F.col("vx") * slow - F.col("x") * (0.005 * gravity * alpha), "vy": F.col("vy") * slow - F.col("y") * (0.005 * gravity * alpha)})
-        new = reliable(moved.select("idx", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy", "r", "d"))
-        drop(now)
-        now = new
+        pushed = b.met(state, turn, reach, per_cell, charge, alpha)
+        last, state = state, reliable(b.collision_round(graph, state, pushed, alpha, length, spring, gravity, damping, most_speed))
+        drop(last)
+    now = b.unpacked(state, {"idx": "bigint", "x": "double", "y": "double"})
     centre = now.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))  # one row
     return now.crossJoin(F.broadcast(centre)).select("idx", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
 

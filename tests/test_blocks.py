@@ -122,3 +122,57 @@ def test_communities_move_no_links(spark, few, monkeypatch):
     assert got == plain_louvain(pairs, parity, 2, 3)
     shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
     assert len(shown) == 8 and all(p.count("Exchange hashpartitioning") == p.count("Exchange hashpartitioning(_i") == 2 for p in shown)
+
+
+def test_simulation_moves_no_links(spark, few, monkeypatch):
+    from linkloom.operators import layout
+
+    plans, real = [], blocks.Blocks.summed
+    monkeypatch.setattr(blocks.Blocks, "summed", lambda self, *a: plans.append(real(self, *a)) or plans[-1])
+    monkeypatch.setattr(blocks, "TILE", 2)
+    monkeypatch.setattr(blocks, "MEET_AT_ONCE", 3)
+    arcs, rows, links = graph(spark)
+    deg = {i: sum(a == i for a, _ in arcs) for i, *_ in rows}
+    nodes = spark.createDataFrame([(i, x / 2, y / 2, 10 * i) for i, x, y in rows], "idx long, x double, y double, views long")
+    hashed = {(p.idx, t): p[f"h{t}"] for p in nodes.select("idx", *[F.xxhash64("idx", F.lit(t)).alias(f"h{t}") for t in range(2)]).collect() for t in range(2)}
+    size = {i: min(max((10 * i / 210 * 1000) ** 0.25, 2.0), 5.0) / 2 for i, *_ in rows}
+    at = {i: (x / 2, y / 2, 0.0, 0.0) for i, x, y in rows}
+    capped = False
+    for t in range(2):
+        alpha, cells, new = 1 - 0.95 * t / 2, {}, {}
+        for i, (x, y, *_) in at.items():
+            cells.setdefault((math.floor(x / 20), math.floor(y / 20)), []).append(i)
+        act = {o for c in cells.values() for o in sorted(c, key=lambda i: hashed[i, t])[:2]}  # noqa: B023
+        capped |= len(act) < len(at)
+        for i, (x, y, vx, vy) in at.items():
+            fx = fy = 0.0
+            for a, b in arcs:
+                if a == i and b in at:
+                    dx, dy = at[b][0] + at[b][2] - x - vx, at[b][1] + at[b][3] - y - vy
+                    r = max(math.hypot(dx, dy), 1e-6)
+                    f = (r - 30) / r * alpha * 0.15 / min(deg[a], deg[b]) * deg[b] / (deg[a] + deg[b])
+                    fx, fy = fx + dx * f, fy + dy * f
+            for o in act - {i}:
+                ox, oy, ovx, ovy = at[o]
+                if math.hypot(ox - x, oy - y) < 20:
+                    nudge = [1e-6 * (float(blocks.unit(np.int64(i * 31 + o), s)) - 0.5) for s in (51, 52, 53, 54)]
+                    dx, dy = ox - x + nudge[0], oy - y + nudge[1]
+                    r2 = dx * dx + dy * dy
+                    f = -30 * alpha / max(math.sqrt(r2) if r2 < 1 else r2, 1e-6)
+                    ax, ay = x + vx - ox - ovx + nudge[2], y + vy - oy - ovy + nudge[3]
+                    apart, least = math.hypot(ax, ay), size[i] + size[o]
+                    share = (least - apart) / apart * size[o] ** 2 / (size[i] ** 2 + size[o] ** 2) if apart < least else 0.0
+                    fx, fy = fx + dx * f + ax * share, fy + dy * f + ay * share
+            vx, vy = (vx + fx) * 0.6, (vy + fy) * 0.6
+            slow = min(1.0, 50 / max(math.hypot(vx, vy), 1e-9))
+            vx, vy = vx * slow - x * 0.005 * 0.05 * alpha, vy * slow - y * 0.005 * 0.05 * alpha
+            new[i] = x + vx, y + vy, vx, vy
+        at = new
+    assert capped
+    mx, my = (sum(p[k] for p in at.values()) / len(at) for k in (0, 1))
+    got = {p.idx: (p.x, p.y) for p in layout.simulate(nodes, links, 2, per_cell=2).collect()}
+    assert got.keys() == at.keys()
+    for i, (x, y, *_) in at.items():
+        assert got[i] == pytest.approx((x - mx, y - my), abs=1e-8)
+    shown = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(shown) == 2 and all("dealt_" in p and p.count("SortMergeJoin") <= 1 for p in shown)
