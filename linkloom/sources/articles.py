@@ -179,10 +179,13 @@ def train_topic_classifier(rows: DataFrame, features: int = 4096, rounds: int =
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.feature import HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer, Tokenizer
 
-    stages = [
-        StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), Tokenizer(inputCol="text", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), HashingTF(numFeatures=features, inputCol="grams", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=rounds, regParam=0.01),
-    ]
-    model = Pipeline(stages=stages).fit(rows.where("text is not null").where(learn))
+    hashed = Pipeline(stages=[
+        Tokenizer(inputCol="text", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
+        HashingTF(numFeatures=features, inputCol="grams", outputCol="x"),
+    ])
+    texts = rows.where("text is not null").withColumn("learnt", F.expr(learn))
+    counted = g.reliable(hashed.fit(texts).transform(texts).select("id", "label", "learnt", "x"))  # texts are cut into words once
+    stages = [StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=rounds, regParam=0.01)]
+    model = Pipeline(stages=stages).fit(counted.where("learnt"))
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
-    return back.transform(model.transform(rows.where("text is not null"))).select("id", "label", "predicted", F.array_max(vector_to_array("probability")).alias("probability"))
+    return back.transform(model.transform(counted)).select("id", "label", "predicted", F.array_max(vector_to_array("probability")).alias("probability"))

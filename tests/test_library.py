@@ -184,3 +184,13 @@ def test_classifier_on_rows_that_it_did_not_learn_from(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "text", "lang AS label").where("length(text) > 200")
     out = src.train_topic_classifier(docs, rounds=8, learn="id % 3 <> 0").where("id % 3 = 0").collect()
     assert sum(r.label == r.predicted for r in out) > 0.9 * len(out) and all(0.25 <= r.probability <= 1 for r in out)
+
+
+def test_classifier_cuts_texts_into_words_once(spark, monkeypatch):
+    written, real = [], g.reliable
+    monkeypatch.setattr(g, "reliable", lambda df: written.append(df.columns) or real(df))
+    docs = spark.createDataFrame([(i, ("red apple fruit", "steel iron metal")[i % 2], "fm"[i % 2]) for i in range(12)] + [(12, None, "f")], "id long, text string, label string")
+    out = src.train_topic_classifier(docs, rounds=3, learn="id < 9")
+    shown = out._jdf.queryExecution().executedPlan().toString()
+    assert written == [["id", "label", "learnt", "x"]] and "text#" not in shown and "/graph-" in shown
+    assert {(r.id, r.predicted) for r in out.collect()} == {(i, "fm"[i % 2]) for i in range(12)}
