@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import maths
 from linkloom.operators import graph as g
 from linkloom.operators import spatial
-from linkloom.plans import fixtures
+from linkloom.plans import fixtures, graph_queries
 
 from .conftest import DATA
 
@@ -105,3 +105,33 @@ def test_driver_search_asks_once(spark, monkeypatch):
     monkeypatch.setattr(type(s.links), "collect", lambda df: asked.append(1) or real(df))
     assert s.depth_first(0, n - 1) == list(range(n)) and s.random_walk(0, 20, 1)[-1] == 20
     assert not asked
+
+
+def test_gateways_hold_no_key_of_all_labels(spark):
+    """Labels were joined to the nodes by gateway, of which there are three, so that one task took a third or more."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = graph_queries.Q["g13_inherit_category"](spark, DATA)
+        assert "hashpartitioning(gateway" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_inherited(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 3, 0), (4, 9, 1)], "idx long, gateway long, hop long")
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "idx long, kind string")
+    assert sorted(map(tuple, g.inherited(labels, nodes, "kind").collect())) == [(1, "a"), (2, "a"), (3, None)]
+
+
+def test_large_levels_are_not_broadcast(spark, monkeypatch):
+    """Levels whose files look small were broadcast, however many rows they hold; same labels."""
+    r = np.random.default_rng(3)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 400, (900, 2))], "src long, tgt long")
+    starts = spark.createDataFrame([(3,), (50,), (399,)], "idx long")
+    want = {tuple(x) for x in g.propagate_labels(links, starts).collect()}
+    plans, real = [], g.reliable
+    monkeypatch.setattr(g, "reliable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(g, "BROADCAST_ROWS", 0)
+    assert {tuple(x) for x in g.propagate_labels(links, starts).collect()} == want and len(want) > 350
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
