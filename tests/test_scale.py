@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import maths
 from linkloom.operators import graph as g
-from linkloom.operators import spatial
+from linkloom.operators import search, spatial
 from linkloom.plans import fixtures, graph_queries
 
 from .conftest import DATA
@@ -135,3 +135,17 @@ def test_large_levels_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(g, "BROADCAST_ROWS", 0)
     assert {tuple(x) for x in g.propagate_labels(links, starts).collect()} == want and len(want) > 350
     assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_places_of_a_search_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """The nodes went to every task, and links with places were told apart once more; repeats of either change nothing."""
+    n = placed(spark, tmp_path)
+    n = n.union(n.where("idx < 20"))
+    chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt"))
+    plans, real = [], g.reliable
+    monkeypatch.setattr(g, "reliable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    for method in ("astar", "greedy"):
+        got = search.shortest_path(chain.union(chain), 0, 30, method, n)
+        assert [r.idx for r in got.orderBy("pos").collect()] == list(range(31))
+    assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
+    assert g.DriverSearch(real(chain.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})), at=("x", "y")).links.count() == 40
