@@ -149,3 +149,10 @@ def test_places_of_a_search_are_not_broadcast(spark, tmp_path, monkeypatch):
         assert [r.idx for r in got.orderBy("pos").collect()] == list(range(31))
     assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
     assert g.DriverSearch(real(chain.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})), at=("x", "y")).links.count() == 40
+
+
+def test_scans_are_dealt_in_small_pieces(spark):
+    """A task read 128 MB of lines and held all of them at once where they went to over 200 partitions."""
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    fixtures.roomy(spark, DATA)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b")) <= 16 << 20
