@@ -107,6 +107,25 @@ def test_driver_search_asks_once(spark, monkeypatch):
     assert not asked
 
 
+def test_neighbours_are_read_in_place(spark, monkeypatch):
+    """Links beyond those that are held were looked up by a job for a step of a walk or some nodes of a descent; same routes."""
+    n = 300
+    rows = [(i, j) for i in range(n) for j in (i + 1, max(0, i - 1)) if j < n] + [(40, j) for j in range(100, 160)]
+    e = spark.createDataFrame(rows + rows[:9] + [(-7, 1 << 40), (1 << 40, -9)], "src long, tgt long")
+    held = g.DriverSearch(e)
+    monkeypatch.setattr(g, "HELD_LINKS", 0)
+    s, asked = g.DriverSearch(e, lookahead=7, max_held=20), []
+    real = type(s.links).collect
+    monkeypatch.setattr(type(s.links), "collect", lambda df: asked.append(1) or real(df))
+    for v in [*range(-9, n + 3), 1 << 40]:
+        assert s.out(v) == held.out(v) == sorted({b for a, b in [*rows, (-7, 1 << 40), (1 << 40, -9)] if a == v})
+    assert s.depth_first(0, n - 1) == held.depth_first(0, n - 1) != [] and s.depth_first(9, n) == []
+    assert s.random_walk(0, 20, 1) == held.random_walk(0, 20, 1) and s.random_walk(-7, 0) == []
+    assert not asked
+    none = g.DriverSearch(e.where("src > 1 << 41"))
+    assert none.out(3) == [] == none.depth_first(0, 1) and none.random_walk(2, 2) == [2]
+
+
 def test_gateways_hold_no_key_of_all_labels(spark):
     """Labels were joined to the nodes by gateway, of which there are three, so that one task took a third or more."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
