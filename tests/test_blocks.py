@@ -124,6 +124,36 @@ def test_communities_move_no_links(spark, few, monkeypatch):
     assert len(shown) == 8 and all(p.count("Exchange hashpartitioning") == p.count("Exchange hashpartitioning(_i") == 2 for p in shown)
 
 
+def test_rows_and_gathered_links_are_bounded(spark, few, monkeypatch):
+    """A task got all nodes' vectors of 16 dimensions, and gathered all weighted links of an eighth of the nodes, whatever
+    their number; same communities and vectors from small parts."""
+    r = random.Random(8)
+    pairs = [(a, b, float(r.randrange(1, 4))) for a, b in {(min(p), max(p)) for p in ((r.randrange(40), r.randrange(40)) for _ in range(150))} if a != b]
+    links = spark.createDataFrame(pairs, "src long, tgt long, w double")
+    graph, cells, sent = blocks.Blocks, [], []
+    reals, diffused = graph.summed, blocks.diffused
+
+    def summed(self, mine, to, *rest):
+        cells.append(self)
+        return reals(self, mine, to, *rest)
+
+    with pytest.warns(UserWarning):
+        want = {p.idx: p.label for p in g.louvain(links, 1, 4).collect()}
+    vectors = {p.idx: p.vector for p in g.embed(links, 5).collect()}
+    monkeypatch.setattr(graph, "summed", summed)
+    monkeypatch.setattr(blocks, "diffused", lambda graph, first, some, *rest: sent.append(some) or diffused(graph, first, some, *rest))
+    for name, v in (("ROW_LINKS", 8), ("WEIGHED_LINKS", 30), ("PART_LINKS", 12)):
+        monkeypatch.setattr(blocks, name, v)
+    monkeypatch.setattr(g, "SENT_BYTES", 8 * 40 * 2)
+    with pytest.warns(UserWarning):
+        assert {p.idx: p.label for p in g.louvain(links, 1, 4).collect()} == want
+    weighed = cells[0].n
+    cells.clear()
+    got = {p.idx: p.vector for p in g.embed(links, 5).collect()}
+    assert got.keys() == vectors.keys() and all(got[i] == pytest.approx(vectors[i], abs=1e-9) for i in got)
+    assert sent == [2, 2, 1] and weighed > 3
+
+
 def test_simulation_moves_no_links(spark, few, monkeypatch):
     from linkloom.operators import layout
 
