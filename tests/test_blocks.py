@@ -142,7 +142,7 @@ def test_rows_and_gathered_links_are_bounded(spark, few, monkeypatch):
     vectors = {p.idx: p.vector for p in g.embed(links, 5).collect()}
     monkeypatch.setattr(graph, "summed", summed)
     monkeypatch.setattr(blocks, "diffused", lambda graph, first, some, *rest: sent.append(some) or diffused(graph, first, some, *rest))
-    for name, v in (("ROW_LINKS", 8), ("WEIGHED_LINKS", 30), ("PART_LINKS", 12)):
+    for name, v in (("ROW_LINKS", 8), ("WEIGHED_LINKS", 20), ("PART_LINKS", 12)):
         monkeypatch.setattr(blocks, name, v)
     monkeypatch.setattr(g, "SENT_BYTES", 8 * 40 * 2)
     with pytest.warns(UserWarning):
